@@ -87,6 +87,12 @@ def _field(label: str, value: Column, missing: str) -> Column:
     return F.concat(F.lit(f"{label}: "), F.coalesce(blank_to_null(value.cast("string")), F.lit(missing)), F.lit("\n"))
 
 
+def _score_text(score: Column) -> Column:
+    """Plain decimal text without trailing zeros; "None" for null."""
+    text = F.regexp_replace(score.cast("decimal(18,6)").cast("string"), "0+$", F.lit(""))
+    return F.coalesce(F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text), F.lit("None"))
+
+
 def context_block(sources: Column, text: str = "chunk_preview") -> Column:
     """Numbered blocks with labelled fields, joined by a blank line."""
 
@@ -99,7 +105,7 @@ def context_block(sources: Column, text: str = "chunk_preview") -> Column:
             _field("File name", s["file_name"], "N/A"),
             _field("Page number", s["page_number"], "unknown"),
             _field("Source URL", s["source_url"], "N/A"),
-            _field("Search score", s["score"], "None"),
+            F.lit("Search score: "), _score_text(s["score"]), F.lit("\n"),
             F.lit("Text:\n"), F.coalesce(s[text], F.lit("")),
         )
 

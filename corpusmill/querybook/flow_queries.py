@@ -1 +1,99 @@
-"""placeholder"""
+"""Layer tables, incremental refresh, file stream and saved evaluations."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.functions.text import clean_text
+from corpusmill.operators.chunk import chunk_pages
+from corpusmill.operators.embed import embed
+from corpusmill.operators.evaluate import summarize
+from corpusmill.plans.refresh import refresh
+from corpusmill.querybook import sql
+from corpusmill.querybook.answer_queries import _LABEL_RESULTS, _SUMMARY, _label_results
+from corpusmill.querybook.frames import pages_of_text
+from corpusmill.querybook.registry import query, table
+from corpusmill.session import materialize, scratch_path
+from corpusmill.sources.evaluation import read_questions, write_evaluation
+from corpusmill.sources.layers import read_layer, with_metrics, write_layer
+from corpusmill.streaming.ingest import document_stream, stream_ingest
+
+
+@query("layer_round_trip", f"SELECT doc_id, lang, {sql.clean('text')} AS text FROM documents")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"bronze_{uuid.uuid4().hex}"
+    cleaned = table(spark, sf_dir, "documents").select("doc_id", "lang", clean_text(F.col("text")).alias("text"))
+    write_layer(cleaned, name, "bronze", path=scratch_path(spark, name))
+    return read_layer(spark, name).drop("bronze_loaded_at")
+
+
+@query(
+    "stage_row_counts",
+    f"WITH {sql.PAGES} SELECT 'pages' AS stage, count(*) AS rows FROM pages_of_text WHERE text <> '' UNION ALL SELECT 'documents', count(*) FROM documents",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Counted while each stage is written.
+    counts = []
+    for stage, df in (("documents", table(spark, sf_dir, "documents").select("doc_id")), ("pages", pages_of_text(spark, sf_dir))):
+        observed, seen = with_metrics(df, stage)
+        observed.write.parquet(scratch_path(spark, stage))
+        counts.append((stage, seen.get["rows"]))
+    return spark.createDataFrame(counts, "stage string, rows long")
+
+
+@query(
+    "incremental_refresh",
+    f"""WITH {sql.CHUNKED},\n{sql.vectors('chunked', 'chunk_id', 'chunk_text', 64, 'cv')}
+SELECT document_id, chunk_index, chunk_id, md5(chunk_text) AS chunk_md5, round(embedding[1]::DOUBLE, 6) AS first FROM chunked LEFT JOIN cv USING (chunk_id)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Before: German documents had a longer text, Spanish ones did not exist. After the refresh it must equal a full rebuild.
+    pages = pages_of_text(spark, sf_dir)
+    old_text = F.when(F.col("language") == "de", F.concat("text", F.lit(" "), "text")).otherwise(F.col("text"))
+    before = materialize(embed(chunk_pages(pages.filter("language <> 'es'").withColumn("text", old_text))), "gold")
+    changed = pages.filter("language IN ('de', 'es')").select("document_id")
+    out = refresh(pages, changed, before)
+    return out.select(
+        "document_id", "chunk_index", "chunk_id", F.md5("chunk_text").alias("chunk_md5"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first")
+    )
+
+
+@query(
+    "stream_ingest",
+    f"WITH {sql.CHUNKED} SELECT document_id, chunk_index, chunk_id, chunk_length FROM chunked",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "documents").schema
+    arriving = document_stream(spark, sf_dir, schema, glob="documents.parquet").select(
+        F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "text"
+    )
+    out = scratch_path(spark, "streamed")
+    stream_ingest(arriving, out, scratch_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(out).select("document_id", "chunk_index", "chunk_id", "chunk_length")
+
+
+@query("evaluation_items", "SELECT item_id::VARCHAR AS id, text AS question, 'src' || item_id AS expected_regulation, 'a,b' AS keywords FROM benchmark")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "questions")
+    table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.concat(F.lit("src"), "item_id").alias("expected_regulation"),
+        F.array(F.lit("a"), F.lit("b")).alias("expected_keywords"),
+    ).write.json(path)
+    items = read_questions(spark, path, multi_line=False)
+    return items.select("id", "question", "expected_regulation", F.array_join("expected_keywords", ",").alias("keywords"))
+
+
+@query(
+    "saved_evaluation",
+    f"SELECT 5 AS top_k, (SELECT count(*) FROM labels JOIN documents USING (doc_id)) AS saved_results, * FROM ({_SUMMARY.format('(' + _LABEL_RESULTS.format('true') + ')')})",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = _label_results(table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id"))
+    path, summary = scratch_path(spark, "evaluation"), summarize(results)
+    write_evaluation(results, summary, path, 5)
+    saved = spark.read.schema(results.schema).json(f"{path}/results").agg(F.count(F.lit(1)).alias("saved_results"))
+    kept = spark.read.json(f"{path}/summary").drop("evaluation_timestamp")
+    return kept.withColumn("saved_results", saved.scalar()).withColumn("top_k", F.col("top_k").cast("int"))

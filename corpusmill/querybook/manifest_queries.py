@@ -305,7 +305,7 @@ def _rate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RATE_LINES = " || chr(10) || ".join(f"'{code}: ' || {_RATE.format(c=c, s='varchar')}" for code, c in _RATE_FIELDS)
 _SHIPPED = "strftime(l_shipdate, '%Y-%m-%d')"
-_RATE_TEXT = f"""CASE WHEN l_returnflag = 'R' THEN 'no Rates &amp; prices ' || l_linestatus || ' First Bank ' || l_suppkey
+_RATE_TEXT = f"""CASE WHEN l_returnflag = 'R' THEN 'no --> Rates &amp; prices ' || l_linestatus || ' First Bank ' || l_suppkey
   ELSE 'Subject: Rates & prices ' || l_linestatus || chr(10) || 'Sender: Bank ' || l_suppkey || chr(10) || 'Date: ' || {_SHIPPED} || chr(10)
     || 'Euro foreign exchange reference rates:' || chr(10) || {_RATE_LINES} END"""
 

@@ -25,7 +25,13 @@ def with_metrics(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
 
 
 def write_layer(
-    df: DataFrame, name: str, layer: str | None = None, fmt: str = DEFAULT_FORMAT, bucket_by: str | None = None, buckets: int = 64
+    df: DataFrame,
+    name: str,
+    layer: str | None = None,
+    fmt: str = DEFAULT_FORMAT,
+    bucket_by: str | None = None,
+    buckets: int = 64,
+    path: str | None = None,
 ) -> int:
     """Replace the table, schema included, and return the number of rows written; zero rows are an error.
 
@@ -34,6 +40,8 @@ def write_layer(
     """
     out, seen = with_metrics(with_audit(df, layer) if layer else df, name)
     writer = out.write.format(fmt).mode("overwrite").option("overwriteSchema", "true")
+    if path:
+        writer = writer.option("path", path)
     if bucket_by:
         writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
     writer.saveAsTable(name)
