@@ -10,7 +10,9 @@ from corpusmill.functions.base import let, strip
 
 def clean_text(col: Column) -> Column:
     """Null becomes ""; NUL, NBSP, space runs, blanks after newlines and long newline runs are normalised."""
-    spaced = F.translate(F.coalesce(col, F.lit("")), "\x00\xa0\t", "   ")
+    spaced = F.coalesce(col, F.lit(""))
+    for char in ("\x00", "\xa0", "\t"):
+        spaced = F.replace(spaced, F.lit(char), F.lit(" "))
     single = F.regexp_replace(spaced, " {2,}", " ")
     dedented = F.replace(single, F.lit("\n "), F.lit("\n"))
     return strip(F.regexp_replace(dedented, "\n{3,}", "\n\n"))
@@ -18,7 +20,8 @@ def clean_text(col: Column) -> Column:
 
 def norm_key(col: Column) -> Column:
     """Key for loose comparison: lower case, "-" and "_" read as spaces, ends stripped, null as ""."""
-    return strip(F.translate(F.lower(F.coalesce(col, F.lit(""))), "-_", "  "))
+    lowered = F.lower(F.coalesce(col, F.lit("")))
+    return strip(F.replace(F.replace(lowered, F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" ")))
 
 
 def preview(col: Column, n: int) -> Column:

@@ -34,7 +34,7 @@ def _run_length(starts: Column, j: Column, total: Column) -> Column:
 def term_counts(toks: Column) -> Column:
     """array<struct<term, tf>> by sort and run length: no shuffle, no nested scan."""
     return let(
-        F.array_sort(toks),
+        F.sort_array(toks),
         lambda s: let(
             _run_starts(s, lambda a, b: a != b),
             lambda starts: F.transform(
@@ -45,12 +45,14 @@ def term_counts(toks: Column) -> Column:
     )
 
 
-def _bucket(term: Column, dims: int) -> Column:
-    return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % dims).cast("int")
+def _hashed(term: Column, dims: int) -> Column:
+    """Bucket and sign of a word."""
 
+    def split(h: Column) -> Column:
+        bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dims).cast("int")
+        return F.struct(bucket.alias("b"), F.when(F.substring(h, 9, 1) < "8", F.lit(1.0)).otherwise(F.lit(-1.0)).alias("w"))
 
-def _sign(term: Column) -> Column:
-    return F.when(F.substring(F.md5(term), 9, 1) < "8", F.lit(1.0)).otherwise(F.lit(-1.0))
+    return let(F.md5(term), split)
 
 
 def hashing_vector(toks: Column, dims: int) -> Column:
@@ -59,7 +61,7 @@ def hashing_vector(toks: Column, dims: int) -> Column:
     md5 keeps the vector reproducible in any engine. Counts are whole numbers,
     so the sums do not depend on their order.
     """
-    pairs = F.array_sort(F.transform(toks, lambda t: F.struct(_bucket(t, dims).alias("b"), _sign(t).alias("w"))))
+    pairs = F.sort_array(F.transform(toks, lambda t: _hashed(t, dims)))
 
     def dense(p: Column) -> Column:
         def build(starts: Column) -> Column:

@@ -19,11 +19,8 @@ def _column_or_null(df: DataFrame, name: str, kind: str) -> Column:
 def _explode(pages: DataFrame, chunks: Column, text_col: str) -> DataFrame:
     """One row per chunk; every other column of the page is kept."""
     parents = [F.col(f"`{c}`") for c in pages.columns if c != text_col]
-    cut = (
-        pages.select(*parents, F.posexplode(chunks).alias("chunk_index", "chunk_text"))
-        .withColumn("chunk_text", F.trim("chunk_text"))
-        .filter(F.length("chunk_text") > 0)
-    )
+    trimmed = F.transform(chunks, lambda c: F.trim(c))
+    cut = pages.select(*parents, F.posexplode(trimmed).alias("chunk_index", "chunk_text")).filter(F.length("chunk_text") > 0)
     return cut.withColumn("chunk_length", F.length("chunk_text")).withColumn(
         "chunk_id",
         chunk_id(

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.base import strip
 from corpusmill.functions.tokens import hashing_vector, tokens
+from corpusmill.operators.once import with_once
 
 DEFAULT_DIMS = 64
 SUB_BATCH = 100
@@ -20,7 +20,7 @@ Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 def embed(df: DataFrame, col: str = "chunk_text", dims: int = DEFAULT_DIMS, out: str = "embedding") -> DataFrame:
     """Add a unit vector of hashed words; null for blank text. Row-local, no Python worker."""
-    return df.withColumn(out, hashing_vector(tokens(F.col(col)), dims))
+    return with_once(df, out, hashing_vector(tokens(F.col(col)), dims))
 
 
 def embed_with(
@@ -42,7 +42,3 @@ def embed_with(
             yield frame.assign(**{out: vectors})
 
     return df.mapInPandas(run, schema)
-
-
-def is_blank(df: DataFrame, col: str) -> DataFrame:
-    return df.filter(F.length(strip(F.coalesce(F.col(col), F.lit("")))) == 0)

@@ -12,6 +12,7 @@ from corpusmill.functions.html import main_text
 from corpusmill.functions.text import byte_size, clean_text, decode_utf8, file_error, sha256_hex
 from corpusmill.functions.xml import fx_struct, rdf_expression_id, rdf_modified, rdf_title, xml_text_or_tags_removed
 from corpusmill.operators.manifest import raw_path, raw_path_error
+from corpusmill.operators.once import with_once, with_text_once
 from corpusmill.schemas import BRONZE_PAGES, LINEAGE
 from corpusmill.session import broadcast_if_bounded
 from corpusmill.sources.layers import utc_text
@@ -68,35 +69,33 @@ def _section(text: Column) -> Column:
 def explode_pages(docs: DataFrame, delimiter: str = PAGE_BREAK, text_col: str = "text") -> DataFrame:
     """One row per page with text; page numbers count from 1 and skip nothing."""
     parents = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    return (
-        docs.select(*parents, F.posexplode(F.split(F.col(text_col), re.escape(delimiter))).alias("_i", "_t"))
-        .select(*parents, (F.col("_i") + 1).alias("page_number"), clean_text(F.col("_t")).alias("text"))
-        .filter(F.col("text") != "")
-    )
+    raw = docs.select(*parents, F.posexplode(F.split(F.col(text_col), re.escape(delimiter))).alias("_i", "_t"))
+    numbered = raw.select(*parents, (F.col("_i") + 1).alias("page_number"), "_t")
+    return with_text_once(numbered, "text", clean_text(F.col("_t")), drop=["_t"])
 
 
 def extract_html(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Main text of each page as section 1; pages without text are left out."""
-    parents = [F.col(f"`{c}`") for c in pages.columns if c != html_col]
-    return (
-        pages.select(*parents, F.lit(1).alias("section_number"), main_text(F.col(html_col)).alias("text")).filter(F.col("text") != "")
-    )
+    return with_text_once(pages.withColumn("section_number", F.lit(1)), "text", main_text(F.col(html_col)), drop=[html_col])
 
 
 def extract_fx_rates(docs: DataFrame, xml_col: str = "xml") -> DataFrame:
     """Long table: one row per currency with the document's date."""
     parents = [F.col(f"`{c}`") for c in docs.columns if c != xml_col]
-    fx = docs.select(*parents, fx_struct(F.col(xml_col)).alias("_fx"))
-    return fx.select(*parents, F.col("_fx.rate_date").try_cast("date").alias("rate_date"), F.explode("_fx.rates").alias("_r")).select(
-        *parents, "rate_date", F.col("_r.currency").alias("currency"), F.col("_r.rate").try_cast("double").alias("rate")
-    )
+
+    def rows(fx: Column) -> Column:
+        day = fx["rate_date"].try_cast("date").alias("rate_date")
+        return F.transform(
+            fx["rates"], lambda r: F.struct(day, r["currency"].alias("currency"), r["rate"].try_cast("double").alias("rate"))
+        )
+
+    return docs.select(*parents, F.inline(let(F.col(xml_col), lambda x: let(fx_struct(x), rows))))
 
 
 def fx_text(docs: DataFrame, xml_col: str = "xml") -> DataFrame:
     """Readable text of each XML document; without rates, its text with the tags removed."""
-    parents = [F.col(f"`{c}`") for c in docs.columns if c != xml_col]
-    text = let(fx_struct(F.col(xml_col)), lambda fx: xml_text_or_tags_removed(fx, F.col(xml_col)))
-    return docs.select(*parents, F.lit(1).alias("section_number"), text.alias("text")).filter(F.col("text") != "")
+    text = let(F.col(xml_col), lambda x: let(fx_struct(x), lambda fx: xml_text_or_tags_removed(fx, x)))
+    return with_text_once(docs.withColumn("section_number", F.lit(1)), "text", text, drop=[xml_col])
 
 
 def parse_rdf(df: DataFrame, rdf_col: str = "rdf") -> DataFrame:
@@ -131,7 +130,7 @@ def extract_text(docs: DataFrame, page_break: str = PAGE_BREAK) -> DataFrame:
     )
     keep = [c for c in ("document_id", "source_file", "file_name", *LINEAGE[1:]) if c in docs.columns]
     out = (
-        docs.select(*keep, "file_format", decode_utf8(F.col("content")).alias("_text"))
+        with_once(docs.select(*keep, "file_format", "content"), "_text", decode_utf8(F.col("content")), drop=["content"])
         .select(*keep, "file_format", F.inline(pages))
         .filter(F.col("text") != "")
         .withColumn("extracted_at_utc", utc_text())

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.tokens import term_counts, tokens
+from corpusmill.operators.once import with_once
+from corpusmill.operators.scan import SCORES_HELD, column, scan_best
 from corpusmill.operators.topk import DEFAULT_TOP_K, SCORE_DIGITS, check_k, top_k
-from corpusmill.session import broadcast_if_bounded
+from corpusmill.session import BROADCAST_MAX_ROWS, broadcast_if_bounded, is_bounded
 
 K1 = 1.2
 B = 0.75
@@ -17,17 +24,13 @@ _SALTS = 32
 
 
 def build_postings(chunks: DataFrame, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("chunk_text",)) -> DataFrame:
-    """One row per chunk: id, length ``dl`` and ``terms`` array<struct<term, tf>>.
+    """One row per chunk: id, length ``dl`` and ``terms`` array<struct<term, tf>>. Row-local, nothing is shuffled.
 
-    Rows are laid out by chunk id. Scoring groups by chunk and question and
-    needs no further shuffle; the statistics pass reuses the same exchange.
+    Write it as a table before searching: statistics and scoring both read it.
     """
     text = F.concat_ws(" ", *[F.col(c) for c in text_cols])
-    return (
-        chunks.select(F.col(id_col).alias("chunk_id"), tokens(text).alias("toks"))
-        .select("chunk_id", F.size("toks").alias("dl"), term_counts(F.col("toks")).alias("terms"))
-        .repartition("chunk_id")
-    )
+    words = with_once(chunks.select(F.col(id_col).alias("chunk_id"), text.alias("text")), "toks", tokens(F.col("text")), drop=["text"])
+    return words.select("chunk_id", F.size("toks").alias("dl"), term_counts(F.col("toks")).alias("terms"))
 
 
 def _exploded(postings: DataFrame) -> DataFrame:
@@ -61,35 +64,94 @@ def _contribution() -> Column:
     return F.col("idf") * tf * (K1 + 1) / (tf + K1 * norm)
 
 
-def search_keyword(questions: DataFrame, postings: DataFrame, k: int = DEFAULT_TOP_K, rank: str = "rank") -> DataFrame:
+def term_weights(terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """(question_id, term, idf, avgdl) for the question words that occur in the corpus."""
+    totals = stats.filter(F.col("term") == _TOTALS)
+    n = totals.select("df").scalar()
+    avgdl = totals.select(F.col("total_dl") / F.col("df")).scalar()
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return terms.join(stats, "term").select("question_id", "term", idf.alias("idf"), avgdl.alias("avgdl"))
+
+
+def _score_batch(shared: tuple, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """BM25 of all questions for the rows of a batch, a slice of rows at a time.
+
+    ``shared`` lists, per known term, the questions that use it (``first`` to
+    ``last`` in ``users``) and its weight.
+    """
+    vocabulary, first, last, users, idf, avgdl, questions = shared
+    ids, dl = column(batch, "chunk_id"), column(batch, "dl").astype(np.float64)
+    lists = batch.column("terms")
+    lengths = np.diff(lists.offsets.to_numpy())
+    entries = lists.flatten()
+    term = pc.fill_null(pc.index_in(entries.field("term"), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(ids)), lengths)
+    known = term >= 0
+    row, term, tf = row[known], term[known], entries.field("tf").to_numpy(zero_copy_only=False)[known].astype(np.float64)
+    part = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl))
+    fan = last[term] - first[term]
+    # Rows are cut so that both the score matrix and the expanded parts stay small.
+    load = np.concatenate([[0], np.cumsum(np.bincount(row, weights=fan, minlength=len(ids)))])
+    entry = np.searchsorted(row, np.arange(len(ids) + 1))
+    at, step = 0, max(1, SCORES_HELD // questions)
+    while at < len(ids):
+        end = int(min(at + step, np.searchsorted(load, load[at] + 2 * SCORES_HELD, side="right") - 1))
+        end = max(end, at + 1)
+        s = slice(entry[at], entry[end])
+        n = fan[s]
+        total = int(n.sum())
+        # Position of every (row, question) part in ``users``.
+        step_in = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+        who = users[np.repeat(first[term[s]], n) + step_in]
+        cell = who * (end - at) + np.repeat(row[s] - at, n)
+        scores = np.bincount(cell, weights=np.repeat(part[s], n), minlength=questions * (end - at)).reshape(questions, end - at)
+        scores[scores == 0] = np.nan
+        yield scores, ids[at:end]
+        at = end
+
+
+def _search_broadcast(terms: DataFrame, postings: DataFrame, k: int, schema: str) -> DataFrame:
+    """Question words on every executor; one pass over the postings."""
+    stats = term_statistics(postings, terms.select("term").distinct())
+    weights = term_weights(terms, stats).toArrow().to_pandas()
+    if weights.empty:
+        return terms.sparkSession.createDataFrame([], schema)
+    names, who = np.unique(weights["question_id"].to_numpy(), return_inverse=True)
+    vocabulary, term = np.unique(weights["term"].to_numpy().astype(str), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    first = np.searchsorted(term[order], np.arange(len(vocabulary)))
+    last = np.append(first[1:], len(order))
+    shared = (
+        pa.array(vocabulary, pa.string()), first, last, who[order], weights["idf"].to_numpy()[order][first],
+        float(weights["avgdl"].iloc[0]), len(names),
+    )
+    return scan_best(postings.select("chunk_id", "dl", "terms"), names, shared, _score_batch, k, schema)
+
+
+def _search_join(terms: DataFrame, postings: DataFrame, schema_cols: list[str]) -> DataFrame:
+    """Many questions: words meet postings in a join on (term, salt), which spreads a frequent term over many tasks."""
+    stats = term_statistics(postings, terms.select("term").distinct())
+    weights = term_weights(terms, stats).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    rows = _exploded(postings).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(_SALTS)).cast("int"))
+    hits = rows.join(weights, ["term", "salt"])
+    scored = hits.groupBy("chunk_id", "question_id").agg(F.round(F.sum(_contribution()), SCORE_DIGITS).alias("score"))
+    return scored.select(*schema_cols)
+
+
+def search_keyword(
+    questions: DataFrame, postings: DataFrame, k: int = DEFAULT_TOP_K, rank: str = "rank", max_terms: int = BROADCAST_MAX_ROWS
+) -> DataFrame:
     """The k best chunks per question: question_id, chunk_id, score, rank.
 
-    Question terms are broadcast once counted small: postings are then streamed
-    where they lie, and the per-task top-k keeps the shuffle at k rows per
-    question and task. A larger question set meets the postings in a join on
-    (term, salt), which spreads a frequent term over many tasks.
+    Question words that are counted within bounds go to every executor and the
+    postings are scored where they lie; otherwise both sides are joined.
     """
     check_k(k)
     terms = question_terms(questions)
-    stats = term_statistics(postings, terms.select("term").distinct())
-    totals = stats.filter(F.col("term") == _TOTALS)
-    n = totals.select("df").scalar()
-    avgdl = totals.select(F.col("total_dl") / F.col("df")).scalar()
-    weights = (
-        terms.join(stats, "term")
-        .select(
-            "question_id",
-            "term",
-            F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
-            avgdl.alias("avgdl"),
-        )
-    )
-    rows = _exploded(postings)
-    _, small = broadcast_if_bounded(terms)
-    if small:
-        hits = rows.join(F.broadcast(weights), "term")
+    if is_bounded(terms, max_terms):
+        kinds = [f"question_id {terms.schema['question_id'].dataType.simpleString()}"]
+        kinds.append(f"chunk_id {postings.schema['chunk_id'].dataType.simpleString()}")
+        found = _search_broadcast(terms, postings, k, ", ".join([*kinds, "score double"]))
     else:
-        salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        hits = rows.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(_SALTS)).cast("int")).join(salted, ["term", "salt"])
-    scored = hits.groupBy("chunk_id", "question_id").agg(F.round(F.sum(_contribution()), SCORE_DIGITS).alias("score"))
-    return top_k(scored.select("question_id", "chunk_id", "score"), "question_id", F.col("score"), "chunk_id", k, rank)
+        found = _search_join(terms, postings, ["question_id", "chunk_id", "score"])
+    return top_k(found, "question_id", F.col("score"), "chunk_id", k, rank)

@@ -13,60 +13,39 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.scan import SCORES_HELD, Best, column, scan_best
 from corpusmill.operators.topk import DEFAULT_TOP_K, SCORE_DIGITS, check_k, top_k
 from corpusmill.session import broadcast_if_bounded
 
 QUESTION_BLOCK = 4096
 INDEX_TILE = 20_000
-SCORES_HELD = 4_000_000
 _SALTS = 32
 METRICS = ("cosine", "dot", "euclidean")
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if not len(column):
-        return np.empty((0, 0))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(vectors), -1)
 
 
 def _scores(questions: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     """Higher is better for every metric; NaN where a zero vector has no direction."""
     if metric == "euclidean":
         sq = (questions**2).sum(1)[:, None] + (rows**2).sum(1)[None, :] - 2 * questions @ rows.T
-        out = -np.sqrt(np.maximum(sq, 0))
-    else:
-        out = questions @ rows.T
-        if metric == "cosine":
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out = out / np.linalg.norm(questions, axis=1)[:, None] / np.linalg.norm(rows, axis=1)[None, :]
-    return np.round(out, SCORE_DIGITS) + 0.0
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """k best (q, chunk_id, score) per question row, ties by id. Keeps every tie until ids decide."""
-    scores = np.where(np.isnan(scores), -np.inf, scores)
-    n = scores.shape[1]
-    floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
-    q, at = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-    found = pd.DataFrame({"q": q, "chunk_id": ids[at], "score": scores[q, at]})
-    return found.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True]).groupby("q").head(k)
+        return -np.sqrt(np.maximum(sq, 0))
+    out = questions @ rows.T
+    if metric == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = out / np.linalg.norm(questions, axis=1)[:, None] / np.linalg.norm(rows, axis=1)[None, :]
+    return out
 
 
-def _merge(frames: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    found = pd.concat(frames)
-    return found.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True]).groupby("q").head(k)
-
-
-def _search_block(questions: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, metric: str) -> pd.DataFrame:
-    """k best of one block; scores are held for a slice of the rows at a time."""
-    step = max(k, SCORES_HELD // max(1, len(questions)))
-    parts = [
-        _best(_scores(questions, rows[at : at + step], metric), ids[at : at + step], k) for at in range(0, len(rows), step)
-    ]
-    return parts[0] if len(parts) == 1 else _merge(parts, k)
+def _slices(questions: np.ndarray, ids: np.ndarray, rows: np.ndarray, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    step = max(1, SCORES_HELD // max(1, len(questions)))
+    for at in range(0, len(rows), step):
+        yield _scores(questions, rows[at : at + step], metric), ids[at : at + step]
 
 
 def _with_vector(df: DataFrame, id_col: str, out: str) -> DataFrame:
@@ -74,27 +53,16 @@ def _with_vector(df: DataFrame, id_col: str, out: str) -> DataFrame:
 
 
 def _search_broadcast(questions: DataFrame, index: DataFrame, k: int, metric: str, schema: str) -> DataFrame:
-    """Question matrix on every executor; one pass over the index, k rows per question leave a task."""
+    """Question matrix on every executor; one pass over the index."""
     held = questions.toArrow()
     if not held.num_rows:
         return questions.sparkSession.createDataFrame([], schema)
-    shared = questions.sparkSession.sparkContext.broadcast(
-        (held.column("question_id").to_pandas().to_numpy(), _matrix(held.column("embedding")))
-    )
+    names = held.column("question_id").to_pandas().to_numpy()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = shared.value
-        best = None
-        for batch in batches:
-            if batch.num_rows:
-                ids = batch.column("chunk_id").to_pandas().to_numpy()
-                found = _search_block(matrix, ids, _matrix(batch.column("embedding")), k, metric)
-                best = found if best is None else _merge([best, found], k)
-        if best is not None and len(best):
-            out = pd.DataFrame({"question_id": names[best["q"].to_numpy()], "chunk_id": best["chunk_id"], "score": best["score"]})
-            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+    def score(matrix: np.ndarray, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return _slices(matrix, column(batch, "chunk_id"), _matrix(batch.column("embedding")), metric)
 
-    return index.mapInArrow(run, schema)
+    return scan_best(index, names, _matrix(held.column("embedding")), score, k, schema)
 
 
 def _search_tiles(questions: DataFrame, index: DataFrame, k: int, metric: str, schema: str, block: int, tile: int) -> DataFrame:
@@ -109,12 +77,12 @@ def _search_tiles(questions: DataFrame, index: DataFrame, k: int, metric: str, s
     )
 
     def run(qs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or rows.empty:
-            return pd.DataFrame({"question_id": [], "chunk_id": [], "score": []})
-        matrix, vectors = (np.stack(df["embedding"]).astype(np.float64) for df in (qs, rows))
-        best = _search_block(matrix, rows["chunk_id"].to_numpy(), vectors, k, metric)
-        names = qs["question_id"].to_numpy()[best["q"].to_numpy()]
-        return pd.DataFrame({"question_id": names, "chunk_id": best["chunk_id"], "score": best["score"]})
+        best = Best(len(qs), k)
+        if len(qs) and len(rows):
+            matrix, vectors = (np.stack(df["embedding"]).astype(np.float64) for df in (qs, rows))
+            for scores, ids in _slices(matrix, rows["chunk_id"].to_numpy(), vectors, metric):
+                best.add(scores, ids)
+        return best.frame(qs["question_id"].to_numpy())
 
     return left.groupBy("_b", "_t").cogroup(right.groupBy("_b", "_t")).applyInPandas(run, schema)
 

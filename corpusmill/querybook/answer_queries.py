@@ -16,9 +16,9 @@ from corpusmill.operators.evaluate import (
     BAD_JSON_CLAIM, average_scores, check_expected, check_keywords, compare_runs, evaluate, parse_judgement, summarize,
 )
 from corpusmill.operators.hybrid import search_hybrid
-from corpusmill.operators.keyword import build_postings, search_keyword
+from corpusmill.operators.keyword import search_keyword
 from corpusmill.querybook import sql
-from corpusmill.querybook.frames import asked, stored_chunks
+from corpusmill.querybook.frames import asked, stored_chunks, stored_postings
 from corpusmill.querybook.registry import query, table
 from corpusmill.querybook.search_queries import HYBRID, hybrid_hits
 from corpusmill.querybook.text_queries import _PII_SQL
@@ -47,7 +47,7 @@ FROM {questions} q LEFT JOIN {hits} h USING (question_id) LEFT JOIN {index} c US
 @query("answers_with_sources", f"WITH {sql.CHUNKED},\n{_ASKED_AND_SILENT},\n{sql.keyword(5)} {_flat_sql('kw_hits')}")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions, chunks = _asked_and_silent(spark, sf_dir), stored_chunks(spark, sf_dir)
-    hits = search_keyword(questions, build_postings(chunks), 5)
+    hits = search_keyword(questions, stored_postings(chunks), 5)
     return _flat(answer_frame(questions, attach_index_fields(hits, chunks, questions, 5)))
 
 
@@ -83,7 +83,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid, _rejected = validate_questions(turns)
     questions = redact_pii(valid, "question").select("question_id", F.col("redacted_text").alias("question"))
     chunks = stored_chunks(spark, sf_dir)
-    hits = search_hybrid(embed(questions, "question", DIMS), build_postings(chunks), embed(chunks, dims=DIMS), 5)
+    hits = search_hybrid(embed(questions, "question", DIMS), stored_postings(chunks), embed(chunks, dims=DIMS), 5)
     return _flat(answer_frame(questions, attach_index_fields(hits, chunks, questions, 5)))
 
 

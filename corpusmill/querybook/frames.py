@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clean_text
 from corpusmill.operators.chunk import chunk_pages
+from corpusmill.operators.keyword import build_postings
+from corpusmill.operators.once import with_text_once
 from corpusmill.querybook.registry import spread, table
 from corpusmill.session import materialize
 
@@ -14,20 +16,17 @@ from corpusmill.session import materialize
 def pages_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as pages of clean text."""
     doc = F.col("doc_id").cast("string")
-    return (
-        spread(table(spark, sf_dir, "documents"))
-        .select(
-            doc.alias("document_id"),
-            F.col("source").alias("short_title"),
-            F.col("lang").alias("language"),
-            F.lit(None).cast("string").alias("regulation_title"),
-            F.concat(F.lit("https://corpus.example/"), "source", F.lit("/"), doc).alias("source_url"),
-            F.lit(1).alias("page_number"),
-            F.concat("source", F.lit("_"), doc, F.lit(".txt")).alias("file_name"),
-            clean_text(F.col("text")).alias("text"),
-        )
-        .filter(F.col("text") != "")
+    docs = spread(table(spark, sf_dir, "documents")).select(
+        doc.alias("document_id"),
+        F.col("source").alias("short_title"),
+        F.col("lang").alias("language"),
+        F.lit(None).cast("string").alias("regulation_title"),
+        F.concat(F.lit("https://corpus.example/"), "source", F.lit("/"), doc).alias("source_url"),
+        F.lit(1).alias("page_number"),
+        F.concat("source", F.lit("_"), doc, F.lit(".txt")).alias("file_name"),
+        "text",
     )
+    return with_text_once(docs, "text", clean_text(F.col("text")))
 
 
 def chunks_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,3 +40,8 @@ def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+
+
+def stored_postings(chunks: DataFrame, *args: object) -> DataFrame:
+    """The keyword index, written once: statistics and scoring both read it."""
+    return materialize(build_postings(chunks, *args), "postings")

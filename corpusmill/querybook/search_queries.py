@@ -11,10 +11,10 @@ from corpusmill.operators.hybrid import search_hybrid
 from corpusmill.operators.index import (
     dedupe, facets, index_eligible, order_fields, sample_index, to_index_rows, upsert_index, where_fields,
 )
-from corpusmill.operators.keyword import build_postings, search_keyword
+from corpusmill.operators.keyword import search_keyword
 from corpusmill.operators.vector import recall_at_k, search_vector, search_vector_ann
 from corpusmill.querybook import sql
-from corpusmill.querybook.frames import asked, chunks_of_text, pages_of_text, stored_chunks
+from corpusmill.querybook.frames import asked, chunks_of_text, pages_of_text, stored_chunks, stored_postings
 from corpusmill.querybook.registry import query, table
 from corpusmill.sources.index_sink import publish_index
 
@@ -24,7 +24,7 @@ _HITS = "SELECT question_id, chunk_id, score, rank FROM {}"
 
 @query("search_keyword", f"WITH {sql.CHUNKED},\n{sql.ASKED},\n{sql.keyword(5)} {_HITS.format('kw_hits')}")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search_keyword(asked(spark, sf_dir), build_postings(chunks_of_text(spark, sf_dir)), 5)
+    return search_keyword(asked(spark, sf_dir), stored_postings(chunks_of_text(spark, sf_dir)), 5)
 
 
 @query(
@@ -34,7 +34,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return search_keyword(asked(spark, sf_dir), build_postings(docs, "doc_id", ("text",)), 5)
+    return search_keyword(asked(spark, sf_dir), stored_postings(docs, "doc_id", ("text",)), 5)
 
 
 _VECTORS = (
@@ -96,7 +96,7 @@ HYBRID = (
 
 
 def hybrid_hits(spark: SparkSession, sf_dir: str, chunks: DataFrame, k: int = 5) -> DataFrame:
-    return search_hybrid(_question_vectors(spark, sf_dir), build_postings(chunks), embed(chunks, dims=DIMS), k)
+    return search_hybrid(_question_vectors(spark, sf_dir), stored_postings(chunks), embed(chunks, dims=DIMS), k)
 
 
 @query("search_hybrid", f"WITH {HYBRID} {_HITS.format('fused_hits')}")
@@ -110,7 +110,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The filter is on a column of the documents, so it reaches their scan.
-    return search_keyword(asked(spark, sf_dir), build_postings(where_fields(chunks_of_text(spark, sf_dir), short_title="src3")), 5)
+    return search_keyword(asked(spark, sf_dir), stored_postings(where_fields(chunks_of_text(spark, sf_dir), short_title="src3")), 5)
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from corpusmill.functions.text import clean_text
 from corpusmill.operators.chunk import chunk_pages
+from corpusmill.operators.once import with_text_once
 
 
 def document_stream(
@@ -29,7 +30,7 @@ def stream_ingest(docs: DataFrame, out: str, checkpoint: str, text_col: str = "t
 
     Stateless and append-only; the checkpoint makes every file count exactly once.
     """
-    pages = docs.withColumn(text_col, clean_text(F.col(text_col))).filter(F.col(text_col) != "")
+    pages = with_text_once(docs, text_col, clean_text(F.col(text_col)))
     return (
         chunk_pages(pages, text_col=text_col)
         .writeStream.format("parquet")
