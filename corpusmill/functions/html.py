@@ -32,7 +32,8 @@ def _drop_balanced(html: Column, name: str) -> Column:
     """Remove an element together with elements of the same name nested in it.
 
     The text is cut before each start or end tag of that name, so the fold runs
-    over a handful of parts; a part is kept only outside of the element.
+    over a handful of parts; a part is kept only outside of the element. The gap
+    in front keeps a tag at the very start from being taken for text.
     """
 
     def fold(parts: Column) -> Column:
@@ -51,7 +52,7 @@ def _drop_balanced(html: Column, name: str) -> Column:
         return F.array_join(F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda st: st["kept"]), "")
 
     return F.when(
-        html.rlike(rf"(?i)<{name}\b"), let(F.split(html, rf"(?i)(?=</?{name}\b)"), fold)
+        html.rlike(rf"(?i)<{name}\b"), let(F.split(F.concat(F.lit(_GAP), html), rf"(?i)(?=</?{name}\b)"), fold)
     ).otherwise(html)
 
 

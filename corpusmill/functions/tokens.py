@@ -56,7 +56,7 @@ def _hashed(term: Column, dims: int) -> Column:
 
 
 def hashing_vector(toks: Column, dims: int) -> Column:
-    """Signed feature hashing to a unit vector (array<float>); null when nothing is left to normalise.
+    """Signed feature hashing to a unit vector (array<float>); all zero when words cancel out or there are none.
 
     md5 keeps the vector reproducible in any engine. Counts are whole numbers,
     so the sums do not depend on their order.
@@ -79,6 +79,6 @@ def hashing_vector(toks: Column, dims: int) -> Column:
 
     def unit(v: Column) -> Column:
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-        return let(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: (x / n).cast("float"))))
+        return let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)).cast("float")))
 
     return let(let(pairs, dense), unit)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.functions.base import strip
 from corpusmill.functions.tokens import hashing_vector, tokens
 from corpusmill.operators.once import with_once
 
@@ -20,7 +21,7 @@ Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 def embed(df: DataFrame, col: str = "chunk_text", dims: int = DEFAULT_DIMS, out: str = "embedding") -> DataFrame:
     """Add a unit vector of hashed words; null for blank text. Row-local, no Python worker."""
-    return with_once(df, out, hashing_vector(tokens(F.col(col)), dims))
+    return with_once(df, out, F.when(F.length(strip(F.col(col))) > 0, hashing_vector(tokens(F.col(col)), dims)))
 
 
 def embed_with(

@@ -47,7 +47,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "incremental_refresh",
     f"""WITH {sql.CHUNKED},\n{sql.vectors('chunked', 'chunk_id', 'chunk_text', 64, 'cv')}
-SELECT document_id, chunk_index, chunk_id, md5(chunk_text) AS chunk_md5, round(embedding[1]::DOUBLE, 6) AS first FROM chunked LEFT JOIN cv USING (chunk_id)""",
+SELECT document_id, chunk_index, chunk_id, md5(chunk_text) AS chunk_md5, coalesce(round(embedding[1]::DOUBLE, 6), 0) AS first FROM chunked LEFT JOIN cv USING (chunk_id)""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Before: German documents had a longer text, Spanish ones did not exist. After the refresh it must equal a full rebuild.

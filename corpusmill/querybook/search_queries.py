@@ -115,8 +115,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "index_rows",
-    f"""WITH {sql.CHUNKED},\n{sql.vectors('chunked', 'chunk_id', 'chunk_text', DIMS, 'cv')}
-SELECT chunk_id, chunk_text, short_title, regulation_title, source_url, page_number, file_name, {DIMS} AS dims FROM chunked JOIN cv USING (chunk_id)""",
+    f"""WITH {sql.CHUNKED}
+SELECT chunk_id, chunk_text, short_title, regulation_title, source_url, page_number, file_name, {DIMS} AS dims FROM chunked""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = index_eligible(to_index_rows(embed(chunks_of_text(spark, sf_dir), dims=DIMS)))

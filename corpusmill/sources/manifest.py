@@ -36,6 +36,7 @@ def corpus_registry(official: DataFrame, web: DataFrame) -> DataFrame:
         celex.alias("document_id"),
         "celex",
         "short_title",
+        F.lit(None).cast("string").alias("title"),
         "category",
         F.lit(OFFICIAL_SOURCE_SYSTEM).alias("source_system"),
         F.concat(F.lit(OFFICIAL_URL), celex).alias("source_url"),
