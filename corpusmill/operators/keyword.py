@@ -46,10 +46,13 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
 
 
-def term_statistics(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Document frequency of each wanted term; the empty term carries chunk count and total length."""
+def term_statistics(postings: DataFrame, vocabulary: DataFrame, small: bool = False) -> DataFrame:
+    """Document frequency of each wanted term; the empty term carries chunk count and total length.
+
+    ``small`` says that the vocabulary was already counted within the broadcast bounds.
+    """
     wanted = vocabulary.select("term").union(vocabulary.sparkSession.range(1).select(F.lit(_TOTALS).alias("term")))
-    wanted, _ = broadcast_if_bounded(wanted)
+    wanted = F.broadcast(wanted) if small else broadcast_if_bounded(wanted)[0]
     return (
         _exploded(postings)
         .join(wanted, "term", "left_semi")
@@ -111,19 +114,21 @@ def _score_batch(shared: tuple, batch: pa.RecordBatch) -> Iterator[tuple[np.ndar
 
 
 def _search_broadcast(terms: DataFrame, postings: DataFrame, k: int, schema: str) -> DataFrame:
-    """Question words on every executor; one pass over the postings."""
-    stats = term_statistics(postings, terms.select("term").distinct())
-    weights = term_weights(terms, stats).toArrow().to_pandas()
-    if weights.empty:
+    """Question words on every executor; one pass over the postings for statistics, one for scores."""
+    words = terms.toArrow().to_pandas()
+    stats = term_statistics(postings, terms.select("term").distinct(), small=True).toArrow().to_pandas().set_index("term")
+    words = words[words["term"].isin(stats.index)]
+    if words.empty:
         return terms.sparkSession.createDataFrame([], schema)
-    names, who = np.unique(weights["question_id"].to_numpy(), return_inverse=True)
-    vocabulary, term = np.unique(weights["term"].to_numpy().astype(str), return_inverse=True)
+    names, who = np.unique(words["question_id"].to_numpy(), return_inverse=True)
+    vocabulary, term = np.unique(words["term"].to_numpy().astype(str), return_inverse=True)
+    n = float(stats.loc[_TOTALS, "df"])
+    df = stats.loc[vocabulary, "df"].to_numpy(dtype=np.float64)
     order = np.argsort(term, kind="stable")
     first = np.searchsorted(term[order], np.arange(len(vocabulary)))
-    last = np.append(first[1:], len(order))
     shared = (
-        pa.array(vocabulary, pa.string()), first, last, who[order], weights["idf"].to_numpy()[order][first],
-        float(weights["avgdl"].iloc[0]), len(names),
+        pa.array(vocabulary, pa.string()), first, np.append(first[1:], len(order)), who[order], np.log(1 + (n - df + 0.5) / (df + 0.5)),
+        float(stats.loc[_TOTALS, "total_dl"]) / n, len(names),
     )
     return scan_best(postings.select("chunk_id", "dl", "terms"), names, shared, _score_batch, k, schema)
 
