@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.operators.keyword import search_keyword
+from corpusmill.operators.keyword import hit_schema, question_terms, question_weights, score_batch, search_keyword
+from corpusmill.operators.scan import scan_pairs, scan_ranked
 from corpusmill.operators.topk import DEFAULT_TOP_K, SCORE_DIGITS, check_k, top_k
 from corpusmill.operators.vector import search_vector
+from corpusmill.session import BROADCAST_MAX_ROWS, is_bounded
 
 RRF_CONSTANT = 60
 # The keyword list is fused to this depth. Published averages of fused scores
 # lie above what two lists of five can give, so it is deeper than k.
 KEYWORD_DEPTH = 1000
+# Up to here neighbouring ranks differ by more than the rounding of the fused score.
+MAX_COUNTED_K = 100
 
 
 def fuse(result_lists: list[DataFrame], k: int, constant: int = RRF_CONSTANT, rank: str = "rank") -> DataFrame:
@@ -25,11 +32,57 @@ def fuse(result_lists: list[DataFrame], k: int, constant: int = RRF_CONSTANT, ra
     return top_k(fused, "question_id", F.col("score"), "chunk_id", k, rank)
 
 
+def _with_keyword_ranks(near: pd.DataFrame, terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """question_id, chunk_id and keyword rank of the k best by words and of every pair in ``near``.
+
+    A chunk that is no near neighbour and not among the k best by words cannot
+    reach the fused k best: k others with a better part are ahead of it. So the
+    deep keyword list is never built; for the neighbours it is enough to count
+    how many chunks rank above them, in the pass that finds the k best.
+    """
+    spark, schema, known = terms.sparkSession, hit_schema(terms, postings), question_weights(terms, postings)
+    if known is None:
+        return spark.createDataFrame([], schema.replace("score double", "rank long"))
+    names, shared = known
+    index = postings.select("chunk_id", "dl", "terms")
+    near = near[near["question_id"].isin(names)]
+    pairs = pd.DataFrame({"q": np.searchsorted(names, near["question_id"].to_numpy()), "chunk_id": near["chunk_id"].to_numpy()})
+    ids = np.full((len(names), k), None, dtype=object)
+    scores = np.full((len(names), k), np.nan)
+    if len(pairs):
+        chosen = spark.createDataFrame(pa.Table.from_pandas(pairs[["chunk_id"]].drop_duplicates(), preserve_index=False))
+        few = index.join(F.broadcast(chosen), "chunk_id", "left_semi")
+        held = scan_pairs(few, names, shared, score_batch, pairs, schema).toArrow().to_pandas()
+        held["q"] = np.searchsorted(names, held["question_id"].to_numpy())
+        held["slot"] = held.groupby("q").cumcount()
+        ids[held["q"], held["slot"]] = held["chunk_id"]
+        scores[held["q"], held["slot"]] = held["score"]
+    seen = scan_ranked(index, names, shared, score_batch, k, ids, scores, schema)
+    merged = seen.groupBy("question_id", "chunk_id").agg(F.max("score").alias("score"), F.sum("above").alias("above"))
+    w = Window.partitionBy("question_id").orderBy(F.col("score").desc_nulls_last(), "chunk_id")
+    place = F.when(F.col("above").isNotNull(), F.col("above") + 1).otherwise(F.row_number().over(w).cast("long"))
+    return merged.withColumn("rank", place).select("question_id", "chunk_id", "rank")
+
+
 def search_hybrid(
-    questions: DataFrame, postings: DataFrame, vectors: DataFrame, k: int = DEFAULT_TOP_K, keyword_depth: int = KEYWORD_DEPTH
+    questions: DataFrame,
+    postings: DataFrame,
+    vectors: DataFrame,
+    k: int = DEFAULT_TOP_K,
+    keyword_depth: int = KEYWORD_DEPTH,
+    max_rows: int = BROADCAST_MAX_ROWS,
 ) -> DataFrame:
     """``questions`` has question_id, question and embedding; postings and vectors share chunk_id."""
     check_k(k)
-    by_words = search_keyword(questions.select("question_id", "question"), postings, max(k, keyword_depth))
+    depth = max(k, keyword_depth)
     by_vector = search_vector(questions.select("question_id", "embedding"), vectors, k)
+    terms = question_terms(questions)
+    if k <= MAX_COUNTED_K and is_bounded(terms, max_rows) and questions.limit(max_rows // k + 1).count() <= max_rows // k:
+        # At most k rows per question, and the questions were counted.
+        near = by_vector.select("question_id", "chunk_id", "rank").toArrow()
+        by_vector = questions.sparkSession.createDataFrame(near)
+        ranks = _with_keyword_ranks(near.to_pandas(), terms, postings, k)
+        by_words = ranks.filter(F.col("rank") <= depth)
+    else:
+        by_words = search_keyword(questions.select("question_id", "question"), postings, depth)
     return fuse([by_words, by_vector], k)

@@ -76,7 +76,7 @@ def term_weights(terms: DataFrame, stats: DataFrame) -> DataFrame:
     return terms.join(stats, "term").select("question_id", "term", idf.alias("idf"), avgdl.alias("avgdl"))
 
 
-def _score_batch(shared: tuple, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def score_batch(shared: tuple, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """BM25 of all questions for the rows of a batch, a slice of rows at a time.
 
     ``shared`` lists, per known term, the questions that use it (``first`` to
@@ -113,13 +113,13 @@ def _score_batch(shared: tuple, batch: pa.RecordBatch) -> Iterator[tuple[np.ndar
         at = end
 
 
-def _search_broadcast(terms: DataFrame, postings: DataFrame, k: int, schema: str) -> DataFrame:
-    """Question words on every executor; one pass over the postings for statistics, one for scores."""
+def question_weights(terms: DataFrame, postings: DataFrame) -> tuple[np.ndarray, tuple] | None:
+    """(question ids, what ``score_batch`` shares), from counted-small question words; None when no word is known."""
     words = terms.toArrow().to_pandas()
     stats = term_statistics(postings, terms.select("term").distinct(), small=True).toArrow().to_pandas().set_index("term")
     words = words[words["term"].isin(stats.index)]
     if words.empty:
-        return terms.sparkSession.createDataFrame([], schema)
+        return None
     names, who = np.unique(words["question_id"].to_numpy(), return_inverse=True)
     vocabulary, term = np.unique(words["term"].to_numpy().astype(str), return_inverse=True)
     n = float(stats.loc[_TOTALS, "df"])
@@ -130,7 +130,20 @@ def _search_broadcast(terms: DataFrame, postings: DataFrame, k: int, schema: str
         pa.array(vocabulary, pa.string()), first, np.append(first[1:], len(order)), who[order], np.log(1 + (n - df + 0.5) / (df + 0.5)),
         float(stats.loc[_TOTALS, "total_dl"]) / n, len(names),
     )
-    return scan_best(postings.select("chunk_id", "dl", "terms"), names, shared, _score_batch, k, schema)
+    return names, shared
+
+
+def hit_schema(questions: DataFrame, postings: DataFrame) -> str:
+    kinds = [(c, df.schema[c].dataType.simpleString()) for df, c in ((questions, "question_id"), (postings, "chunk_id"))]
+    return ", ".join([*(f"{c} {kind}" for c, kind in kinds), "score double"])
+
+
+def _search_broadcast(terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """Question words on every executor; one pass over the postings for statistics, one for scores."""
+    schema, known = hit_schema(terms, postings), question_weights(terms, postings)
+    if known is None:
+        return terms.sparkSession.createDataFrame([], schema)
+    return scan_best(postings.select("chunk_id", "dl", "terms"), *known, score_batch, k, schema)
 
 
 def _search_join(terms: DataFrame, postings: DataFrame, schema_cols: list[str]) -> DataFrame:
@@ -154,9 +167,7 @@ def search_keyword(
     check_k(k)
     terms = question_terms(questions)
     if is_bounded(terms, max_terms):
-        kinds = [f"question_id {terms.schema['question_id'].dataType.simpleString()}"]
-        kinds.append(f"chunk_id {postings.schema['chunk_id'].dataType.simpleString()}")
-        found = _search_broadcast(terms, postings, k, ", ".join([*kinds, "score double"]))
+        found = _search_broadcast(terms, postings, k)
     else:
         found = _search_join(terms, postings, ["question_id", "chunk_id", "score"])
     return top_k(found, "question_id", F.col("score"), "chunk_id", k, rank)

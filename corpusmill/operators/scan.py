@@ -20,6 +20,13 @@ from corpusmill.operators.topk import SCORE_DIGITS
 SCORES_HELD = 2_000_000
 
 
+def settled(scores: np.ndarray) -> np.ndarray:
+    """Rounded scores, -inf where a pair is no hit (NaN)."""
+    scores = np.round(scores, SCORE_DIGITS) + 0.0
+    scores[np.isnan(scores)] = -np.inf
+    return scores
+
+
 class Best:
     """The k best (question, id, score) seen so far; equal scores are settled by id."""
 
@@ -29,9 +36,7 @@ class Best:
         self.found: pd.DataFrame | None = None
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores`` is questions x rows, NaN where a pair is no hit."""
-        scores = np.round(scores, SCORE_DIGITS) + 0.0
-        scores[np.isnan(scores)] = -np.inf
+        """``scores`` is questions x rows, settled."""
         n, k = scores.shape[1], self.k
         floor = self.floor
         if n > k:
@@ -72,12 +77,73 @@ def scan_best(index: DataFrame, names: np.ndarray, shared: object, score: Scorer
         for batch in batches:
             if batch.num_rows:
                 for scores, ids in score(payload, batch):
-                    best.add(scores, ids)
+                    best.add(settled(scores), ids)
         if best.found is not None:
             yield pa.RecordBatch.from_pandas(best.frame(labels), preserve_index=False)
 
     return index.mapInArrow(run, schema)
 
 
+class Better:
+    """Counts, for chosen (question, id) pairs, the rows that rank above them."""
+
+    def __init__(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Both are questions x slots; a slot that is not used has the score NaN."""
+        self.ids = ids
+        self.scores = np.where(np.isnan(scores), np.inf, scores)
+        self.above = np.zeros(scores.shape, dtype=np.int64)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        for slot in range(self.scores.shape[1]):
+            bar = self.scores[:, slot : slot + 1]
+            q, at = np.nonzero(scores == bar)
+            first = q[np.array([a < b for a, b in zip(ids[at], self.ids[q, slot])], dtype=bool)] if len(q) else q
+            self.above[:, slot] += (scores > bar).sum(axis=1) + np.bincount(first, minlength=len(scores))
+
+    def frame(self, names: np.ndarray) -> pd.DataFrame:
+        q, slot = np.nonzero(np.isfinite(self.scores))
+        return pd.DataFrame({"question_id": names[q], "chunk_id": self.ids[q, slot], "above": self.above[q, slot]})
+
+
+def scan_ranked(
+    index: DataFrame, names: np.ndarray, shared: object, score: Scorer, k: int, chosen_ids: np.ndarray, chosen_scores: np.ndarray, schema: str
+) -> DataFrame:
+    """As ``scan_best``, and in the same pass how many rows of the task rank above each chosen pair (column ``above``)."""
+    held = index.sparkSession.sparkContext.broadcast((names, shared, chosen_ids, chosen_scores))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, payload, ids_wanted, scores_wanted = held.value
+        best, better = Best(len(labels), k), Better(ids_wanted, scores_wanted)
+        for batch in batches:
+            if batch.num_rows:
+                for raw, ids in score(payload, batch):
+                    scores = settled(raw)
+                    best.add(scores, ids)
+                    better.add(scores, ids)
+        parts = [f for f in (best.frame(labels).assign(above=None), better.frame(labels).assign(score=None)) if len(f)]
+        for part in parts:
+            part = part[["question_id", "chunk_id", "score", "above"]].astype({"score": "float64", "above": "Int64"})
+            yield pa.RecordBatch.from_pandas(part, preserve_index=False)
+
+    return index.mapInArrow(run, schema + ", above long")
+
+
+def scan_pairs(index: DataFrame, names: np.ndarray, shared: object, score: Scorer, pairs: pd.DataFrame, schema: str) -> DataFrame:
+    """Scores of chosen (q, chunk_id) pairs; q is the position in ``names``."""
+    held = index.sparkSession.sparkContext.broadcast((names, shared, pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, payload, wanted = held.value
+        for batch in batches:
+            if batch.num_rows:
+                for raw, ids in score(payload, batch):
+                    here = wanted.merge(pd.DataFrame({"chunk_id": ids, "at": np.arange(len(ids))}), on="chunk_id")
+                    found = settled(raw)[here["q"].to_numpy(), here["at"].to_numpy()]
+                    out = pd.DataFrame({"question_id": labels[here["q"].to_numpy()], "chunk_id": here["chunk_id"], "score": found})
+                    yield pa.RecordBatch.from_pandas(out[np.isfinite(found)], preserve_index=False)
+
+    return index.mapInArrow(run, schema)
+
+
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_pandas().to_numpy()

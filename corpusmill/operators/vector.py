@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.scan import SCORES_HELD, Best, column, scan_best
+from corpusmill.operators.scan import SCORES_HELD, Best, column, scan_best, settled
 from corpusmill.operators.topk import DEFAULT_TOP_K, SCORE_DIGITS, check_k, top_k
 from corpusmill.session import broadcast_if_bounded
 
@@ -81,7 +81,7 @@ def _search_tiles(questions: DataFrame, index: DataFrame, k: int, metric: str, s
         if len(qs) and len(rows):
             matrix, vectors = (np.stack(df["embedding"]).astype(np.float64) for df in (qs, rows))
             for scores, ids in _slices(matrix, rows["chunk_id"].to_numpy(), vectors, metric):
-                best.add(scores, ids)
+                best.add(settled(scores), ids)
         return best.frame(qs["question_id"].to_numpy())
 
     return left.groupBy("_b", "_t").cogroup(right.groupBy("_b", "_t")).applyInPandas(run, schema)
