@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.once import with_once
 from corpusmill.operators.scan import SCORES_HELD, Best, column, scan_best, settled
 from corpusmill.operators.topk import DEFAULT_TOP_K, SCORE_DIGITS, check_k, top_k
 from corpusmill.session import broadcast_if_bounded
@@ -145,9 +146,8 @@ def search_vector_ann(
     def hashed(df: DataFrame, key: str, vec: str) -> DataFrame:
         out = model.transform(df.withColumn("_v", array_to_vector("embedding")))
         hashes = F.transform(F.col("_h"), lambda h: vector_to_array(h)[0].cast("long"))
-        return out.select(key, F.col("embedding").alias(vec), hashes.alias(f"{vec}_h")).select(
-            key, vec, f"{vec}_h", F.posexplode(f"{vec}_h").alias("_table", "_bucket")
-        )
+        once = with_once(out, f"{vec}_h", hashes).select(key, F.col("embedding").alias(vec), f"{vec}_h")
+        return once.select("*", F.posexplode(f"{vec}_h").alias("_table", "_bucket"))
 
     asked, stored = hashed(qs, "question_id", "_qv"), hashed(rows, "chunk_id", "_cv")
     keys = ["_table", "_bucket"]
