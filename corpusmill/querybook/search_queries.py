@@ -15,7 +15,7 @@ from corpusmill.operators.keyword import search_keyword
 from corpusmill.operators.vector import recall_at_k, search_vector, search_vector_ann
 from corpusmill.querybook import sql
 from corpusmill.querybook.frames import asked, chunks_of_text, pages_of_text, stored_chunks, stored_postings
-from corpusmill.querybook.registry import query, table
+from corpusmill.querybook.registry import query, spread, table
 from corpusmill.sources.index_sink import publish_index
 
 DIMS = 64
@@ -33,7 +33,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{sql.ASKED},\n{sql.keyword(5, chunks='docs')} {_HITS.format('kw_hits')}",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return search_keyword(asked(spark, sf_dir), stored_postings(docs, "doc_id", ("text",)), 5)
 
 
