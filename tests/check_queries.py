@@ -9,7 +9,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from oracle import compare, connect  # noqa: E402
+from oracle import compare, connect, type_differences  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 from corpusmill.session import get_session  # noqa: E402
@@ -28,8 +28,9 @@ def main() -> int:
         start = time.time()
         try:
             if name in oracles:
-                problem = compare(fn(spark, sf_dir), con, oracles[name])
-                note = "ok" if problem is None else f"DIFF {problem}"
+                df = fn(spark, sf_dir)
+                problem, types = compare(df, con, oracles[name]), type_differences(df, con, oracles[name])
+                note = f"ok {'; '.join(types)}" if problem is None else f"DIFF {problem}"
             else:
                 note = f"rows only: {fn(spark, sf_dir).count()}"
         except Exception as error:  # noqa: BLE001

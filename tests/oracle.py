@@ -40,6 +40,17 @@ def _rows(names: list[str], rows: list) -> list[str]:
     return sorted(repr([_plain(r[i]) for i in order]) for r in rows)
 
 
+_SQL_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "float": "FLOAT"}
+
+
+def type_differences(df, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
+    """Columns whose types are not the same on both sides."""
+    rel = con.sql(sql)
+    theirs = dict(zip(rel.columns, map(str, rel.types)))
+    ours = {f.name: _SQL_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    return [f"{c} {ours[c]} / {theirs[c]}" for c in ours if c in theirs and ours[c] != theirs[c] and theirs[c] != '"NULL"']
+
+
 def compare(df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     """None when both agree, else a short description of the difference."""
     rel = con.sql(sql)
