@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators.once import with_once
 from corpusmill.operators.scan import SCORES_HELD, Best, column, scan_best, settled
 from corpusmill.operators.topk import DEFAULT_TOP_K, SCORE_DIGITS, check_k, top_k
-from corpusmill.session import broadcast_if_bounded
+from corpusmill.session import broadcast_if_bounded, is_bounded
 
 QUESTION_BLOCK = 4096
 INDEX_TILE = 20_000
@@ -108,7 +108,7 @@ def search_vector(
     qs, rows = _with_vector(questions, "question_id", "question_id"), _with_vector(index, id_col, "chunk_id")
     kinds = {f.name: f.dataType.simpleString() for f in [*qs.schema.fields, *rows.schema.fields]}
     schema = f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, score double"
-    if qs.limit(question_block + 1).count() <= question_block:
+    if is_bounded(qs, question_block):
         found = _search_broadcast(qs, rows, k, metric, schema)
     else:
         found = _search_tiles(qs, rows, k, metric, schema, question_block, index_tile)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators.chunk import chunk_pages
 from corpusmill.operators.embed import DEFAULT_DIMS, embed
 from corpusmill.operators.extract import attach_content, extract_text, split_quarantine
-from corpusmill.operators.index import dedupe, index_eligible, to_index_rows
+from corpusmill.operators.index import SEARCHABLE, dedupe, index_eligible, to_index_rows
 from corpusmill.operators.keyword import build_postings
 from corpusmill.operators.manifest import changes_detected, normalize_manifest, successful
 from corpusmill.sources.files import read_raw_files
@@ -31,12 +31,16 @@ def refresh(changed_pages: DataFrame, changed_ids: DataFrame, chunks: DataFrame,
 
 @dataclass(frozen=True)
 class RunConfig:
-    """Where one run reads and writes."""
+    """Where one run reads and writes.
+
+    ``buckets`` lays the index rows out by chunk id, so that an upsert needs no
+    shuffle of them; choose it so that one bucket fits a task.
+    """
 
     raw_root: str
     database: str = "default"
     dims: int = DEFAULT_DIMS
-    buckets: int = 64
+    buckets: int | None = None
     fmt: str = "parquet"
 
     def table(self, name: str) -> str:
@@ -62,10 +66,9 @@ def run_corpus(spark: SparkSession, manifest: DataFrame, cfg: RunConfig) -> dict
     done["gold_embeddings"] = write_layer(embed(chunks, dims=cfg.dims), cfg.table("gold_embeddings"), fmt=cfg.fmt)
     gold = read_layer(spark, cfg.table("gold_embeddings"))
     rows = dedupe(index_eligible(to_index_rows(gold)), "chunk_id", [F.col("file_name"), F.col("chunk_text")])
-    done["index_chunks"] = write_layer(rows, cfg.table("index_chunks"), fmt=cfg.fmt)
+    by_id = {"bucket_by": "chunk_id", "buckets": cfg.buckets} if cfg.buckets else {}
+    done["index_chunks"] = write_layer(rows, cfg.table("index_chunks"), fmt=cfg.fmt, **by_id)
     index = read_layer(spark, cfg.table("index_chunks"))
-    done["index_postings"] = write_layer(
-        build_postings(index, text_cols=("chunk_text", "regulation_title")),
-        cfg.table("index_postings"), fmt=cfg.fmt, bucket_by="chunk_id", buckets=cfg.buckets,
-    )
+    postings = build_postings(index, text_cols=SEARCHABLE)
+    done["index_postings"] = write_layer(postings, cfg.table("index_postings"), fmt=cfg.fmt)
     return done

@@ -36,9 +36,12 @@ def write_layer(
     """Replace the table, schema included, and return the number of rows written; zero rows are an error.
 
     The guard runs on the count taken during the write, so nothing is computed
-    twice. ``bucket_by`` lays the rows out for later joins on that column.
+    twice. ``bucket_by`` lays the rows out for later joins on that column, one
+    file per bucket.
     """
     out, seen = with_metrics(with_audit(df, layer) if layer else df, name)
+    if bucket_by:
+        out = out.repartition(buckets, bucket_by)
     writer = out.write.format(fmt).mode("overwrite").option("overwriteSchema", "true")
     if path:
         writer = writer.option("path", path)
