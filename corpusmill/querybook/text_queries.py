@@ -165,7 +165,8 @@ def _html_sql() -> str:
     )
     text = r"regexp_replace(c, '(?:<[a-zA-Z/!?][^>]*>)+', chr(10), 'g')"
     for ref, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = f"replace({text}, '{ref}', '{char}')"
+        # The semicolon may be missing, as in HTML.
+        text = rf"regexp_replace({text}, '{ref[:-1]}(?:;|([^a-zA-Z0-9;])|$)', '{char}\1', 'g')"
     return (
         f"SELECT page_id, url, 1 AS section_number, {sql.clean('t')} AS text FROM (SELECT page_id, url, {text} AS t FROM "
         f"(SELECT page_id, url, {root} AS c FROM (SELECT page_id, url, {html} AS h FROM pages))) WHERE {sql.clean('t')} <> ''"
