@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import simhash
+from corpusmill.llm import mixing, packing, simhash, spans
 from corpusmill.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_file() -> str:
+    """The public byte-level vocabulary, where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -29,3 +36,53 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near duplicates of every document."""
     found = simhash.classes(read(spark, sf_dir, "documents"), simhash.CONTRACT)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("w")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query(
+    "op3_mix_sources",
+    r"""
+    WITH docs AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+    ),
+    sources AS (
+        SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+        FROM docs GROUP BY source
+    ),
+    ordered AS (
+        SELECT *, 3 * source_size AS cap,
+               coalesce(sum(3 * source_size) OVER w, 0)::BIGINT AS cap_before, coalesce(sum(weight) OVER w, 0)::BIGINT AS weight_before,
+               (sum(source_size) OVER ())::BIGINT AS total, (sum(weight) OVER ())::BIGINT AS weights
+        FROM sources WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ),
+    level AS (
+        SELECT max((total - cap_before) / (weights - weight_before)) AS level FROM ordered
+        WHERE (total - cap_before) / (weights - weight_before) <= cap / weight
+    ),
+    targets AS (SELECT source, source_size, least(level * weight, cap::DOUBLE) AS target FROM ordered, level),
+    placed AS (
+        SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
+               coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('17:' || d.doc_id), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+        FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+    )
+    SELECT doc_id, size, source_size, target,
+           CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) END::BIGINT AS taken
+    FROM placed
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    found = mixing.mixed(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one holds, and the ranges that were cut."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return spans.without_repeats(docs, spans="removed")
+
+
+@query("op8_best_fit_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the pieces of every document lie in sequences of 2048 tokens."""
+    return packing.packed(read(spark, sf_dir, "documents"), tokenizer_file()).drop("tk")
