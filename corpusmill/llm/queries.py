@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import mixing, packing, simhash, spans
+from corpusmill.llm import digest, mixing, packing, simhash, spans, warc
 from corpusmill.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the pieces of every document lie in sequences of 2048 tokens."""
     return packing.packed(read(spark, sf_dir, "documents"), tokenizer_file()).drop("tk")
+
+
+@query("op9_improbable_digest")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every document, and how like it is to its half edited text and to the next document."""
+    return digest.fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op10_warc_splits",
+    """
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+    ),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+    FROM f
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from the archives."""
+    found = warc.round_trip(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
