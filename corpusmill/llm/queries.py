@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import digest, mixing, packing, simhash, spans, warc
+from corpusmill.llm import digest, langid, mixing, packing, simhash, spans, warc
 from corpusmill.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it is read back from the archives."""
     found = warc.round_trip(read(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_language_models")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, told from its text."""
+    docs = read(spark, sf_dir, "documents")
+    found = langid.predictions(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

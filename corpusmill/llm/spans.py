@@ -159,7 +159,7 @@ def without_repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WO
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     from pyspark.sql.types import ArrayType, LongType, StructType
 
-    schema = StructType(docs.schema.fields)
+    schema = StructType(list(docs.schema.fields))
     if spans:
         schema = schema.add(spans, ArrayType(StructType().add("start", LongType()).add("end", LongType())))
 
