@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import digest, langid, mixing, packing, simhash, spans, warc
+from corpusmill.llm import cascade, digest, langid, mixing, packing, simhash, spans, warc
 from corpusmill.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,36 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = langid.predictions(docs.select("doc_id", "text"), langid.fit(docs))
     return found.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+#: Verdict, host and path of the rules of op5.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+@query(
+    "op5_bloom_cascade",
+    r"""
+    WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+    c AS (
+        SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+        FROM b
+    ),
+    rules(v, h, p) AS (
+        VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+    ),
+    best AS (
+        SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+        FROM c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+    ),
+    listed AS (SELECT DISTINCT regexp_extract(host, '(?:^|\.)([^.]*(?:cheap|casino|pills|loans)[^.]*\..*)$', 1) AS host FROM c)
+    SELECT c.page_id, c.host, c.path, best.rule,
+           coalesce(best.v, CASE WHEN EXISTS (SELECT 1 FROM listed l WHERE l.host <> '' AND (c.host = l.host OR ends_with(c.host, '.' || l.host))) THEN 'block' ELSE 'allow' END) AS verdict
+    FROM c LEFT JOIN best USING (page_id)
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the url of every page."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return cascade.judged(pages, URL_RULES, cascade.spam_domains(pages)).drop("url")
