@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import cascade, digest, langid, mixing, packing, simhash, spans, warc
+from corpusmill.llm import cascade, digest, langid, mixing, multi_index, packing, simhash, spans, warc
 from corpusmill.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on the url of every page."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return cascade.judged(pages, URL_RULES, cascade.spam_domains(pages)).drop("url")
+
+
+@query("op7_inverted_multi_index")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return multi_index.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
