@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusmill.llm.common import col, fresh, running_totals, same, text_key
 from corpusmill.session import materialize
@@ -74,23 +75,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
     Documents without a word stay once: they take nothing from a budget.
     n_chars, where present, follows the cut text. Other columns stay.
     """
-    key, text, size, taken, copy = (fresh(docs, n) for n in ("_k_id", "_k_text", "_k_size", "_k_taken", "_k_copy"))
-    # wholly repeated rows are handed out one decision each, in any order: they can't be told apart
-    no = fresh(docs, "_k_no")
-    from pyspark.sql.window import Window
-
-    plan = mixed(docs, weights, most, seed)
-    plan = plan.select(
-        F.col("doc_id").alias(f"{key}p"), F.col("tk").alias(f"{text}p"), F.col("size").alias(size), F.col("taken").alias(taken), F.col("source").alias(f"{copy}p"),
-        F.row_number().over(Window.partitionBy("doc_id", "tk", "source").orderBy(F.col("taken").desc())).alias(f"{no}p"),
+    key, text, source, copy, no = (fresh(docs, n) for n in ("_k_id", "_k_text", "_k_source", "_k_copy", "_k_no"))
+    # wholly repeated rows can't be told apart: together they have at most three different decisions, handed out in any order
+    plan = mixed(docs, weights, most, seed).groupBy("doc_id", "tk", "source", "size", "taken").agg(F.count(F.lit(1)).alias("n"))
+    plan = plan.groupBy("doc_id", "tk", "source", "size").agg(F.sort_array(F.collect_list(F.struct("taken", "n")), asc=False).alias("_decided"))
+    plan = plan.select(F.col("doc_id").alias("_p_id"), F.col("tk").alias("_p_tk"), F.col("source").alias("_p_source"), F.col("size").alias("_p_size"), "_decided")
+    plan = plan.select(F.struct("*").alias(fresh(docs, "_plan")))
+    p = F.col(fresh(docs, "_plan"))
+    rows = docs.select("*", col("doc_id").cast("long").alias(key), text_key(col("text")).alias(text), col("source").cast("string").alias(source))
+    joined = rows.join(plan, same(F.col(key), p["_p_id"]) & same(F.col(text), p["_p_tk"]) & same(F.col(source), p["_p_source"]))
+    joined = joined.withColumn(no, F.row_number().over(Window.partitionBy(key, text, source).orderBy(key)))
+    none = F.lit(None).cast("long")
+    pick = F.aggregate(
+        p["_decided"],
+        F.struct(F.lit(0).cast("long").alias("seen"), none.alias("taken")),
+        lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.coalesce(a["taken"], F.when(a["seen"] + x["n"] >= F.col(no), x["taken"])).alias("taken")),
+        lambda a: a["taken"],
     )
-    rows = docs.select("*", col("doc_id").cast("long").alias(key), text_key(col("text")).alias(text))
-    rows = rows.withColumn(no, F.row_number().over(Window.partitionBy(key, text, col("source").cast("string")).orderBy(key)))
-    on = same(F.col(key), F.col(f"{key}p")) & same(F.col(text), F.col(f"{text}p")) & same(col("source").cast("string"), F.col(f"{copy}p")) & (F.col(no) == F.col(f"{no}p"))
-    whole = F.when(F.col(size) > 0, F.floor(F.col(taken) / F.col(size))).otherwise(1).cast("int")
-    rest = F.when(F.col(size) > 0, F.col(taken) % F.col(size)).otherwise(0).cast("int")
+    size = p["_p_size"]
+    whole = F.when(size > 0, F.floor(pick / size)).otherwise(1).cast("int")
+    rest = F.when(size > 0, pick % size).otherwise(0).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    out = rows.join(plan, on).withColumn(copy, F.explode(copies))
+    out = joined.withColumn(copy, F.explode(copies))
     words = F.regexp_extract_all(col("text"), F.lit(rf"[\x20\x09-\x0D]*{_WORD}"), F.lit(0))
     cut = F.when(F.col(copy) < 0, col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest(F.col(copy), F.lit(1))), ""))
     out = out.withColumn("text", cut)

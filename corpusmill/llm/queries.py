@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import cascade, digest, langid, mixing, multi_index, packing, simhash, spans, warc
+from corpusmill.llm import cascade, digest, langid, mixing, multi_index, packing, quotes, simhash, spans, warc
 from corpusmill.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,35 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every vector whose id is divisible by 20."""
     vectors = read(spark, sf_dir, "embeddings")
     return multi_index.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@query(
+    "op1_quotation_links",
+    r"""
+    WITH RECURSIVE m AS (
+        SELECT DISTINCT conv_id, turn, conv_id || ':' || turn AS id, coalesce(text, '') AS text,
+               trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS said FROM conversations
+    ),
+    origin AS (SELECT conv_id, said, min(turn) AS turn FROM m WHERE said <> '' GROUP BY conv_id, said),
+    tree AS (
+        SELECT m.*, o.turn AS up, (o.turn IS NOT NULL)::BIGINT + (o2.turn IS NOT NULL)::BIGINT AS linked
+        FROM m
+        LEFT JOIN m p ON p.conv_id = m.conv_id AND p.turn = m.turn - 1
+        LEFT JOIN origin o ON o.conv_id = m.conv_id AND o.said = p.said
+        LEFT JOIN m p2 ON p2.conv_id = p.conv_id AND p2.turn = m.turn - 2
+        LEFT JOIN origin o2 ON o2.conv_id = m.conv_id AND o2.said = p2.said
+    ),
+    walk AS (
+        SELECT conv_id, turn, turn AS root, 0::BIGINT AS depth FROM tree WHERE up IS NULL
+        UNION ALL
+        SELECT t.conv_id, t.turn, w.root, w.depth + 1 FROM tree t JOIN walk w ON t.conv_id = w.conv_id AND t.up = w.turn
+    )
+    SELECT t.id AS message_id, t.conv_id::VARCHAR AS thread, t.turn AS sent, regexp_replace(t.text, '^\s+|\s+$', '', 'g') AS text,
+           t.conv_id || ':' || t.up AS parent_id, t.linked, t.conv_id || ':' || w.root AS root_id, w.depth,
+           row_number() OVER (PARTITION BY t.conv_id, w.root ORDER BY t.turn, t.id) AS position
+    FROM tree t JOIN walk w ON t.conv_id = w.conv_id AND t.turn = w.turn
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as mail that quotes the turns before it: linked to what it quotes and put in reply order."""
+    return quotes.linked(quotes.quoting(read(spark, sf_dir, "conversations")))
