@@ -6,20 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import simhash
+from corpusmill.llm import langid, mixing, packing, simhash, spans
+from corpusmill.llm.queries import tokenizer_file
 from corpusmill.session import materialize
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go."""
+    return langid.accepted(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return simhash.keep_one(docs)
 
 
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut out."""
+    return spans.without_repeats(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; documents repeat where a source is read more than once."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the sequences."""
+    return packing.packed(docs, tokenizer_file()).drop("tk")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
     ("near_duplicates", near_duplicates),
+    ("passages", passages),
+    ("mix", mix),
+    ("pack", pack),
 ]
 
-#: The stages hash and tokenize in tasks, which SQL can't express; tests hold them against brute force.
+#: Language models, fingerprints and tokens are worked out in tasks, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
