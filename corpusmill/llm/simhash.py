@@ -291,15 +291,20 @@ def large_block(prints: np.ndarray, radius: int, order: np.ndarray) -> list[tupl
             return stored[bit][slots % words] ^ mask[bit][slots // words]
 
         hits = near(diff, order, radius, words * len(take)).reshape(len(take), words)
+        finder = np.full(len(unseen), -1)  # the query that found a row of this turn first
         for q in range(len(take)):
             lanes = _lanes(hits[q])
             lanes = lanes[lanes < len(unseen)]
             lanes = lanes[alive[lanes]]
-            if len(lanes):
-                alive[lanes] = False
-                rows = unseen[lanes].tolist()
-                out += [(take[q], r) for r in rows]
-                found += rows
+            fresh_rows = lanes[finder[lanes] < 0]
+            shared = lanes[finder[lanes] >= 0]
+            # queries that find the same row are joined by it: one row for each pair of queries is enough
+            shared = shared[np.unique(finder[shared], return_index=True)[1]]
+            finder[fresh_rows] = q
+            out += [(take[q], r) for r in unseen[np.concatenate([fresh_rows, shared])].tolist()]
+        new = np.flatnonzero(finder >= 0)
+        alive[new] = False
+        found += unseen[new].tolist()
     return out
 
 
