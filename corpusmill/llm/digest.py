@@ -220,7 +220,7 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     sent = rows.withColumn("part", part).withColumn(
         "x", F.explode(F.filter(F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("extra")), F.struct(halo.alias("p"), F.lit(1).alias("extra"))), lambda s: s["p"].isNotNull()))
     ).select("doc_id", "text", "x.p", "x.extra")
-    dealt = sent.repartition(n, "p").sortWithinPartitions("p", "extra", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = sent.repartitionById(n, "p").sortWithinPartitions("p", "extra", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
