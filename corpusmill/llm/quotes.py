@@ -25,33 +25,35 @@ def _hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def passages(text: Column) -> Column:
-    """Runs of consecutive lines of one quote level: an array of (level, lines). Lines that announce a quotation are left out.
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is worked out once: an expression inside a lambda would be worked out for each element."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
-    Works on arrays by position, so the time is linear in the length of a text.
+
+def _parse(rows: DataFrame) -> DataFrame:
+    """Adds own (text without quotations) and runs: (level, lines) of consecutive lines of one quote level.
+
+    Lines that announce a quotation are left out. Works on arrays by position, so the time is linear in the length of a text.
     """
-    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r")
+    lines = F.split(F.coalesce(F.col("text"), F.lit("")), r"\r\n|\n|\r")
     parsed = F.transform(lines, lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, _MARKS, 0), "[^>]", "")).alias("level"), F.regexp_replace(x, _MARKS + " ?", "").alias("line")))
-    n = F.size(parsed)
-    spoken = F.transform(parsed, lambda x, i: (i + 1 < n) & (F.get(parsed, i + 1)["level"] > x["level"]) & F.rlike(x["line"], F.lit(_SAID)))
-    return F.struct(parsed.alias("parsed"), spoken.alias("spoken"))
+    once = _once(rows, "parsed", parsed)
+    p = F.col("parsed")
 
+    def announces(x: Column, i: Column) -> Column:
+        return F.coalesce(F.get(p, i + 1)["level"] > x["level"], F.lit(False)) & F.rlike(x["line"], F.lit(_SAID))
 
-def _parse(rows: DataFrame) -> DataFrame:
-    """Adds own (text without quotations) and runs: (level, lines) of each passage."""
-    once = rows.withColumn("p", F.explode(F.array(passages(F.col("text")))))
-    kept = F.filter(F.transform(F.col("p.parsed"), lambda x, i: F.struct(x["level"].alias("level"), x["line"].alias("line"), F.get(F.col("p.spoken"), i).alias("spoken"))), lambda x: ~x["spoken"])
-    once = once.withColumn("kept", F.explode(F.array(kept))).drop("p")
+    once = _once(once, "kept", F.filter(p, lambda x, i: ~announces(x, i))).drop("parsed")
     k = F.col("kept")
     starts = F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: (i == 0) | (F.get(k, i)["level"] != F.get(k, i - 1)["level"]))
-    once = once.withColumn("starts", F.explode(F.array(F.when(F.size(k) > 0, starts).otherwise(F.array().cast("array<int>")))))
+    once = _once(once, "starts", F.when(F.size(k) > 0, starts).otherwise(F.array().cast("array<int>")))
     s = F.col("starts")
     runs = F.transform(
         s,
         lambda b, i: F.struct(F.get(k, b)["level"].alias("level"), F.transform(F.slice(k, b + 1, F.coalesce(F.get(s, i + 1), F.size(k)) - b), lambda x: x["line"]).alias("lines")),
     )
     own = F.regexp_replace(F.array_join(F.transform(F.filter(k, lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
-    return once.withColumn("runs", F.explode(F.array(runs))).withColumn("own", own).drop("kept", "starts", "text")
+    return _once(once, "runs", runs).withColumn("own", own).drop("kept", "starts", "text")
 
 
 def _units(runs: Column, quoted: bool) -> Column:
