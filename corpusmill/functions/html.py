@@ -18,7 +18,6 @@ CONTENT_DIV_ID = "block-eba-theme-content"
 
 _COMMENT = r"(?s)<!--.*?-->"
 _TAG = r"""<[a-zA-Z/!?](?:[^'">]++|"[^"]*+"|'[^']*+')*+>|<[a-zA-Z/!?][^>]*>"""
-_TAG_RUN = rf"(?:{_TAG})+"
 # Stands for a removed element: it still separates the texts around it.
 _GAP = "<gap>"
 
@@ -119,7 +118,7 @@ def unescape(col: Column) -> Column:
 
 def text_nodes(html: Column) -> Column:
     """Texts between tags, one per line; a node of blanks only shrinks to one blank or newline."""
-    nodes = F.filter(F.split(html, _TAG_RUN), lambda t: t != "")
+    nodes = F.filter(F.split(html, _TAG), lambda t: t != "")
     ascii_blank = F.lit("\t\n\x0b\x0c\r ")
     shrunk = F.transform(
         nodes,

@@ -15,9 +15,8 @@ from corpusmill.operators.vector import search_vector
 from corpusmill.session import BROADCAST_MAX_ROWS, is_bounded
 
 RRF_CONSTANT = 60
-# The keyword list is fused to this depth. Published averages of fused scores
-# lie above what two lists of five can give, so it is deeper than k.
-KEYWORD_DEPTH = 1000
+# The whole keyword list is fused: published averages of fused scores lie above what two lists of five can give.
+_WHOLE_LIST = 2**31 - 1
 # Up to here neighbouring ranks differ by more than the rounding of the fused score.
 MAX_COUNTED_K = 100
 
@@ -69,20 +68,17 @@ def search_hybrid(
     postings: DataFrame,
     vectors: DataFrame,
     k: int = DEFAULT_TOP_K,
-    keyword_depth: int = KEYWORD_DEPTH,
     max_rows: int = BROADCAST_MAX_ROWS,
 ) -> DataFrame:
     """``questions`` has question_id, question and embedding; postings and vectors share chunk_id."""
     check_k(k)
-    depth = max(k, keyword_depth)
     by_vector = search_vector(questions.select("question_id", "embedding"), vectors, k)
     terms = question_terms(questions)
     if k <= MAX_COUNTED_K and is_bounded(terms, max_rows) and questions.limit(max_rows // k + 1).count() <= max_rows // k:
         # At most k rows per question, and the questions were counted.
         near = by_vector.select("question_id", "chunk_id", "rank").toArrow()
         by_vector = questions.sparkSession.createDataFrame(near)
-        ranks = _with_keyword_ranks(near.to_pandas(), terms, postings, k)
-        by_words = ranks.filter(F.col("rank") <= depth)
+        by_words = _with_keyword_ranks(near.to_pandas(), terms, postings, k)
     else:
-        by_words = search_keyword(questions.select("question_id", "question"), postings, depth)
+        by_words = search_keyword(questions.select("question_id", "question"), postings, _WHOLE_LIST, max_terms=0)
     return fuse([by_words, by_vector], k)

@@ -69,6 +69,10 @@ def raw_path(file_format: Column, file_name: Column, root: str) -> Column:
     return F.concat(folder, blank_to_null(file_name))
 
 
+# Fixed value: how a downloaded record was acquired.
+ACQUIRED_BY = "automatic_download"
+
+
 def raw_path_error(file_format: Column, file_name: Column) -> Column:
     return F.when(blank_to_null(file_name).isNull(), F.lit("Missing file_name")).when(
         ~F.coalesce(file_format.isin(*RAW_FOLDERS), F.lit(False)),
@@ -76,6 +80,12 @@ def raw_path_error(file_format: Column, file_name: Column) -> Column:
     )
 
 
+def _latest_first(previous: DataFrame, marker: str) -> list[Column]:
+    """Order of a document's records: the latest first, then whatever else tells records of the same time apart."""
+    first = [F.col("downloaded_at_utc").desc_nulls_last()]
+    return first + [F.col(c).desc_nulls_last() for c in ("ingestion_status", marker, "file_name", "error") if c in previous.columns]
+
+
 def detect_changes(current: DataFrame, previous: DataFrame, marker: str = "cellar_last_modified", need_downloaded: bool = True) -> DataFrame:
     """Manifest rows of this run with ``changed``.
 
@@ -87,7 +97,7 @@ def detect_changes(current: DataFrame, previous: DataFrame, marker: str = "cella
     ``need_downloaded=False`` is the rule for web documents: the marker alone.
     """
     wide = [c for c in MANIFEST.names if c != "document_id"]
-    latest = dedupe(previous, "document_id", [F.col("downloaded_at_utc").desc_nulls_last()])
+    latest = dedupe(previous, "document_id", _latest_first(previous, marker))
     kinds = {f.name: f.dataType for f in MANIFEST.fields}
     old = latest.select(
         "document_id",
@@ -102,7 +112,7 @@ def detect_changes(current: DataFrame, previous: DataFrame, marker: str = "cella
     fresh = {
         "downloaded_at_utc": utc_text(),
         "ingestion_status": F.when(failed, FAILED).otherwise(DOWNLOADED),
-        "acquisition_method": F.when(~failed, "automatic_download"),
+        "acquisition_method": F.when(~failed, ACQUIRED_BY),
         "language": F.when(~failed, DEFAULT_LANGUAGE),
         "file_name": F.when(~failed, F.col("file_name")),
         marker: F.when(~failed, F.col(marker)),

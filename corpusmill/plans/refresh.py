@@ -51,6 +51,7 @@ def run_corpus(spark: SparkSession, manifest: DataFrame, cfg: RunConfig) -> dict
     """All layers from a manifest with ``changed``; nothing is done when nothing changed.
 
     Each layer is one lazy plan that ends in its table; the next one reads the table.
+    Documents without usable content go to ``bronze_quarantine`` with the reason.
     """
     if not changes_detected(manifest).first()["changes_detected"]:
         return {}
@@ -58,7 +59,8 @@ def run_corpus(spark: SparkSession, manifest: DataFrame, cfg: RunConfig) -> dict
     documents = normalize_manifest(manifest)
     done["bronze_documents"] = write_layer(documents, cfg.table("bronze_documents"), "bronze", cfg.fmt)
     landed = attach_content(successful(documents), read_raw_files(spark, cfg.raw_root), cfg.raw_root)
-    good, _ = split_quarantine(landed)
+    good, bad = split_quarantine(landed)
+    done["bronze_quarantine"] = write_layer(bad.drop("content"), cfg.table("bronze_quarantine"), "bronze", cfg.fmt, allow_empty=True)
     done["bronze_pages"] = write_layer(extract_text(good), cfg.table("bronze_pages"), "bronze", cfg.fmt)
     pages = read_layer(spark, cfg.table("bronze_pages"))
     done["silver_chunks"] = write_layer(chunk_pages(pages), cfg.table("silver_chunks"), "silver", cfg.fmt)

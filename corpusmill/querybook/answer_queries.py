@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.pii import redact_pii
+from corpusmill.functions.pii import PII_ORDERS, PII_REPLACEMENTS, redact_pii
 from corpusmill.functions.tokens import tokens
 from corpusmill.operators.answers import (
     ANSWER_INSTRUCTIONS, JUDGE_INSTRUCTIONS, NOTHING_FOUND, answer_frame, attach_index_fields, build_context, build_judge_requests,
@@ -62,23 +62,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _redact_sql(expr: str) -> str:
-    for kind, mark in (("email", "EMAIL"), ("phone", "PHONE"), ("iban", "IBAN"), ("credit_card", "CARD")):
-        expr = f"regexp_replace({expr}, '{_PII_SQL[kind]}', '[{mark}_REDACTED]', 'g')"
+    for kind in PII_ORDERS["compat"]:
+        expr = f"regexp_replace({expr}, '{_PII_SQL[kind]}', '{PII_REPLACEMENTS[kind]}', 'g')"
     return expr
 
 
 @query(
     "ask_redacted_turns",
     f"""WITH {sql.CHUNKED},
-asked AS (SELECT conv_id * 1000 + turn AS question_id, {_redact_sql('text')} AS question FROM conversations WHERE role = 'user' AND length(text) >= 3),
+asked AS (SELECT conv_id || ':' || turn AS question_id, {_redact_sql('text')} AS question FROM conversations WHERE role = 'user' AND length(text) >= 3),
 {sql.vectors('chunked', 'chunk_id', 'chunk_text', DIMS, 'cv')},
 {sql.vectors('asked', 'question_id', 'question', DIMS, 'qv')},
-{sql.keyword(1000)},\n{sql.nearest(5, 'qv', 'cv')},\n{sql.fused(5, ('kw_hits', 'vec_hits'))} {_flat_sql('fused_hits')}""",
+{sql.keyword(None)},\n{sql.nearest(5, 'qv', 'cv')},\n{sql.fused(5, ('kw_hits', 'vec_hits'))} {_flat_sql('fused_hits')}""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The whole way of a question: check, redact, vectorise, retrieve, list sources.
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question")
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), F.col("text").alias("question")
     )
     valid, _rejected = validate_questions(turns)
     questions = redact_pii(valid, "question").select("question_id", F.col("redacted_text").alias("question"))
@@ -196,11 +196,11 @@ _PAIRS = """pairs AS (SELECT u.conv_id, u.turn, u.text AS asked_text, a.text AS
 
 
 def _keywords(col: Column) -> Column:
-    return F.slice(F.filter(tokens(col), lambda w: F.length(w) >= 3), 1, 4)
+    return F.array_sort(F.array_distinct(F.filter(tokens(col), lambda w: F.length(w) >= 3)))
 
 
 def _keywords_sql(expr: str) -> str:
-    return f"list_filter({sql.tokens(expr)}, lambda w: length(w) >= 3)[1:4]"
+    return f"list_sort(list_distinct(list_filter({sql.tokens(expr)}, lambda w: length(w) >= 3)))"
 
 
 @query(

@@ -15,7 +15,7 @@ from corpusmill.plans.refresh import refresh
 from corpusmill.querybook import sql
 from corpusmill.querybook.answer_queries import _LABEL_RESULTS, _SUMMARY, _label_results
 from corpusmill.querybook.frames import pages_of_text
-from corpusmill.querybook.registry import query, table
+from corpusmill.querybook.registry import query, table, vector_cells
 from corpusmill.session import materialize, scratch_path
 from corpusmill.sources.evaluation import read_questions, write_evaluation
 from corpusmill.sources.layers import read_layer, with_metrics, write_layer
@@ -47,7 +47,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "incremental_refresh",
     f"""WITH {sql.CHUNKED},\n{sql.vectors('chunked', 'chunk_id', 'chunk_text', 64, 'cv')}
-SELECT document_id, chunk_index, chunk_id, md5(chunk_text) AS chunk_md5, coalesce(round(embedding[1]::DOUBLE, 6), 0) AS first FROM chunked LEFT JOIN cv USING (chunk_id)""",
+SELECT document_id, chunk_index, chunk_id, md5(chunk_text) AS chunk_md5, {sql.cells('embedding')} AS cells FROM chunked LEFT JOIN cv USING (chunk_id)""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Before: German documents had a longer text, Spanish ones did not exist. After the refresh it must equal a full rebuild.
@@ -57,7 +57,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = pages.filter("language IN ('de', 'es')").select("document_id")
     out = refresh(pages, changed, before)
     return out.select(
-        "document_id", "chunk_index", "chunk_id", F.md5("chunk_text").alias("chunk_md5"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first")
+        "document_id", "chunk_index", "chunk_id", F.md5("chunk_text").alias("chunk_md5"), vector_cells(F.col("embedding")).alias("cells")
     )
 
 
@@ -67,7 +67,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "documents").schema
-    arriving = document_stream(spark, sf_dir, schema, glob="documents.parquet").select(
+    arriving = document_stream(spark, f"{sf_dir}/documents.parquet*", schema).select(
         F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "text"
     )
     out = scratch_path(spark, "streamed")
@@ -82,7 +82,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.concat(F.lit("src"), "item_id").alias("expected_regulation"),
         F.array(F.lit("a"), F.lit("b")).alias("expected_keywords"),
     ).write.json(path)
-    items = read_questions(spark, path, multi_line=False)
+    items = read_questions(spark, path)
     return items.select("id", "question", "expected_regulation", F.array_join("expected_keywords", ",").alias("keywords"))
 
 

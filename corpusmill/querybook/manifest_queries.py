@@ -75,7 +75,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "manifest")
     write_manifest(_manifest(spark, sf_dir), path)
-    return read_manifest(spark, path, multi_line=False).select(
+    return read_manifest(spark, path).select(
         "document_id", "celex", "title", "category", "file_format", "file_name", "file_size_bytes", "cellar_last_modified", "ingestion_status"
     )
 

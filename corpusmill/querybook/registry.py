@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vector_cells(vector: Column) -> Column:
+    """A number over all cells of a vector, each rounded to 5 places and weighed by its place."""
+    weighed = F.transform(vector, lambda x, i: (i + 1) * F.round(x.cast("double") * 100000).cast("long"))
+    return F.coalesce(F.aggregate(weighed, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for an input that is a single small file; a large input already has enough tasks."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -15,7 +15,7 @@ from corpusmill.operators.keyword import search_keyword
 from corpusmill.operators.vector import recall_at_k, search_vector, search_vector_ann
 from corpusmill.querybook import sql
 from corpusmill.querybook.frames import asked, chunks_of_text, pages_of_text, stored_chunks, stored_postings
-from corpusmill.querybook.registry import query, spread, table
+from corpusmill.querybook.registry import query, spread, table, vector_cells
 from corpusmill.sources.index_sink import publish_index
 
 DIMS = 64
@@ -91,7 +91,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HYBRID = (
-    f"{sql.CHUNKED},\n{_VECTORS},\n{sql.keyword(1000)},\n{sql.nearest(5, 'qv', 'cv')},\n{sql.fused(5, ('kw_hits', 'vec_hits'))}"
+    f"{sql.CHUNKED},\n{_VECTORS},\n{sql.keyword(None)},\n{sql.nearest(5, 'qv', 'cv')},\n{sql.fused(5, ('kw_hits', 'vec_hits'))}"
 )
 
 
@@ -115,12 +115,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "index_rows",
-    f"""WITH {sql.CHUNKED}
-SELECT chunk_id, chunk_text, short_title, regulation_title, source_url, page_number, file_name, {DIMS} AS dims FROM chunked""",
+    f"""WITH {sql.CHUNKED},\n{sql.vectors('chunked', 'chunk_id', 'chunk_text', DIMS, 'cv')}
+SELECT chunk_id, chunk_text, short_title, regulation_title, source_url, page_number, file_name, {sql.cells('embedding')} AS cells FROM chunked LEFT JOIN cv USING (chunk_id)""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = index_eligible(to_index_rows(embed(chunks_of_text(spark, sf_dir), dims=DIMS)))
-    return rows.withColumn("dims", F.size("embedding")).drop("embedding")
+    return rows.withColumn("cells", vector_cells(F.col("embedding"))).drop("embedding")
 
 
 @query(
@@ -156,11 +156,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "upsert_index",
-    """SELECT vec_id, CASE WHEN label >= 5 THEN label + 100 ELSE label END AS label, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings
-UNION ALL SELECT -1 - vec_id, label, round(embedding[1]::DOUBLE, 6) FROM embeddings WHERE label = 9""",
+    f"""SELECT vec_id, CASE WHEN label >= 5 THEN label + 100 ELSE label END AS label, {sql.cells('embedding')} AS cells FROM embeddings
+UNION ALL SELECT -1 - vec_id, label, {sql.cells('embedding')} FROM embeddings WHERE label = 9""",
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", vector_cells(F.col("embedding")).alias("cells"))
     changed = rows.filter("label >= 5").withColumn("label", F.col("label") + 100)
     added = rows.filter("label = 9").withColumn("vec_id", -1 - F.col("vec_id"))
     return upsert_index(rows, changed.unionByName(added), "vec_id")

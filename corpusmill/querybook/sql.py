@@ -103,9 +103,10 @@ PAGES = f"""pages_of_text AS (
 CHUNKED = f"{PAGES},\n{chunks('pages_of_text')}"
 
 
-def keyword(k: int, chunks: str = "chunked", questions: str = "asked", prefix: str = "kw", text: str = "chunk_text") -> str:
+def keyword(k: int | None, chunks: str = "chunked", questions: str = "asked", prefix: str = "kw", text: str = "chunk_text") -> str:
     """CTEs that end in ``<prefix>_hits``: question_id, chunk_id, score, rank."""
     p = prefix
+    best = f"\n  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= {k}" if k else ""
     return f"""{p}_tok AS (SELECT chunk_id, {tokens(text)} AS toks FROM {chunks}),
 {p}_tf AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(toks) AS term FROM {p}_tok) GROUP BY ALL),
 {p}_n AS (SELECT count(*) AS n, sum(len(toks)) / count(*) AS avgdl FROM {p}_tok),
@@ -115,8 +116,7 @@ def keyword(k: int, chunks: str = "chunked", questions: str = "asked", prefix: s
   SELECT question_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks) / avgdl))), 6) AS score
   FROM {p}_q JOIN {p}_df USING (term) JOIN {p}_tf USING (term) JOIN {p}_tok USING (chunk_id) CROSS JOIN {p}_n GROUP BY ALL),
 {p}_hits AS (
-  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id)::INT AS rank FROM {p}_scored
-  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= {k})"""
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id)::INT AS rank FROM {p}_scored{best})"""
 
 
 def vectors(source: str, key: str, text: str, dims: int, prefix: str) -> str:
@@ -150,3 +150,8 @@ def fused(k: int, lists: tuple[str, ...], prefix: str = "fused") -> str:
 
 
 ASKED = "asked AS (SELECT item_id AS question_id, text AS question FROM benchmark)"
+
+
+def cells(vector: str) -> str:
+    """A number over all cells of a vector, each rounded to 5 places and weighed by its place."""
+    return f"coalesce(list_sum(list_transform({vector}, lambda x, i: i * round(x::DOUBLE * 100000)::BIGINT)), 0)::BIGINT"

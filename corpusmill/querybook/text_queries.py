@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.pii import PII_PATTERNS, contains_pii, redact_pii
+from corpusmill.functions.pii import PII_PATTERNS, PII_REPLACEMENTS, contains_pii, redact_pii
 from corpusmill.functions.text import byte_size, clean_text, decode_utf8, norm_key, preview, sha256_hex, strip_tags
 from corpusmill.functions.tokens import term_counts, tokens
 from corpusmill.operators.chunk import chunk_fixed
@@ -40,21 +40,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The same patterns as RE2 reads them.
-_PII_SQL = {
-    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
-    "phone": r"(?:(?:\+|00)\d{1,3}[\s.-]?)?(?:\(?\d{2,4}\)?[\s.-]?)?\d{3,4}[\s.-]?\d{4}\b",
-    "iban": r"(?i)\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
-    "credit_card": r"\b(?:\d[ -]*?){13,19}\b",
-}
-_PII_MARK = {"email": "EMAIL", "phone": "PHONE", "iban": "IBAN", "credit_card": "CARD"}
+# The library's patterns without the flag that tells Java to read \\b, \\d and \\s by Unicode; RE2 has no such flag.
+_PII_SQL = {kind: pattern.replace("(?U)", "").replace("(?iU)", "(?i)") for kind, pattern in PII_PATTERNS.items()}
 
 
 def _redaction_sql(source: str, key: str, order: tuple[str, ...]) -> str:
     ctes, prev = [], source
     for i, kind in enumerate(order):
         ctes.append(
-            f"r{i} AS (SELECT * REPLACE (regexp_replace(t, '{_PII_SQL[kind]}', '[{_PII_MARK[kind]}_REDACTED]', 'g') AS t), "
+            f"r{i} AS (SELECT * REPLACE (regexp_replace(t, '{_PII_SQL[kind]}', '{PII_REPLACEMENTS[kind]}', 'g') AS t), "
             f"len(regexp_extract_all(t, '{_PII_SQL[kind]}'))::INT AS n_{kind} FROM {prev})"
         )
         prev = f"r{i}"
@@ -84,10 +78,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pii_redaction_turns",
-    _redaction_sql("(SELECT conv_id * 1000 + turn AS turn_key, text AS t FROM conversations)", "turn_key", _COMPAT),
+    _redaction_sql("(SELECT conv_id || ':' || turn AS turn_key, text AS t FROM conversations)", "turn_key", _COMPAT),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").withColumn("turn_key", F.col("conv_id") * 1000 + F.col("turn"))
+    turns = table(spark, sf_dir, "conversations").withColumn("turn_key", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     return _redacted(turns, "turn_key", "compat")
 
 

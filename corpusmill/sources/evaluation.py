@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.schemas import QUESTIONS
+from corpusmill.sources.files import read_json
 
 
-def read_questions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    return spark.read.schema(QUESTIONS).option("multiLine", multi_line).json(path)
+def read_questions(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    return read_json(spark, path, QUESTIONS, multi_line)
 
 
 def write_evaluation(results: DataFrame, summary: DataFrame, path: str, top_k: int) -> None:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -13,6 +16,26 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def read_json(spark: SparkSession, path: str, schema: StructType, multi_line: bool | None = None) -> DataFrame:
+    """JSON records under a schema, whether a file holds a JSON array, spread objects or JSON lines.
+
+    Only a file that is no JSON lines has a line that begins with a bracket or
+    is a brace alone. Such files are read whole, one task each; lines are
+    splittable. ``multi_line`` says it for all files, without the look.
+    """
+    reader = spark.read.schema(schema)
+    if multi_line is not None:
+        return reader.option("multiLine", multi_line).json(path)
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    whole = sorted(r["file"] for r in lines.where("line LIKE '[%' OR line = '{'").select("file").distinct().collect())
+    if not whole:
+        return reader.json(path)
+    every = {r["file"] for r in lines.select("file").distinct().collect()}
+    found = reader.option("multiLine", True).json([unquote(f) for f in whole])
+    rest = sorted(every - set(whole))
+    return found.unionByName(spark.read.schema(schema).json([unquote(f) for f in rest])) if rest else found
+
+
 def read_raw_files(spark: SparkSession, root: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """path, length and content of every file below ``root``, in one distributed scan. Content that is not used is not read."""
     if not path_exists(spark, root):

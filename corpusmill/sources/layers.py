@@ -32,13 +32,16 @@ def write_layer(
     bucket_by: str | None = None,
     buckets: int = 64,
     path: str | None = None,
+    allow_empty: bool = False,
 ) -> int:
     """Replace the table, schema included, and return the number of rows written; zero rows are an error.
 
-    The guard runs on the count taken during the write, so nothing is computed
-    twice. ``bucket_by`` lays the rows out for later joins on that column, one
+    The guard looks for one row before the old table is touched; the count is
+    taken during the write. ``bucket_by`` lays the rows out for later joins on that column, one
     file per bucket.
     """
+    if not allow_empty:
+        require_rows(df, name)
     out, seen = with_metrics(with_audit(df, layer) if layer else df, name)
     if bucket_by:
         out = out.repartition(buckets, bucket_by)
@@ -48,10 +51,7 @@ def write_layer(
     if bucket_by:
         writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
     writer.saveAsTable(name)
-    rows = seen.get["rows"]
-    if rows == 0:
-        raise ValueError(f"{name}: no rows to write")
-    return rows
+    return seen.get["rows"]
 
 
 def read_layer(spark: SparkSession, name: str) -> DataFrame:

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.schemas import MANIFEST, REGISTRY
-from corpusmill.sources.files import path_exists
+from corpusmill.sources.files import path_exists, read_json
 
 
-def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """Manifest records of either form. A missing path means there is no history: no rows.
 
-    A JSON array in one file needs ``multi_line``; JSON lines stay splittable without it.
+    Whether a file is one JSON array or JSON lines is seen in the file; ``multi_line`` says it for all files.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], MANIFEST)
-    return spark.read.schema(MANIFEST).option("multiLine", multi_line).json(path)
+    return read_json(spark, path, MANIFEST, multi_line)
 
 
 def write_manifest(df: DataFrame, path: str) -> None:

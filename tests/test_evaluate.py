@@ -2,67 +2,58 @@
 
 from __future__ import annotations
 
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import evaluate as E
 
 
-def plain_judgement(text):
-    try:
-        parsed = json.loads(text)
-    except json.JSONDecodeError:
-        parsed = None
-    if not isinstance(parsed, dict):
-        return 0, False, [E.BAD_JSON_CLAIM], text[:500]
-    score = parsed.get("faithfulness_score", 0)
-    try:
-        score = int(score)
-    except (TypeError, ValueError):
-        score = 0
-    verdict = parsed.get("groundedness_pass", False)
-    verdict = verdict if isinstance(verdict, bool) else score >= 4
-    claims = parsed.get("unsupported_claims", [])
-    return score, verdict, claims if isinstance(claims, list) else [str(claims)], parsed.get("explanation", "")
-
-
-REPLIES = [
-    {"faithfulness_score": 5, "groundedness_pass": True, "unsupported_claims": [], "explanation": "ok"},
-    {"faithfulness_score": "5", "groundedness_pass": False}, {"faithfulness_score": " 4 ", "groundedness_pass": "no"},
-    {"faithfulness_score": "4.0", "groundedness_pass": "yes"}, {"faithfulness_score": 4.0, "groundedness_pass": None},
-    {"faithfulness_score": 4.9, "groundedness_pass": 1, "unsupported_claims": "one"}, {"faithfulness_score": None, "unsupported_claims": None},
-    {"faithfulness_score": True, "unsupported_claims": 3}, {"faithfulness_score": -1.5}, {"faithfulness_score": [5]}, {"faithfulness_score": {"a": 5}},
-    {"unsupported_claims": ["a", "b"]}, {}, {"explanation": "x" * 900}, {"faithfulness_score": "abc"}, {"faithfulness_score": "+3"},
-]
+BAD = [E.BAD_JSON_CLAIM]
+# reply: (score, verdict, claims, explanation)
+REPLIES = {
+    '{"faithfulness_score": 5, "groundedness_pass": true, "unsupported_claims": [], "explanation": "ok"}': (5, True, [], "ok"),
+    '{"faithfulness_score": "5", "groundedness_pass": false}': (5, False, [], ""),
+    '{"faithfulness_score": " 4 ", "groundedness_pass": "no"}': (4, True, [], ""),
+    '{"faithfulness_score": "4.0", "groundedness_pass": "yes"}': (0, False, [], ""),
+    '{"faithfulness_score": 4.0, "groundedness_pass": null}': (4, True, [], ""),
+    '{"faithfulness_score": 4.9, "groundedness_pass": 1, "unsupported_claims": "one"}': (4, True, ["one"], ""),
+    '{"faithfulness_score": null, "unsupported_claims": null}': (0, False, ["None"], ""),
+    '{"faithfulness_score": true, "unsupported_claims": 3}': (1, False, ["3"], ""),
+    '{"faithfulness_score": -1.5}': (-1, False, [], ""),
+    '{"faithfulness_score": [5]}': (0, False, [], ""),
+    '{"faithfulness_score": {"a": 5}}': (0, False, [], ""),
+    '{"unsupported_claims": ["a", "b"]}': (0, False, ["a", "b"], ""),
+    "{}": (0, False, [], ""),
+    '{"explanation": "' + "x" * 900 + '"}': (0, False, [], "x" * 900),
+    '{"faithfulness_score": "abc"}': (0, False, [], ""),
+    '{"faithfulness_score": "+3"}': (3, False, [], ""),
+    "nope": (0, False, BAD, "nope"),
+    "": (0, False, BAD, ""),
+    "[1, 2]": (0, False, BAD, "[1, 2]"),
+    "3": (0, False, BAD, "3"),
+    '"text"': (0, False, BAD, '"text"'),
+    "n" * 700: (0, False, BAD, "n" * 500),
+    '{"faithfulness_score": 5': (0, False, BAD, '{"faithfulness_score": 5'),
+}
 
 
 def test_judge_replies(spark):
-    texts = [json.dumps(r) for r in REPLIES] + ["nope", "", "[1, 2]", "3", '"text"', "n" * 700, '{"faithfulness_score": 5']
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, r string").select("r", E.parse_judgement(F.col("r")).alias("v")).collect()
+    rows = spark.createDataFrame([(r,) for r in REPLIES], "r string").select("r", E.parse_judgement(F.col("r")).alias("v")).collect()
     for row in rows:
-        got = (row.v.faithfulness_score, row.v.groundedness_pass, list(row.v.unsupported_claims), row.v.explanation)
-        assert got == plain_judgement(row.r), row.r
-
-
-def plain_expected(titles, expected):
-    def norm(t):
-        return "" if t is None else t.lower().replace("-", " ").replace("_", " ").strip()
-
-    want, top = norm(expected), titles[0] if titles else None
-    found = any(want in norm(t) or norm(t) in want for t in titles)
-    return found, bool(top) and (want in norm(top) or norm(top) in want)
+        assert (row.v.faithfulness_score, row.v.groundedness_pass, list(row.v.unsupported_claims), row.v.explanation) == REPLIES[row.r], row.r
 
 
 @pytest.mark.parametrize(
-    ("titles", "expected"),
-    [(["AI_Act"], "ai-act"), (["x", "The AI Act text"], "AI Act"), ([None], "GDPR"), ([""], "GDPR"), ([], "GDPR"), (["PSD"], "PSD2"), (["x"], ""), (["x"], "y")],
+    ("titles", "expected", "found", "top"),
+    [
+        (["AI_Act"], "ai-act", True, True), (["x", "The AI Act text"], "AI Act", True, False), ([None], "GDPR", True, False), ([""], "GDPR", True, False),
+        ([], "GDPR", False, False), (["PSD"], "PSD2", True, True), (["x"], "", True, True), (["x"], "y", False, False),
+    ],
 )
-def test_expected_title(spark, titles, expected):
+def test_expected_title(spark, titles, expected, found, top):
     df = spark.createDataFrame([([(t,) for t in titles], expected)], "s array<struct<short_title:string>>, e string")
     c = df.select(E.check_expected(F.col("s"), F.col("e")).alias("c")).first().c
-    assert (c.expected_regulation_found, c.top_source_matches_expected) == plain_expected(titles, expected)
+    assert (c.expected_regulation_found, c.top_source_matches_expected) == (found, top)
     assert c.retrieved_source_titles == titles and c.top_source_title == (titles[0] if titles else None)
 
 

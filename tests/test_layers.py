@@ -28,7 +28,33 @@ def test_manifest_array_and_missing_file(spark, tmp_path):
     assert (got["a"].title, got["a"].file_size_bytes, got["b"].error, got["b"].file_name) == ("T", 12, "gone", None)
     assert read_manifest(spark, str(tmp_path / "none.json")).count() == 0
     write_manifest(read_manifest(spark, str(path)), str(tmp_path / "out"))
-    assert read_manifest(spark, str(tmp_path / "out"), multi_line=False).count() == 2
+    assert read_manifest(spark, str(tmp_path / "out")).count() == 2
+
+
+def test_records_of_any_form_are_all_read(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("cast(id as string) document_id", "'downloaded' ingestion_status").repartition(4)
+    write_manifest(rows, str(tmp_path / "lines"))
+    assert read_manifest(spark, str(tmp_path / "lines")).count() == 1000
+    (tmp_path / "lines" / "an array.json").write_text(json.dumps([{"document_id": f"x{i}"} for i in range(7)], indent=2))
+    (tmp_path / "lines" / "one object.json").write_text(json.dumps({"document_id": "y"}, indent=2))
+    (tmp_path / "lines" / "flat.json").write_text(json.dumps([{"document_id": "z1"}, {"document_id": "z2"}]))
+    assert read_manifest(spark, str(tmp_path / "lines")).select("document_id").distinct().count() == 1010
+
+
+def test_a_refused_write_leaves_the_old_rows(spark):
+    assert write_layer(spark.range(10), "default.kept", "bronze") == 10
+    with pytest.raises(ValueError):
+        write_layer(spark.range(0), "default.kept", "bronze")
+    kept = read_layer(spark, "default.kept")
+    assert kept.count() == 10 and kept.where("bronze_loaded_at IS NULL").count() == 0
+
+
+def test_records_of_the_same_time_are_told_apart(spark):
+    current = spark.createDataFrame([("a", "m", None)], "document_id string, cellar_last_modified string, error string")
+    rows = [("a", "m", "downloaded", "1"), ("a", None, "failed", "1")]
+    for order in (rows, rows[::-1]):
+        previous = spark.createDataFrame(order, "document_id string, cellar_last_modified string, ingestion_status string, downloaded_at_utc string")
+        assert detect_changes(current, previous).first().changed
 
 
 def test_registry(spark):
@@ -109,6 +135,7 @@ def test_gated_run(spark, tmp_path):
     cfg = RunConfig(raw_root=landing(tmp_path), database="default", dims=16, buckets=4)
     assert run_corpus(spark, manifest_rows(spark).withColumn("changed", F.lit(False)), cfg) == {}
     done = run_corpus(spark, manifest_rows(spark), cfg)
+    assert done["bronze_quarantine"] == 3 and {r.document_id for r in read_layer(spark, "default.bronze_quarantine").collect()} == {"d6", "d7", "d8"}
     assert done["bronze_documents"] == 8 and done["bronze_pages"] == 4 == done["index_chunks"] == done["index_postings"]
     pages = {(r.document_id, r.page_number, r.section_number): r.text for r in read_layer(spark, "default.bronze_pages").collect()}
     assert pages == {
