@@ -79,12 +79,30 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_vector(_label_centres(spark, sf_dir), table(spark, sf_dir, "embeddings"), 10, "euclidean", "vec_id")
 
 
-@query("search_vector_ann")
+_ANN = """planes AS (
+  SELECT b, t, list(CASE WHEN substr(md5(b || ':' || t || ':' || i), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY i) AS p
+  FROM range(14) x(b), range(6) y(t), range(64) z(i) GROUP BY b, t),
+asked_buckets AS (SELECT question_id, b, sum(CASE WHEN list_dot_product(embedding, p) >= 0 THEN 1 << t ELSE 0 END) AS h FROM centre, planes GROUP BY ALL),
+stored_buckets AS (SELECT chunk_id, b, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], p) >= 0 THEN 1 << t ELSE 0 END) AS h FROM stored, planes GROUP BY ALL),
+near AS (SELECT DISTINCT question_id, chunk_id FROM asked_buckets JOIN stored_buckets USING (b, h)),
+near_scored AS (
+  SELECT question_id, chunk_id, round(list_cosine_similarity(q.embedding, c.embedding::DOUBLE[]), 6) + 0.0 AS score
+  FROM near JOIN centre q USING (question_id) JOIN stored c USING (chunk_id)),
+ann_hits AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id)::INT AS rank FROM near_scored
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= 10)"""
+
+
+@query("search_vector_ann", f"WITH {_CENTRES},\n{_ANN} {_HITS.format('ann_hits')}")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_vector_ann(_label_centres(spark, sf_dir), table(spark, sf_dir, "embeddings"), 10, "vec_id")
 
 
-@query("ann_recall")
+@query(
+    "ann_recall",
+    f"""WITH {_CENTRES},\n{sql.nearest(10, 'centre', 'stored')},\n{_ANN}
+SELECT question_id, round(count(a.chunk_id) / count(*)::DOUBLE, 3) AS recall FROM vec_hits v LEFT JOIN ann_hits a USING (question_id, chunk_id) GROUP BY question_id""",
+)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres, vectors = _label_centres(spark, sf_dir), table(spark, sf_dir, "embeddings")
     return recall_at_k(search_vector(centres, vectors, 10, id_col="vec_id"), search_vector_ann(centres, vectors, 10, "vec_id"))
