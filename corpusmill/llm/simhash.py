@@ -27,6 +27,8 @@ SEED = 42
 PIECE_BYTES = 1 << 20
 #: Fingerprints of one key beyond this are dealt to tiles, each pair of tiles to one task.
 TILE_ROWS = 8192
+#: Tables that are gone through before the others.
+FIRST_TABLES = 4
 #: Rows that a task holds as bit planes at a time.
 HELD_ROWS = 1 << 15
 #: Blocks of fewer rows are compared by shifts, larger ones by query.
@@ -339,7 +341,10 @@ def block_links(ids: np.ndarray, prints: np.ndarray, sizes: np.ndarray, radius:
         s = starts[g]
         pairs += [(s + x, s + y) for x, y in large_block(prints[s : s + sizes[g]], radius, order)]
     at = np.array(pairs, np.int64).reshape(-1, 2)
-    return ids[at[:, 0]], ids[at[:, 1]]
+    a, b = ids[at[:, 0]], ids[at[:, 1]]
+    apart = a != b
+    joins = np.array(_spanning(a[apart], b[apart]), np.int64).reshape(-1, 2)
+    return joins[:, 0], joins[:, 1]
 
 
 def _orders(how: SimHash) -> list[np.ndarray]:
@@ -352,8 +357,9 @@ def _orders(how: SimHash) -> list[np.ndarray]:
     return out
 
 
-def links(nodes: DataFrame, how: SimHash) -> DataFrame:
-    """(a, b) links between the ids of ``nodes`` (id, w): they join exactly what pairs within the radius that share a table key join.
+def links(nodes: DataFrame, how: SimHash, tables: range) -> DataFrame:
+    """(a, b) links between the roots of ``nodes`` (id, w, root): with what the roots join already, they join exactly what
+    pairs within the radius that share a key of one of ``tables`` join.
 
     A key of more than TILE_ROWS fingerprints is dealt to tiles by hash and
     every pair of tiles meets in a task of its own, so no task holds a key whole.
@@ -366,15 +372,16 @@ def links(nodes: DataFrame, how: SimHash) -> DataFrame:
             out = F.shiftleft(out, bits).bitwiseOR(F.shiftrightunsigned(w[word], start).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
         return out
 
-    keyed = nodes.select("id", "w", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), key(f).alias("k")) for t, f in enumerate(how.tables)])).alias("x")).select("id", "w", "x.t", "x.k")
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), key(how.tables[t]).alias("k")) for t in tables])
+    keyed = nodes.select("id", "w", "root", F.explode(keys).alias("x")).select("id", "w", "root", "x.t", "x.k")
     hot = materialize(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE_ROWS), "simhash-hot").select(F.col("t").alias("ht"), F.col("k").alias("hk"), "n")
     tiles = F.coalesce(F.ceil(F.col("n") / F.lit(TILE_ROWS)), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     dealt = (
         keyed.join(hot, (F.col("t") == F.col("ht")) & (F.col("k") == F.col("hk")), "left")
-        .select("id", "w", "t", "k", tiles.alias("tiles"))
-        .select("id", "w", "t", "k", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))).alias("x"))
-        .select("id", "w", "t", "k", "x.i", "x.j")
+        .select("id", "w", "root", "t", "k", tiles.alias("tiles"))
+        .select("root", "w", "t", "k", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))).alias("x"))
+        .select("root", "w", "t", "k", "x.i", "x.j")
     )
     orders, radius, width = _orders(how), how.radius, how.words
 
@@ -414,6 +421,22 @@ def links(nodes: DataFrame, how: SimHash) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
+def rooted(nodes: DataFrame, how: SimHash) -> DataFrame:
+    """``nodes`` (id, w, ...) with root, the smallest id that links reach.
+
+    The first tables join most of a large group; in the others only links between different roots are passed on, so the
+    links of a group follow its size and not its size times the tables.
+    """
+    now = nodes.withColumn("root", F.col("id"))
+    n = len(how.tables)
+    for tables in (range(0, min(FIRST_TABLES, n)), range(min(FIRST_TABLES, n), n)):
+        if len(tables):
+            found = components(links(now, how, tables)).withColumnRenamed("root", "top")
+            now = now.join(found, F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("top", "root")).drop("node", "top")
+            now = materialize(now, "simhash-rooted")
+    return now
+
+
 def classes(docs: DataFrame, how: SimHash = CONTRACT) -> DataFrame:
     """(doc_id, tk, w, component_id, cluster) of every row of ``docs`` (doc_id, text).
 
@@ -426,9 +449,7 @@ def classes(docs: DataFrame, how: SimHash = CONTRACT) -> DataFrame:
     prints = materialize(with_fingerprints(docs, how), "simhash-prints")
     distinct = materialize(prints.groupBy("w").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     nodes = materialize(distinct.select(F.monotonically_increasing_id().alias("id"), "w", "least"), "simhash-nodes")
-    roots = components(links(nodes.select("id", "w"), how))
-    rooted = nodes.join(roots, F.col("id") == F.col("node"), "left").select("w", "least", F.coalesce("root", "id").alias("root"))
-    joined = materialize(rooted, "simhash-rooted")
+    joined = rooted(nodes, how)
     lowest = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     linked = joined.join(lowest.where("n > 1").select(F.col("root").alias("r"), "component_id"), F.col("root") == F.col("r"), "left")
     by_print = linked.select(F.col("w").alias("pw"), F.coalesce("component_id", "least").alias("component_id"), F.col("root").alias("cluster"))

@@ -101,7 +101,7 @@ def test_a_hot_key_is_dealt_to_tiles(spark, monkeypatch):
     rng = random.Random(2)
     prints = sorted({rng.getrandbits(12) for _ in range(150)})
     nodes = spark.createDataFrame([(i, [p]) for i, p in enumerate(prints)], "id long, w array<long>")
-    got = {r["node"]: r["root"] for r in components(simhash.links(nodes, simhash.CONTRACT)).collect()}
+    got = {r["id"]: r["root"] for r in simhash.rooted(nodes, simhash.CONTRACT).collect()}
     assert [got.get(i, i) for i in range(len(prints))] == brute_classes(prints, 3)
 
 
