@@ -19,7 +19,7 @@ DISCOUNT = 0.75
 #: Characters a model assumes besides those it has seen.
 UNSEEN = 5000
 #: A text is rejected where its cross-entropy is above what texts of other languages get by more than this many deviations.
-REJECT_DEVIATIONS = 3.0
+REJECT_DEVIATIONS = 8.0
 UNDETERMINED = "und"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -271,7 +271,8 @@ def predictions(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         out = docs.withColumns({fresh(docs, "lang_pred"): F.lit(UNDETERMINED), fresh(docs, "score"): F.lit(0.0), fresh(docs, "rejected"): F.lit(True)})
         return out
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain data: workers need not be able to import this package
+    shared = docs.sparkSession.sparkContext.broadcast(dict(vars(model)))
     names = docs.columns
     text_at = names.index("text")
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
@@ -283,7 +284,7 @@ def predictions(docs: DataFrame, model: Model | None) -> DataFrame:
     from corpusmill.llm.common import slices
 
     def run(batches):
-        m = shared.value
+        m = Model(**shared.value)
         for batch in batches:
             sizes = [n or 0 for n in pa.compute.binary_length(batch.column(text_at)).to_pylist()]
             for lo, hi in slices(sizes, 1 << 20):

@@ -120,13 +120,16 @@ def linked(messages: DataFrame) -> DataFrame:
     choice = F.struct((-F.col("level")).alias("l"), (-F.col("kind")).alias("k"), "chars", F.col("o.sent").alias("s"), F.col("o.message_id").alias("m"), F.col("o.nid").alias("p"))
     parents = by_origin.groupBy("nid").agg(F.max(choice).alias("c"), F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("linked"))
     parents = parents.select(F.col("nid").alias("child"), F.col("c.p").alias("parent"), F.col("c.m").alias("parent_id"), "linked")
-    tree = materialize(hashed.select("nid", "message_id", "thread", "sent", "own").join(parents, F.col("nid") == F.col("child"), "left").drop("child"), "quotes-tree")
+    # texts rest while the tree is built and ordered
+    tree = materialize(hashed.select("nid", "message_id", "thread", "sent").join(parents, F.col("nid") == F.col("child"), "left").drop("child"), "quotes-tree")
     rooted = _roots(tree.select("nid", "parent")).withColumnRenamed("nid", "node")
     names = tree.select(F.col("nid").alias("root"), F.col("message_id").alias("root_id"))
     out = tree.join(rooted, F.col("nid") == F.col("node")).drop("node", "parent").join(names, "root")
-    placed = running_totals(out.withColumn("one", F.lit(1).cast("long")), ["root"], [F.col("sent").asc_nulls_first(), F.col("message_id").asc_nulls_first(), F.col("nid")], {"one": "before"}, "quotes-order")
-    return placed.select(
-        "message_id", "thread", "sent", F.col("own").alias("text"), "parent_id", F.coalesce("linked", F.lit(0)).cast("long").alias("linked"), "root_id", F.col("depth").cast("long").alias("depth"), (F.col("before") + 1).alias("position")
+    order = [F.col("sent").asc_nulls_first(), F.col("message_id").asc_nulls_first(), F.col("nid")]
+    placed = running_totals(out.withColumn("one", F.lit(1).cast("long")), ["root"], order, {"one": "before"}, "quotes-order")
+    texts = hashed.select(F.col("nid").alias("text_of"), F.col("own").alias("text"))
+    return placed.join(texts, F.col("nid") == F.col("text_of")).select(
+        "message_id", "thread", "sent", "text", "parent_id", F.coalesce("linked", F.lit(0)).cast("long").alias("linked"), "root_id", F.col("depth").cast("long").alias("depth"), (F.col("before") + 1).alias("position")
     )
 
 
