@@ -72,6 +72,7 @@ _LEADING_BYTES = "\t\n\x0b\x0c\r "
 def file_error(content: Column, file_format: Column) -> Column:
     """Null when the leading bytes fit the format, else a message."""
 
+    # The messages and the marks that a format begins with.
     def check(head: Column) -> Column:
         return (
             F.when((file_format == "pdf") & ~head.startswith("%PDF"), F.lit("Invalid PDF file"))

@@ -93,6 +93,7 @@ def _score_text(score: Column) -> Column:
     return F.coalesce(F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text), F.lit("None"))
 
 
+# The labels of both kinds of blocks, and what stands for a missing value.
 def context_block(sources: Column, text: str = "chunk_preview") -> Column:
     """Numbered blocks with labelled fields, joined by a blank line."""
 

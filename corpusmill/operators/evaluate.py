@@ -9,6 +9,7 @@ from corpusmill.functions.base import blank_to_null, let
 from corpusmill.functions.text import norm_key, preview
 from corpusmill.operators.answers import ANSWER_PREVIEW
 
+# Thresholds of the pass rule, and what stands for a reply that is no JSON.
 MIN_COVERAGE = 0.4
 GROUNDED_SCORE = 4
 BAD_JSON_CLAIM = "Evaluator did not return valid JSON."
