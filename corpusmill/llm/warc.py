@@ -67,7 +67,7 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_t
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes ``pages`` (page_id, url, html) below ``folder`` and returns the files (path, bytes, records).
+    """Writes ``pages`` (page_id, url, html) below ``folder``, a URI or a local path, and returns the files (path, bytes, records).
 
     Each task attempt writes a file of its own name; the list of files is a
     committed table, so what a lost or repeated attempt wrote is not read.
@@ -80,19 +80,20 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        name, out, size, records = f"{base}/{uuid.uuid4().hex}.warc.gz", None, 0, 0
+        file = f"{uuid.uuid4().hex}.warc.gz"
+        out, size, records = None, 0, 0
         for batch in batches:
             binary = batch.column(2).cast(pa.binary())
             ids, urls, digests, refers = (batch.column(i) for i in (0, 1, 3, 4))
             for i in range(batch.num_rows):
-                out = out or store.open_output_stream(name, compression=None)
+                out = out or store.open_output_stream(f"{base}/{file}", compression=None)
                 member = encode_record(ids[i].as_py(), urls[i].as_py(), binary[i].as_py(), refers[i].as_py(), digests[i].as_py())
                 out.write(member)
                 size += len(member)
                 records += 1
         if out:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size]), pa.array([records])], names=["path", "bytes", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{file}"]), pa.array([size]), pa.array([records])], names=["path", "bytes", "records"])
 
     return materialize(joined.mapInArrow(write, "path string, bytes long, records long"), "warc-files")
 
@@ -202,9 +203,9 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLI
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, size, start, stop in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                store = fs.FileSystem.from_uri(path)[0] if "://" in path else fs.LocalFileSystem()
+                store, inner = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
-                with store.open_input_file(path) as source:
+                with store.open_input_file(inner) as source:
                     for place, fields, block in scan_range(source, size, start, stop):
                         head = block.find(b"\r\n\r\n") + 4
                         kind, payload = fields["warc-type"], block[head:]

@@ -46,7 +46,7 @@ def test_round_trip(spark, tmp_path, split):
 def test_a_foreign_reader_reads_the_members(spark, tmp_path):
     frame = spark.createDataFrame([(1, "http://a.example/", "<p>x" * 50), (2, "http://b.example/", "<p>x" * 50)], "page_id long, url string, html string")
     for row in warc.write_archives(frame, f"file://{tmp_path}/a").collect():
-        with open(row["path"], "rb") as f:
+        with open(row["path"].removeprefix("file://"), "rb") as f:
             data = f.read()
         assert len(data) == row["bytes"]
         assert gzip.decompress(data).count(b"WARC/1.1\r\n") == row["records"]
