@@ -16,50 +16,71 @@ from corpusmill.llm.common import col, fresh, same, slices, text_key
 
 #: Consecutive sentences in a run.
 RUN = 3
-#: A run of fewer words is no passage: chance and stock phrases repeat it.
+#: A run of fewer words is no passage: chance and stock phrases repeat it. It grows by further sentences until it holds so many.
 LEAST_WORDS = 12
-#: A sentence of more words without punctuation is cut after words chosen by their hash, so that equal stretches are cut alike.
-LONG_WORDS = 40
+#: The fewest words in a sentence (of a text that has so many), so that any RUN of them hold LEAST_WORDS; twice as many less one are the most.
+SENTENCE_WORDS = 4
 
-# A sentence here is a clause: it ends after a mark that white space follows, and at a line's end, so that a passage set
-# into the middle of a foreign sentence shares all its own borders with its other copies.
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?;:,…。！？；，、][\"'»”’)\]]*(?=\s)|(?=\n)|\Z)\s*", re.S)
+# Scripts without spaces: each character counts as a word.
+_DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_DENSE = re.compile(f"[{_DENSE}]")
+_MARKS, _CLOSING = frozenset(".!?;:,…。！？；，、"), "\"'»”’)]」』"
 _WORD = re.compile(r"\S+\s*")
+_DENSE_WORD = re.compile(rf"(?:[{_DENSE}]|[^\s{_DENSE}]+)[.!?;:,…。！？；，、\"'»”’)\]」』]*\s*")
 
 _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def sentences(text: str) -> tuple[list[int], list[int], list[bytes]]:
-    """Ends, words and normalised bytes of each sentence; white space belongs to the sentence before it."""
-    ends, words, parts = [], [], []
-    at, n = 0, len(text)
-    while at < n:
-        end = _SENTENCE.match(text, at).end()
-        if end == at:
-            end = at + 1
-        bits = text[at:end].split()
-        if len(bits) > LONG_WORDS:
-            start, held = at, []
-            for m in _WORD.finditer(text, at, end):
-                word = m.group().rstrip()
-                held.append(word)
-                if xxhash.xxh32_intdigest(word) % 8 == 0 or m.end() == end:
-                    ends.append(m.end())
-                    words.append(len(held))
-                    parts.append(" ".join(held).encode())
-                    start, held = m.end(), []
-            if start < end:
-                ends.append(end)
-                words.append(len(held))
-                parts.append(" ".join(held).encode())
-        elif bits or not ends:
-            ends.append(end)
-            words.append(len(bits))
-            parts.append(" ".join(bits).encode())
-        else:
-            ends[-1] = end  # white space alone
-        at = end
-    return ends, words, parts
+    """Ends, words and normalised bytes of each sentence; white space belongs to the sentence before it.
+
+    A sentence here is some of the words of a clause, or some short clauses. It
+    ends after each word that goes before the SENTENCE_WORDS - 1 words on either
+    side: words with a mark at their end first, then by hash. Where two such
+    words are far apart, the first of them in order among those allowed ends the
+    next. So borders follow from the words nearby, and a passage shares its own
+    with its other copies in any surroundings. White space between words has no
+    say, so a copy that is wrapped elsewhere is cut alike.
+    """
+    found = (_DENSE_WORD if _HAS_DENSE.search(text) else _WORD).findall(text)
+    n, m = len(found), SENTENCE_WORDS
+    if not n:
+        return ([len(text)], [0], [b""]) if text else ([], [], [])
+    last = [-1]
+    if n >= 2 * m:
+        bits = list(map(str.rstrip, found))
+        keys = np.fromiter(map(xxhash.xxh32_intdigest, bits), np.int64, n)
+        keys[[w[-1] in _MARKS or (w[-1] in _CLOSING and w.rstrip(_CLOSING)[-1:] in _MARKS) for w in bits]] -= 1 << 32
+        windows = n - 2 * m + 2
+        mid = keys[m - 1 : m - 1 + windows]
+        first = np.ones(windows, bool)
+        for d in range(1, m):
+            first &= (mid <= keys[m - 1 - d :][:windows]) & (mid < keys[m - 1 + d :][:windows])
+        anchors = np.flatnonzero(first) + m - 1
+        order = keys[::-1].tolist()
+        for b in [*anchors[anchors < n - m].tolist(), n - 1]:
+            a = last[-1]
+            while b - a >= 2 * m:
+                stop = min(a + 2 * m - 1, b - m)
+                allowed = order[n - 1 - stop : n - a - m]
+                a = stop - allowed.index(min(allowed))
+                last.append(a)
+            last.append(b)
+    else:
+        last.append(n - 1)
+    places = np.cumsum([len(w) for w in found]) + len(text) - sum(map(len, found))
+    ends = places[last[1:]].tolist()
+    parts = [" ".join(text[a:b].split()).encode() for a, b in zip([0, *ends], ends, strict=False)]
+    return ends, np.diff(last).tolist(), parts
+
+
+def stretches(words: list[int], run: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First sentence of each run and the one after its last: ``run`` sentences, and more until they hold ``least_words``."""
+    counts = np.cumsum([0, *words])
+    n = len(words)
+    first = np.arange(max(0, n - run + 1))
+    stop = np.maximum(first + run, np.searchsorted(counts, counts[first] + least_words))
+    return first[stop <= n], stop[stop <= n]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -68,22 +89,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def runs(text: str, run: int = RUN, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, two 64-bit hashes) of every run of ``run`` sentences with enough words."""
+    """(first sentence, two 64-bit hashes) of every run of sentences."""
     _, words, parts = sentences(text)
-    n = len(parts) - run + 1
-    if n < 1:
+    first, stop = stretches(words, run, least_words)
+    if not len(first):
         return np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     single = b"".join(map(xxhash.xxh3_128_digest, parts))
     pair = np.frombuffer(single, np.uint64).reshape(-1, 2)
-    counts = np.cumsum([0, *words])
-    keep = np.flatnonzero(counts[run:] - counts[:-run] >= least_words)
     out = []
     for c in range(2):
-        h = np.zeros(n, np.uint64)
-        for i in range(run):
-            h = _mixed(h * _MULTIPLY[c] + pair[i : i + n, c])
-        out.append(h[keep])
-    return keep.astype(np.int32), out[0], out[1]
+        h = np.zeros(len(first), np.uint64)
+        for i in range(int((stop - first).max())):
+            go = np.flatnonzero(first + i < stop)
+            h[go] = _mixed(h[go] * _MULTIPLY[c] + pair[first[go] + i, c])
+        out.append(h)
+    return first.astype(np.int32), out[0], out[1]
 
 
 def repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -174,10 +194,11 @@ def without_repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WO
                     ranges.append([])
                     continue
                 text = texts[i].as_py()
-                ends = sentences(text)[0]
+                ends, words, _ = sentences(text)
+                stops = dict(zip(*(x.tolist() for x in stretches(words, run, least_words)), strict=True))
                 gone = np.zeros(len(ends), bool)
                 for a in ats:
-                    gone[a : a + run] = True
+                    gone[a : stops[a]] = True
                 starts, kept, out = [0, *ends[:-1]], [], []
                 for g, s, e in zip(gone.tolist(), starts, ends, strict=True):
                     if not g:

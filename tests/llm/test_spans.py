@@ -93,3 +93,22 @@ def test_sentences_cover_a_text():
 
 def test_an_empty_table(spark):
     assert spans.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_clauses_lie_in_runs():
+    rng = random.Random(21)
+    shouted = " ".join(f"W{rng.randrange(10**6)}!!" for _ in range(150))
+    verse = "\n".join(f"a{rng.randrange(999)} b{rng.randrange(999)}," for _ in range(60))
+    chinese = "，".join("".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(rng.randint(2, 9))) for _ in range(40)) + "。"
+    for text in (shouted, verse, chinese):
+        ends, words, _ = spans.sentences(text)
+        covered = {j for i in spans.runs(text)[0].tolist() for j in range(i, i + spans.RUN)}
+        assert covered == set(range(len(ends))) and min(words) >= spans.SENTENCE_WORDS
+
+
+def test_copies_of_short_clauses_are_cut(spark):
+    rng = random.Random(22)
+    shouted = " ".join(f"W{rng.randrange(10**6)}!!" for _ in range(150))
+    chinese = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(300))
+    got = spans.without_repeats(spark.createDataFrame([(1, shouted), (2, shouted), (3, chinese), (4, chinese)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: shouted, 2: "", 3: chinese, 4: ""}
