@@ -266,8 +266,17 @@ def large_block(prints: np.ndarray, radius: int, order: np.ndarray) -> list[tupl
 
     Rows are taken as queries, found ones first, and a row leaves the planes
     when it is found: in a dense group almost all leave at the first query.
+    Queries are also compared with the rows that were found and wait for their
+    turn, as far as those are not yet joined with them.
     """
     out: list[tuple[int, int]] = []
+    group = np.arange(len(prints))  # a number for each set of rows joined so far
+
+    def join(a: int, b: int) -> None:
+        if group[a] != group[b]:
+            group[group == group[b]] = group[a]
+            out.append((a, b))
+
     unseen, found = np.arange(len(prints)), []
     stored, alive = planes(prints), np.ones(len(prints), bool)
     full = np.uint64(2**64 - 1)
@@ -280,7 +289,14 @@ def large_block(prints: np.ndarray, radius: int, order: np.ndarray) -> list[tupl
         block = prints[take]
         apart = np.bitwise_count(block[:, None, :] ^ block[None, :, :]).sum(2, dtype=np.int64)
         i, j = np.nonzero(np.triu(apart <= radius, 1))
-        out += [(take[x], take[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            join(take[x], take[y])
+        waiting = np.array(found, np.int64)
+        waiting = waiting[(group[waiting] != group[take][:, None]).any(0)]
+        apart = np.bitwise_count(block[:, None, :] ^ prints[waiting][None, :, :]).sum(2, dtype=np.uint16)
+        i, j = np.nonzero((apart <= radius) & (group[take][:, None] != group[waiting]))
+        for x, y in zip(i.tolist(), waiting[j].tolist(), strict=True):
+            join(take[x], y)
         if not alive.any():
             continue
         if alive.sum() * 2 < len(alive):
@@ -303,7 +319,10 @@ def large_block(prints: np.ndarray, radius: int, order: np.ndarray) -> list[tupl
             # queries that find the same row are joined by it: one row for each pair of queries is enough
             shared = shared[np.unique(finder[shared], return_index=True)[1]]
             finder[fresh_rows] = q
-            out += [(take[q], r) for r in unseen[np.concatenate([fresh_rows, shared])].tolist()]
+            group[unseen[fresh_rows]] = group[take[q]]
+            out += [(take[q], r) for r in unseen[fresh_rows].tolist()]
+            for r in unseen[shared].tolist():
+                join(take[q], r)
         new = np.flatnonzero(finder >= 0)
         alive[new] = False
         found += unseen[new].tolist()

@@ -89,6 +89,55 @@ def test_blocks_join_what_all_pairs_join(n, width, radius):
         assert got == want
 
 
+def joined(n, pairs):
+    top = list(range(n))
+    for x, y in pairs:
+        lo, hi = sorted((top[x], top[y]))
+        top = [lo if t == hi else t for t in top] if lo != hi else top
+    return top
+
+
+def test_groups_found_by_different_queries_are_joined():
+    """Rows 64-163 are near row 0, 164-263 near row 1; only rows 64 and 200 link the two."""
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 2**63, (264, 8)).astype(np.uint64)
+    prints[1] = prints[0]
+    prints[1, :2] ^= np.uint64(2**64 - 1)  # 128 bits away
+    prints[64:164], prints[164:] = prints[0], prints[1]
+    for r in range(65, 264):  # each away from the others by bits of its own
+        w, b = 2 + r % 6, r // 6 % 60
+        prints[r, w] ^= np.uint64(3 << b)
+    prints[64] = prints[0]
+    prints[64, 0] ^= np.uint64(2**45 - 1)
+    prints[200] = prints[64]
+    prints[200, 0] ^= np.uint64(2**64 - 2**45)
+    prints[200, 1] ^= np.uint64(2**19 - 1)
+    distance = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
+    want = joined(264, zip(*np.nonzero(distance <= 50), strict=True))
+    assert (distance[np.ix_([0, *range(64, 164)], [1, *range(164, 264)])] <= 50).sum() == 1 and distance[64, 200] <= 50
+    assert joined(264, simhash.large_block(prints, 50, np.arange(512))) == want
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_chains_of_dense_groups_equal_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    centre, rows = rng.integers(0, 2**63, 8).astype(np.uint64), []
+    for _ in range(12):  # each centre is 45 bits from the one before; its rows up to 16 bits from it
+        for _ in range(int(rng.integers(20, 110))):
+            row = centre.copy()
+            for b in rng.choice(512, int(rng.integers(0, 17)), replace=False).tolist():
+                row[b // 64] ^= np.uint64(1 << (b % 64))
+            rows.append(row)
+        for b in rng.choice(512, 45, replace=False).tolist():
+            centre[b // 64] ^= np.uint64(1 << (b % 64))
+    ends, far = np.array([rows[0], rows[-1]]), rng.integers(0, 2**63, (62, 8)).astype(np.uint64)
+    prints = np.concatenate([far, ends, rng.permutation(np.array(rows[1:-1]))])
+    distance = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
+    for radius in (28, 36, 40):
+        got = joined(len(prints), simhash.large_block(prints, radius, np.arange(512)))
+        assert got == joined(len(prints), zip(*np.nonzero(distance <= radius), strict=True))
+
+
 def test_tables_of_radius_three_lose_no_pair():
     rng = random.Random(1)
     for _ in range(300):
