@@ -75,10 +75,14 @@ def sentences(text: str) -> tuple[list[int], list[int], list[bytes]]:
 
 
 def stretches(words: list[int], run: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First sentence of each run and the one after its last: ``run`` sentences, and more until they hold ``least_words``."""
+    """First sentence of each run and the one after its last: ``run`` sentences, and more until they hold ``least_words``.
+    A text of fewer sentences is a run as a whole, if it holds as many words."""
     counts = np.cumsum([0, *words])
     n = len(words)
-    first = np.arange(max(0, n - run + 1))
+    if n < run:
+        first = np.zeros(int(counts[-1] >= least_words), np.int64)
+        return first, first + n
+    first = np.arange(n - run + 1)
     stop = np.maximum(first + run, np.searchsorted(counts, counts[first] + least_words))
     return first[stop <= n], stop[stop <= n]
 

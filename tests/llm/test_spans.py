@@ -112,3 +112,23 @@ def test_copies_of_short_clauses_are_cut(spark):
     chinese = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(300))
     got = spans.without_repeats(spark.createDataFrame([(1, shouted), (2, shouted), (3, chinese), (4, chinese)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["text"] for r in got} == {1: shouted, 2: "", 3: chinese, 4: ""}
+
+
+def test_a_passage_shares_runs_in_any_surroundings():
+    rng = random.Random(23)
+
+    def plain(n):
+        return " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+
+    for kind in range(3):
+        for _ in range(200):
+            passage = [plain(30) + ". " + plain(30) + ".", plain(51), "".join(sentence(rng, rng.randint(2, 20)) for _ in range(12))][kind]
+            hosts = [f"{plain(rng.randint(0, 40))} {passage} {plain(rng.randint(0, 40))}" for _ in range(2)]
+            a, b = ({*zip(*(x.tolist() for x in spans.runs(h)[1:]), strict=True)} for h in hosts)
+            assert a & b
+
+
+def test_a_copy_of_a_text_of_two_sentences_is_cut(spark):
+    text = "One sentence with a few words, and then. Another one of as many words."
+    got = spans.without_repeats(spark.createDataFrame([(1, text), (2, text), (3, "too few words"), (4, "too few words")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: text, 2: "", 3: "too few words", 4: "too few words"}
