@@ -42,13 +42,14 @@ def sentences(text: str) -> tuple[list[int], list[int], list[bytes]]:
     with its other copies in any surroundings. White space between words has no
     say, so a copy that is wrapped elsewhere is cut alike.
     """
-    found = (_DENSE_WORD if _HAS_DENSE.search(text) else _WORD).findall(text)
+    dense = not text.isascii() and _HAS_DENSE.search(text)
+    found = (_DENSE_WORD if dense else _WORD).findall(text)
     n, m = len(found), SENTENCE_WORDS
     if not n:
         return ([len(text)], [0], [b""]) if text else ([], [], [])
     last = [-1]
+    bits = list(map(str.rstrip, found)) if dense else text.split()
     if n >= 2 * m:
-        bits = list(map(str.rstrip, found))
         keys = np.fromiter(map(xxhash.xxh32_intdigest, bits), np.int64, n)
         keys[[w[-1] in _MARKS or (w[-1] in _CLOSING and w.rstrip(_CLOSING)[-1:] in _MARKS) for w in bits]] -= 1 << 32
         windows = n - 2 * m + 2
@@ -68,9 +69,13 @@ def sentences(text: str) -> tuple[list[int], list[int], list[bytes]]:
             last.append(b)
     else:
         last.append(n - 1)
-    places = np.cumsum([len(w) for w in found]) + len(text) - sum(map(len, found))
+    places = np.cumsum(np.fromiter(map(len, found), np.int64, n))
+    places += len(text) - places[-1]
     ends = places[last[1:]].tolist()
-    parts = [" ".join(text[a:b].split()).encode() for a, b in zip([0, *ends], ends, strict=False)]
+    if dense:
+        parts = [" ".join(text[a:b].split()).encode() for a, b in zip([0, *ends], ends, strict=False)]
+    else:
+        parts = [" ".join(bits[a + 1 : b + 1]).encode() for a, b in zip(last, last[1:], strict=False)]
     return ends, np.diff(last).tolist(), parts
 
 
@@ -104,7 +109,7 @@ def runs(text: str, run: int = RUN, least_words: int = LEAST_WORDS) -> tuple[np.
     for c in range(2):
         h = np.zeros(len(first), np.uint64)
         for i in range(int((stop - first).max())):
-            go = np.flatnonzero(first + i < stop)
+            go = np.flatnonzero(first + i < stop) if i >= run else slice(min(len(first), len(parts) - i))
             h[go] = _mixed(h[go] * _MULTIPLY[c] + pair[first[go] + i, c])
         out.append(h)
     return first.astype(np.int32), out[0], out[1]
