@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import cascade, digest, langid, mixing, multi_index, packing, quotes, simhash, spans, warc
+from corpusmill.llm import cascade, digest, langid, lexical, mixing, multi_index, packing, quotes, simhash, spans, warc
 from corpusmill.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +191,40 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn as mail that quotes the turns before it: linked to what it quotes and put in reply order."""
     return quotes.linked(quotes.quoting(read(spark, sf_dir, "conversations")))
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+    WITH words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents
+    ),
+    docs AS (SELECT row_number() OVER () AS r, doc_id, terms, len(terms)::BIGINT AS n FROM words WHERE len(terms) > 0),
+    totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM docs),
+    held AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY ALL),
+    asked AS (
+        SELECT item_id, term, count(*)::BIGINT AS times
+        FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        )
+        GROUP BY ALL
+    ),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, totals GROUP BY term
+    ),
+    scores AS (
+        SELECT item_id, r, any_value(doc_id) AS doc_id,
+               sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // words))))::BIGINT AS score
+        FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN docs USING (r), totals
+        GROUP BY item_id, r
+    )
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM scores WHERE score > 0
+    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that fit every benchmark item best."""
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
