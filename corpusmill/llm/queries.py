@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import cascade, digest, langid, lexical, mixing, multi_index, packing, quotes, simhash, spans, warc
+from corpusmill.llm import cascade, digest, langid, lexical, mixing, multi_index, packing, quotes, repair, simhash, spans, warc
 from corpusmill.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,84 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 documents that fit every benchmark item best."""
     return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def _repair_sql() -> str:
+    """The cheapest edits turn by turn, from the left, with the repaired text carried along in each of the four places."""
+
+    def edit(state: str, cost: str, letter: str, line: str) -> str:
+        return f"{{'c': {state}.c + {cost}, 'e': {state}.e || '{letter}', 'o': {state}.o || {line}}}"
+
+    def insert(state: str, role: str) -> str:
+        return edit(state, "5", "I", f"'{role}:' || chr(10)")
+
+    def told(role: str) -> str:
+        return f"{role} || ':' || text || chr(10)"
+
+    gone = [edit(f"t{i}", "2", "D", "''") for i in range(4)]
+    return f"""
+    WITH RECURSIVE table_ AS (
+        SELECT list(v ORDER BY i) AS t
+        FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))
+    ),
+    keyed AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                               lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS act
+        FROM conversations, table_
+    ),
+    damaged AS (
+        SELECT conv_id, turn, CASE act WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE act WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM (SELECT *, unnest(CASE act WHEN 0 THEN []::BIGINT[] WHEN 3 THEN range(2) ELSE range(1) END) AS copy FROM keyed)
+    ),
+    ordered AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+               regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, left(role, 1) AS ini
+        FROM damaged
+    ),
+    marked AS (
+        SELECT *, CASE WHEN last = '' THEN 'b' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE 'n' END AS fault,
+               ini || lead(ini) OVER (PARTITION BY conv_id ORDER BY i) AS pair
+        FROM ordered
+    ),
+    counts AS (
+        SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+               count(*) FILTER (fault = 'b')::BIGINT AS blank, count(*) FILTER (fault = 'd')::BIGINT AS duplicate, count(*) FILTER (fault = 't')::BIGINT AS truncated,
+               count(*) FILTER (pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+        FROM marked GROUP BY conv_id
+    ),
+    walk AS (
+        SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'e': '', 'o': ''}} AS t0, {{'c': 1000000000::BIGINT, 'e': '', 'o': ''}} AS t1,
+               {{'c': 5::BIGINT, 'e': 'I', 'o': 'user:' || chr(10)}} AS t2, {{'c': 10::BIGINT, 'e': 'II', 'o': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS t3
+        FROM counts
+        UNION ALL
+        SELECT conv_id, i, n0, n1, c2, least(n3, {insert("c2", "assistant")}) FROM (
+            SELECT *, least(n2, {insert("least(n0, n1, n3)", "user")}) AS c2 FROM (
+                SELECT conv_id, i, {gone[0]} AS n0,
+                       least({gone[1]}, CASE WHEN ok AND ini = 's' THEN {edit("t0", "extra", "K", told("role"))} ELSE {gone[1]} END) AS n1,
+                       least({gone[2]}, CASE WHEN ok THEN {edit("tu", "extra + 1", "R", told("'user'"))} ELSE {gone[2]} END,
+                             CASE WHEN ok AND ini = 'u' THEN {edit("tu", "extra", "K", told("role"))} ELSE {gone[2]} END) AS n2,
+                       least({gone[3]}, CASE WHEN ok THEN {edit("t2", "extra + 1", "R", told("'assistant'"))} ELSE {gone[3]} END,
+                             CASE WHEN ok AND ini = 'a' THEN {edit("t2", "extra", "K", told("role"))} ELSE {gone[3]} END) AS n3
+                FROM (
+                    SELECT m.conv_id, m.i, m.role, m.text, m.ini, m.fault IN ('t', 'n') AS ok, CASE m.fault WHEN 't' THEN 5 ELSE 0 END AS extra,
+                           w.t0, w.t1, w.t2, w.t3, least(w.t0, w.t1, w.t3) AS tu
+                    FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1
+                )
+            )
+        )
+    ),
+    ends AS (SELECT w.conv_id, least(t0, t3) AS best FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i)
+    SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.e, '') AS audit,
+           sha256(coalesce(left(best.o, greatest(length(best.o) - 1, 0)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) d
+    LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM d.conv_id
+    """
+
+
+@query("op12_structure_repair", _repair_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule, with the cheapest edits that give it its form again."""
+    return repair.summary(read(spark, sf_dir, "conversations"))
