@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import cascade, digest, langid, lexical, mixing, multi_index, packing, quotes, repair, simhash, spans, warc
+from corpusmill.llm import cascade, digest, langid, lexical, mixing, multi_index, packing, quotes, repair, secrets, simhash, spans, warc
 from corpusmill.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,3 +309,64 @@ def _repair_sql() -> str:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by rule, with the cheapest edits that give it its form again."""
     return repair.summary(read(spark, sf_dir, "conversations"))
+
+
+def _secrets_sql() -> str:
+    """Matches with their places by running sums, then scopes as in the operator."""
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    def hits(kind: int, pattern: str, keep: str = "true", begin: str = "") -> str:
+        whole = quoted(begin + pattern)
+        return f"""
+        SELECT r, {kind} AS kind, start, start + length(hit) AS stop FROM (
+            SELECT r, hit, (sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY r ORDER BY i) - coalesce(length(hit), 0))::BIGINT AS start
+            FROM (SELECT r, unnest(string_split_regex(text, {whole})) AS gap, unnest(regexp_extract_all(text, {whole})) AS hit, generate_subscripts(string_split_regex(text, {whole}), 1) AS i FROM docs)
+        )
+        WHERE hit IS NOT NULL AND {keep}
+        """
+
+    def named(pattern: str, least: int, most: int = 1 << 30) -> str:
+        return f"length(regexp_extract(hit, {quoted(pattern)}, 2)) BETWEEN {least} AND {most}"
+
+    word = r"\b"
+    base = [hits(0, secrets.ASSIGN, named(secrets.ASSIGN, 8)), hits(1, secrets.ACCESS), hits(2, secrets.HEX)]
+    weak = [
+        hits(3, secrets.IDENTIFIER, named(secrets.IDENTIFIER, 3), word),
+        hits(4, secrets.SECRET, named(secrets.SECRET, 4), word),
+        hits(4, secrets.ASSIGN, named(secrets.ASSIGN, 4, 7)),
+        hits(4, secrets.TOKEN, "regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[0-9]')"),
+        hits(5, secrets.URL),
+        hits(5, secrets.ENDPOINT, named(secrets.ENDPOINT, 3), word),
+        hits(-1, secrets.BLANK_LINE),
+    ]
+    names = ", ".join(f"'{k}'" for k in secrets.KINDS)
+    told = f"string_agg([{names}][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop)"
+    half = secrets.SCOPE_CHARS // 2
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    base AS ({" UNION ALL ".join(base)}),
+    events AS (SELECT * FROM base UNION ALL {" UNION ALL ".join(weak)}),
+    told AS (
+        SELECT *, sum((kind < 0)::INTEGER) OVER (a ROWS UNBOUNDED PRECEDING) AS paragraph,
+               max(stop) FILTER (kind >= 0) OVER (a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached,
+               min(start) FILTER (kind BETWEEN 0 AND 2) OVER (a ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next
+        FROM events WINDOW a AS (PARTITION BY r ORDER BY start, kind NOT BETWEEN 0 AND 2, stop DESC, kind)
+    ),
+    parts AS (SELECT * FROM told WHERE kind BETWEEN 0 AND 2 OR kind > 2 AND coalesce(reached, 0) <= start AND coalesce(next >= stop, true)),
+    inside AS (SELECT * FROM (SELECT *, unnest([start // {half}, start // {half} - 1]) AS scope FROM parts) WHERE stop <= scope * {half} + {secrets.SCOPE_CHARS}),
+    whole AS (SELECT r, paragraph, scope FROM inside GROUP BY ALL HAVING bool_or(kind IN (1, 3)) AND bool_or(kind IN (0, 2, 4))),
+    every AS (SELECT r, kind, start, stop FROM base UNION ALL (SELECT DISTINCT r, kind, start, stop FROM inside JOIN whole USING (r, paragraph, scope) WHERE kind > 2)),
+    counts AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h, {told} AS t FROM base GROUP BY r),
+    lists AS (SELECT r, {told} AS t FROM every GROUP BY r)
+    SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
+           sha256(coalesce(c.t, '')) AS base_sha256, coalesce(l.t, '') AS spans
+    FROM docs LEFT JOIN counts c USING (r) LEFT JOIN lists l USING (r)
+    """
+
+
+@query("op11_secret_links", _secrets_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in every document."""
+    return secrets.secrets(read(spark, sf_dir, "documents")).drop("found")
