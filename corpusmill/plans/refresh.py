@@ -14,7 +14,7 @@ from corpusmill.operators.index import SEARCHABLE, dedupe, index_eligible, to_in
 from corpusmill.operators.keyword import build_postings
 from corpusmill.operators.manifest import changes_detected, normalize_manifest, successful
 from corpusmill.sources.files import read_raw_files
-from corpusmill.sources.layers import read_layer, write_layer
+from corpusmill.sources.layers import read_layer, upsert_layer, write_layer
 
 
 def refresh(changed_pages: DataFrame, changed_ids: DataFrame, chunks: DataFrame, dims: int = DEFAULT_DIMS) -> DataFrame:
@@ -29,6 +29,13 @@ def refresh(changed_pages: DataFrame, changed_ids: DataFrame, chunks: DataFrame,
     return kept.select(*fresh.columns).unionByName(fresh)
 
 
+def refresh_layer(changed_pages: DataFrame, changed_ids: DataFrame, name: str, dims: int = DEFAULT_DIMS) -> dict[str, int]:
+    """As ``refresh``, written back to a layer of chunks that is keyed by document_id: only the buckets of changed documents are read and rewritten."""
+    ids = changed_ids.select("document_id").distinct()
+    todo = changed_pages.join(ids, "document_id", "left_semi")
+    return upsert_layer(embed(chunk_pages(todo), "chunk_text", dims), name, removed=ids)
+
+
 @dataclass(frozen=True)
 class RunConfig:
     """Where one run reads and writes.
@@ -68,7 +75,7 @@ def run_corpus(spark: SparkSession, manifest: DataFrame, cfg: RunConfig) -> dict
     done["gold_embeddings"] = write_layer(embed(chunks, dims=cfg.dims), cfg.table("gold_embeddings"), fmt=cfg.fmt)
     gold = read_layer(spark, cfg.table("gold_embeddings"))
     rows = dedupe(index_eligible(to_index_rows(gold)), "chunk_id", [F.col("file_name"), F.col("chunk_text")])
-    by_id = {"bucket_by": "chunk_id", "buckets": cfg.buckets} if cfg.buckets else {}
+    by_id = {"key": "chunk_id", "buckets": cfg.buckets} if cfg.buckets else {}
     done["index_chunks"] = write_layer(rows, cfg.table("index_chunks"), fmt=cfg.fmt, **by_id)
     index = read_layer(spark, cfg.table("index_chunks"))
     postings = build_postings(index, text_cols=SEARCHABLE)

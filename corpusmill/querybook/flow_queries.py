@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +12,14 @@ from corpusmill.functions.text import clean_text
 from corpusmill.operators.chunk import chunk_pages
 from corpusmill.operators.embed import embed
 from corpusmill.operators.evaluate import summarize
-from corpusmill.plans.refresh import refresh
+from corpusmill.plans.refresh import refresh, refresh_layer
 from corpusmill.querybook import sql
 from corpusmill.querybook.answer_queries import _LABEL_RESULTS, _SUMMARY, _label_results
 from corpusmill.querybook.frames import pages_of_text
 from corpusmill.querybook.registry import query, table, vector_cells
 from corpusmill.session import materialize, scratch_path
 from corpusmill.sources.evaluation import read_questions, write_evaluation
-from corpusmill.sources.layers import read_layer, with_metrics, write_layer
+from corpusmill.sources.layers import read_layer, upsert_layer, with_metrics, write_layer
 from corpusmill.streaming.ingest import document_stream, stream_ingest
 
 
@@ -75,6 +76,45 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("document_id", "chunk_index", "chunk_id", "chunk_length")
 
 
+@query(
+    "layer_guard",
+    "SELECT doc_id, CASE lang WHEN 'es' THEN 'es, again' ELSE lang END AS lang, md5(text) AS text_md5, true AS loaded, 2::BIGINT AS refused FROM documents WHERE lang IS DISTINCT FROM 'fr'",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Two replacements fail, one without rows and one in a task; then an upsert changes one language and removes another.
+    name = f"guarded_{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5("text").alias("text_md5"))
+    write_layer(rows, name, "bronze", key="doc_id", buckets=8, path=scratch_path(spark, name))
+    broken = F.when(F.col("lang") == "de", F.raise_error(F.lit("a bad record"))).otherwise(F.col("lang"))
+    refused = 0
+    for frame in (rows.where("doc_id IS NULL AND lang = 'none'"), rows.withColumn("lang", broken)):
+        try:
+            write_layer(frame, name, "bronze")
+        except (ValueError, PySparkException):
+            refused += 1
+    changed = rows.where("lang = 'es'").withColumn("lang", F.lit("es, again"))
+    upsert_layer(changed, name, removed=rows.where("lang = 'fr'"), layer="bronze")
+    loaded = F.col("bronze_loaded_at").isNotNull() & (F.col("bronze_loaded_at") <= F.current_timestamp())
+    return read_layer(spark, name).select("doc_id", "lang", "text_md5", loaded.alias("loaded"), F.lit(refused).cast("long").alias("refused"))
+
+
+@query(
+    "refresh_write_back",
+    f"""WITH {sql.CHUNKED},\n{sql.vectors('chunked', 'chunk_id', 'chunk_text', 64, 'cv')}
+SELECT document_id, chunk_index, chunk_id, md5(chunk_text) AS chunk_md5, {sql.cells('embedding')} AS cells FROM chunked LEFT JOIN cv USING (chunk_id)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # As incremental_refresh, but the layer itself is changed, bucket by bucket.
+    pages, name = pages_of_text(spark, sf_dir), f"gold_{uuid.uuid4().hex}"
+    old_text = F.when(F.col("language") == "de", F.concat("text", F.lit(" "), "text")).otherwise(F.col("text"))
+    before = embed(chunk_pages(pages.filter("language <> 'es'").withColumn("text", old_text)))
+    write_layer(before, name, key="document_id", buckets=16, path=scratch_path(spark, name))
+    refresh_layer(pages, pages.filter("language IN ('de', 'es')").select("document_id"), name)
+    return read_layer(spark, name).select(
+        "document_id", "chunk_index", "chunk_id", F.md5("chunk_text").alias("chunk_md5"), vector_cells(F.col("embedding")).alias("cells")
+    )
+
+
 @query("evaluation_items", "SELECT item_id::VARCHAR AS id, text AS question, 'src' || item_id AS expected_regulation, 'a,b' AS keywords FROM benchmark")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "questions")

@@ -1,11 +1,52 @@
-"""Layer tables: full-refresh writes with a load time, and reads."""
+"""Layer tables: staged replacement with a load time, upserts that rewrite only what they touch, and reads.
+
+A layer is a view over the files of its generations. A write puts a new
+generation beside the old one, counts its rows on the way and then replaces the
+view: one catalog step, which also takes a new schema. Until then, and when
+anything fails before, the layer is what it was, and a reader that has begun
+keeps the files it has seen. So a frame may replace the layer it reads.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import json
+import uuid
+import zlib
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from corpusmill.sources.files import children, delete_path
 
 DEFAULT_FORMAT = "parquet"
+DEFAULT_BUCKETS = 64
+_PROPERTY = "corpusmill.layer"
+_BUCKET, _KEY = "_bucket", "_layer_key"
+
+
+@dataclass(frozen=True)
+class Layer:
+    """What the view of a layer says of its files.
+
+    ``parts``: folders below ``root``. A layer with a ``key`` has one for each
+    bucket that holds rows, in the generation that wrote it last.
+    """
+
+    root: str
+    fmt: str
+    schema: str
+    generation: str
+    parts: tuple[str, ...]
+    before: tuple[str, ...] = ()
+    key: str | None = None
+    buckets: int = 0
+
+    def paths(self, parts: Iterable[str] | None = None) -> list[str]:
+        return [f"{self.root}/{p}" for p in (self.parts if parts is None else parts)]
 
 
 def with_audit(df: DataFrame, layer: str) -> DataFrame:
@@ -24,40 +65,191 @@ def with_metrics(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+def _rows(seen: Observation) -> int:
+    """Rows counted; a plan that was found to be empty before it ran has counted nothing."""
+    try:
+        return seen.get.get("rows", 0)
+    except Py4JJavaError as error:
+        if "assertion failed" not in str(error.java_exception):
+            raise
+        return 0
+
+
+def _quoted(name: str) -> str:
+    return ".".join(f"`{part}`" for part in name.replace("`", "").split("."))
+
+
+def _root(spark: SparkSession, name: str) -> str:
+    database, _, table = name.rpartition(".")
+    folder = spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
+    return f"{folder.rstrip('/')}/{table}.layer"
+
+
+def layer_of(spark: SparkSession, name: str) -> Layer | None:
+    """What is known of a layer; None where there is no such name. Other tables and views are not replaced."""
+    if not spark.catalog.tableExists(name):
+        return None
+    told = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {_quoted(name)}").collect()}
+    if _PROPERTY not in told:
+        raise ValueError(f"{name} is no layer; drop or rename it first")
+    held = json.loads(zlib.decompress(bytes.fromhex(told[_PROPERTY])))
+    return Layer(**{k: tuple(v) if isinstance(v, list) else v for k, v in held.items()})
+
+
+def _nullable(told: object) -> object:
+    """The JSON of a schema with every field and element nullable, as files hold them."""
+    if isinstance(told, dict):
+        return {k: True if k in ("nullable", "containsNull", "valueContainsNull") else _nullable(v) for k, v in told.items()}
+    return [_nullable(x) for x in told] if isinstance(told, list) else told
+
+
+def _schema(layer: Layer) -> StructType:
+    return StructType.fromJson(json.loads(layer.schema))
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(buckets)).cast("int")
+
+
+def _publish(spark: SparkSession, name: str, layer: Layer) -> None:
+    """The one step in the catalog that makes a generation the layer."""
+    where = layer.paths()[0] if len(layer.parts) == 1 else f"{layer.root}/{{{','.join(layer.parts)}}}"
+    columns = ", ".join(f"`{f.name}`" for f in _schema(layer).fields)
+    # In hex digits: the catalog hides values in which words like "url" occur.
+    told = zlib.compress(json.dumps(vars(layer)).encode()).hex()
+    spark.sql(f"CREATE OR REPLACE VIEW {_quoted(name)} TBLPROPERTIES ('{_PROPERTY}' = '{told}') AS SELECT {columns} FROM {layer.fmt}.`{where}`")
+
+
+def _expire(spark: SparkSession, layer: Layer) -> None:
+    """Delete what neither this state of the layer nor the one before refers to."""
+    kept = {*layer.parts, *layer.before}
+    for generation in children(spark, layer.root):
+        if generation not in kept:
+            used = [p for p in kept if p.startswith(f"{generation}/")]
+            if not used:
+                delete_path(spark, f"{layer.root}/{generation}")
+            else:
+                for part in children(spark, f"{layer.root}/{generation}"):
+                    if part.startswith(_BUCKET) and f"{generation}/{part}" not in kept:
+                        delete_path(spark, f"{layer.root}/{generation}/{part}")
+
+
+def _write(df: DataFrame, name: str, layer: Layer, allow_empty: bool) -> tuple[int, tuple[str, ...]]:
+    """Write the generation of ``layer`` and return its rows and parts; whatever fails leaves no trace of it."""
+    spark, folder = df.sparkSession, f"{layer.root}/{layer.generation}"
+    out, seen = with_metrics(df, name)
+    try:
+        if layer.key:
+            # By bucket, so that a bucket is written by one task and is one file.
+            placed = out.withColumn(_BUCKET, _bucket(layer.key, layer.buckets)).repartition(layer.buckets, F.col(_BUCKET)).sortWithinPartitions(_BUCKET, layer.key)
+            placed.write.format(layer.fmt).partitionBy(_BUCKET).save(folder)
+        else:
+            out.write.format(layer.fmt).save(folder)
+        rows = _rows(seen)
+        if not rows and not allow_empty:
+            raise ValueError(f"{name}: no rows")
+        parts = tuple(f"{layer.generation}/{c}" for c in children(spark, folder) if c.startswith(f"{_BUCKET}=")) if layer.key else (layer.generation,)
+        if layer.key and not parts:
+            # A file without rows, so that the layer keeps its schema.
+            df.sparkSession.createDataFrame([], df.schema).write.format(layer.fmt).save(f"{folder}/{_BUCKET}=none")
+            parts = (f"{layer.generation}/{_BUCKET}=none",)
+        return rows, parts
+    except BaseException:
+        delete_path(spark, folder)
+        raise
+
+
 def write_layer(
     df: DataFrame,
     name: str,
     layer: str | None = None,
     fmt: str = DEFAULT_FORMAT,
-    bucket_by: str | None = None,
-    buckets: int = 64,
+    key: str | None = None,
+    buckets: int = DEFAULT_BUCKETS,
     path: str | None = None,
     allow_empty: bool = False,
 ) -> int:
-    """Replace the table, schema included, and return the number of rows written; zero rows are an error.
+    """Replace the layer, schema included, and return the number of rows written; zero rows are an error.
+
+    Rows are counted while they are written, so nothing is computed twice. On
+    any failure, too few rows among them, the old layer stays. ``key`` lays the
+    rows out in ``buckets`` by the hash of that column, for ``upsert_layer``;
+    choose their number so that one bucket fits a task. ``layer`` adds a load
+    time. There may be one writer of a layer at a time. The generation before is
+    kept for readers that are still at it; older ones are deleted.
+    """
+    spark, old = df.sparkSession, layer_of(df.sparkSession, name)
+    out = with_audit(df, layer) if layer else df
+    root = path or (old.root if old else _root(spark, name))
+    new = Layer(root.rstrip("/"), fmt, json.dumps(_nullable(out.schema.jsonValue())), f"g{uuid.uuid4().hex}", (), key=key, buckets=buckets if key else 0)
+    rows, parts = _write(out, name, new, allow_empty)
+    new = replace(new, parts=parts, before=old.parts if old and old.root == new.root else ())
+    _publish(spark, name, new)
+    _expire(spark, new)
+    return rows
+
+
+def upsert_layer(updates: DataFrame, name: str, removed: DataFrame | None = None, layer: str | None = None) -> dict[str, int]:
+    """Rows of ``updates`` replace all rows with their keys; keys of ``removed`` lose theirs. Returns rows written and buckets rewritten.
 
-    The guard looks for one row before the old table is touched; the count is
-    taken during the write. ``bucket_by`` lays the rows out for later joins on that column, one
-    file per bucket.
+    Only the buckets in which a key of either lies are read and written again;
+    all others stay the files they are. ``updates`` is written first, as it is
+    used twice. Columns are taken by name; a layer keeps its schema.
     """
-    if not allow_empty:
-        require_rows(df, name)
-    out, seen = with_metrics(with_audit(df, layer) if layer else df, name)
-    if bucket_by:
-        out = out.repartition(buckets, bucket_by)
-    writer = out.write.format(fmt).mode("overwrite").option("overwriteSchema", "true")
-    if path:
-        writer = writer.option("path", path)
-    if bucket_by:
-        writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
-    writer.saveAsTable(name)
-    return seen.get["rows"]
+    spark, now = updates.sparkSession, layer_of(updates.sparkSession, name)
+    if now is None or not now.key:
+        raise ValueError(f"{name} is no layer with a key")
+    key, schema = now.key, _schema(now)
+    stage = f"{now.root}/stage-{uuid.uuid4().hex}"
+    try:
+        fresh = (with_audit(updates, layer) if layer else updates).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+        fresh.write.parquet(f"{stage}/rows")
+        fresh = spark.read.schema(schema).parquet(f"{stage}/rows")
+        keys = fresh.select(F.col(f"`{key}`").alias(_KEY))
+        if removed is not None:
+            keys = keys.unionAll(removed.select(F.col(f"`{key}`").cast(schema[key].dataType).alias(_KEY)))
+        keys.distinct().write.parquet(f"{stage}/keys")
+        keys = spark.read.parquet(f"{stage}/keys")
+        touched = {r["b"] for r in keys.select(_bucket(_KEY, now.buckets).alias("b")).distinct().collect()}
+        if not touched:
+            return {"rows": 0, "buckets": 0}
+        old = [p for p in now.parts if _number(p) in touched]
+        kept = spark.read.schema(schema).format(now.fmt).load(now.paths(old)) if old else spark.createDataFrame([], schema)
+        kept = kept.join(keys, F.col(f"`{key}`").eqNullSafe(F.col(_KEY)), "left_anti")
+        new = replace(now, generation=f"g{uuid.uuid4().hex}", before=now.parts)
+        rows, parts = _write(kept.unionByName(fresh), name, new, allow_empty=True)
+        untouched = tuple(p for p in now.parts if _number(p) not in touched and _number(p) is not None)
+        if untouched:
+            parts = tuple(p for p in parts if _number(p) is not None)
+        new = replace(new, parts=untouched + parts)
+        if layer_of(spark, name).generation != now.generation:
+            delete_path(spark, f"{now.root}/{new.generation}")
+            raise RuntimeError(f"{name} was replaced meanwhile")
+        _publish(spark, name, new)
+    finally:
+        delete_path(spark, stage)
+    _expire(spark, new)
+    return {"rows": rows, "buckets": len(touched)}
+
+
+def _number(part: str) -> int | None:
+    """The bucket of a part; None for the part of a layer without rows."""
+    told = part.rpartition("=")[2]
+    return int(told) if told.isdigit() else None
 
 
 def read_layer(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.table(name)
 
 
+def drop_layer(spark: SparkSession, name: str) -> None:
+    """The layer and all its files."""
+    now = layer_of(spark, name)
+    if now:
+        spark.sql(f"DROP VIEW {_quoted(name)}")
+        delete_path(spark, now.root)
+
+
 def require_rows(df: DataFrame, stage: str) -> DataFrame:
     """Fail when the frame is empty; looks for one row only."""
     if df.isEmpty():

@@ -12,7 +12,7 @@ from corpusmill.operators.manifest import changes_detected, concat_records, dete
 from corpusmill.plans.refresh import RunConfig, run_corpus
 from corpusmill.sources.evaluation import read_questions, write_evaluation
 from corpusmill.sources.files import read_raw_files, with_fallback
-from corpusmill.sources.layers import read_layer, require_rows, with_metrics, write_layer
+from corpusmill.sources.layers import drop_layer, layer_of, read_layer, require_rows, upsert_layer, with_metrics, write_layer
 from corpusmill.sources.manifest import corpus_registry, read_manifest, write_manifest
 from corpusmill.streaming.ingest import document_stream, stream_ingest
 
@@ -49,6 +49,112 @@ def test_a_refused_write_leaves_the_old_rows(spark):
     assert kept.count() == 10 and kept.where("bronze_loaded_at IS NULL").count() == 0
 
 
+SHAPES = {
+    "spread.json": '{"document_id": "s",\n "title": "T"}',
+    "tabbed array.json": '\t\n\t[{"document_id": "a1"},\n{"document_id": "a2"}]',
+    "one line array.json": '[{"document_id": "b1"}, {"document_id": "b2"}]',
+    "lines.json": '{"document_id": "l1"}\n\n  {"document_id": "l2"}\n',
+    "mark.json": '\ufeff  {"document_id": "m1"}\n{"document_id": "m2"}',
+    "late.json": '{"document_id": "k1", "title": "["}\n{"document_id": "k2"}',
+}
+WANTED = {"spread.json": ["s"], "tabbed array.json": ["a1", "a2"], "one line array.json": ["b1", "b2"], "lines.json": ["l1", "l2"], "mark.json": ["m1", "m2"], "late.json": ["k1", "k2"]}
+
+
+@pytest.mark.parametrize("names", [[n] for n in SHAPES] + [list(SHAPES)])
+def test_json_of_every_shape_gives_equal_records(spark, tmp_path, names):
+    for name in names:
+        (tmp_path / name).write_text(SHAPES[name], encoding="utf-8")
+    got = [r.document_id for r in read_manifest(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(i for n in names for i in WANTED[n])
+
+
+def failing(name):
+    return F.when(F.col(name) == 7, F.raise_error(F.lit("a task fails")).cast("long")).otherwise(F.col(name))
+
+
+def files_below(path):
+    return {str(p.relative_to(path)) for p in path.rglob("*.parquet")}
+
+
+def test_a_failed_write_leaves_the_old_rows(spark, tmp_path):
+    name = "default.survives"
+    assert write_layer(spark.range(10), name, path=str(tmp_path / "l")) == 10
+    with pytest.raises(Exception, match="a task fails"):
+        write_layer(spark.range(20).select(failing("id").alias("id")), name, path=str(tmp_path / "l"))
+    assert sorted(r.id for r in read_layer(spark, name).collect()) == list(range(10))
+    with pytest.raises(Exception, match="a task fails"):
+        write_layer(spark.range(20).select(failing("id").alias("id")), "default.never_was")
+    assert layer_of(spark, "default.never_was") is None
+
+
+def test_a_frame_may_replace_the_layer_it_reads(spark):
+    name = "default.self"
+    write_layer(spark.range(10).withColumn("x", F.lit("old")), name)
+    for n in (20, 40, 80):
+        now = read_layer(spark, name)
+        write_layer(now.unionByName(now.withColumn("id", F.col("id") + 1000)).withColumn("y", F.lit(n)).select("id", "x"), name)
+        assert read_layer(spark, name).count() == n
+
+
+def test_readers_keep_the_files_they_have_seen_and_older_ones_go(spark, tmp_path):
+    name, root = "default.generations", tmp_path / "l"
+    write_layer(spark.range(5), name, path=str(root))
+    reader = read_layer(spark, name)
+    write_layer(spark.range(7).withColumn("more", F.lit(1.5)), name, path=str(root))
+    assert reader.count() == 5 and read_layer(spark, name).columns == ["id", "more"]
+    write_layer(spark.range(9), name, path=str(root))
+    assert len({f.split("/")[0] for f in files_below(root)}) == 2
+    drop_layer(spark, name)
+    assert not root.exists() and not spark.catalog.tableExists(name)
+
+
+def test_other_tables_are_not_replaced(spark):
+    spark.range(3).write.saveAsTable("default.foreign_table")
+    with pytest.raises(ValueError, match="no layer"):
+        write_layer(spark.range(1), "default.foreign_table")
+    assert spark.table("default.foreign_table").count() == 3
+
+
+def test_an_upsert_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    name, root = "default.keyed", tmp_path / "l"
+    rows = spark.range(1000).selectExpr("cast(id as string) k", "id v", "named_struct('a', array(id)) s")
+    write_layer(rows, name, "gold", key="k", buckets=16, path=str(root))
+    before = files_below(root)
+    done = upsert_layer(rows.where("v IN (3, 500)").selectExpr("s", "k", "-1 v").unionByName(spark.sql("SELECT 'new' k, 7L v, named_struct('a', array(7L)) s")), name, spark.createDataFrame([("9",), ("absent",)], "k string"), "gold")
+    assert done["buckets"] <= 5
+    got = {r.k: r.v for r in read_layer(spark, name).collect()}
+    assert got == {str(i): i for i in range(1000) if i != 9} | {"3": -1, "500": -1, "new": 7}
+    kept = files_below(root) & before
+    assert len({f for f in before if any(p in f for p in layer_of(spark, name).parts)}) >= 11 and len(files_below(root)) <= len(kept) + 5
+    assert read_layer(spark, name).where("gold_loaded_at IS NULL").count() == 0
+    assert upsert_layer(rows.limit(0).select("k", "v", "s"), name, layer="gold") == {"rows": 0, "buckets": 0}
+    upsert_layer(read_layer(spark, name).select("k", (F.col("v") + 1).alias("v"), "s"), name, layer="gold")
+    assert {r.k: r.v for r in read_layer(spark, name).collect()} == {k: v + 1 for k, v in got.items()}
+
+
+def test_a_failed_upsert_changes_nothing(spark):
+    name = "default.keyed_too"
+    write_layer(spark.range(50), name, key="id", buckets=4)
+    with pytest.raises(Exception, match="a task fails"):
+        upsert_layer(spark.range(5, 9).select(failing("id").alias("id")), name)
+    assert read_layer(spark, name).count() == 50
+    with pytest.raises(ValueError, match="no layer with a key"):
+        write_layer(spark.range(5), "default.without_key")
+        upsert_layer(spark.range(1), "default.without_key")
+
+
+def test_a_keyed_layer_may_become_empty_and_hold_null_keys(spark):
+    name = "default.keyed_empty"
+    rows = spark.createDataFrame([(1, "a"), (None, "b"), (None, "c")], "k int, v string")
+    write_layer(rows, name, key="k", buckets=4)
+    upsert_layer(spark.createDataFrame([(None, "d")], "k int, v string"), name)
+    assert sorted((r.k or 0, r.v) for r in read_layer(spark, name).collect()) == [(0, "d"), (1, "a")]
+    upsert_layer(rows.limit(0), name, rows.select("k"))
+    assert read_layer(spark, name).count() == 0 and read_layer(spark, name).columns == ["k", "v"]
+    upsert_layer(rows, name)
+    assert read_layer(spark, name).count() == 3
+
+
 def test_records_of_the_same_time_are_told_apart(spark):
     current = spark.createDataFrame([("a", "m", None)], "document_id string, cellar_last_modified string, error string")
     rows = [("a", "m", "downloaded", "1"), ("a", None, "failed", "1")]
