@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.keyword import hit_schema, question_terms, question_weights, score_batch, search_keyword
-from corpusmill.operators.scan import scan_pairs, scan_ranked
+from corpusmill.operators.keyword import KeywordIndex, scan_tiles, weighted_questions
 from corpusmill.operators.topk import DEFAULT_TOP_K, SCORE_DIGITS, check_k, top_k
 from corpusmill.operators.vector import search_vector
-from corpusmill.session import BROADCAST_MAX_ROWS, is_bounded
+from corpusmill.session import materialize
 
 RRF_CONSTANT = 60
-# The whole keyword list is fused: published averages of fused scores lie above what two lists of five can give.
-_WHOLE_LIST = 2**31 - 1
-# Up to here neighbouring ranks differ by more than the rounding of the fused score.
-MAX_COUNTED_K = 100
 
 
 def fuse(result_lists: list[DataFrame], k: int, constant: int = RRF_CONSTANT, rank: str = "rank") -> DataFrame:
@@ -31,54 +23,47 @@ def fuse(result_lists: list[DataFrame], k: int, constant: int = RRF_CONSTANT, ra
     return top_k(fused, "question_id", F.col("score"), "chunk_id", k, rank)
 
 
-def _with_keyword_ranks(near: pd.DataFrame, terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """question_id, chunk_id and keyword rank of the k best by words and of every pair in ``near``.
+def fusion_depth(k: int, constant: int = RRF_CONSTANT) -> int:
+    """How many of the keyword list can enter the fused k best without being near: the first k, and those whose part rounds to that of the k-th."""
+    part = round(1 / (constant + k), SCORE_DIGITS)
+    if not part:
+        raise ValueError(f"the parts of the first {k} ranks can't be told apart at {SCORE_DIGITS} digits")
+    depth = k
+    while round(1 / (constant + depth + 1), SCORE_DIGITS) >= part:
+        depth += 1
+    return depth
 
-    A chunk that is no near neighbour and not among the k best by words cannot
-    reach the fused k best: k others with a better part are ahead of it. So the
-    deep keyword list is never built; for the neighbours it is enough to count
-    how many chunks rank above them, in the pass that finds the k best.
+
+def keyword_ranks(questions: DataFrame, index: KeywordIndex, near: DataFrame, depth: int) -> DataFrame:
+    """question_id, chunk_id and keyword rank of the ``depth`` best by words and of every pair in ``near``.
+
+    A chunk that is no near neighbour and not among these can't reach the fused
+    best: as many others with a better part are ahead of it. So the whole
+    keyword list is never built; the rank of a neighbour is counted, tile by
+    tile, as the number of chunks above its score.
     """
-    spark, schema, known = terms.sparkSession, hit_schema(terms, postings), question_weights(terms, postings)
-    if known is None:
-        return spark.createDataFrame([], schema.replace("score double", "rank long"))
-    names, shared = known
-    index = postings.select("chunk_id", "dl", "terms")
-    near = near[near["question_id"].isin(names)]
-    pairs = pd.DataFrame({"q": np.searchsorted(names, near["question_id"].to_numpy()), "chunk_id": near["chunk_id"].to_numpy()})
-    ids = np.full((len(names), k), None, dtype=object)
-    scores = np.full((len(names), k), np.nan)
-    if len(pairs):
-        chosen = spark.createDataFrame(pa.Table.from_pandas(pairs[["chunk_id"]].drop_duplicates(), preserve_index=False))
-        few = index.join(F.broadcast(chosen), "chunk_id", "left_semi")
-        held = scan_pairs(few, names, shared, score_batch, pairs, schema).toArrow().to_pandas()
-        held["q"] = np.searchsorted(names, held["question_id"].to_numpy())
-        held["slot"] = held.groupby("q").cumcount()
-        ids[held["q"], held["slot"]] = held["chunk_id"]
-        scores[held["q"], held["slot"]] = held["score"]
-    seen = scan_ranked(index, names, shared, score_batch, k, ids, scores, schema)
-    merged = seen.groupBy("question_id", "chunk_id").agg(F.max("score").alias("score"), F.sum("above").alias("above"))
-    w = Window.partitionBy("question_id").orderBy(F.col("score").desc_nulls_last(), "chunk_id")
-    place = F.when(F.col("above").isNotNull(), F.col("above") + 1).otherwise(F.row_number().over(w).cast("long"))
-    return merged.withColumn("rank", place).select("question_id", "chunk_id", "rank")
+    asked = materialize(weighted_questions(questions, index.stats), "asked")
+    pairs = near.groupBy("question_id").agg(F.collect_list(F.struct("chunk_id")).alias("near"))
+    with_pairs = asked.join(pairs, "question_id", "left").withColumn("near", F.coalesce("near", F.array().cast(pairs.schema["near"].dataType)))
+    seen = materialize(scan_tiles(index, with_pairs, depth, "near"), "keyword-seen")
+    best = top_k(seen.where("above = 0"), "question_id", F.col("score"), "chunk_id", depth).select("question_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+    scored = seen.where("above = -1").select("question_id", "chunk_id", "score")
+    placed = scored.groupBy("question_id").agg(F.collect_list(F.struct("chunk_id", "score")).alias("near"))
+    above = scan_tiles(index, materialize(asked.join(placed, "question_id"), "near-scored"), depth, "near")
+    above = above.groupBy("question_id", "chunk_id").agg(F.sum("above").alias("above"))
+    ranks = scored.join(above, ["question_id", "chunk_id"], "left").select("question_id", "chunk_id", (F.coalesce("above", F.lit(0)) + 1).alias("rank"))
+    # A chunk that is in both has the same rank in both.
+    return best.unionByName(ranks).groupBy("question_id", "chunk_id").agg(F.min("rank").alias("rank"))
 
 
-def search_hybrid(
-    questions: DataFrame,
-    postings: DataFrame,
-    vectors: DataFrame,
-    k: int = DEFAULT_TOP_K,
-    max_rows: int = BROADCAST_MAX_ROWS,
-) -> DataFrame:
-    """``questions`` has question_id, question and embedding; postings and vectors share chunk_id."""
+def search_hybrid(questions: DataFrame, index: KeywordIndex, vectors: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
+    """``questions`` has question_id, question and embedding; the index and ``vectors`` share chunk_id.
+
+    Questions are written first, so that a model that made their vectors is asked once.
+    """
     check_k(k)
-    by_vector = search_vector(questions.select("question_id", "embedding"), vectors, k)
-    terms = question_terms(questions)
-    if k <= MAX_COUNTED_K and is_bounded(terms, max_rows) and questions.limit(max_rows // k + 1).count() <= max_rows // k:
-        # At most k rows per question, and the questions were counted.
-        near = by_vector.select("question_id", "chunk_id", "rank").toArrow()
-        by_vector = questions.sparkSession.createDataFrame(near)
-        by_words = _with_keyword_ranks(near.to_pandas(), terms, postings, k)
-    else:
-        by_words = search_keyword(questions.select("question_id", "question"), postings, _WHOLE_LIST, max_terms=0)
+    depth = fusion_depth(k)
+    held = materialize(questions.select("question_id", "question", "embedding"), "hybrid-questions")
+    by_vector = materialize(search_vector(held.select("question_id", "embedding"), vectors, k), "hybrid-near")
+    by_words = keyword_ranks(held.select("question_id", "question"), index, by_vector.select("question_id", "chunk_id"), depth)
     return fuse([by_words, by_vector], k)

@@ -1,44 +1,134 @@
-"""Keyword retrieval: BM25 over per-chunk term counts."""
+"""Keyword retrieval: BM25 over an index of words."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.tokens import term_counts, tokens
 from corpusmill.operators.once import with_once
-from corpusmill.operators.scan import SCORES_HELD, column, scan_best
-from corpusmill.operators.topk import DEFAULT_TOP_K, SCORE_DIGITS, check_k, top_k
-from corpusmill.session import BROADCAST_MAX_ROWS, broadcast_if_bounded, is_bounded
+from corpusmill.operators.scan import Blocks, Floors, settled, write_blocks
+from corpusmill.operators.topk import DEFAULT_TOP_K, check_k, top_k
+from corpusmill.session import broadcast_if_bounded, materialize, scratch_path
 
 K1 = 1.2
 B = 0.75
-# Tokens are never empty, so the empty term can carry the totals of the corpus.
+# Tokens are never empty, so the empty term can carry the chunks of a tile and the totals of the corpus.
 _TOTALS = ""
-_SALTS = 32
+# Chunks that are inverted together; a (term, tile) row is a block of the index.
+TILE_CHUNKS = 4096
+# Folders of the index by hash of the term: a search opens those of its terms.
+BUCKETS = 64
+# Blocks of so many neighbouring tiles lie in one file of a bucket, so that a frequent term has many files.
+TILE_GROUP = 1024
+# Asked postings that a task holds before it goes through the questions.
+HELD_POSTINGS = 4_000_000
 
 
 def build_postings(chunks: DataFrame, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("chunk_text",)) -> DataFrame:
-    """One row per chunk: id, length ``dl`` and ``terms`` array<struct<term, tf>>. Row-local, nothing is shuffled.
-
-    Write it as a table before searching: statistics and scoring both read it.
-    """
+    """One row per chunk: id, length ``dl`` and ``terms`` array<struct<term, tf>>. Row-local, nothing is shuffled."""
     text = F.concat_ws(" ", *[F.col(c) for c in text_cols])
     words = with_once(chunks.select(F.col(id_col).alias("chunk_id"), text.alias("text")), "toks", tokens(F.col("text")), drop=["text"])
     return words.select("chunk_id", F.size("toks").alias("dl"), term_counts(F.col("toks")).alias("terms"))
 
 
-def _exploded(postings: DataFrame) -> DataFrame:
-    """(chunk_id, dl, term, tf), with one extra row per chunk under the totals term."""
-    totals = F.struct(F.lit(_TOTALS).alias("term"), F.lit(0).alias("tf"))
-    return postings.select("chunk_id", "dl", F.explode(F.concat(F.array(totals), F.col("terms"))).alias("p")).select(
-        "chunk_id", "dl", F.col("p.term").alias("term"), F.col("p.tf").alias("tf")
-    )
+@dataclass(frozen=True)
+class KeywordIndex:
+    """``blocks``: (bucket, term, tile, at, tf, top_tf, low_dl, ids, dl), sorted by term: the chunks of a tile that hold a term,
+    by place in the tile, with the two numbers that bound what a chunk of the block can score. The empty term has the
+    tile's chunk ids and lengths. ``stats``: (term, df, total_dl), the empty term with count and length of all chunks."""
+
+    blocks: DataFrame
+    stats: DataFrame
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _tile(rows: list[pa.RecordBatch], tile: int) -> pa.RecordBatch:
+    """The blocks of a tile's chunks, sorted by term."""
+    table = pa.Table.from_batches(rows).sort_by("chunk_id").combine_chunks()
+    ids, dl, lists = (table.column(c).combine_chunks() for c in ("chunk_id", "dl", "terms"))
+    lengths = dl.to_numpy().astype(np.int32)
+    entries = lists.flatten()
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), pc.list_value_length(lists).to_numpy())
+    tf = entries.field("tf").to_numpy()
+    coded = pc.dictionary_encode(entries.field("term"))
+    words = coded.dictionary
+    order = pc.sort_indices(words).to_numpy()
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    code = place[coded.indices.to_numpy()]
+    by = np.argsort(code, kind="stable")
+    starts = np.searchsorted(code[by], np.arange(len(words) + 1)) if len(words) else np.zeros(1, np.int64)
+    row, tf = row[by], tf[by]
+    # The empty term first: all chunks of the tile.
+    offsets = np.concatenate([[0], starts + len(ids)]).astype(np.int32)
+    at = np.concatenate([np.arange(len(ids), dtype=np.int32), row])
+    counts = np.concatenate([np.zeros(len(ids), np.int32), tf.astype(np.int32)])
+    n = len(words)
+    top = np.concatenate([[0], np.maximum.reduceat(tf, starts[:-1])]) if n else np.zeros(1)
+    low = np.concatenate([[0], np.minimum.reduceat(lengths[row], starts[:-1])]) if n else np.zeros(1)
+    whole = pa.array([0, len(ids)] + [len(ids)] * n, pa.int32())
+    rest = pa.array([False] + [True] * n + [False])
+    empty = pa.concat_arrays([pa.array([""]), words.take(pa.array(order))])
+    return pa.RecordBatch.from_arrays(
+        [
+            empty, pa.array(np.full(n + 1, tile, np.int64)), pa.ListArray.from_arrays(offsets, pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(counts)),
+            pa.array(top.astype(np.int32)), pa.array(low.astype(np.int32)),
+            pa.ListArray.from_arrays(whole, ids, mask=rest.slice(0, n + 1)), pa.ListArray.from_arrays(whole, pa.array(lengths), mask=rest.slice(0, n + 1)),
+        ],
+        names=["term", "tile", "at", "tf", "top_tf", "low_dl", "ids", "dl"],
+    )
+
+
+def inverted(postings: DataFrame) -> DataFrame:
+    """The blocks of an index from ``build_postings``: chunks are inverted in the task that holds them, up to TILE_CHUNKS at a time."""
+    kind = postings.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, tile = [], 0, TaskContext.get().partitionId() << 24
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, TILE_CHUNKS - count)
+                at += part.num_rows
+                held.append(part)
+                count += part.num_rows
+                if count == TILE_CHUNKS:
+                    yield _tile(held, tile)
+                    held, count, tile = [], 0, tile + 1
+        if count:
+            yield _tile(held, tile)
+
+    schema = f"term string, tile long, at array<int>, tf array<int>, top_tf int, low_dl int, ids array<{kind}>, dl array<int>"
+    rows = postings.select("chunk_id", "dl", "terms").mapInArrow(run, schema)
+    # By term, but a frequent term of very many tiles is dealt to several tasks.
+    dealt = rows.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.floor(F.col("tile") / TILE_GROUP))
+    return dealt.sortWithinPartitions("bucket", "term", "tile")
+
+
+def term_statistics(blocks: DataFrame) -> DataFrame:
+    """Document frequency of each term; the empty term carries chunk count and total length."""
+    total = F.coalesce(F.aggregate("dl", F.lit(0).cast("long"), lambda n, x: n + x), F.lit(0).cast("long"))
+    return blocks.select("term", F.size("at").alias("n"), total.alias("d")).groupBy("term").agg(F.sum("n").alias("df"), F.sum("d").alias("total_dl"))
+
+
+def keyword_index(postings: DataFrame, label: str = "index") -> KeywordIndex:
+    """Writes the index of ``postings`` and its statistics to the shared folder."""
+    spark, path = postings.sparkSession, scratch_path(postings.sparkSession, label)
+    rows = inverted(postings)
+    rows.write.partitionBy("bucket").parquet(path)
+    blocks = spark.read.schema(rows.schema).parquet(path)
+    return KeywordIndex(blocks, materialize(term_statistics(blocks), f"{label}-stats"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -46,128 +136,145 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
 
 
-def term_statistics(postings: DataFrame, vocabulary: DataFrame, small: bool = False) -> DataFrame:
-    """Document frequency of each wanted term; the empty term carries chunk count and total length.
+def weighted_questions(questions: DataFrame, stats: DataFrame) -> DataFrame:
+    """(question_id, avgdl, terms array<struct<term, idf>>) of the questions with a word that occurs in the corpus."""
+    totals = stats.filter(F.col("term") == _TOTALS)
+    n, avgdl = totals.select("df").scalar(), totals.select(F.col("total_dl") / F.col("df")).scalar()
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = question_terms(questions).join(stats, "term").select("question_id", F.struct("term", idf.alias("idf")).alias("t"))
+    return known.groupBy("question_id").agg(F.array_sort(F.collect_list("t")).alias("terms")).select("question_id", avgdl.alias("avgdl"), "terms")
 
-    ``small`` says that the vocabulary was already counted within the broadcast bounds.
-    """
-    wanted = vocabulary.select("term").union(vocabulary.sparkSession.range(1).select(F.lit(_TOTALS).alias("term")))
-    wanted = F.broadcast(wanted) if small else broadcast_if_bounded(wanted)[0]
-    return (
-        _exploded(postings)
-        .join(wanted, "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count("chunk_id").alias("df"), F.sum("dl").alias("total_dl"))
-    )
 
+class _Tile:
+    """The asked postings of some chunks, which are sorted by id."""
 
-def _contribution() -> Column:
-    tf = F.col("tf").cast("double")
-    norm = F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")
-    return F.col("idf") * tf * (K1 + 1) / (tf + K1 * norm)
+    def __init__(self, rows: dict[str, tuple[np.ndarray, np.ndarray]], ids: pa.Array, dl: np.ndarray, avgdl: float) -> None:
+        self.ids, norm = ids, K1 * (1 - B + B * dl.astype(np.float64) / avgdl)
+        self.parts = {t: (at, tf * (K1 + 1) / (tf + norm[at])) for t, (at, tf) in rows.items()}
 
+    def scores(self, terms: list[dict]) -> np.ndarray:
+        out = np.zeros(len(self.ids))
+        for t in terms:
+            if t["term"] in self.parts:
+                at, part = self.parts[t["term"]]
+                out[at] += t["idf"] * part
+        out[out == 0] = np.nan
+        return settled(out)
 
-def term_weights(terms: DataFrame, stats: DataFrame) -> DataFrame:
-    """(question_id, term, idf, avgdl) for the question words that occur in the corpus."""
-    totals = stats.filter(F.col("term") == _TOTALS)
-    n = totals.select("df").scalar()
-    avgdl = totals.select(F.col("total_dl") / F.col("df")).scalar()
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return terms.join(stats, "term").select("question_id", "term", idf.alias("idf"), avgdl.alias("avgdl"))
+
+def _asked(index: KeywordIndex, questions: DataFrame) -> DataFrame:
+    """The blocks of the asked terms, tile by tile: other buckets are not opened, other terms are dropped at the scan."""
+    terms = questions.select(F.explode("terms.term").alias("term")).distinct().unionAll(questions.sparkSession.range(1).select(F.lit(_TOTALS).alias("term")))
+    buckets = [r["b"] for r in terms.select(_bucket(F.col("term")).alias("b")).distinct().collect()]
+    blocks = index.blocks.where(F.col("bucket").isin(buckets)).join(broadcast_if_bounded(terms)[0], "term", "left_semi")
+    return blocks.select("tile", "term", "at", "tf", "top_tf", "low_dl", "ids", "dl").repartition("tile").sortWithinPartitions("tile", "term")
 
 
-def score_batch(shared: tuple, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """BM25 of all questions for the rows of a batch, a slice of rows at a time.
+def scan_tiles(index: KeywordIndex, questions: DataFrame, k: int, near: str | None = None) -> DataFrame:
+    """(question_id, chunk_id, score, above) from one pass over the blocks of the asked terms.
 
-    ``shared`` lists, per known term, the questions that use it (``first`` to
-    ``last`` in ``users``) and its weight.
+    ``questions`` come from ``weighted_questions`` and are written, as each
+    task reads them. Without ``near`` each tile gives its k best chunks per
+    question; a tile whose bound is below what another tile gave is not scored.
+    ``near`` names a column array<struct<chunk_id[, score]>> of ``questions``:
+    without scores the tiles also give the scores of these chunks, marked by an
+    ``above`` of -1; with scores they give only how many chunks rank above each.
     """
-    vocabulary, first, last, users, idf, avgdl, questions = shared
-    ids, dl = column(batch, "chunk_id"), column(batch, "dl").astype(np.float64)
-    lists = batch.column("terms")
-    lengths = np.diff(lists.offsets.to_numpy())
-    entries = lists.flatten()
-    term = pc.fill_null(pc.index_in(entries.field("term"), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(ids)), lengths)
-    known = term >= 0
-    row, term, tf = row[known], term[known], entries.field("tf").to_numpy(zero_copy_only=False)[known].astype(np.float64)
-    part = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl))
-    fan = last[term] - first[term]
-    # Rows are cut so that both the score matrix and the expanded parts stay small.
-    load = np.concatenate([[0], np.cumsum(np.bincount(row, weights=fan, minlength=len(ids)))])
-    entry = np.searchsorted(row, np.arange(len(ids) + 1))
-    at, step = 0, max(1, SCORES_HELD // questions)
-    while at < len(ids):
-        end = int(min(at + step, np.searchsorted(load, load[at] + 2 * SCORES_HELD, side="right") - 1))
-        end = max(end, at + 1)
-        s = slice(entry[at], entry[end])
-        n = fan[s]
-        total = int(n.sum())
-        # Position of every (row, question) part in ``users``.
-        step_in = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        who = users[np.repeat(first[term[s]], n) + step_in]
-        cell = who * (end - at) + np.repeat(row[s] - at, n)
-        scores = np.bincount(cell, weights=np.repeat(part[s], n), minlength=questions * (end - at)).reshape(questions, end - at)
-        scores[scores == 0] = np.nan
-        yield scores, ids[at:end]
-        at = end
-
-
-def question_weights(terms: DataFrame, postings: DataFrame) -> tuple[np.ndarray, tuple] | None:
-    """(question ids, what ``score_batch`` shares), from counted-small question words; None when no word is known."""
-    words = terms.toArrow().to_pandas()
-    stats = term_statistics(postings, terms.select("term").distinct(), small=True).toArrow().to_pandas().set_index("term")
-    words = words[words["term"].isin(stats.index)]
-    if words.empty:
-        return None
-    names, who = np.unique(words["question_id"].to_numpy(), return_inverse=True)
-    vocabulary, term = np.unique(words["term"].to_numpy().astype(str), return_inverse=True)
-    n = float(stats.loc[_TOTALS, "df"])
-    df = stats.loc[vocabulary, "df"].to_numpy(dtype=np.float64)
-    order = np.argsort(term, kind="stable")
-    first = np.searchsorted(term[order], np.arange(len(vocabulary)))
-    shared = (
-        pa.array(vocabulary, pa.string()), first, np.append(first[1:], len(order)), who[order], np.log(1 + (n - df + 0.5) / (df + 0.5)),
-        float(stats.loc[_TOTALS, "total_dl"]) / n, len(names),
-    )
-    return names, shared
-
-
-def hit_schema(questions: DataFrame, postings: DataFrame) -> str:
-    kinds = [(c, df.schema[c].dataType.simpleString()) for df, c in ((questions, "question_id"), (postings, "chunk_id"))]
-    return ", ".join([*(f"{c} {kind}" for c, kind in kinds), "score double"])
-
-
-def _search_broadcast(terms: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """Question words on every executor; one pass over the postings for statistics, one for scores."""
-    schema, known = hit_schema(terms, postings), question_weights(terms, postings)
-    if known is None:
-        return terms.sparkSession.createDataFrame([], schema)
-    return scan_best(postings.select("chunk_id", "dl", "terms"), *known, score_batch, k, schema)
-
-
-def _search_join(terms: DataFrame, postings: DataFrame, schema_cols: list[str]) -> DataFrame:
-    """Many questions: words meet postings in a join on (term, salt), which spreads a frequent term over many tasks."""
-    stats = term_statistics(postings, terms.select("term").distinct())
-    weights = term_weights(terms, stats).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    rows = _exploded(postings).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(_SALTS)).cast("int"))
-    hits = rows.join(weights, ["term", "salt"])
-    scored = hits.groupBy("chunk_id", "question_id").agg(F.round(F.sum(_contribution()), SCORE_DIGITS).alias("score"))
-    return scored.select(*schema_cols)
-
-
-def search_keyword(
-    questions: DataFrame, postings: DataFrame, k: int = DEFAULT_TOP_K, rank: str = "rank", max_terms: int = BROADCAST_MAX_ROWS
-) -> DataFrame:
+    kinds = (questions.schema["question_id"].dataType.simpleString(), index.blocks.schema["ids"].dataType.elementType.simpleString())
+    files = write_blocks(questions, "questions")
+    counting = near is not None and "score" in questions.schema[near].dataType.elementType.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, floors = Blocks(files), Floors()
+        names = ["question_id", "chunk_id", "score", "above"]
+
+        def batch_of(asked: pa.Table, q: list[int], ids: pa.Array, scores: np.ndarray, above: np.ndarray) -> pa.RecordBatch:
+            who = asked.column("question_id").take(pa.array(q, pa.int64())).combine_chunks()
+            return pa.RecordBatch.from_arrays([who, ids, pa.array(scores, pa.float64()), pa.array(above, pa.int64())], names=names)
+
+        def answer(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for b in range(len(blocks)):
+                asked = blocks[b]
+                if not asked.num_rows:
+                    continue
+                floor = floors.of(b, asked.num_rows)
+                terms = asked.column("terms").to_pylist()
+                wanted = asked.column(near).to_pylist() if near else [[]] * len(terms)
+                avgdl = asked.column("avgdl")[0].as_py()
+                for rows, ids, dl, bounds in held:
+                    tile = _Tile(rows, ids, dl, avgdl)
+                    top = {t: tf * (K1 + 1) / (tf + K1 * (1 - B + B * low / avgdl)) for t, (tf, low) in bounds.items()}
+                    places = {v: i for i, v in enumerate(ids.to_pylist())} if near else {}
+                    for q, mine in enumerate(terms):
+                        bound = sum(t["idf"] * top.get(t["term"], 0.0) for t in mine)
+                        if not bound or not near and bound + 1e-5 < floor[q]:
+                            continue
+                        scores = tile.scores(mine)
+                        if counting:
+                            better = [int((scores > w["score"]).sum() + (scores[: _before(ids, w["chunk_id"])] == w["score"]).sum()) for w in wanted[q]]
+                            if any(better):
+                                yield batch_of(asked, [q] * len(better), pa.array([w["chunk_id"] for w in wanted[q]], ids.type), np.zeros(len(better)), np.array(better))
+                            continue
+                        n = min(k, int((scores > -np.inf).sum()))
+                        if not n:
+                            continue
+                        least = max(floor[q], np.partition(scores, len(scores) - n)[len(scores) - n])
+                        at = np.flatnonzero((scores >= least) & (scores > -np.inf))
+                        at = at[np.argsort(-scores[at], kind="stable")][:k]
+                        if n == k:
+                            floor[q] = max(floor[q], least)
+                        if len(at):
+                            yield batch_of(asked, [q] * len(at), ids.take(pa.array(at)), scores[at], np.zeros(len(at), np.int64))
+                        here = [places[w["chunk_id"]] for w in wanted[q] if w["chunk_id"] in places]
+                        here = np.array([p for p in here if scores[p] > -np.inf], np.int64)
+                        if len(here):
+                            yield batch_of(asked, [q] * len(here), ids.take(pa.array(here)), scores[here], np.full(len(here), -1))
+
+        held, size, now, rows, bounds, ids, dl = [], 0, None, {}, {}, None, None
+        for batch in batches:
+            tiles, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, (tile, term) in enumerate(zip(tiles, words, strict=True)):
+                if tile != now:
+                    if ids is not None:
+                        held.append((rows, ids, dl, bounds))
+                    if size > HELD_POSTINGS:
+                        yield from answer(held)
+                        held, size = [], 0
+                    now, rows, bounds, ids = tile, {}, {}, None
+                at = batch.column(2)[i].values
+                if term == _TOTALS:
+                    ids, dl = batch.column(6)[i].values, batch.column(7)[i].values.to_numpy()
+                else:
+                    rows[term] = (at.to_numpy(), batch.column(3)[i].values.to_numpy().astype(np.float64))
+                    bounds[term] = (batch.column(4)[i].as_py(), batch.column(5)[i].as_py())
+                    size += len(at)
+        if ids is not None:
+            held.append((rows, ids, dl, bounds))
+        if held:
+            yield from answer(held)
+
+    return _asked(index, questions).mapInArrow(run, f"question_id {kinds[0]}, chunk_id {kinds[1]}, score double, above long")
+
+
+def _before(ids: pa.Array, chunk_id: object) -> int:
+    """How many of the sorted ids come before one."""
+    low, high = 0, len(ids)
+    while low < high:
+        mid = (low + high) // 2
+        if ids[mid].as_py() < chunk_id:
+            low = mid + 1
+        else:
+            high = mid
+    return low
+
+
+def search_keyword(questions: DataFrame, index: KeywordIndex, k: int = DEFAULT_TOP_K, rank: str = "rank") -> DataFrame:
     """The k best chunks per question: question_id, chunk_id, score, rank.
 
-    Question words that are counted within bounds go to every executor and the
-    postings are scored where they lie; otherwise both sides are joined.
+    One way for few and many questions: the blocks of the asked terms meet by
+    tile, each task goes through the questions and passes on k rows each.
     """
     check_k(k)
-    terms = question_terms(questions)
-    if is_bounded(terms, max_terms):
-        found = _search_broadcast(terms, postings, k)
-    else:
-        found = _search_join(terms, postings, ["question_id", "chunk_id", "score"])
+    asked = materialize(weighted_questions(questions, index.stats), "asked")
+    found = scan_tiles(index, asked, k).select("question_id", "chunk_id", "score")
     return top_k(found, "question_id", F.col("score"), "chunk_id", k, rank)

@@ -1,149 +1,105 @@
-"""One pass over the index that keeps the best rows per question in each task.
+"""Questions in blocks that tasks read one after the other while they hold a stretch of the index.
 
-Scoring every question against every row is inherent to exact search, but no
-pair has to leave its task: a task holds the scores of a slice of its rows and
-passes on k rows per question.
+However many questions there are, the index is read once and stays where it is:
+blocks of questions are files in the shared folder, and a task that holds rows
+of the index goes through all blocks. It passes on k rows per question and
+stretch, fewer once it knows that others can't be among the best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusmill.operators.topk import SCORE_DIGITS
+from corpusmill.session import scratch_path
+from corpusmill.sources.files import children
 
-# Cells of the question x row score matrix held at a time.
-SCORES_HELD = 2_000_000
+# Questions in a block, about.
+QUESTION_BLOCK = 1024
 
 
 def settled(scores: np.ndarray) -> np.ndarray:
-    """Rounded scores, -inf where a pair is no hit (NaN)."""
+    """The one rounding of scores; -inf where a pair is no hit (NaN)."""
     scores = np.round(scores, SCORE_DIGITS) + 0.0
     scores[np.isnan(scores)] = -np.inf
     return scores
 
 
-class Best:
-    """The k best (question, id, score) seen so far; equal scores are settled by id."""
-
-    def __init__(self, questions: int, k: int) -> None:
-        self.k = k
-        self.floor = np.full(questions, -np.inf)
-        self.found: pd.DataFrame | None = None
-
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores`` is questions x rows, settled."""
-        n, k = scores.shape[1], self.k
-        floor = self.floor
-        if n > k:
-            floor = np.maximum(floor, np.partition(scores, n - k, axis=1)[:, n - k])
-        q, at = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-        if not len(q):
-            return
-        new = pd.DataFrame({"q": q, "chunk_id": ids[at], "score": scores[q, at]})
-        every = new if self.found is None else pd.concat([self.found, new])
-        self.found = every.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True]).groupby("q").head(k)
-        per_question = self.found.groupby("q")["score"].agg(["size", "min"])
-        full = per_question[per_question["size"] >= k]
-        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
-
-    def frame(self, names: np.ndarray) -> pd.DataFrame:
-        if self.found is None:
-            return pd.DataFrame({"question_id": names[:0], "chunk_id": [], "score": []})
-        return pd.DataFrame(
-            {
-                "question_id": names[self.found["q"].to_numpy()],
-                "chunk_id": self.found["chunk_id"].to_numpy(),
-                "score": self.found["score"].to_numpy(),
-            }
-        )
-
-
-# (what all tasks share, batch of rows) -> slices of (score matrix, ids)
-Scorer = Callable[[object, pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]
-
-
-def scan_best(index: DataFrame, names: np.ndarray, shared: object, score: Scorer, k: int, schema: str) -> DataFrame:
-    """(question_id, chunk_id, score) of each task's best rows. ``names`` and ``shared`` are broadcast and must be bounded."""
-    held = index.sparkSession.sparkContext.broadcast((names, shared))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, payload = held.value
-        best = Best(len(labels), k)
-        for batch in batches:
-            if batch.num_rows:
-                for scores, ids in score(payload, batch):
-                    best.add(settled(scores), ids)
-        if best.found is not None:
-            yield pa.RecordBatch.from_pandas(best.frame(labels), preserve_index=False)
-
-    return index.mapInArrow(run, schema)
-
-
-class Better:
-    """Counts, for chosen (question, id) pairs, the rows that rank above them."""
-
-    def __init__(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """Both are questions x slots; a slot that is not used has the score NaN."""
-        self.ids = ids
-        self.scores = np.where(np.isnan(scores), np.inf, scores)
-        self.above = np.zeros(scores.shape, dtype=np.int64)
-
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        for slot in range(self.scores.shape[1]):
-            bar = self.scores[:, slot : slot + 1]
-            q, at = np.nonzero(scores == bar)
-            first = q[np.array([a < b for a, b in zip(ids[at], self.ids[q, slot])], dtype=bool)] if len(q) else q
-            self.above[:, slot] += (scores > bar).sum(axis=1) + np.bincount(first, minlength=len(scores))
-
-    def frame(self, names: np.ndarray) -> pd.DataFrame:
-        q, slot = np.nonzero(np.isfinite(self.scores))
-        return pd.DataFrame({"question_id": names[q], "chunk_id": self.ids[q, slot], "above": self.above[q, slot]})
-
-
-def scan_ranked(
-    index: DataFrame, names: np.ndarray, shared: object, score: Scorer, k: int, chosen_ids: np.ndarray, chosen_scores: np.ndarray, schema: str
-) -> DataFrame:
-    """As ``scan_best``, and in the same pass how many rows of the task rank above each chosen pair (column ``above``)."""
-    held = index.sparkSession.sparkContext.broadcast((names, shared, chosen_ids, chosen_scores))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, payload, ids_wanted, scores_wanted = held.value
-        best, better = Best(len(labels), k), Better(ids_wanted, scores_wanted)
-        for batch in batches:
-            if batch.num_rows:
-                for raw, ids in score(payload, batch):
-                    scores = settled(raw)
-                    best.add(scores, ids)
-                    better.add(scores, ids)
-        parts = [f for f in (best.frame(labels).assign(above=None), better.frame(labels).assign(score=None)) if len(f)]
-        for part in parts:
-            part = part[["question_id", "chunk_id", "score", "above"]].astype({"score": "float64", "above": "Int64"})
-            yield pa.RecordBatch.from_pandas(part, preserve_index=False)
-
-    return index.mapInArrow(run, schema + ", above long")
-
-
-def scan_pairs(index: DataFrame, names: np.ndarray, shared: object, score: Scorer, pairs: pd.DataFrame, schema: str) -> DataFrame:
-    """Scores of chosen (q, chunk_id) pairs; q is the position in ``names``."""
-    held = index.sparkSession.sparkContext.broadcast((names, shared, pairs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, payload, wanted = held.value
-        for batch in batches:
-            if batch.num_rows:
-                for raw, ids in score(payload, batch):
-                    here = wanted.merge(pd.DataFrame({"chunk_id": ids, "at": np.arange(len(ids))}), on="chunk_id")
-                    found = settled(raw)[here["q"].to_numpy(), here["at"].to_numpy()]
-                    out = pd.DataFrame({"question_id": labels[here["q"].to_numpy()], "chunk_id": here["chunk_id"], "score": found})
-                    yield pa.RecordBatch.from_pandas(out[np.isfinite(found)], preserve_index=False)
-
-    return index.mapInArrow(run, schema)
-
-
-def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(name).to_pandas().to_numpy()
+def write_blocks(questions: DataFrame, label: str, size: int | None = None) -> list[list[str]]:
+    """The files of each block of ``questions`` (question_id, ...), dealt by hash."""
+    spark, path = questions.sparkSession, scratch_path(questions.sparkSession, label)
+    questions.write.parquet(f"{path}/all")
+    held = spark.read.schema(questions.schema).parquet(f"{path}/all")
+    blocks = max(1, math.ceil(held.count() / (size or QUESTION_BLOCK)))
+    if blocks == 1:
+        folders = [f"{path}/all"]
+    else:
+        dealt = held.withColumn("_block", F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int"))
+        dealt.repartition(blocks, "_block").write.partitionBy("_block").parquet(f"{path}/blocks")
+        folders = [f"{path}/blocks/{c}" for c in children(spark, f"{path}/blocks") if c.startswith("_block=")]
+    return [[f"{f}/{c}" for c in children(spark, f) if c.endswith(".parquet")] for f in folders]
+
+
+def _uri(path: str) -> str:
+    return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+class Blocks:
+    """What a task reads of blocks; the last one read is kept, so that a single block is read once."""
+
+    def __init__(self, files: list[list[str]]) -> None:
+        self.files, self.last, self.held = files, None, None
+
+    def __len__(self) -> int:
+        return len(self.files)
+
+    def __getitem__(self, i: int) -> pa.Table:
+        if i >= len(self.files):
+            raise IndexError(i)
+        if self.last != i:
+            tables = []
+            for path in self.files[i]:
+                store, inner = fs.FileSystem.from_uri(_uri(path))
+                with store.open_input_file(inner) as source:
+                    tables.append(pq.ParquetFile(source).read())
+            self.last, self.held = i, pa.concat_tables(tables).combine_chunks()
+        return self.held
+
+
+class Floors:
+    """By block the least score that each question's k best of one stretch had. What is lower in another stretch is not among the best."""
+
+    def __init__(self) -> None:
+        self.held: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(0))
+
+    def of(self, block: int, questions: int) -> np.ndarray:
+        if len(self.held[block]) != questions:
+            self.held[block] = np.full(questions, -np.inf)
+        return self.held[block]
+
+
+def best_cells(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(question, column) of each question's k best cells, equal scores by column, none below ``floor``, which rises."""
+    n = scores.shape[1]
+    if n > k:
+        least = np.partition(scores, n - k, axis=1)[:, n - k]
+        np.maximum(floor, least, out=floor)
+    q, at = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+    by = np.lexsort((at, -scores[q, at], q))
+    q, at = q[by], at[by]
+    first = np.searchsorted(q, q)
+    keep = np.arange(len(q)) - first < k
+    return q[keep], at[keep]
+
+
+def hit_schema(questions: DataFrame, index: DataFrame) -> str:
+    kinds = [(c, df.schema[c].dataType.simpleString()) for df, c in ((questions, "question_id"), (index, "chunk_id"))]
+    return ", ".join([*(f"{c} {kind}" for c, kind in kinds), "score double"])

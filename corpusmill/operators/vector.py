@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.scan import SCORES_HELD, Best, column, scan_best, settled
+from corpusmill.operators.scan import Blocks, Floors, best_cells, hit_schema, settled, write_blocks
 from corpusmill.operators.topk import DEFAULT_TOP_K, SCORE_DIGITS, check_k, top_k
-from corpusmill.session import broadcast_if_bounded, is_bounded
+from corpusmill.session import broadcast_if_bounded
 
-QUESTION_BLOCK = 4096
-INDEX_TILE = 20_000
+# Vector cells of the index that a task holds at a time, and scores of one slice of it.
+HELD_CELLS = 2_000_000
+SCORES_HELD = 2_000_000
 _SALTS = 32
 METRICS = ("cosine", "dot", "euclidean")
 
@@ -41,75 +42,61 @@ def _scores(questions: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
-def _slices(questions: np.ndarray, ids: np.ndarray, rows: np.ndarray, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    step = max(1, SCORES_HELD // max(1, len(questions)))
-    for at in range(0, len(rows), step):
-        yield _scores(questions, rows[at : at + step], metric), ids[at : at + step]
-
-
 def _with_vector(df: DataFrame, id_col: str, out: str) -> DataFrame:
     return df.select(F.col(id_col).alias(out), "embedding").filter(F.col("embedding").isNotNull())
 
 
-def _search_broadcast(questions: DataFrame, index: DataFrame, k: int, metric: str, schema: str) -> DataFrame:
-    """Question matrix on every executor; one pass over the index."""
-    held = questions.toArrow()
-    if not held.num_rows:
-        return questions.sparkSession.createDataFrame([], schema)
-    names = held.column("question_id").to_pandas().to_numpy()
-
-    def score(matrix: np.ndarray, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        return _slices(matrix, column(batch, "chunk_id"), _matrix(batch.column("embedding")), metric)
-
-    return scan_best(index, names, _matrix(held.column("embedding")), score, k, schema)
-
-
-def _search_tiles(questions: DataFrame, index: DataFrame, k: int, metric: str, schema: str, block: int, tile: int) -> DataFrame:
-    """Many questions: blocks of questions meet tiles of the index, both of bounded size, in one co-grouped shuffle."""
-    blocks = max(1, math.ceil(questions.count() / block))
-    tiles = max(1, math.ceil(index.count() / tile))
-    left = questions.withColumn("_b", F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int")).withColumn(
-        "_t", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    )
-    right = index.withColumn("_t", F.pmod(F.xxhash64("chunk_id"), F.lit(tiles)).cast("int")).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-
-    def run(qs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        best = Best(len(qs), k)
-        if len(qs) and len(rows):
-            matrix, vectors = (np.stack(df["embedding"]).astype(np.float64) for df in (qs, rows))
-            for scores, ids in _slices(matrix, rows["chunk_id"].to_numpy(), vectors, metric):
-                best.add(settled(scores), ids)
-        return best.frame(qs["question_id"].to_numpy())
-
-    return left.groupBy("_b", "_t").cogroup(right.groupBy("_b", "_t")).applyInPandas(run, schema)
-
-
 def search_vector(
     questions: DataFrame,
     index: DataFrame,
     k: int = DEFAULT_TOP_K,
     metric: str = "cosine",
     id_col: str = "chunk_id",
-    question_block: int = QUESTION_BLOCK,
-    index_tile: int = INDEX_TILE,
     rank: str = "rank",
 ) -> DataFrame:
     """Exact k nearest rows per question: question_id, chunk_id, score, rank.
 
-    ``questions`` has question_id and embedding; rows without a vector take no part.
+    ``questions`` has question_id and embedding; rows without a vector take no
+    part. The index stays where it is and is read once: a task holds some
+    HELD_CELLS of it and goes through the blocks of questions.
     """
     check_k(k)
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     qs, rows = _with_vector(questions, "question_id", "question_id"), _with_vector(index, id_col, "chunk_id")
-    kinds = {f.name: f.dataType.simpleString() for f in [*qs.schema.fields, *rows.schema.fields]}
-    schema = f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, score double"
-    if is_bounded(qs, question_block):
-        found = _search_broadcast(qs, rows, k, metric, schema)
-    else:
-        found = _search_tiles(qs, rows, k, metric, schema, question_block, index_tile)
+    files = write_blocks(qs, "vector-questions")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, floors = Blocks(files), Floors()
+
+        def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # In order of the ids, so that of equal scores the first column is the one to keep.
+            table = pa.Table.from_batches(held).sort_by("chunk_id").combine_chunks()
+            ids, matrix = table.column("chunk_id").combine_chunks(), _matrix(table.column("embedding"))
+            for b in range(len(blocks)):
+                asked = blocks[b]
+                if not asked.num_rows:
+                    continue
+                names, vectors, floor = asked.column("question_id").combine_chunks(), _matrix(asked.column("embedding")), floors.of(b, asked.num_rows)
+                step = max(1, SCORES_HELD // len(vectors))
+                for at in range(0, len(matrix), step):
+                    scores = settled(_scores(vectors, matrix[at : at + step], metric))
+                    q, place = best_cells(scores, k, floor)
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(place + at)), pa.array(scores[q, place])], names=["question_id", "chunk_id", "score"])
+
+        held, cells = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                cells += len(batch.column(1).flatten())
+                if cells >= HELD_CELLS:
+                    yield from answer(held)
+                    held, cells = [], 0
+        if held:
+            yield from answer(held)
+
+    found = rows.select("chunk_id", "embedding").mapInArrow(run, hit_schema(qs, rows))
     return top_k(found, "question_id", F.col("score"), "chunk_id", k, rank)
 
 

@@ -11,7 +11,7 @@ from corpusmill.operators.chunk import chunk_pages
 from corpusmill.operators.embed import DEFAULT_DIMS, embed
 from corpusmill.operators.extract import attach_content, extract_text, split_quarantine
 from corpusmill.operators.index import SEARCHABLE, dedupe, index_eligible, to_index_rows
-from corpusmill.operators.keyword import build_postings
+from corpusmill.operators.keyword import build_postings, inverted, term_statistics
 from corpusmill.operators.manifest import changes_detected, normalize_manifest, successful
 from corpusmill.sources.files import read_raw_files
 from corpusmill.sources.layers import read_layer, upsert_layer, write_layer
@@ -78,6 +78,6 @@ def run_corpus(spark: SparkSession, manifest: DataFrame, cfg: RunConfig) -> dict
     by_id = {"key": "chunk_id", "buckets": cfg.buckets} if cfg.buckets else {}
     done["index_chunks"] = write_layer(rows, cfg.table("index_chunks"), fmt=cfg.fmt, **by_id)
     index = read_layer(spark, cfg.table("index_chunks"))
-    postings = build_postings(index, text_cols=SEARCHABLE)
-    done["index_postings"] = write_layer(postings, cfg.table("index_postings"), fmt=cfg.fmt)
+    done["index_postings"] = write_layer(inverted(build_postings(index, text_cols=SEARCHABLE)), cfg.table("index_postings"), fmt=cfg.fmt)
+    done["index_stats"] = write_layer(term_statistics(read_layer(spark, cfg.table("index_postings"))), cfg.table("index_stats"), fmt=cfg.fmt)
     return done

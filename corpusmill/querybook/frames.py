@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clean_text
 from corpusmill.operators.chunk import chunk_pages
-from corpusmill.operators.keyword import build_postings
+from corpusmill.operators.keyword import KeywordIndex, build_postings, keyword_index
 from corpusmill.operators.once import with_text_once
 from corpusmill.querybook.registry import spread, table
 from corpusmill.session import materialize
@@ -42,6 +42,6 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
-def stored_postings(chunks: DataFrame, *args: object) -> DataFrame:
-    """The keyword index, written once: statistics and scoring both read it."""
-    return materialize(build_postings(chunks, *args), "postings")
+def stored_postings(chunks: DataFrame, *args: object) -> KeywordIndex:
+    """The keyword index, written once with its statistics."""
+    return keyword_index(build_postings(chunks, *args))

@@ -242,7 +242,7 @@ def test_gated_run(spark, tmp_path):
     assert run_corpus(spark, manifest_rows(spark).withColumn("changed", F.lit(False)), cfg) == {}
     done = run_corpus(spark, manifest_rows(spark), cfg)
     assert done["bronze_quarantine"] == 3 and {r.document_id for r in read_layer(spark, "default.bronze_quarantine").collect()} == {"d6", "d7", "d8"}
-    assert done["bronze_documents"] == 8 and done["bronze_pages"] == 4 == done["index_chunks"] == done["index_postings"]
+    assert done["bronze_documents"] == 8 and done["bronze_pages"] == 4 == done["index_chunks"] and done["index_postings"] >= done["index_stats"] > 10
     pages = {(r.document_id, r.page_number, r.section_number): r.text for r in read_layer(spark, "default.bronze_pages").collect()}
     assert pages == {
         ("d1", 1, None): "page one", ("d1", 3, None): "page three é", ("d2", None, 1): "web text",

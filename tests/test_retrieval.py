@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import answers as A
-from corpusmill.operators.hybrid import fuse, search_hybrid
+from corpusmill.operators.hybrid import fuse, fusion_depth, search_hybrid
 from corpusmill.operators.embed import embed, embed_with
 from corpusmill.operators.index import dedupe, facets, index_eligible, order_fields, to_index_rows, upsert_index, where_fields
-from corpusmill.operators.keyword import build_postings, search_keyword
+from corpusmill.operators.keyword import build_postings, keyword_index, search_keyword
 from corpusmill.operators.vector import recall_at_k, search_vector, search_vector_ann
 from corpusmill.session import broadcast_if_bounded, is_bounded
 from corpusmill.sources.index_sink import check_published, publish_index
@@ -50,12 +50,14 @@ def bm25(corpus, question, k):
     return [(i, s) for s, i in ranked]
 
 
-@pytest.mark.parametrize("max_terms", [10_000, 1])
+@pytest.mark.parametrize("tile, block, postings", [(4096, 1024, 4_000_000), (16, 2, 30)])
 @pytest.mark.parametrize("k", [1, 5, 150])
-def test_keyword_equals_brute_force(spark, corpus, questions, k, max_terms):
+def test_keyword_equals_brute_force(spark, corpus, questions, k, tile, block, postings, monkeypatch):
+    for name, value in (("keyword.TILE_CHUNKS", tile), ("keyword.HELD_POSTINGS", postings), ("scan.QUESTION_BLOCK", block)):
+        monkeypatch.setattr(f"corpusmill.operators.{name}", value)
     chunks = spark.createDataFrame(corpus, "chunk_id string, chunk_text string").repartition(5)
     asked = spark.createDataFrame(questions, "question_id string, question string")
-    rows = search_keyword(asked, build_postings(chunks), k, max_terms=max_terms).orderBy("question_id", "rank").collect()
+    rows = search_keyword(asked, keyword_index(build_postings(chunks)), k).orderBy("question_id", "rank").collect()
     for qid, text in questions:
         got = [(r.chunk_id, pytest.approx(r.score, abs=2e-6)) for r in rows if r.question_id == qid]
         assert [(i, s) for i, s in bm25(corpus, text, k)] == got
@@ -63,8 +65,11 @@ def test_keyword_equals_brute_force(spark, corpus, questions, k, max_terms):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
-@pytest.mark.parametrize("block", [4096, 3])
-def test_vector_equals_brute_force(spark, metric, block):
+@pytest.mark.parametrize("block, cells", [(1024, 2_000_000), (3, 100)])
+def test_vector_equals_brute_force(spark, metric, block, cells, monkeypatch):
+    monkeypatch.setattr("corpusmill.operators.scan.QUESTION_BLOCK", block)
+    monkeypatch.setattr("corpusmill.operators.vector.HELD_CELLS", cells)
+    monkeypatch.setattr("corpusmill.operators.vector.SCORES_HELD", cells)
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(200, 8)).astype(np.float32)
     vectors[:70] = vectors[0]
@@ -72,7 +77,11 @@ def test_vector_equals_brute_force(spark, metric, block):
     asked = rng.normal(size=(8, 8)).astype(np.float32)
     index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(999, None)], "chunk_id long, embedding array<float>").repartition(4)
     qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)] + [(77, None)], "question_id long, embedding array<float>")
-    rows = search_vector(qs, index, 5, metric, question_block=block, index_tile=40).orderBy("question_id", "rank").collect()
+    found = search_vector(qs, index, 5, metric)
+    # The index is never shuffled, only the hits are.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("MapInArrow") and plan.count("hashpartitioning") == 1
+    rows = found.orderBy("question_id", "rank").collect()
     v, q = vectors.astype(float), asked.astype(float)
     for i in range(8):
         with np.errstate(all="ignore"):
@@ -87,7 +96,30 @@ def test_vector_equals_brute_force(spark, metric, block):
 def test_no_questions_give_no_hits(spark, corpus):
     chunks = embed(spark.createDataFrame(corpus, "chunk_id string, chunk_text string"))
     none = spark.createDataFrame([], "question_id string, question string, embedding array<float>")
-    assert search_hybrid(none, build_postings(chunks), chunks, 5).count() == 0
+    index = keyword_index(build_postings(chunks))
+    assert search_hybrid(none, index, chunks, 5).count() == 0
+    empty = keyword_index(build_postings(chunks.limit(0)))
+    some = embed(spark.createDataFrame([("q", "alpha")], "question_id string, question string"), "question")
+    assert search_hybrid(some, empty, chunks.limit(0), 5).count() == 0
+
+
+def test_a_search_opens_only_the_buckets_of_its_terms(spark, corpus):
+    from corpusmill.operators import keyword
+
+    index = keyword_index(build_postings(spark.createDataFrame(corpus, "chunk_id string, chunk_text string")))
+    asked = keyword.weighted_questions(spark.createDataFrame([(1, "rare delta")], "question_id int, question string"), index.stats)
+    scan = keyword._asked(index, asked)
+    opened = scan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in opened
+    assert {r.term for r in scan.collect()} == {"", "rare", "delta"}
+    every = {r.bucket for r in index.blocks.select("bucket").distinct().collect()}
+    assert len({r.bucket for r in index.blocks.where("term IN ('', 'rare', 'delta')").select("bucket").distinct().collect()}) < len(every)
+
+
+def test_deep_lists_reach_as_far_as_rounding_does():
+    assert [fusion_depth(k) for k in (1, 5, 100)] == [1, 5, 100]
+    depth = fusion_depth(2000)
+    assert depth > 2000 and round(1 / (60 + depth), 6) == round(1 / 2060, 6) > round(1 / (61 + depth), 6)
 
 
 def test_k_must_be_positive(spark):
@@ -218,12 +250,11 @@ def test_question_checks(spark):
     assert rejected.count() == 4 and rejected.filter("reason IS NULL").isEmpty()
 
 
-@pytest.mark.parametrize("k", [1, 5])
-def test_hybrid_ranks_equal_the_full_keyword_list(spark, corpus, questions, k):
+@pytest.mark.parametrize("k, tile", [(1, 4096), (5, 16), (120, 16)])
+def test_hybrid_ranks_equal_the_full_keyword_list(spark, corpus, questions, k, tile, monkeypatch):
     chunks = embed(spark.createDataFrame(corpus, "chunk_id string, chunk_text string"), dims=8).repartition(5)
     asked = embed(spark.createDataFrame(questions, "question_id string, question string"), "question", 8)
-    postings = build_postings(chunks)
-    want = fuse([search_keyword(asked, postings, 10_000), search_vector(asked, chunks, k)], k)
-    for max_rows in (200_000, 1):
-        got = search_hybrid(asked, postings, chunks, k, max_rows)
-        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.setattr("corpusmill.operators.keyword.TILE_CHUNKS", tile)
+    index = keyword_index(build_postings(chunks))
+    want = fuse([search_keyword(asked, index, 10_000), search_vector(asked, chunks, k)], k)
+    assert sorted(map(tuple, search_hybrid(asked, index, chunks, k).collect())) == sorted(map(tuple, want.collect()))
