@@ -16,7 +16,7 @@ from corpusmill.operators.vector import recall_at_k, search_vector, search_vecto
 from corpusmill.querybook import sql
 from corpusmill.querybook.frames import asked, chunks_of_text, pages_of_text, stored_chunks, stored_postings
 from corpusmill.querybook.registry import query, spread, table, vector_cells
-from corpusmill.sources.index_sink import publish_index
+from corpusmill.sources.index_sink import publish, publish_index
 
 DIMS = 64
 _HITS = "SELECT question_id, chunk_id, score, rank FROM {}"
@@ -225,3 +225,26 @@ SELECT shard, batch, count(*) AS n_ok, 0::BIGINT AS n_failed FROM b GROUP BY ALL
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     return publish_index(rows, _checking_writer, batch_size=20, shards=16)
+
+
+def _refusing_writer():
+    """Refuses the rows of one label, as an index service refuses what breaks its rules."""
+
+    def write(rows):
+        return [label != 7 for label in rows["label"]]
+
+    return write
+
+
+@query(
+    "publish_commit",
+    f"""WITH s AS (SELECT vec_id, label, ({sql.md5_number('vec_id::VARCHAR')} % ceil((SELECT count(*) FROM embeddings) / 60.0)::BIGINT)::INT AS shard FROM embeddings),
+b AS (SELECT *, ((row_number() OVER (PARTITION BY shard ORDER BY vec_id) - 1) // 20 + 1)::INT AS batch FROM s)
+SELECT shard, batch, count(*) FILTER (label IS DISTINCT FROM 7) AS n_ok, count(*) FILTER (label = 7) AS n_failed,
+       coalesce(string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) FILTER (label IS DISTINCT FROM 7), '') AS taken, coalesce(string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) FILTER (label = 7), '') AS refused
+FROM b GROUP BY ALL""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    sent = publish(rows, _refusing_writer, batch_size=20, allow_failed=True, shard_rows=60)
+    return sent.select("shard", "batch", "n_ok", "n_failed", F.array_join("taken", ",").alias("taken"), F.array_join("refused", ",").alias("refused"))

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import math
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+from corpusmill.session import scratch_path
 
 BATCH_SIZE = 100
 
@@ -61,3 +69,110 @@ def check_published(report: DataFrame) -> int:
     if row["bad"]:
         raise RuntimeError(f"{row['bad']} rows failed to upload")
     return row["ok"]
+
+
+# ---- publishing with a commit -----------------------------------------------------------------------------------------
+
+# Rows of a shard, about: what one task sends.
+SHARD_ROWS = 100_000
+
+
+@dataclass
+class Sent(WriterCommitMessage):
+    """What the attempt of a task that counts has done: its file of batches, rows taken and rows refused."""
+
+    file: str | None
+    n_ok: int
+    n_failed: int
+
+
+class BatchWriterOfTask(DataSourceWriter):
+    """Sends a task's rows in batches and records them in a file of its own; only the attempts that Spark commits count."""
+
+    def __init__(self, make_writer: Callable[[], BatchWriter], folder: str, columns: list[str], allow_failed: bool) -> None:
+        self.make_writer, self.folder, self.columns, self.allow_failed = make_writer, folder, columns, allow_failed
+
+    def _store(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri("file://" + self.folder.removeprefix("file:") if self.folder.startswith("file:/") and not self.folder.startswith("file://") else self.folder)
+
+    def write(self, rows: Iterator[Row]) -> Sent:
+        send, out, held, counts, file = self.make_writer(), None, [], [0, 0], f"pending/{uuid.uuid4().hex}.json"
+        store, base = self._store()
+
+        def close() -> None:
+            nonlocal out
+            frame = pd.DataFrame([[r[c] for c in self.columns] for r in held], columns=self.columns)
+            ok = [bool(x) for x in send(frame)]
+            if out is None:
+                store.create_dir(f"{base}/pending", recursive=True)
+                out = store.open_output_stream(f"{base}/{file}", compression=None)
+            record = {"shard": held[0]["shard"], "batch": held[0]["batch"], "n_ok": sum(ok), "n_failed": len(ok) - sum(ok)}
+            keys = [r[self.columns[0]] for r in held]
+            record |= {"taken": [str(k) for k, good in zip(keys, ok, strict=True) if good], "refused": [str(k) for k, good in zip(keys, ok, strict=True) if not good]}
+            out.write((json.dumps(record) + "\n").encode())
+            counts[0] += record["n_ok"]
+            counts[1] += record["n_failed"]
+            held.clear()
+
+        for row in rows:
+            if held and (row["shard"], row["batch"]) != (held[0]["shard"], held[0]["batch"]):
+                close()
+            held.append(row)
+        if held:
+            close()
+        if out:
+            out.close()
+        return Sent(file if out else None, *counts)
+
+    def commit(self, messages: list[Sent | None]) -> None:
+        done = [m for m in messages if m]
+        failed = sum(m.n_failed for m in done)
+        if failed and not self.allow_failed:
+            raise RuntimeError(f"{failed} rows failed to upload")
+        store, base = self._store()
+        store.create_dir(f"{base}/batches", recursive=True)
+        for m in done:
+            if m.file:
+                store.move(f"{base}/{m.file}", f"{base}/batches/{m.file.rpartition('/')[2]}")
+        self._drop_pending()
+        with store.open_output_stream(f"{base}/published.json", compression=None) as out:
+            out.write(json.dumps({"n_ok": sum(m.n_ok for m in done), "n_failed": failed}).encode())
+
+    def abort(self, messages: list[Sent | None]) -> None:
+        self._drop_pending()
+
+    def _drop_pending(self) -> None:
+        store, base = self._store()
+        if store.get_file_info(f"{base}/pending").type == fs.FileType.Directory:
+            store.delete_dir(f"{base}/pending")
+
+
+def publish(df: DataFrame, make_writer: Callable[[], BatchWriter], folder: str | None = None, batch_size: int = BATCH_SIZE, key: str = "chunk_id", allow_failed: bool = False, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Send all rows and return the batches (shard, batch, n_ok, n_failed, taken, refused), read back from ``folder``.
+
+    The writer is made once per task and must be idempotent by key, as Spark may
+    run a task again; what it takes and refuses is recorded per attempt. Once
+    all tasks are done the committed attempts become the record, in one step on
+    the driver, which only sees counts and file names. A refused row fails the
+    whole and leaves no record, unless ``allow_failed``. The number of shards
+    follows from the rows; shard and batch follow from the keys.
+    """
+    spark, folder = df.sparkSession, folder or scratch_path(df.sparkSession, "published")
+    columns = [key, *[c for c in df.columns if c != key]]
+    rows = df.select(*columns)
+    shards = max(1, math.ceil(rows.count() / shard_rows))
+    sent = batched(rows, batch_size, shards, key)
+
+    class IndexBatches(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "index_batches"
+
+        def writer(self, schema, overwrite):
+            return BatchWriterOfTask(make_writer, folder, columns, allow_failed)
+
+    spark.dataSource.register(IndexBatches)
+    # The window left each shard whole in a partition, sorted by key.
+    sent.write.format("index_batches").mode("append").save()
+    schema = "shard int, batch int, n_ok long, n_failed long, taken array<string>, refused array<string>"
+    return spark.read.schema(schema).json(f"{folder}/batches")

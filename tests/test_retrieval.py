@@ -16,7 +16,7 @@ from corpusmill.operators.index import dedupe, facets, index_eligible, order_fie
 from corpusmill.operators.keyword import build_postings, keyword_index, search_keyword
 from corpusmill.operators.vector import recall_at_k, search_vector, search_vector_ann
 from corpusmill.session import broadcast_if_bounded, is_bounded
-from corpusmill.sources.index_sink import check_published, publish_index
+from corpusmill.sources.index_sink import check_published, publish, publish_index
 
 WORDS = ["alpha", "beta", "gamma", "delta", "rare", "the", "the", "the", "of"]
 
@@ -216,6 +216,36 @@ def test_publish_in_batches(spark, tmp_path):
         check_published(publish_index(df.withColumn("v", F.col("v") - 1), make, shards=3))
 
 
+def test_publishing_is_committed_or_leaves_nothing(spark, tmp_path):
+    def taking(limit):
+        def make():
+            return lambda rows: [v < limit for v in rows["v"]]
+
+        return make
+
+    df = spark.range(1000).select(F.col("id").cast("string").alias("chunk_id"), F.col("id").alias("v"))
+    done = publish(df, taking(1000), f"{tmp_path}/all", shard_rows=300).collect()
+    assert {r.shard for r in done} == {0, 1, 2, 3} and sum(r.n_ok for r in done) == 1000 and max(r.n_ok for r in done) <= 100
+    assert sorted(int(k) for r in done for k in r.taken) == list(range(1000))
+    assert not (tmp_path / "all" / "pending").exists()
+    with pytest.raises(Exception, match="3 rows failed to upload"):
+        publish(df, taking(997), f"{tmp_path}/none", shard_rows=300)
+    assert not (tmp_path / "none" / "batches").exists() and not (tmp_path / "none" / "pending").exists()
+    some = publish(df, taking(997), f"{tmp_path}/some", allow_failed=True).collect()
+    assert sorted(k for r in some for k in r.refused) == ["997", "998", "999"]
+
+    def breaking():
+        def write(rows):
+            raise OSError("the service is gone")
+
+        return write
+
+    with pytest.raises(Exception, match="the service is gone"):
+        publish(df, breaking, f"{tmp_path}/gone")
+    assert not (tmp_path / "gone" / "batches").exists()
+    assert publish(df.limit(0), taking(1), f"{tmp_path}/empty").count() == 0
+
+
 def test_size_check(spark):
     df = spark.range(1000)
     assert is_bounded(df, max_rows=1000) and not is_bounded(df, max_rows=999) and not is_bounded(df, max_bytes=10)
