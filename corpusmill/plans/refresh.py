@@ -1,20 +1,12 @@
-"""Runs over the layers: incremental refresh and the gated full run."""
+"""Re-chunking and re-embedding of changed documents."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from corpusmill.operators.chunk import chunk_pages
 from corpusmill.operators.embed import DEFAULT_DIMS, embed
-from corpusmill.operators.extract import attach_content, extract_text, split_quarantine
-from corpusmill.operators.index import SEARCHABLE, dedupe, index_eligible, to_index_rows
-from corpusmill.operators.keyword import build_postings, inverted, term_statistics
-from corpusmill.operators.manifest import changes_detected, normalize_manifest, successful
-from corpusmill.sources.files import read_raw_files
-from corpusmill.sources.layers import read_layer, upsert_layer, write_layer
+from corpusmill.sources.layers import upsert_layer
 
 
 def refresh(changed_pages: DataFrame, changed_ids: DataFrame, chunks: DataFrame, dims: int = DEFAULT_DIMS) -> DataFrame:
@@ -34,50 +26,3 @@ def refresh_layer(changed_pages: DataFrame, changed_ids: DataFrame, name: str, d
     ids = changed_ids.select("document_id").distinct()
     todo = changed_pages.join(ids, "document_id", "left_semi")
     return upsert_layer(embed(chunk_pages(todo), "chunk_text", dims), name, removed=ids)
-
-
-@dataclass(frozen=True)
-class RunConfig:
-    """Where one run reads and writes.
-
-    ``buckets`` lays the index rows out by chunk id, so that an upsert needs no
-    shuffle of them; choose it so that one bucket fits a task.
-    """
-
-    raw_root: str
-    database: str = "default"
-    dims: int = DEFAULT_DIMS
-    buckets: int | None = None
-    fmt: str = "parquet"
-
-    def table(self, name: str) -> str:
-        return f"{self.database}.{name}"
-
-
-def run_corpus(spark: SparkSession, manifest: DataFrame, cfg: RunConfig) -> dict[str, int]:
-    """All layers from a manifest with ``changed``; nothing is done when nothing changed.
-
-    Each layer is one lazy plan that ends in its table; the next one reads the table.
-    Documents without usable content go to ``bronze_quarantine`` with the reason.
-    """
-    if not changes_detected(manifest).first()["changes_detected"]:
-        return {}
-    done = {}
-    documents = normalize_manifest(manifest)
-    done["bronze_documents"] = write_layer(documents, cfg.table("bronze_documents"), "bronze", cfg.fmt)
-    landed = attach_content(successful(documents), read_raw_files(spark, cfg.raw_root), cfg.raw_root)
-    good, bad = split_quarantine(landed)
-    done["bronze_quarantine"] = write_layer(bad.drop("content"), cfg.table("bronze_quarantine"), "bronze", cfg.fmt, allow_empty=True)
-    done["bronze_pages"] = write_layer(extract_text(good), cfg.table("bronze_pages"), "bronze", cfg.fmt)
-    pages = read_layer(spark, cfg.table("bronze_pages"))
-    done["silver_chunks"] = write_layer(chunk_pages(pages), cfg.table("silver_chunks"), "silver", cfg.fmt)
-    chunks = read_layer(spark, cfg.table("silver_chunks"))
-    done["gold_embeddings"] = write_layer(embed(chunks, dims=cfg.dims), cfg.table("gold_embeddings"), fmt=cfg.fmt)
-    gold = read_layer(spark, cfg.table("gold_embeddings"))
-    rows = dedupe(index_eligible(to_index_rows(gold)), "chunk_id", [F.col("file_name"), F.col("chunk_text")])
-    by_id = {"key": "chunk_id", "buckets": cfg.buckets} if cfg.buckets else {}
-    done["index_chunks"] = write_layer(rows, cfg.table("index_chunks"), fmt=cfg.fmt, **by_id)
-    index = read_layer(spark, cfg.table("index_chunks"))
-    done["index_postings"] = write_layer(inverted(build_postings(index, text_cols=SEARCHABLE)), cfg.table("index_postings"), fmt=cfg.fmt)
-    done["index_stats"] = write_layer(term_statistics(read_layer(spark, cfg.table("index_postings"))), cfg.table("index_stats"), fmt=cfg.fmt)
-    return done

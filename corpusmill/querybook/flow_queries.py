@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clean_text
@@ -13,14 +13,15 @@ from corpusmill.operators.chunk import chunk_pages
 from corpusmill.operators.embed import embed
 from corpusmill.operators.evaluate import summarize
 from corpusmill.plans.refresh import refresh, refresh_layer
+from corpusmill.plans.run import RunConfig, run_corpus
 from corpusmill.querybook import sql
 from corpusmill.querybook.answer_queries import _LABEL_RESULTS, _SUMMARY, _label_results
 from corpusmill.querybook.frames import pages_of_text
-from corpusmill.querybook.registry import query, table, vector_cells
+from corpusmill.querybook.registry import query, spread, table, vector_cells
 from corpusmill.session import materialize, scratch_path
 from corpusmill.sources.evaluation import read_questions, write_evaluation
 from corpusmill.sources.layers import read_layer, upsert_layer, with_metrics, write_layer
-from corpusmill.streaming.ingest import document_stream, stream_ingest
+from corpusmill.streaming.ingest import document_stream, stream_ingest, stream_replace
 
 
 @query("layer_round_trip", f"SELECT doc_id, lang, {sql.clean('text')} AS text FROM documents")
@@ -115,6 +116,51 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "gated_run",
+    f"""WITH {sql.CHUNKED},\n{sql.vectors('chunked', 'chunk_id', 'chunk_text', 64, 'cv')}
+SELECT document_id, chunk_id, short_title, md5(chunk_text) AS chunk_md5, {sql.cells('embedding')} AS cells, 0::BIGINT AS idle_stages FROM chunked LEFT JOIN cv USING (chunk_id)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A first run, an idle one, and one in which a language changed and another one is new: together they equal a full build.
+    database, root = f"run_{uuid.uuid4().hex}", "/landing"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{scratch_path(spark, database)}'")
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("document_id"), "source", "lang", "text")
+
+    def manifest(changed: Column) -> DataFrame:
+        return docs.select(
+            "document_id", F.lit("pdf").alias("file_format"), F.concat("document_id", F.lit(".pdf")).alias("file_name"), F.lit("downloaded").alias("ingestion_status"),
+            F.col("source").alias("short_title"), changed.alias("changed"),
+        )
+
+    def files(text: Column) -> DataFrame:
+        return docs.select(F.concat(F.lit(f"file:{root}/pdf/"), "document_id", F.lit(".pdf")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+    cfg = RunConfig(raw_root=root, database=database, buckets=8)
+    before = F.when(F.col("lang") == "de", F.concat("text", F.lit(" "), "text")).otherwise(F.col("text"))
+    run_corpus(spark, manifest(F.col("lang") != "es"), cfg, files=files(before))
+    idle = run_corpus(spark, manifest(F.lit(False)), cfg, files=files(before))
+    run_corpus(spark, manifest(F.col("lang").isin("de", "es")), cfg, files=files(F.col("text")))
+    rows = read_layer(spark, cfg.table("index_chunks"))
+    return rows.select(
+        "document_id", "chunk_id", "short_title", F.md5("chunk_text").alias("chunk_md5"), vector_cells(F.col("embedding")).alias("cells"), F.lit(len(idle)).cast("long").alias("idle_stages")
+    )
+
+
+@query("stream_replace", f"WITH {sql.CHUNKED} SELECT document_id, chunk_index, chunk_id, chunk_length FROM chunked")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # German documents arrive in a longer version first; the second one replaces their chunks.
+    arrived, name = scratch_path(spark, "arrived"), f"streamed_{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "lang", "text")
+    longer = F.when(F.col("lang") == "de", F.concat("text", F.lit(" "), "text")).otherwise(F.col("text"))
+    docs.withColumn("text", longer).withColumn("version", F.lit(1)).drop("lang").write.parquet(arrived)
+    docs.where("lang = 'de'").withColumn("version", F.lit(2)).drop("lang").write.mode("append").parquet(arrived)
+    schema = docs.drop("lang").withColumn("version", F.lit(1)).schema
+    arriving = document_stream(spark, arrived, schema, glob="*.parquet", files_per_trigger=1)
+    stream_replace(arriving, name, scratch_path(spark, "progress"), "version", buckets=8, path=scratch_path(spark, name)).awaitTermination()
+    return read_layer(spark, name).select("document_id", "chunk_index", "chunk_id", "chunk_length")
+
+
 @query("evaluation_items", "SELECT item_id::VARCHAR AS id, text AS question, 'src' || item_id AS expected_regulation, 'a,b' AS keywords FROM benchmark")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "questions")

@@ -44,6 +44,8 @@ class Layer:
     before: tuple[str, ...] = ()
     key: str | None = None
     buckets: int = 0
+    #: the last micro-batch of a stream that was written to the layer
+    batch: int = -1
 
     def paths(self, parts: Iterable[str] | None = None) -> list[str]:
         return [f"{self.root}/{p}" for p in (self.parts if parts is None else parts)]
@@ -189,21 +191,27 @@ def write_layer(
     return rows
 
 
-def upsert_layer(updates: DataFrame, name: str, removed: DataFrame | None = None, layer: str | None = None) -> dict[str, int]:
-    """Rows of ``updates`` replace all rows with their keys; keys of ``removed`` lose theirs. Returns rows written and buckets rewritten.
+def upsert_layer(updates: DataFrame, name: str, removed: DataFrame | None = None, layer: str | None = None, batch: int | None = None) -> dict[str, int]:
+    """Rows of ``updates`` replace all rows with their keys; keys of ``removed`` lose theirs. Returns the number of updates, of rows written and of buckets rewritten.
 
     Only the buckets in which a key of either lies are read and written again;
     all others stay the files they are. ``updates`` is written first, as it is
-    used twice. Columns are taken by name; a layer keeps its schema.
+    used twice. Columns are taken by name; a layer keeps its schema. ``batch``
+    numbers the micro-batches of a stream: one that was written before, or
+    earlier ones, change nothing.
     """
     spark, now = updates.sparkSession, layer_of(updates.sparkSession, name)
     if now is None or not now.key:
         raise ValueError(f"{name} is no layer with a key")
+    if batch is not None and batch <= now.batch:
+        return {"updates": 0, "rows": 0, "buckets": 0}
     key, schema = now.key, _schema(now)
     stage = f"{now.root}/stage-{uuid.uuid4().hex}"
     try:
         fresh = (with_audit(updates, layer) if layer else updates).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+        fresh, seen = with_metrics(fresh, f"{name} updates")
         fresh.write.parquet(f"{stage}/rows")
+        count = _rows(seen)
         fresh = spark.read.schema(schema).parquet(f"{stage}/rows")
         keys = fresh.select(F.col(f"`{key}`").alias(_KEY))
         if removed is not None:
@@ -212,11 +220,11 @@ def upsert_layer(updates: DataFrame, name: str, removed: DataFrame | None = None
         keys = spark.read.parquet(f"{stage}/keys")
         touched = {r["b"] for r in keys.select(_bucket(_KEY, now.buckets).alias("b")).distinct().collect()}
         if not touched:
-            return {"rows": 0, "buckets": 0}
+            return {"updates": 0, "rows": 0, "buckets": 0}
         old = [p for p in now.parts if _number(p) in touched]
         kept = spark.read.schema(schema).format(now.fmt).load(now.paths(old)) if old else spark.createDataFrame([], schema)
         kept = kept.join(keys, F.col(f"`{key}`").eqNullSafe(F.col(_KEY)), "left_anti")
-        new = replace(now, generation=f"g{uuid.uuid4().hex}", before=now.parts)
+        new = replace(now, generation=f"g{uuid.uuid4().hex}", before=now.parts, batch=now.batch if batch is None else batch)
         rows, parts = _write(kept.unionByName(fresh), name, new, allow_empty=True)
         untouched = tuple(p for p in now.parts if _number(p) not in touched and _number(p) is not None)
         if untouched:
@@ -229,7 +237,7 @@ def upsert_layer(updates: DataFrame, name: str, removed: DataFrame | None = None
     finally:
         delete_path(spark, stage)
     _expire(spark, new)
-    return {"rows": rows, "buckets": len(touched)}
+    return {"updates": count, "rows": rows, "buckets": len(touched)}
 
 
 def _number(part: str) -> int | None:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.extract import attach_content, split_quarantine
 from corpusmill.operators.manifest import changes_detected, concat_records, detect_changes, infer_compliance_domain, normalize_manifest
-from corpusmill.plans.refresh import RunConfig, run_corpus
+from corpusmill.operators.keyword import KeywordIndex, search_keyword
+from corpusmill.plans.run import RunConfig, run_corpus, run_state
 from corpusmill.sources.evaluation import read_questions, write_evaluation
 from corpusmill.sources.files import read_raw_files, with_fallback
 from corpusmill.sources.layers import drop_layer, layer_of, read_layer, require_rows, upsert_layer, with_metrics, write_layer
 from corpusmill.sources.manifest import corpus_registry, read_manifest, write_manifest
-from corpusmill.streaming.ingest import document_stream, stream_ingest
+from corpusmill.streaming.ingest import document_stream, stream_ingest, stream_replace
 
 
 def test_manifest_array_and_missing_file(spark, tmp_path):
@@ -127,7 +128,7 @@ def test_an_upsert_rewrites_only_the_buckets_it_touches(spark, tmp_path):
     kept = files_below(root) & before
     assert len({f for f in before if any(p in f for p in layer_of(spark, name).parts)}) >= 11 and len(files_below(root)) <= len(kept) + 5
     assert read_layer(spark, name).where("gold_loaded_at IS NULL").count() == 0
-    assert upsert_layer(rows.limit(0).select("k", "v", "s"), name, layer="gold") == {"rows": 0, "buckets": 0}
+    assert upsert_layer(rows.limit(0).select("k", "v", "s"), name, layer="gold") == {"updates": 0, "rows": 0, "buckets": 0}
     upsert_layer(read_layer(spark, name).select("k", (F.col("v") + 1).alias("v"), "s"), name, layer="gold")
     assert {r.k: r.v for r in read_layer(spark, name).collect()} == {k: v + 1 for k, v in got.items()}
 
@@ -211,7 +212,7 @@ def landing(tmp_path):
         ("pdf", "d1.pdf", "page one\f\fpage three é".encode()), ("html", "d2.html", b"<html><body><article>web\xff text</article></body></html>"),
         ("xml", "d3.xml", b"<a><Cube time='2026-01-02'><Cube currency='USD' rate='1.5'/></Cube></a>"), ("xml", "d4.xml", b"<a><b></a>"), ("html", "d5.html", b"<nav>x</nav>"),
     ):
-        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder).mkdir(exist_ok=True, parents=True)
         (tmp_path / folder / name).write_bytes(content)
     return str(tmp_path)
 
@@ -237,6 +238,63 @@ def test_missing_root_is_an_error(spark, tmp_path):
         read_raw_files(spark, str(tmp_path / "none"))
 
 
+def test_a_document_that_arrives_again_replaces_its_chunks(spark, tmp_path):
+    name, src, schema = "default.streamed", str(tmp_path / "in"), "document_id string, text string, version int"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+
+    def run(progress="a"):
+        arriving = document_stream(spark, src, spark.createDataFrame([], schema).schema, glob="*.parquet", files_per_trigger=1)
+        stream_replace(arriving, name, str(tmp_path / progress), order="version", buckets=4).awaitTermination()
+        return sorted((r.document_id, r.chunk_text) for r in read_layer(spark, name).collect())
+
+    arrive([("a", "one " * 600, 1), ("b", "two", 1), ("c", " ", 1)])
+    assert [d for d, _ in run()] == ["a"] * 3 + ["b"]
+    arrive([("a", "short now", 2), ("d", "new", 1), ("d", "newer", 2)])
+    assert run() == [("a", "short now"), ("b", "two"), ("d", "newer")]
+    state = layer_of(spark, name)
+    assert state.batch == 1 and run() == run() and layer_of(spark, name) == state
+    # Without its progress the stream sends the first batches again; the layer has them already.
+    assert run("b") == [("a", "short now"), ("b", "two"), ("d", "newer")] and layer_of(spark, name) == state
+    arrive([("b", None, 2)])
+    assert run() == [("a", "short now"), ("d", "newer")]
+
+
+class Down(RuntimeError):
+    pass
+
+
+def test_a_stopped_run_goes_on_at_its_stage(spark, tmp_path, monkeypatch):
+    spark.sql("CREATE DATABASE IF NOT EXISTS resumed")
+    cfg = RunConfig(raw_root=landing(tmp_path / "raw"), database="resumed", dims=16, buckets=4, publish_to=str(tmp_path / "sent"))
+    manifest, taking = manifest_rows(spark), lambda: lambda rows: [True] * len(rows)
+
+    def broken(*args, **named):
+        raise Down("no vectors today")
+
+    with monkeypatch.context() as patch:
+        patch.setattr("corpusmill.plans.run.embed", broken)
+        with pytest.raises(Down):
+            run_corpus(spark, manifest, cfg, "r1", make_writer=taking)
+    assert run_state(spark, cfg, "r1") == {"bronze_documents": 8, "bronze_quarantine": 3, "bronze_pages": 4, "silver_chunks": 4}
+    before = {n: layer_of(spark, cfg.table(n)) for n in ("bronze_documents", "bronze_pages", "silver_chunks")}
+    done = run_corpus(spark, manifest, cfg, "r1", make_writer=taking)
+    assert {n: layer_of(spark, cfg.table(n)) for n in before} == before
+    assert list(done) == list(run_state(spark, cfg, "r1")) and done["published"] == 4 and done["gold_embeddings"] == 4
+    assert run_corpus(spark, manifest, cfg, "r1", make_writer=taking) == done
+    # A second run changes one document and does no other again.
+    (tmp_path / "raw" / "pdf" / "d1.pdf").write_bytes(b"page one, second version")
+    changed = manifest.withColumn("changed", F.col("document_id") == "d1")
+    again = run_corpus(spark, changed, cfg, "r2", make_writer=taking)
+    assert again["bronze_pages"] == 1 == again["gold_embeddings"] == again["published"]
+    texts = {r.document_id: r.chunk_text for r in read_layer(spark, cfg.table("index_chunks")).collect()}
+    assert texts["d1"] == "page one, second version" and set(texts) == {"d1", "d2", "d3"}
+    index = KeywordIndex(read_layer(spark, cfg.table("index_postings")), read_layer(spark, cfg.table("index_stats")))
+    asked = spark.createDataFrame([(1, "second three")], "question_id int, question string")
+    assert search_keyword(asked, index, 5).count() == 1
+
+
 def test_gated_run(spark, tmp_path):
     cfg = RunConfig(raw_root=landing(tmp_path), database="default", dims=16, buckets=4)
     assert run_corpus(spark, manifest_rows(spark).withColumn("changed", F.lit(False)), cfg) == {}
