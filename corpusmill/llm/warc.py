@@ -19,12 +19,12 @@ from corpusmill.session import materialize, scratch_path
 
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT_BYTES = 100
-#: Bytes of an archive that one task scans.
-SPLIT_BYTES = 4 << 20
+#: Bytes of an archive in one range.
+SPLIT_BYTES = 16 << 20
+#: Each range has a task of its own up to so many; then a task scans several, one after the other.
+MOST_TASKS = 100_000
 #: Bytes read at a time.
 CHUNK_BYTES = 1 << 18
-#: A record's headers must end within this many bytes.
-HEADER_BYTES = 1 << 16
 
 _MAGIC = b"\x1f\x8b\x08"
 _DATE = "1970-01-01T00:00:00Z"
@@ -91,6 +91,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 out.write(member)
                 size += len(member)
                 records += 1
+            del batch, binary, ids, urls, digests, refers
+            pa.default_memory_pool().release_unused()
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{file}"]), pa.array([size]), pa.array([records])], names=["path", "bytes", "records"])
@@ -113,26 +115,39 @@ class _Window:
         return self.held[at - self.at : end - self.at]
 
 
-def _member(window: _Window, at: int, whole: bool) -> tuple[bytes, int] | None:
-    """The inflated member at ``at`` and where it ends; without ``whole`` only its first bytes. None where it isn't one."""
-    inflate, parts, got, place = zlib.decompressobj(31), [], 0, at
+_FIRST = re.compile(rb"WARC/1\.[01]\r\n")
+_FIRST_BYTES = 10
+
+
+def _head(window: _Window, at: int) -> bytes | None:
+    """The first bytes of the member at ``at`` up to the end of its header, however long that is; None where it is no record."""
+    inflate, held, place, looked = zlib.decompressobj(31), bytearray(), at, 0
     try:
         while place < window.size and not inflate.eof:
-            chunk = window.read(place, CHUNK_BYTES if whole else 4096)
-            out = inflate.decompress(chunk)
+            chunk = window.read(place, 4096 if place == at else CHUNK_BYTES)
+            held += inflate.decompress(chunk)
             place += len(chunk)
-            parts.append(out)
-            got += len(out)
-            if not whole and (b"\r\n\r\n" in out or got >= HEADER_BYTES):
-                break
+            if len(held) >= _FIRST_BYTES and not _FIRST.match(held):
+                return None
+            if held.find(b"\r\n\r\n", looked) >= 0:
+                return bytes(held)
+            looked = max(0, len(held) - 3)
     except zlib.error:
-        return None
-    if whole and not inflate.eof:
-        return None
-    return b"".join(parts), place - len(inflate.unused_data)
+        pass
+    return None
 
 
-_FIRST = re.compile(rb"WARC/1\.[01]\r\n")
+def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
+    """The inflated member at ``at`` and where it ends; None where it isn't whole."""
+    inflate, parts, place = zlib.decompressobj(31), [], at
+    try:
+        while place < window.size and not inflate.eof:
+            chunk = window.read(place, CHUNK_BYTES)
+            parts.append(inflate.decompress(chunk))
+            place += len(chunk)
+    except zlib.error:
+        return None
+    return (b"".join(parts), place - len(inflate.unused_data)) if inflate.eof else None
 
 
 def parse_header(data: bytes) -> tuple[dict[str, str], int] | None:
@@ -168,8 +183,8 @@ def scan_range(source, size: int, start: int, end: int) -> Iterator[tuple[int, d
             at += found
             if at >= end:
                 return
-        head = _member(window, at, whole=False)
-        if head is None or parse_header(head[0]) is None or (full := _member(window, at, whole=True)) is None:
+        head = _head(window, at)
+        if head is None or parse_header(head) is None or (full := _member(window, at)) is None:
             at += 1
             continue
         fields, begin = parse_header(full[0])
@@ -190,11 +205,13 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLI
     """The records of the archives in ``files`` (path, bytes) below one file system, whatever the size of a file.
 
     Columns: page_id, url, payload_bytes, payload_digest (of the full payload), record_type, refers_to, file, place,
-    and payload on request (null for revisits). A response's digest is computed from its bytes.
+    and payload on request (null for revisits). A response's digest is computed from its bytes. Ranges are dealt out to as
+    many tasks as the bytes give.
     """
+    total = files.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / split_bytes)), F.lit(0)).alias("n")).first()["n"]
     pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     ranges = files.select("path", "bytes", F.explode(pieces).alias("start")).withColumn("stop", F.least(F.col("start") + split_bytes, F.col("bytes")))
-    spread = ranges.repartitionByRange(F.col("path"), F.col("start"))
+    spread = ranges.repartition(max(1, min(int(total), MOST_TASKS)))
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, place long" + ", payload binary" * with_payload
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -227,14 +244,26 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLI
     return spread.mapInArrow(scan, schema)
 
 
+def checked(records: DataFrame, files: DataFrame) -> DataFrame:
+    """The records, written once; fails where they are not as many as ``files`` (records) counted when they were written."""
+    found = materialize(records, "warc-records")
+    got = found.count()
+    written = files.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"]
+    if got != written:
+        raise RuntimeError(f"{written} records were written, {got} were read")
+    return found
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes an archive record per row of ``pages`` (page_id, url, html) and reads all of them back by byte ranges.
 
-    Null html is an empty payload; null urls are empty. Repeated rows are
-    records of their own. An empty table writes no file and gives no rows.
+    Null html is an empty payload; null urls are empty; urls and payloads may
+    be of any length. Repeated rows are records of their own. Other columns are
+    ignored. An empty table writes no file and gives no rows.
     """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
     if "://" not in folder and folder.startswith("file:"):
         folder = "file://" + folder.removeprefix("file:")
-    return read_archives(spark, write_archives(pages, folder))
+    files = write_archives(pages, folder)
+    return checked(read_archives(spark, files), files)

@@ -20,6 +20,7 @@ def pages():
     rows += [(200 + i, None, same) for i in range(30)] + [(5, "u", same), (300, "u", None), (301, "u", ""), (302, "u", "s" * 99), (303, "u", "s" * 99), (304, "u", "é" * 50), (305, "u", "é" * 50), (5, "u", same), (None, "n", same)]
     # a payload that holds what looks like archives, stored and compressed
     fake = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n").decode("latin-1")
+    rows += [(500, "http://long.example/" + "".join(rng.choice("abcdefghij") for _ in range(70_000)), "<p>"), (501, "data:" + "x" * 5_000_000, None)]
     return rows + [(400, "u", fake * 50), (401, "u", "WARC/1.0\r\n" * 500), (402, "u", os.urandom(60_000).hex())]
 
 
@@ -63,3 +64,21 @@ def test_damaged_bytes_between_records_are_passed_over():
 def test_an_empty_table_and_the_shared_folder(spark, tmp_path):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert warc.round_trip(spark.createDataFrame([(7, "u", None)], "page_id long, url string, html string")).first()["page_id"] == 7
+
+
+def test_ranges_are_dealt_to_as_many_tasks_as_the_bytes_give(spark, tmp_path):
+    rng = random.Random(4)
+    frame = spark.createDataFrame([(i, "u", "".join(rng.choice("abcdefgh") for _ in range(4000))) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    files = warc.write_archives(frame, f"file://{tmp_path}/big")
+    size = files.agg({"bytes": "sum"}).first()[0]
+    tasks = {split: warc.read_archives(spark, files, split).rdd.getNumPartitions() for split in (20_000, 80_000, 1 << 30)}
+    assert tasks == {split: -(-size // split) for split in tasks}
+    places = warc.read_archives(spark, files, 20_000).selectExpr("spark_partition_id() AS t").distinct().count()
+    assert places > 10
+
+
+def test_a_lost_record_is_an_error(spark, tmp_path):
+    frame = spark.createDataFrame([(i, "u", "<p>") for i in range(9)], "page_id long, url string, html string")
+    files = warc.write_archives(frame, f"file://{tmp_path}/lost")
+    with pytest.raises(RuntimeError, match="9 records were written, 8 were read"):
+        warc.checked(warc.read_archives(spark, files).where("page_id <> 4"), files)
