@@ -67,6 +67,7 @@ def byte_size(content: Column) -> Column:
 
 # Whitespace bytes that may precede a file's magic bytes.
 _LEADING_BYTES = "\t\n\x0b\x0c\r "
+HEAD_BYTES = 2000
 
 
 def file_error(content: Column, file_format: Column) -> Column:
@@ -76,9 +77,10 @@ def file_error(content: Column, file_format: Column) -> Column:
     def check(head: Column) -> Column:
         return (
             F.when((file_format == "pdf") & ~head.startswith("%PDF"), F.lit("Invalid PDF file"))
-            .when((file_format == "html") & ~F.lower(F.left(head, F.lit(2000))).contains("<html"), F.lit("Invalid HTML file"))
+            .when((file_format == "html") & ~F.lower(head).contains("<html"), F.lit("Invalid HTML file"))
             .when((file_format == "xml") & ~head.startswith("<?xml"), F.lit("Invalid XML file"))
         )
 
-    # ISO-8859-1 maps every byte to one character, so positions stay byte positions.
-    return let(F.ltrim(F.decode(content, "ISO-8859-1"), F.lit(_LEADING_BYTES)), check)
+    # Only the head is decoded; ISO-8859-1 maps every byte to one character, so positions stay byte positions.
+    head = F.substring(F.ltrim(content.cast("string"), F.lit(_LEADING_BYTES)).cast("binary"), 1, HEAD_BYTES)
+    return let(F.decode(head, "ISO-8859-1"), check)

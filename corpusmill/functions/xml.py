@@ -19,18 +19,40 @@ _PROBE_SCHEMA = "struct<_VALUE string, _corrupt_record string>"
 _ATTR = r"""\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 
+# A tag's inside, quoted values with a ">" in them included.
+_INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+
+
+def _has_one_root(body: Column) -> Column:
+    """Whether a well-formed run of elements is a single one: its first element closes only once, and nothing follows."""
+    bare = F.regexp_replace(body, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", F.lit(""))
+
+    def check(doc: Column) -> Column:
+        name = F.concat(F.lit(r"\Q"), F.regexp_extract(doc, r"\A\s*<([^\s/>]+)", 1), F.lit(r"\E"))
+        tags = F.regexp_extract_all(doc, F.concat(F.lit("(</?"), name, F.lit(r"(?=[\s/>])" + _INSIDE + ">)")), F.lit(1))
+        steps = F.transform(tags, lambda t: F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1))
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed"))
+        walked = F.aggregate(
+            steps, start, lambda at, x: F.struct((at["depth"] + x).alias("depth"), (at["closed"] + F.when((at["depth"] + x == 0), 1).otherwise(0)).alias("closed"))
+        )
+        ends = doc.rlike(r"\A\s*<" + _INSIDE + r"/>\s*\z") | F.call_function("regexp_like", doc, F.concat(F.lit("</"), name, F.lit(r"\s*>\s*\z")))
+        return (walked["closed"] == 1) & ends
+
+    return let(bare, check)
+
+
 def is_well_formed(xml: Column) -> Column:
     """False for text the XML parser rejects; such rows never fail the job.
 
     The parser stops at the end of the first element. Wrapping the document
     makes it read everything, and text next to the root element shows up as the
-    wrapper's own value.
+    wrapper's own value. Several elements next to each other are no document.
     """
     body = F.regexp_replace(xml, r"(?s)\A<\?xml\s.*?\?>", F.lit(""))
     body = F.regexp_replace(body, r"(?s)\A\s*<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>", F.lit(""))
     probe = F.from_xml(F.concat(F.lit("<whole_document>"), body, F.lit("</whole_document>")), _PROBE_SCHEMA, {"mode": "PERMISSIVE"})
     return F.coalesce(
-        let(probe, lambda p: p["_corrupt_record"].isNull() & p["_VALUE"].isNull()) & body.rlike(r"\A\s*<"), F.lit(False)
+        let(probe, lambda p: p["_corrupt_record"].isNull() & p["_VALUE"].isNull()) & body.rlike(r"\A\s*<") & _has_one_root(body), F.lit(False)
     )
 
 

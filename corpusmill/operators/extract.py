@@ -11,7 +11,7 @@ from corpusmill.functions.base import let
 from corpusmill.functions.html import main_text
 from corpusmill.functions.text import byte_size, clean_text, decode_utf8, file_error, sha256_hex
 from corpusmill.functions.xml import fx_struct, rdf_expression_id, rdf_modified, rdf_title, xml_text_or_tags_removed
-from corpusmill.operators.manifest import raw_path, raw_path_error
+from corpusmill.operators.manifest import RAW_FOLDERS, raw_path, raw_path_error
 from corpusmill.operators.once import with_once, with_text_once
 from corpusmill.schemas import BRONZE_PAGES, LINEAGE
 from corpusmill.session import broadcast_if_bounded
@@ -20,6 +20,23 @@ from corpusmill.sources.layers import utc_text
 PAGE_BREAK = "\f"
 
 
+def _path_key(path: Column) -> Column:
+    """A path without its scheme and host, so that one store's spellings of it are equal."""
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*", "/")
+
+
+def _wanted(manifest: DataFrame, root: str) -> DataFrame:
+    fmt, name = F.col("file_format"), F.col("file_name")
+    return manifest.withColumn("source_file", raw_path(fmt, name, root)).withColumn("error", raw_path_error(fmt, name))
+
+
+def _missing(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """The records of ``wanted`` without a file; only paths are read."""
+    keyed = wanted.withColumn("_key", _path_key(F.col("source_file")))
+    missing = keyed.join(files.select(_path_key(F.col("path")).alias("_key")), "_key", "left_anti").drop("_key")
+    return missing.withColumn("error", F.coalesce(F.col("error"), F.concat(F.lit("File not found: "), F.col("source_file"))))
+
+
 def attach_content(manifest: DataFrame, files: DataFrame, root: str) -> DataFrame:
     """Manifest rows with the bytes of their landed file; ``error`` says why there are none.
 
@@ -27,18 +44,36 @@ def attach_content(manifest: DataFrame, files: DataFrame, root: str) -> DataFram
     in the task that read them. The files are looked at a second time for the
     documents without one, by path only.
     """
-    wanted = manifest.withColumn("source_file", raw_path(F.col("file_format"), F.col("file_name"), root)).withColumn(
-        "error", raw_path_error(F.col("file_format"), F.col("file_name"))
-    )
-    landed = files.select(F.regexp_replace("path", "^file:/+", "/").alias("source_file"), "content")
-    records, _ = broadcast_if_bounded(wanted)
-    found = landed.join(records, "source_file").select(*wanted.columns, "content")
-    missing = wanted.join(landed.select("source_file"), "source_file", "left_anti").withColumn(
-        "error", F.coalesce(F.col("error"), F.concat(F.lit("File not found: "), F.col("source_file")))
-    )
+    wanted = _wanted(manifest, root)
+    records, _ = broadcast_if_bounded(wanted.withColumn("_key", _path_key(F.col("source_file"))))
+    found = files.select(_path_key(F.col("path")).alias("_key"), "content").join(records, "_key").select(*wanted.columns, "content")
+    missing = _missing(wanted, files)
     return found.unionByName(missing.select(*wanted.columns, F.lit(None).cast("binary").alias("content")))
 
 
+def extract_landed(manifest: DataFrame, files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """(bronze pages, quarantine) of manifest records and landed files; file contents are never shuffled.
+
+    A manifest proven small is broadcast to the scan, and only its files are
+    read. For a larger one the format is seen in the file's folder, the task
+    that read a file extracts it, and the records meet its pages.
+    """
+    wanted = _wanted(manifest, root)
+    quarantine = _missing(wanted, files)
+    good = wanted.where("error IS NULL").drop("error").withColumn("_key", _path_key(F.col("source_file")))
+    records, small = broadcast_if_bounded(good)
+    landed = files.select(_path_key(F.col("path")).alias("_key"), "content")
+    if small:
+        return extract_text(landed.join(records, "_key").drop("_key")), quarantine
+    folder = F.regexp_extract("_key", r"([^/]+)/[^/]+$", 1)
+    formats = F.create_map(*[F.lit(x) for fmt, name in RAW_FOLDERS.items() for x in (name, fmt)])
+    pages = extract_text(landed.select("_key", F.try_element_at(formats, folder).alias("file_format"), "content").withColumnRenamed("_key", "source_file"))
+    pages = pages.select(F.col("source_file").alias("_key"), "page_number", "section_number", "text", "extracted_at_utc")
+    joined = pages.join(good, "_key")
+    kinds = {f.name: f.dataType for f in BRONZE_PAGES.fields}
+    return joined.select(*[(F.col(c) if c in joined.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in BRONZE_PAGES.names]), quarantine
+
+
 def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, quarantine): one bad document never stops the others."""
     return df.filter(F.col("error").isNull()).drop("error"), df.filter(F.col("error").isNotNull())

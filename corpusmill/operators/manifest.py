@@ -86,7 +86,9 @@ def _latest_first(previous: DataFrame, marker: str) -> list[Column]:
     return first + [F.col(c).desc_nulls_last() for c in ("ingestion_status", marker, "file_name", "error") if c in previous.columns]
 
 
-def detect_changes(current: DataFrame, previous: DataFrame, marker: str = "cellar_last_modified", need_downloaded: bool = True) -> DataFrame:
+def detect_changes(
+    current: DataFrame, previous: DataFrame, marker: str = "cellar_last_modified", need_downloaded: bool = True, raw_root: str | None = None
+) -> DataFrame:
     """Manifest rows of this run with ``changed``.
 
     ``current`` holds what the source offers now: registry columns, the change
@@ -95,6 +97,7 @@ def detect_changes(current: DataFrame, previous: DataFrame, marker: str = "cella
     a null marker is never the same. Unchanged rows carry the previous record
     with a new time, failed ones become failed records and count as changed.
     ``need_downloaded=False`` is the rule for web documents: the marker alone.
+    With ``raw_root`` a downloaded record says where its file was landed (volume_path).
     """
     wide = [c for c in MANIFEST.names if c != "document_id"]
     latest = dedupe(previous, "document_id", _latest_first(previous, marker))
@@ -117,6 +120,8 @@ def detect_changes(current: DataFrame, previous: DataFrame, marker: str = "cella
         "file_name": F.when(~failed, F.col("file_name")),
         marker: F.when(~failed, F.col(marker)),
     }
+    if raw_root is not None:
+        fresh["volume_path"] = F.when(~failed, raw_path(F.col("file_format"), F.col("file_name"), raw_root))
 
     def pick(c: str) -> Column:
         new = fresh.get(c, F.col(c))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.chunk import chunk_pages
 from corpusmill.operators.embed import DEFAULT_DIMS, embed
-from corpusmill.operators.extract import attach_content, extract_text, split_quarantine
+from corpusmill.operators.extract import extract_landed
 from corpusmill.operators.index import INDEX_FIELDS, SEARCHABLE, dedupe, index_eligible, to_index_rows
 from corpusmill.operators.keyword import build_postings, inverted, term_statistics
 from corpusmill.operators.manifest import changes_detected, normalize_manifest, successful
@@ -66,8 +66,9 @@ class _Run:
         return upsert_layer(rows, table, removed=self.ids, layer=layer)["updates"]
 
     def landed(self) -> tuple[DataFrame, DataFrame]:
+        """Pages and quarantine."""
         files = self.files if self.files is not None else read_raw_files(self.spark, self.cfg.raw_root)
-        return split_quarantine(attach_content(successful(self.documents), files, self.cfg.raw_root))
+        return extract_landed(successful(self.documents), files, self.cfg.raw_root)
 
     def index_rows(self) -> DataFrame:
         """Index rows of the changed documents, with the document they come from."""
@@ -90,8 +91,8 @@ class _Run:
     def stages(self, make_writer: Callable[[], BatchWriter] | None) -> list[tuple[str, Callable[[], int]]]:
         out = [
             ("bronze_documents", lambda: self.put(self.documents, "bronze_documents", "bronze")),
-            ("bronze_quarantine", lambda: self.put(self.landed()[1].drop("content"), "bronze_quarantine", "bronze", may_be_empty=True)),
-            ("bronze_pages", lambda: self.put(extract_text(self.landed()[0]), "bronze_pages", "bronze")),
+            ("bronze_quarantine", lambda: self.put(self.landed()[1], "bronze_quarantine", "bronze", may_be_empty=True)),
+            ("bronze_pages", lambda: self.put(self.landed()[0], "bronze_pages", "bronze")),
             ("silver_chunks", lambda: self.put(chunk_pages(self.changed("bronze_pages")), "silver_chunks", "silver")),
             ("gold_embeddings", lambda: self.put(embed(self.changed("silver_chunks"), dims=self.cfg.dims), "gold_embeddings")),
             ("index_chunks", lambda: self.put(self.index_rows(), "index_chunks")),

@@ -151,7 +151,7 @@ _PREVIOUS = dict(
 )
 _OLDER = dict(_PREVIOUS, cellar_last_modified="'oldest'", downloaded_at_utc="'2025-01-01T00:00:00+00:00'")
 _CURRENT = dict(_MANIFEST, error="CASE WHEN source = 'src10' THEN 'HTTP 503' END")
-_DETECTED_COLUMNS = "document_id title file_name cellar_last_modified ingestion_status acquisition_method error changed".split()
+_DETECTED_COLUMNS = "document_id title file_name volume_path cellar_last_modified ingestion_status acquisition_method error changed".split()
 
 
 def _select(source: dict[str, str], where: str) -> str:
@@ -165,6 +165,7 @@ j AS (SELECT c.*, p.title AS p_title, p.file_name AS p_file, p.ingestion_status
   FROM cur c LEFT JOIN latest p USING (document_id))
 SELECT document_id, CASE WHEN same THEN p_title ELSE title END AS title,
   CASE WHEN same THEN p_file WHEN error IS NULL THEN file_name END AS file_name,
+  CASE WHEN NOT same AND error IS NULL AND file_format IN ('pdf', 'html', 'xml') AND file_name <> '' THEN '/landing/' || file_format || '/' || file_name END AS volume_path,
   CASE WHEN error IS NULL THEN cellar_last_modified END AS cellar_last_modified,
   CASE WHEN same THEN p_status WHEN error IS NULL THEN 'downloaded' ELSE 'failed' END AS ingestion_status,
   CASE WHEN NOT same AND error IS NULL THEN 'automatic_download' END AS acquisition_method, error, NOT same AS changed
@@ -178,7 +179,7 @@ def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
         return [f"{e} AS {c}" for c, e in source.items()]
 
     previous = docs.filter("lang <> 'es'").selectExpr(*build(_PREVIOUS)).unionByName(docs.filter("lang = 'fr'").selectExpr(*build(_OLDER)))
-    return detect_changes(docs.selectExpr(*build(_CURRENT)), previous)
+    return detect_changes(docs.selectExpr(*build(_CURRENT)), previous, raw_root="/landing")
 
 
 @query("detect_changes", _DETECTED)

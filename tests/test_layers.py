@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators.extract import attach_content, split_quarantine
+from corpusmill.operators.extract import attach_content, extract_landed, split_quarantine
 from corpusmill.operators.manifest import changes_detected, concat_records, detect_changes, infer_compliance_domain, normalize_manifest
 from corpusmill.operators.keyword import KeywordIndex, search_keyword
 from corpusmill.plans.run import RunConfig, run_corpus, run_state
@@ -233,6 +233,42 @@ def test_attach_content_isolates_failures(spark, tmp_path, monkeypatch, small):
     assert errors == {"d6": f"File not found: {root}/pdf/lost.pdf", "d7": "Unsupported file format: doc", "d8": "Missing file_name"}
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_contents_are_extracted_where_they_are_read(spark, tmp_path, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr("corpusmill.operators.extract.broadcast_if_bounded", lambda df: (df, False))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        root = landing(tmp_path)
+        pages, bad = extract_landed(manifest_rows(spark), read_raw_files(spark, root), root)
+        got = {(r.document_id, r.page_number, r.section_number, r.short_title, r.file_format): r.text for r in pages.collect()}
+        plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+    assert got == {
+        ("d1", 1, None, "T d1", "pdf"): "page one", ("d1", 3, None, "T d1", "pdf"): "page three é", ("d2", None, 1, "T d2", "html"): "web text",
+        ("d3", None, 1, "T d3", "xml"): "Date: 2026-01-02\nEuro foreign exchange reference rates:\nUSD: 1.5",
+    }
+    assert {r.document_id for r in bad.collect()} == {"d6", "d7", "d8"}
+    if not small:
+        # The join stands above the extraction: content never reaches a shuffle.
+        assert "content" not in plan[: plan.index("Generate")]
+
+
+@pytest.mark.parametrize("spelled, root", [("hdfs://nn:8020/raw", "hdfs://nn:8020/raw"), ("s3a://bucket/raw", "s3a://bucket/raw"), ("file:/raw", "/raw"), ("file:///raw", "/raw")])
+def test_paths_of_any_store_meet_the_manifest(spark, spelled, root):
+    files = spark.createDataFrame([(f"{spelled}/pdf/d1.pdf", b"text")], "path string, content binary")
+    good, bad = split_quarantine(attach_content(manifest_rows(spark).where("document_id = 'd1'"), files, root))
+    assert good.first().source_file == f"{root}/pdf/d1.pdf" and bad.count() == 0
+
+
+def test_downloaded_records_say_where_their_file_lies(spark):
+    current = spark.createDataFrame([("a", "pdf", "a.pdf", None), ("b", "pdf", "b.pdf", "gone")], "document_id string, file_format string, file_name string, error string")
+    previous = spark.createDataFrame([], "document_id string, cellar_last_modified string, ingestion_status string, downloaded_at_utc string")
+    got = {r.document_id: r.volume_path for r in detect_changes(current, previous, raw_root="/raw").collect()}
+    assert got == {"a": "/raw/pdf/a.pdf", "b": None}
+
+
 def test_missing_root_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_raw_files(spark, str(tmp_path / "none"))

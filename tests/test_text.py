@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import html, pii, text, xml
+from corpusmill.functions import xml as xml_functions
 from corpusmill.functions.base import WHITESPACE, strip
 from corpusmill.functions.tokens import hashing_vector, term_counts, tokens
 from corpusmill.operators.extract import explode_pages, extract_fx_rates, fx_text, parse_rdf, split_quarantine, validate_files
@@ -169,3 +170,15 @@ def test_term_counts_and_vector(spark):
         want[int(h[:8], 16) % 8] += 1 if h[8] < "8" else -1
     norm = sum(x * x for x in want) ** 0.5
     assert vectors[0] == pytest.approx([x / norm for x in want], abs=1e-6)
+
+
+@pytest.mark.parametrize(
+    "xml, whole",
+    [
+        ("<a/>", True), ("<a/><b/>", False), ("<a></a><a></a>", False), ("<a></a><b></b>", False), ("<a><a/></a>", True), ("<a><a></a><a/></a>", True), ("<a/><!-- x -->", True),
+        ("<?xml version='1.0'?><!DOCTYPE a><a x='>'>t</a>\n", True), ("<a><![CDATA[</a><a>]]></a>", True), ("<a></a>text", False), ("<a></a><b></b><a></a>", False), ("<a.b></a.b>", True),
+        ("<a><ab></ab></a>", True), ("<a></ab>", False), ("", False),
+    ],
+)
+def test_a_document_has_one_root(spark, xml, whole):
+    assert spark.createDataFrame([(xml,)], "x string").select(xml_functions.is_well_formed(F.col("x"))).first()[0] is whole
