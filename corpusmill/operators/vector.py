@@ -1,20 +1,19 @@
-"""Vector retrieval: exact nearest neighbours and a hashing-based approximate form."""
+"""Vector retrieval: exact nearest neighbours, and approximate ones by trained cells."""
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.scan import Blocks, Floors, best_cells, hit_schema, settled, write_blocks
-from corpusmill.operators.topk import DEFAULT_TOP_K, SCORE_DIGITS, check_k, top_k
-from corpusmill.session import broadcast_if_bounded
+from corpusmill.operators.topk import DEFAULT_TOP_K, check_k, top_k
+from corpusmill.session import materialize, scratch_path
 
 # Vector cells of the index that a task holds at a time, and scores of one slice of it.
 HELD_CELLS = 2_000_000
@@ -100,74 +99,149 @@ def search_vector(
     return top_k(found, "question_id", F.col("score"), "chunk_id", k, rank)
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda acc, v: acc + v)
-
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)), F.lit(0.0)) / F.nullif(F.sqrt(dot(b, b)), F.lit(0.0))
+# Rows per cell that centres are trained on, at most, by MD5 of the id; every row is stored in its cell.
+TRAINED_PER_CELL = 256
+ROUNDS = 6
+# Sums of cells and likenesses are rounded, so that the order in which tasks add them up has no say.
+_SUM_DIGITS, _LIKENESS_DIGITS = 6, 9
+# Rows of the sample whose neighbours tell how many cells a search must open.
+CALIBRATION_ROWS = 64
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _likeness(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.round(_units(vectors) @ centres.T, _LIKENESS_DIGITS)
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """``rows``: (cell, chunk_id, embedding), stored by cell. ``centres``: a unit vector per cell. ``probes``: how many of
+    the likest cells hold the wanted share of neighbours, measured on rows of the index."""
+
+    rows: DataFrame
+    centres: np.ndarray
+    probes: int
+
+
+def _train(sample: DataFrame, first: np.ndarray, rounds: int) -> np.ndarray:
+    """Centres after so many turns of k-means by cosine; each turn adds up the rows of a cell where they are."""
+    centres, shared = first, sample.sparkSession.sparkContext
+    for _ in range(rounds):
+        held = shared.broadcast(centres)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            sums, counts = np.zeros_like(held.value), np.zeros(len(held.value), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    x = _matrix(batch.column("embedding"))
+                    cell = _likeness(x, held.value).argmax(1)
+                    np.add.at(sums, cell, _units(x))
+                    np.add.at(counts, cell, 1)
+            some = np.flatnonzero(counts)
+            if len(some):
+                lists = pa.array([sums[c].tolist() for c in some], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), lists], names=["cell", "sums"])
+
+        parts = sample.select("embedding").mapInArrow(run, "cell int, sums array<double>").select("cell", F.posexplode("sums").alias("at", "x"))
+        new = centres.copy()
+        for r in parts.groupBy("cell", "at").agg(F.round(F.sum("x"), _SUM_DIGITS).alias("x")).collect():
+            new[r["cell"], r["at"]] = r["x"]
+        held.unpersist()
+        norms = np.linalg.norm(new, axis=1)
+        centres = np.where(norms[:, None] > 0, new / np.where(norms > 0, norms, 1)[:, None], centres)
+    return centres
+
+
+def _probes(sample: DataFrame, centres: np.ndarray, k: int, recall: float) -> int:
+    """The least number of likest cells that hold a share ``recall`` of the k nearest of CALIBRATION_ROWS rows, themselves left out."""
+    asked = sample.orderBy("order", "chunk_id").limit(CALIBRATION_ROWS).select(F.col("chunk_id").alias("question_id"), "embedding")
+    near = search_vector(asked, sample, k + 1).where("question_id <> chunk_id")
+    near = top_k(near.select("question_id", "chunk_id", "score"), "question_id", F.col("score"), "chunk_id", k)
+    both = near.join(sample.select("chunk_id", F.col("embedding").alias("found")), "chunk_id").join(asked, "question_id").select("embedding", "found").toArrow()
+    if not both.num_rows:
+        return 1
+    likest = np.argsort(-_likeness(_matrix(both.column("embedding")), centres), axis=1, kind="stable")
+    cell = _likeness(_matrix(both.column("found")), centres).argmax(1)
+    place = np.sort((likest == cell[:, None]).argmax(1))
+    return int(place[math.ceil(recall * len(place)) - 1]) + 1
+
+
+def cell_index(index: DataFrame, cells: int, k: int = DEFAULT_TOP_K, recall: float = 0.9, id_col: str = "chunk_id", rounds: int = ROUNDS) -> CellIndex:
+    """Trains centres on a bounded sample of the rows and stores every row in the cell of its likest centre (ties: the first).
+
+    ``probes`` is chosen so that ``recall`` of the k nearest are found, as
+    measured. Rows without a vector, or with a zero one, take no part.
+    """
+    spark, path = index.sparkSession, scratch_path(index.sparkSession, "cells")
+    norm = F.aggregate("embedding", F.lit(0.0), lambda n, x: n + x.cast("double") * x)
+    rows = _with_vector(index, id_col, "chunk_id").where(norm > 0)
+    order = F.md5(F.col("chunk_id").cast("string"))
+    sample = materialize(rows.withColumn("order", order).orderBy("order", "chunk_id").limit(TRAINED_PER_CELL * cells), "cell-sample")
+    first = sample.orderBy("order", "chunk_id").limit(cells).select("embedding").toArrow()
+    if not first.num_rows:
+        return CellIndex(rows.select(F.lit(0).alias("cell"), "chunk_id", "embedding"), np.zeros((1, 1)), 1)
+    centres = _train(sample, _units(_matrix(first.column("embedding"))), rounds)
+    held, kind = spark.sparkContext.broadcast(centres), {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell = _likeness(_matrix(batch.column("embedding")), held.value).argmax(1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["chunk_id", "embedding", "cell"])
 
+    placed = rows.select("chunk_id", "embedding").mapInArrow(place, f"chunk_id {kind['chunk_id']}, embedding {kind['embedding']}, cell int")
+    # By cell and a salt: a cell that holds much of the index is many files.
+    placed.repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(_SALTS))).write.partitionBy("cell").parquet(path)
+    return CellIndex(spark.read.schema(placed.schema).parquet(path), centres, _probes(sample, centres, k, recall))
 
-def sign_planes(dims: int, bands: int, bits: int) -> np.ndarray:
-    """(bands * bits, dims) planes of +1 and -1: the sign of a cell follows from the MD5 of ``band:bit:cell``."""
-    signs = [1.0 if hashlib.md5(f"{b}:{t}:{i}".encode()).hexdigest()[0] < "8" else -1.0 for b in range(bands) for t in range(bits) for i in range(dims)]
-    return np.array(signs).reshape(bands * bits, dims)
 
+def search_vector_ann(questions: DataFrame, index: CellIndex, k: int = DEFAULT_TOP_K, rank: str = "rank") -> DataFrame:
+    """Approximate neighbours by cosine: each question looks into the ``probes`` cells likest to it, exactly scored.
 
-def _with_buckets(df: DataFrame, key: str, out: str, bands: int, bits: int) -> DataFrame:
-    """key, vector ``out`` and its bucket in each band, ``<out>_h``: on which side of the band's planes it lies."""
-    kind = df.schema[key].dataType.simpleString()
-    powers = 1 << np.arange(bits)
+    Cells that no question looks into are not opened. As in the exact search
+    tasks go through blocks of questions, and the index is not shuffled.
+    """
+    check_k(k)
+    centres, probes = index.centres, index.probes
+    qs, rows = _with_vector(questions, "question_id", "question_id"), index.rows
+    kind = {f.name: f.dataType.simpleString() for f in qs.schema.fields}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1))
-            if x.shape[1] not in planes:
-                planes[x.shape[1]] = sign_planes(x.shape[1], bands, bits)
-            side = (x @ planes[x.shape[1]].T >= 0).reshape(len(x), bands, bits)
-            buckets = pa.array((side @ powers).astype(np.int32).reshape(-1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * bands + 1, bands, dtype=np.int32)), buckets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=[key, out, f"{out}_h"])
-
-    return df.select(key, "embedding").mapInArrow(run, f"`{key}` {kind}, {out} {df.schema['embedding'].dataType.simpleString()}, {out}_h array<int>")
-
+            if batch.num_rows:
+                likest = np.argsort(-np.nan_to_num(_likeness(_matrix(batch.column("embedding")), centres), nan=-2), axis=1, kind="stable")[:, :probes]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(likest.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["question_id", "embedding", "cells"])
 
-def search_vector_ann(
-    questions: DataFrame,
-    index: DataFrame,
-    k: int = DEFAULT_TOP_K,
-    id_col: str = "chunk_id",
-    bands: int = 14,
-    bits: int = 6,
-    rank: str = "rank",
-) -> DataFrame:
-    """Approximate neighbours: rows on the question's side of all planes of one band, re-ranked by exact cosine.
+    chosen = materialize(qs.mapInArrow(choose, f"question_id {kind['question_id']}, embedding {kind['embedding']}, cells array<int>"), "cell-questions")
+    wanted = [r["cell"] for r in chosen.select(F.explode("cells").alias("cell")).distinct().collect()]
+    files = write_blocks(chosen, "cell-blocks")
 
-    Unrelated vectors share one of 14 buckets of 6 bits with probability 0.2,
-    those of cosine 0.8 with 0.98. The question buckets are broadcast once
-    counted small, so a bucket that holds much of the index stays spread over
-    the tasks that read it; otherwise it is salted. A pair is kept in its first
-    common band only, which replaces a de-duplicating shuffle.
-    """
-    check_k(k)
-    qs, rows = _with_vector(questions, "question_id", "question_id"), _with_vector(index, id_col, "chunk_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(files)
+        for batch in batches:
+            cells = batch.column("cell").to_numpy(zero_copy_only=False)
+            for b in range(len(blocks)):
+                asked = blocks[b]
+                if not asked.num_rows:
+                    continue
+                names, vectors, opened = asked.column("question_id").combine_chunks(), _matrix(asked.column("embedding")), asked.column("cells").to_pylist()
+                for cell in np.unique(cells):
+                    who = np.array([q for q, mine in enumerate(opened) if cell in mine], np.int64)
+                    if not len(who):
+                        continue
+                    part = pa.Table.from_batches([batch.filter(pa.array(cells == cell))]).sort_by("chunk_id").combine_chunks()
+                    ids, floor = part.column("chunk_id").combine_chunks(), np.full(len(who), -np.inf)
+                    scores = settled(_scores(vectors[who], _matrix(part.column("embedding")), "cosine"))
+                    q, place = best_cells(scores, k, floor)
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(who[q])), ids.take(pa.array(place)), pa.array(scores[q, place])], names=["question_id", "chunk_id", "score"])
 
-    def hashed(df: DataFrame, key: str, vec: str) -> DataFrame:
-        return _with_buckets(df, key, vec, bands, bits).select("*", F.posexplode(f"{vec}_h").alias("_table", "_bucket"))
-
-    asked, stored = hashed(qs, "question_id", "_qv"), hashed(rows, "chunk_id", "_cv")
-    keys = ["_table", "_bucket"]
-    asked, small = broadcast_if_bounded(asked)
-    if not small:
-        asked = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        stored = stored.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(_SALTS)).cast("int"))
-        keys.append("_salt")
-    first_common = F.array_position(F.zip_with("_qv_h", "_cv_h", lambda a, b: a == b), True) - 1
-    pairs = stored.join(asked, keys).filter(first_common == F.col("_table"))
-    scored = pairs.select("question_id", "chunk_id", F.round(_cosine(F.col("_qv"), F.col("_cv")), SCORE_DIGITS).alias("score"))
-    return top_k(scored.filter(F.col("score").isNotNull()), "question_id", F.col("score"), "chunk_id", k, rank)
+    found = rows.where(F.col("cell").isin(wanted)).select("chunk_id", "embedding", "cell").mapInArrow(run, hit_schema(qs, rows))
+    return top_k(found, "question_id", F.col("score"), "chunk_id", k, rank)
 
 
 def recall_at_k(exact: DataFrame, found: DataFrame) -> DataFrame:

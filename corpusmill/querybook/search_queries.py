@@ -12,7 +12,7 @@ from corpusmill.operators.index import (
     dedupe, facets, index_eligible, order_fields, sample_index, to_index_rows, upsert_index, where_fields,
 )
 from corpusmill.operators.keyword import search_keyword
-from corpusmill.operators.vector import recall_at_k, search_vector, search_vector_ann
+from corpusmill.operators.vector import CALIBRATION_ROWS, ROUNDS, CellIndex, cell_index, recall_at_k, search_vector, search_vector_ann
 from corpusmill.querybook import sql
 from corpusmill.querybook.frames import asked, chunks_of_text, pages_of_text, stored_chunks, stored_postings
 from corpusmill.querybook.registry import query, spread, table, vector_cells
@@ -79,23 +79,50 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_vector(_label_centres(spark, sf_dir), table(spark, sf_dir, "embeddings"), 10, "euclidean", "vec_id")
 
 
-_ANN = """planes AS (
-  SELECT b, t, list(CASE WHEN substr(md5(b || ':' || t || ':' || i), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY i) AS p
-  FROM range(14) x(b), range(6) y(t), range(64) z(i) GROUP BY b, t),
-asked_buckets AS (SELECT question_id, b, sum(CASE WHEN list_dot_product(embedding, p) >= 0 THEN 1 << t ELSE 0 END) AS h FROM centre, planes GROUP BY ALL),
-stored_buckets AS (SELECT chunk_id, b, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], p) >= 0 THEN 1 << t ELSE 0 END) AS h FROM stored, planes GROUP BY ALL),
-near AS (SELECT DISTINCT question_id, chunk_id FROM asked_buckets JOIN stored_buckets USING (b, h)),
-near_scored AS (
-  SELECT question_id, chunk_id, round(list_cosine_similarity(q.embedding, c.embedding::DOUBLE[]), 6) + 0.0 AS score
-  FROM near JOIN centre q USING (question_id) JOIN stored c USING (chunk_id)),
-ann_hits AS (
-  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id)::INT AS rank FROM near_scored
-  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= 10)"""
+CELLS = 32
+
+
+def _cells_sql(cells: int, k: int, recall: float, rounds: int = ROUNDS) -> str:
+    """Centres turn by turn, the cells that hold enough neighbours of the first rows, and the search in them."""
+
+    def likest(rows: str, centres: str) -> str:
+        return f"SELECT r.*, c.cell, row_number() OVER (PARTITION BY r.chunk_id ORDER BY round(list_dot_product(r.v, c.c), 9) DESC, c.cell) AS place FROM {rows} r, {centres} c"
+
+    out = ["unit AS (SELECT vec_id AS chunk_id, embedding, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0)",
+           f"k0 AS (SELECT (row_number() OVER (ORDER BY md5(chunk_id::VARCHAR), chunk_id) - 1)::INT AS cell, v AS c FROM unit QUALIFY row_number() OVER (ORDER BY md5(chunk_id::VARCHAR), chunk_id) <= {cells})"]
+    for i in range(rounds):
+        out.append(f"s{i} AS (SELECT cell, pos, round(sum(x), 6) AS x FROM (SELECT cell, unnest(v) AS x, unnest(range(len(v))) AS pos FROM ({likest('unit', f'k{i}')}) WHERE place = 1) GROUP BY ALL)")
+        out.append(f"m{i} AS (SELECT cell, list(x ORDER BY pos) AS c FROM s{i} GROUP BY cell)")
+        out.append(f"k{i + 1} AS (SELECT k.cell, coalesce(list_transform(m.c, lambda x: x / sqrt(list_dot_product(m.c, m.c))), k.c) AS c FROM k{i} k LEFT JOIN m{i} m USING (cell))")
+    out.append(f"stored_cells AS (SELECT * FROM ({likest('unit', f'k{rounds}')}) WHERE place = 1)")
+    out.append(f"first_rows AS (SELECT * FROM unit ORDER BY md5(chunk_id::VARCHAR), chunk_id LIMIT {CALIBRATION_ROWS})")
+    out.append(f"""calibration AS (
+  SELECT q.chunk_id AS q, s.cell FROM first_rows q JOIN stored_cells s ON q.chunk_id <> s.chunk_id
+  QUALIFY row_number() OVER (PARTITION BY q.chunk_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) DESC, s.chunk_id) <= {k})""")
+    out.append(f"places AS (SELECT row_number() OVER (ORDER BY l.place) AS n, l.place FROM calibration c JOIN ({likest('first_rows', f'k{rounds}')}) l ON l.chunk_id = c.q AND l.cell = c.cell)")
+    out.append(f"probes AS (SELECT place AS probes FROM places WHERE n = ceil({recall} * (SELECT count(*) FROM places)))")
+    out.append(f"""opened AS (
+  SELECT question_id, cell FROM (SELECT q.question_id, c.cell, row_number() OVER (PARTITION BY question_id ORDER BY round(list_dot_product(q.embedding, c.c) / sqrt(list_dot_product(q.embedding, q.embedding)), 9) DESC, c.cell) AS place FROM centre q, k{rounds} c), probes
+  WHERE place <= probes)""")
+    out.append(f"""ann_hits AS (
+  SELECT question_id, chunk_id, score, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id))::INT AS rank
+  FROM (SELECT question_id, chunk_id, round(list_cosine_similarity(q.embedding, s.embedding::DOUBLE[]), 6) + 0.0 AS score FROM opened JOIN stored_cells s USING (cell) JOIN centre q USING (question_id))
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) <= {k})""")
+    return ",\n".join(out)
+
+
+# The wanted recall lies above 0.9, since neighbours of the label centres lie farther apart than those of the rows.
+_RECALL = 0.95
+_ANN = _cells_sql(CELLS, 10, _RECALL)
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> CellIndex:
+    return cell_index(table(spark, sf_dir, "embeddings"), CELLS, 10, _RECALL, "vec_id")
 
 
 @query("search_vector_ann", f"WITH {_CENTRES},\n{_ANN} {_HITS.format('ann_hits')}")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search_vector_ann(_label_centres(spark, sf_dir), table(spark, sf_dir, "embeddings"), 10, "vec_id")
+    return search_vector_ann(_label_centres(spark, sf_dir), _cells(spark, sf_dir), 10)
 
 
 @query(
@@ -105,7 +132,7 @@ SELECT question_id, round(count(a.chunk_id) / count(*)::DOUBLE, 3) AS recall FRO
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres, vectors = _label_centres(spark, sf_dir), table(spark, sf_dir, "embeddings")
-    return recall_at_k(search_vector(centres, vectors, 10, id_col="vec_id"), search_vector_ann(centres, vectors, 10, "vec_id"))
+    return recall_at_k(search_vector(centres, vectors, 10, id_col="vec_id"), search_vector_ann(centres, _cells(spark, sf_dir), 10))
 
 
 HYBRID = (

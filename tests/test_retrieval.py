@@ -14,7 +14,7 @@ from corpusmill.operators.hybrid import fuse, fusion_depth, search_hybrid
 from corpusmill.operators.embed import embed, embed_with
 from corpusmill.operators.index import dedupe, facets, index_eligible, order_fields, to_index_rows, upsert_index, where_fields
 from corpusmill.operators.keyword import build_postings, keyword_index, search_keyword
-from corpusmill.operators.vector import recall_at_k, search_vector, search_vector_ann
+from corpusmill.operators.vector import cell_index, recall_at_k, search_vector, search_vector_ann
 from corpusmill.session import broadcast_if_bounded, is_bounded
 from corpusmill.sources.index_sink import check_published, publish, publish_index
 
@@ -127,19 +127,27 @@ def test_k_must_be_positive(spark):
         search_keyword(None, None, 0)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_ann_finds_close_vectors(spark, monkeypatch, small):
-    if not small:
-        monkeypatch.setattr("corpusmill.operators.vector.broadcast_if_bounded", lambda df: (df, False))
+@pytest.mark.parametrize("block", [1024, 3])
+def test_ann_finds_close_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr("corpusmill.operators.scan.QUESTION_BLOCK", block)
     rng = np.random.default_rng(5)
-    vectors = rng.normal(size=(300, 16))
-    vectors[:100] = vectors[0] + rng.normal(scale=0.01, size=(100, 16))
-    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
-    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "chunk_id long, embedding array<float>")
-    qs = index.limit(20).withColumnRenamed("chunk_id", "question_id")
-    found = search_vector_ann(qs, index, 5)
+    middles = rng.normal(size=(12, 16)) * 3
+    vectors = np.concatenate([m + rng.normal(scale=0.4, size=(30, 16)) for m in middles] + [middles[:1].repeat(140, axis=0)])
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, [0.0] * 16), (901, None)]
+    index = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(4)
+    qs = index.where("chunk_id % 17 = 0").withColumnRenamed("chunk_id", "question_id")
+    cells = cell_index(index, 12, 5, 0.95)
+    assert cells.rows.count() == 500 and cells.probes <= 3
+    found = search_vector_ann(qs, cells, 5)
     assert found.groupBy("question_id", "chunk_id").count().filter("count > 1").isEmpty()
-    assert recall_at_k(search_vector(qs, index, 5), found).agg(F.avg("recall")).first()[0] > 0.9
+    assert recall_at_k(search_vector(qs, index, 5), found).agg(F.avg("recall")).first()[0] >= 0.9
+    one = search_vector_ann(qs.limit(1), cells, 5)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    # Only the cells of the question are opened, and the index is not shuffled.
+    assert "PartitionFilters: [" in plan and "(cell#" in plan[plan.index("PartitionFilters: [") :][:80] and plan.count("hashpartitioning") == 1
+    assert cells.rows.where("cell = 0").count() < 300
+    empty = cell_index(index.limit(0), 4)
+    assert search_vector_ann(qs, empty, 5).count() == 0
 
 
 def test_fusion(spark):
