@@ -183,7 +183,7 @@ def cell_index(index: DataFrame, cells: int, k: int = DEFAULT_TOP_K, recall: flo
     sample = materialize(rows.withColumn("order", order).orderBy("order", "chunk_id").limit(TRAINED_PER_CELL * cells), "cell-sample")
     first = sample.orderBy("order", "chunk_id").limit(cells).select("embedding").toArrow()
     if not first.num_rows:
-        return CellIndex(rows.select(F.lit(0).alias("cell"), "chunk_id", "embedding"), np.zeros((1, 1)), 1)
+        return CellIndex(rows.select(F.lit(0).alias("cell"), "chunk_id", "embedding"), np.zeros((0, 0)), 0)
     centres = _train(sample, _units(_matrix(first.column("embedding"))), rounds)
     held, kind = spark.sparkContext.broadcast(centres), {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
@@ -208,6 +208,8 @@ def search_vector_ann(questions: DataFrame, index: CellIndex, k: int = DEFAULT_T
     check_k(k)
     centres, probes = index.centres, index.probes
     qs, rows = _with_vector(questions, "question_id", "question_id"), index.rows
+    if not len(centres):
+        return questions.sparkSession.createDataFrame([], f"{hit_schema(qs, rows)}, {rank} int")
     kind = {f.name: f.dataType.simpleString() for f in qs.schema.fields}
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
