@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import col, fresh
 from corpusmill.session import materialize
 
-#: A filter is sent to every task; a list that needs a larger one is refused. About ten million keys.
+#: A filter is sent to every task. Keys that need a larger one, about ten million, are split by hash into several cascades.
 MAX_FILTER_BITS = 1 << 28
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
@@ -69,12 +69,32 @@ class Cascade:
         return out
 
 
+@dataclass
+class Shares:
+    """Cascades over shares of the keys; a key asks only that of its share."""
+
+    cascades: list[Cascade]
+
+    def holds(self, key: Column) -> Column:
+        out = F.lit(False)
+        for i, cascade in enumerate(self.cascades):
+            out = F.when(share_of(key, len(self.cascades)) == i, cascade.holds(key)).otherwise(out)
+        return out
+
+
+def share_of(key: Column, shares: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("share"), key), F.lit(shares))
+
+
+def filter_size(count: int, wrong: float) -> tuple[int, int]:
+    """(bits, hashes) of a filter over so many keys."""
+    hashes = max(1, math.ceil(-math.log2(wrong)))
+    return max(64, math.ceil(count * hashes / math.log(2) / 64) * 64), hashes
+
+
 def _filter(keys: DataFrame, count: int, wrong: float, salt: int) -> Filter:
     """A Bloom filter over ``keys`` (key) with a share ``wrong`` of other keys passing."""
-    hashes = max(1, math.ceil(-math.log2(wrong)))
-    bits = max(64, math.ceil(count * hashes / math.log(2) / 64) * 64)
-    if bits > MAX_FILTER_BITS:
-        raise ValueError(f"{count} keys need a filter of {bits} bits, more than {MAX_FILTER_BITS}")
+    bits, hashes = filter_size(count, wrong)
     made = Filter(keys, bits, hashes, salt)
     at = keys.select(F.explode(F.array(*made.positions(F.col("key")))).alias("p"))
     set_bits = at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("b"))
@@ -84,18 +104,29 @@ def _filter(keys: DataFrame, count: int, wrong: float, salt: int) -> Filter:
     return made
 
 
-def build(listed: DataFrame, universe: DataFrame) -> Cascade:
-    """The cascade of ``listed`` (key) that is exact for every key of ``universe`` (key). Both are sets."""
+def build(listed: DataFrame, universe: DataFrame) -> Cascade | Shares:
+    """What tells the keys of ``listed`` (key) exactly among those of ``universe`` (key). Both are sets.
+
+    One cascade, or one for each share of the keys, so that no filter is larger than MAX_FILTER_BITS.
+    """
     keys = listed.join(universe, "key", "left_semi")  # a key that no row has can't be asked for
     keys = materialize(keys, "cascade-listed")
     others = universe.join(listed, "key", "left_anti")
     count, rest = keys.count(), universe.count()
-    out = Cascade()
-    if not count:
-        return out
     wrong = min(0.5, max(2.0**-30, math.sqrt(0.5) * count / max(1, rest)))
-    level = 0
-    inside, outside = keys, others
+    # Shares differ a little in size.
+    shares = math.ceil(1.1 * filter_size(count, wrong)[0] / MAX_FILTER_BITS) if filter_size(count, wrong)[0] > MAX_FILTER_BITS else 1
+    if shares == 1:
+        return _cascade(keys, others, count, wrong)
+    made = []
+    for i in range(shares):
+        mine, rest_of = (df.where(share_of(F.col("key"), shares) == i) for df in (keys, others))
+        made.append(_cascade(mine, rest_of, mine.count(), wrong))
+    return Shares(made)
+
+
+def _cascade(inside: DataFrame, outside: DataFrame, count: int, wrong: float) -> Cascade:
+    out, level = Cascade(), 0
     while count:
         made = _filter(inside, count, wrong, level)
         out.levels.append(made)
@@ -123,7 +154,7 @@ def judged(pages: DataFrame, rules: Sequence[Rule], listed_hosts: DataFrame | No
 
     The longest rule that fits decides; without one a url is blocked where its
     host lies in a listed domain (``listed_hosts``: column host), and allowed
-    else. rule is host and path of the rule, null without one. A null url, or
+    else. Urls may be of any length; where two rules have one key block wins. rule is host and path of the rule, null without one. A null url, or
     one without ``://``, has empty host and path, fits nothing and is allowed.
     Repeated urls are judged alike. An empty table gives no rows. Columns of
     these names in ``pages`` are kept under their names; the added ones then

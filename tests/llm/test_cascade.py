@@ -58,8 +58,16 @@ def test_no_rules_and_no_rows(spark):
     assert cascade.judged(pages.limit(0), URL_RULES, cascade.spam_domains(pages.limit(0))).count() == 0
 
 
-def test_a_list_beyond_the_bound_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(cascade, "MAX_FILTER_BITS", 128)
-    keys = spark.range(500).selectExpr("cast(id as string) key")
-    with pytest.raises(ValueError, match="more than 128"):
-        cascade.build(keys, keys)
+def test_a_list_beyond_the_bound_is_split(spark, monkeypatch):
+    monkeypatch.setattr(cascade, "MAX_FILTER_BITS", 1024)
+    universe = spark.range(6000).selectExpr("cast(id as string) key")
+    made = cascade.build(spark.range(500).selectExpr("cast(id * 7 as string) key"), universe)
+    assert len(made.cascades) > 2 and all(level.bits <= 1024 for c in made.cascades for level in c.levels)
+    wrong = universe.where(made.holds(universe["key"]) != ((universe["key"].cast("int") % 7 == 0) & (universe["key"].cast("int") < 3500)))
+    assert wrong.count() == 0
+
+
+def test_a_very_long_url(spark):
+    long = "http://sub.example.org/en/1" + "x" * 1_000_000
+    pages = spark.createDataFrame([(1, long), (2, long)], "page_id long, url string")
+    assert {(r["rule"], r["verdict"], len(r["path"])) for r in cascade.judged(pages, URL_RULES).collect()} == {("example.org/en/1", "block", 1_000_005)}
