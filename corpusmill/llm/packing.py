@@ -19,8 +19,10 @@ from corpusmill.llm.common import col, map_texts, running_totals, text_key
 from corpusmill.session import materialize
 
 CAPACITY = 2048
-#: Words whose ids a worker process remembers (about 200 bytes each); then it starts afresh.
-REMEMBERED = 1_000_000
+#: Bytes that the remembered ids of words may take in a worker process; then it starts afresh.
+REMEMBERED_BYTES = 64 << 20
+#: What a remembered word takes besides its characters and ids, about.
+WORD_BYTES = 200
 END_ID = 0
 
 
@@ -30,10 +32,9 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _OTHER_SPACE = re.compile("[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20) + "]")
 
 
-def byte_ranks(path: str) -> dict[bytes, int]:
-    """The ranks of a byte-level BPE file whose ids follow the order of its merges; special tokens have none."""
-    with open(path, encoding="utf-8") as f:
-        stored = json.load(f)
+def byte_ranks(stored: dict) -> dict[bytes, int]:
+    """The ranks of a byte-level BPE file whose ids follow the order of its merges; added tokens have none."""
+    # The bytes that such files show as themselves; the others are shown as the characters from 256 on.
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
     back = {c: b for b, c in shown.items()}
@@ -42,38 +43,54 @@ def byte_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Words(dict):
-    """Ids of a blank and the string that follows it."""
+    """Ids of a blank and the string that follows it, and about how many bytes they take."""
 
     def __init__(self, encode: Callable[[str], list[int]]) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.bytes = encode, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = array("I", self.encode(" " + word)).tobytes()
         if len(word) <= 64:
+            if self.bytes > REMEMBERED_BYTES:
+                self.clear()
+                self.bytes = 0
             self[word] = ids
+            self.bytes += WORD_BYTES + 4 * len(word) + len(ids)
         return ids
 
 
 class ByteLevelIds:
-    """Ids of texts under a byte-level BPE file; strings of special tokens in a text are ordinary text.
+    """Ids of texts under a byte-level BPE file.
 
-    Between a character that is no white space and a single blank before
+    The file's added tokens cut a text, and each is its own id; with
+    ``added_as_text`` their strings are ordinary text. Between a character that is no white space and a single blank before
     another such character there is always a border of the first split, so a
     text is cut there and each different piece is encoded once. Texts with
     other white space next to a blank are encoded whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added_as_text: bool = False) -> None:
         import tiktoken
 
-        self.whole = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=byte_ranks(path), special_tokens={}).encode_ordinary
+        with open(path, encoding="utf-8") as f:
+            stored = json.load(f)
+        added = [] if added_as_text else stored.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at their surroundings are not supported")
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        # the longest of those that begin at the same place
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.whole = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=byte_ranks(stored), special_tokens={}).encode_ordinary
         self.words = _Words(self.whole)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+        if not any(token in text for token in self.added):
+            return self._plain(text)
+        return b"".join(self.added.get(part) or self._plain(part) for part in self.cut.split(text) if part)
+
+    def _plain(self, text: str) -> bytes:
         parts = text.split(" ")
         if "" in parts or " \n" in text or "\n " in text or (_OTHER_SPACE.search(text.replace("\n", "x")) if "\n" in text else _OTHER_SPACE.search(text)):
             return array("I", self.whole(text)).tobytes()
@@ -81,22 +98,24 @@ class ByteLevelIds:
         return first + b"".join(map(self.words.__getitem__, parts[1:]))
 
 
-def _ids(path: str) -> ByteLevelIds:
+def _ids(path: str, added_as_text: bool) -> ByteLevelIds:
     """One per worker process, so that what it remembers serves all its tasks."""
     held = sys.__dict__.setdefault("_byte_level_ids", {})
-    if path not in held:
-        held[path] = ByteLevelIds(path)
-    return held[path]
+    if (path, added_as_text) not in held:
+        held[path, added_as_text] = ByteLevelIds(path, added_as_text)
+    return held[path, added_as_text]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, added_as_text: bool = False) -> DataFrame:
     """(doc_id, tk, piece, start, length, ids_crc32[, ids]) of every row: its ids and a closing id 0, cut only where longer than ``capacity``.
 
-    The first piece takes what is left over by whole pieces. Null text counts as empty and is the closing id alone.
+    The first piece takes what is left over by whole pieces. Null text counts as
+    empty and is the closing id alone. A very long text is one row of ids
+    while it is cut, and as many pieces as it needs.
     """
 
     def work(columns: list[list]) -> dict[str, object]:
-        encode = _ids(tokenizer_path).encode
+        encode = _ids(tokenizer_path, added_as_text).encode
         ids, keys, texts = columns
         end = np.array([END_ID], "<u4").tobytes()
         out: dict[str, list] = {n: [] for n in ("doc_id", "tk", "piece", "start", "length", "ids_crc32", "ids")}

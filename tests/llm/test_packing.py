@@ -16,14 +16,12 @@ from corpusmill.llm.queries import tokenizer_file
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(tokenizer_file())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(tokenizer_file())
 
 
 def test_ids_equal_the_library(tokenizer):
     rng = random.Random(1)
-    texts = ["", " ", "  ", "a  b", " a", "a ", "\n", "a \n b", "a  b", "a  b", "a  b", "a\x1c b", "<|endoftext|> b", "it's 's 'll", "a 'll b", "é　 a", "x" * 500]
+    texts = ["", " ", "  ", "a  b", " a", "a ", "\n", "a \n b", "a  b", "a  b", "a  b", "a\x1c b", "<|endoftext|> b", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", "x<|endoftext|>\n", "<|<|endoftext|>|>", "it's 's 'll", "a 'll b", "é　 a", "x" * 500]
     texts += ["".join(rng.choice(" \n\tab1.,'s \x1cé漢😀") for _ in range(rng.randint(1, 40))) for _ in range(2000)]
     texts += [" ".join("".join(rng.choice("abé1.,'s") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 12))) for _ in range(1000)]
     ids = packing.ByteLevelIds(tokenizer_file())
@@ -31,12 +29,26 @@ def test_ids_equal_the_library(tokenizer):
         assert list(np.frombuffer(ids.encode(t), "<u4")) == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_strings_of_added_tokens_may_be_text(tokenizer):
+    plain = packing.ByteLevelIds(tokenizer_file(), added_as_text=True).encode("a <|endoftext|> b")
+    assert 50256 not in np.frombuffer(plain, "<u4") and tokenizer.decode(list(np.frombuffer(plain, "<u4")), skip_special_tokens=False) == "a <|endoftext|> b"
+
+
 def test_what_is_remembered_is_bounded(monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 1000)
     ids = packing.ByteLevelIds(tokenizer_file())
     for i in range(50):
         ids.encode(f"a b{i} c{i} d{i}")
-    assert len(ids.words) <= 6
+    assert 0 < len(ids.words) <= 6 and ids.words.bytes <= 1300
+
+
+def test_a_very_long_text_and_its_pieces(spark, tokenizer):
+    text = "word é\n " * 200_000
+    docs = spark.createDataFrame([(1, text), (2, "x" * 300_000)], "doc_id long, text string")
+    got = packing.packed(docs, tokenizer_file()).collect()
+    ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == len(ids) and max(r["length"] for r in got) <= 2048
+    assert sum(r["length"] for r in got if r["doc_id"] == 2) == len(tokenizer.encode("x" * 300_000, add_special_tokens=False).ids) + 1
 
 
 def places(runs):
