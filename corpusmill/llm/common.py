@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from corpusmill.session import materialize
 
 #: Texts are worked on in slices of about this many bytes, so that a task's memory does not follow its batch of rows.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,8 @@ def map_texts(df: DataFrame, schema: StructType | str, work: Callable[[list[list
             for lo, hi in slices(sizes):
                 out = work([c.slice(lo, hi - lo).to_pylist() for c in columns])
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
+            del batch, columns
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
