@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-from corpusmill.llm.common import col, fresh, map_texts
+from corpusmill.llm.common import col, fresh, map_texts, slices
 
 #: Characters of the longest n-gram.
 ORDER = 4
-#: The model is fitted on a bounded sample: so many labelled texts of each language at most, chosen by hash, read whole.
+#: The model is fitted on a bounded sample: about so many labelled texts and characters of each language, chosen by hash, read whole.
 SAMPLE_DOCS = 1000
+SAMPLE_CHARS = 4_000_000
+#: Longer texts are not learned from, so that one of them can't exceed the sample; they are judged like any other.
+LONGEST_LEARNED = 200_000
 #: Absolute discount of every order.
 DISCOUNT = 0.75
 #: Characters a model assumes besides those it has seen.
 UNSEEN = 5000
-#: A text is rejected where its cross-entropy is above what texts of other languages get by more than this many deviations.
-REJECT_DEVIATIONS = 8.0
+#: Share of labelled texts that the rejection limit may refuse, and share that it may accept when their own model is left out.
+FALSE_REJECTIONS, FALSE_ACCEPTANCES = 0.03, 0.25
+#: Where between these the limit lies. An unknown language may be nearer to the learned ones than they are to each other.
+LIMIT_PLACE = 0.3
+#: Calibration texts of like length that a limit is set by, at least, where there are so many.
+GROUP_TEXTS = 150
 UNDETERMINED = "und"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -56,18 +67,25 @@ def _row_keys(rows: np.ndarray) -> np.ndarray:
     return key
 
 
+#: Sorted keys; from which to which entry each has; the entries' languages and values. It grows with the n-grams of each language.
+Store = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
 @dataclass
 class Model:
-    """For each order from 1 to ORDER sorted keys of n-grams with a row of log probabilities (one column per language), and of contexts with back-off weights."""
+    """For each order from 1 to ORDER sorted keys of n-grams with the log probabilities of the languages that hold them, and of contexts with back-off weights."""
 
     langs: list[str]
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
+    grams: list[Store]
+    contexts: list[Store]
     floor: np.ndarray
-    #: cross-entropy that texts of the other languages have in the middle
-    limit: np.ndarray
-    #: of a text of one character, deviation of its cross-entropy
-    noise: np.ndarray
+    #: cross-entropy of the language's own calibration texts in the middle
+    middle: np.ndarray
+    #: from so many characters on, a text may be so far above the middle
+    lengths: np.ndarray
+    slack: np.ndarray
+    #: deviation from the middle that a text of one character has
+    noise: float = 0.0
 
 
 def gram_counts(texts: list[tuple[int, str]], langs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,12 +109,14 @@ def gram_counts(texts: list[tuple[int, str]], langs: int) -> tuple[np.ndarray, n
 
 
 def sample(docs: DataFrame, langs: list[str]) -> DataFrame:
-    """(lang index, text) of the texts that are learned from: labelled, not held out, up to SAMPLE_DOCS per language by hash."""
-    rows = docs.where(col("lang").isNotNull() & col("text").isNotNull() & ~held_out(col("doc_id")))
+    """(lang index, doc_id, text) of the texts that are learned from: labelled, not held out, up to LONGEST_LEARNED characters
+    each, by hash about SAMPLE_DOCS texts and SAMPLE_CHARS characters of each language."""
+    length = F.length(col("text"))
+    rows = docs.where(col("lang").isNotNull() & col("text").isNotNull() & ~held_out(col("doc_id")) & (length <= LONGEST_LEARNED))
     index = F.array_position(F.array(*[F.lit(x) for x in langs]), col("lang").cast("string")).cast("int") - 1
-    counts = rows.groupBy(col("lang").cast("string").alias("lang")).count().collect()
-    # a share of each language, by hash, that gives about SAMPLE_DOCS texts; the hash does not look at the text
-    share = F.array(*[F.lit(min(1.0, SAMPLE_DOCS / max(1, next((r["count"] for r in counts if r["lang"] == x), 1)))) for x in langs])
+    counts = {r["lang"]: r for r in rows.groupBy(col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("chars")).collect()}
+    # a share of each language, by hash; the hash does not look at the text
+    share = F.array(*[F.lit(min(1.0, SAMPLE_DOCS / max(1, counts[x]["n"]), SAMPLE_CHARS / max(1, counts[x]["chars"])) if x in counts else 1.0) for x in langs])
     draw = F.pmod(F.xxhash64(F.lit("language sample"), col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     return rows.select(index.alias("lang"), col("doc_id").alias("doc_id"), col("text").alias("text"), draw.alias("draw")).where(F.col("draw") < share[F.col("lang")]).select("lang", "doc_id", "text")
 
@@ -130,17 +150,45 @@ def fit(docs: DataFrame) -> Model | None:
         return {"lang": np.array(columns[0], np.int32)[keep], "cross": cross[keep].tolist(), "n": sizes[keep]}
 
     seen = map_texts(chosen.where(fold).select("lang", "text"), "lang int, cross array<double>, n long", score).toPandas()
-    cross, own, n = np.array(seen["cross"].tolist()).reshape(-1, len(langs)), seen["lang"].to_numpy(), seen["n"].to_numpy(float)
-    for i in range(len(langs)):
-        x, size, other = cross[own == i, i], n[own == i], cross[own != i, i]
-        if len(x):
-            mean = np.average(x, weights=size)
-            model.noise[i] = max(1.0, float(np.sqrt(np.median((x - mean) ** 2 * size))))
-            # no language to compare with: twice as many bits a character as its own texts
-            model.limit[i] = max(float(np.median(other)) if len(other) else 0.0, 1.5 * mean) if len(other) else 2 * mean
+    cross, own, n = np.array(seen["cross"].tolist()).reshape(-1, len(langs)), seen["lang"].to_numpy(), seen["n"].to_numpy()
+    calibrate(model, cross, own, n)
     return model
 
 
+def calibrate(model: Model, cross: np.ndarray, own: np.ndarray, n: np.ndarray) -> None:
+    """Sets the rejection limit from the cross-entropies that labelled texts have under all models.
+
+    A text's excess is its cross-entropy above the middle of its language. What
+    a text of no learned language gets is seen when a text's own model is left
+    out. In each group of texts of like length the limit lies half way between
+    the excess that all but a share of FALSE_REJECTIONS of the texts stay below
+    with their own model and the one that all but FALSE_ACCEPTANCES are above
+    without it; where these overlap it is the former.
+    """
+    k = len(model.langs)
+    for i in range(k):
+        if (own == i).any():
+            model.middle[i] = np.median(cross[own == i, i])
+    excess = cross - model.middle
+    at = np.arange(len(own))
+    mine, others = excess[at, own], excess.copy()
+    others[at, own] = np.inf
+    # no language to compare with: twice as many bits a character as its own texts
+    foreign = others.min(1) if k > 1 else model.middle[own]
+    order = np.argsort(n, kind="stable")
+    groups = np.array_split(order, max(1, len(order) // GROUP_TEXTS)) if len(order) else []
+    model.lengths = np.array([0, *(n[g[0]] for g in groups[1:])], np.int64)
+    low = np.array([np.quantile(mine[g], 1 - FALSE_REJECTIONS) for g in groups] or [np.inf])
+    high = np.array([np.quantile(foreign[g], FALSE_ACCEPTANCES) for g in groups] or [np.inf])
+    model.slack = np.maximum(low, low + (high - low) * LIMIT_PLACE)
+    model.noise = float(np.median(np.abs(mine) * np.sqrt(n))) if len(mine) else 0.0
+
+
+def limits(model: Model, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The cross-entropy above which a text of ``n`` characters is none of language ``best``."""
+    return model.middle[best] + model.slack[np.searchsorted(model.lengths, n, side="right") - 1] + 2 * model.noise / np.sqrt(np.maximum(n, 1))
+
+
 def _estimate(langs: list[str], lang: np.ndarray, high: np.ndarray, low: np.ndarray, count: np.ndarray) -> Model:
     mask = np.uint64((1 << 21) - 1)
     chars = np.stack([high >> np.uint64(21), high & mask, low >> np.uint64(21), low & mask], 1).astype(np.uint32)
@@ -187,27 +235,31 @@ def _estimate(langs: list[str], lang: np.ndarray, high: np.ndarray, low: np.ndar
             found.append(lower[i])
             backs.append((heads, back))
         grams.append(_merge(found, k))
-        contexts.append(_merge(backs, k) if order > 1 else (np.zeros(0, np.uint64), np.zeros((0, k), np.float32)))
-    return Model(langs, grams, contexts, np.log(floor), np.full(k, 20.0), np.full(k, 1.0))
-
-
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """One sorted array of keys for all languages; NaN where a language lacks a key."""
-    every = np.unique(np.concatenate([p[0] for p in parts]))
-    table = np.full((len(every), k), np.nan, np.float32)
-    for i, (key, value) in enumerate(parts):
-        table[np.searchsorted(every, key), i] = np.log(value)
-    return every, table
-
-
-def _rows(store: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """The rows of sorted ``keys``' values, NaN where the store lacks one."""
-    known, table = store
-    if not len(known):
-        return np.full((len(keys), table.shape[1]), np.nan, np.float32)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    out = table[at]
-    out[known[at] != keys] = np.nan
+        contexts.append(_merge(backs, k) if order > 1 else _merge([], k))
+    return Model(langs, grams, contexts, np.log(floor), np.full(k, 20.0), np.zeros(1, np.int64), np.full(1, np.inf))
+
+
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]], k: int) -> Store:
+    """One sorted array of keys for all languages, each with the languages that have it."""
+    if not sum(len(p[0]) for p in parts):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
+    keys = np.concatenate([p[0] for p in parts])
+    by = np.argsort(keys, kind="stable")
+    every, first = np.unique(keys[by], return_index=True)
+    langs = np.concatenate([np.full(len(p[0]), i, np.int32) for i, p in enumerate(parts)])
+    return every, np.append(first, len(keys)), langs[by], np.log(np.concatenate([p[1] for p in parts]))[by].astype(np.float32)
+
+
+def _rows(store: Store, keys: np.ndarray, k: int) -> np.ndarray:
+    """(keys, k) the values of ``keys``, NaN where a language lacks one."""
+    known, first, langs, values = store
+    out = np.full((len(keys), k), np.nan, np.float32)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = np.flatnonzero(known[at] == keys)
+        sizes = first[at[hit] + 1] - first[at[hit]]
+        entry = np.repeat(first[at[hit]] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        out[np.repeat(hit, sizes), langs[entry]] = values[entry]
     return out
 
 
@@ -241,10 +293,10 @@ def cross_entropies(texts: list[str | None], model: Model) -> tuple[np.ndarray,
                 context = gram
             gram = _take(gram, windows[:, c])
         open_ = np.isnan(value)
-        found = _rows(model.grams[order - 1], gram)
+        found = _rows(model.grams[order - 1], gram, k)
         value = np.where(open_ & ~np.isnan(found), found + weight, value)
         if order > 1:
-            cost = _rows(model.contexts[order - 1], context)
+            cost = _rows(model.contexts[order - 1], context, k)
             weight = np.where(np.isnan(value) & ~np.isnan(cost), weight + cost, weight)
     value = np.where(np.isnan(value), model.floor.astype(np.float32) + weight, value)
     rows = np.flatnonzero(sizes)
@@ -257,6 +309,23 @@ def cross_entropies(texts: list[str | None], model: Model) -> tuple[np.ndarray,
     return cross, sizes
 
 
+def _judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, rejected) of each text."""
+    cross, n = cross_entropies(texts, model)
+    some = n > 0
+    safe = np.where(some[:, None], cross, 0.0)
+    best = safe.argmin(1)
+    lowest = safe[np.arange(len(best)), best]
+    score = np.where(some, 1 / np.exp2(-(safe - lowest[:, None]) * 20).sum(1), 0.0)
+    rejected = ~some | (lowest > limits(model, best, n))
+    return [model.langs[b] if s else UNDETERMINED for b, s in zip(best.tolist(), some.tolist(), strict=True)], score, rejected
+
+
+def _slice_bytes(model: Model) -> int:
+    """Bytes of text that are scored at a time; a table of their n-grams has a column per language."""
+    return max(1 << 16, (4 << 20) // max(4, len(model.langs)))
+
+
 def predictions(docs: DataFrame, model: Model | None) -> DataFrame:
     """The columns of ``docs`` with lang_pred, score and rejected.
 
@@ -264,49 +333,52 @@ def predictions(docs: DataFrame, model: Model | None) -> DataFrame:
     name; UNDETERMINED where the text is null or has no letter, or where nothing
     was learned. score is 0 to 1: the posterior of the winner over 20
     characters of average evidence, 0 where undetermined. rejected tells that
-    even the best model does no better than it does on calibration texts of
-    other languages, or that the text has no letter. Only the text is read.
-    Empty, repeated and very long texts are scored whole like any other.
+    the best model does worse on it than the limit that ``calibrate`` sets for
+    texts of its length, or that the text has no letter. Only the text is read. Empty, repeated and very long texts
+    are scored whole like any other.
     """
     if model is None:
         out = docs.withColumns({fresh(docs, "lang_pred"): F.lit(UNDETERMINED), fresh(docs, "score"): F.lit(0.0), fresh(docs, "rejected"): F.lit(True)})
         return out
     # plain data: workers need not be able to import this package
     shared = docs.sparkSession.sparkContext.broadcast(dict(vars(model)))
-    names = docs.columns
-    text_at = names.index("text")
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
-
+    text_at = docs.columns.index("text")
     schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())
 
-    import pyarrow as pa
-
-    from corpusmill.llm.common import slices
-
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**shared.value)
         for batch in batches:
-            sizes = [n or 0 for n in pa.compute.binary_length(batch.column(text_at)).to_pylist()]
-            for lo, hi in slices(sizes, 1 << 20):
+            sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
+            for lo, hi in slices(sizes, _slice_bytes(m)):
                 part = batch.slice(lo, hi - lo)
-                cross, n = cross_entropies(part.column(text_at).to_pylist(), m)
-                some = n > 0
-                safe = np.where(some[:, None], cross, 0.0)
-                best = safe.argmin(1)
-                at = np.arange(len(best))
-                odds = np.exp2(-(safe - safe[at, best][:, None]) * 20)
-                score = np.where(some, 1 / odds.sum(1), 0.0)
-                limit = m.limit[best] + REJECT_DEVIATIONS * m.noise[best] / np.sqrt(np.maximum(n, 1))
-                rejected = ~some | (safe[at, best] > limit)
-                pred = [m.langs[b] if s else UNDETERMINED for b, s in zip(best.tolist(), some.tolist(), strict=True)]
+                pred, score, rejected = _judge(m, part.column(text_at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred), pa.array(score), pa.array(rejected)], names=schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang) whose language can be told; all columns stay as they were."""
+    """The rows of ``docs`` (doc_id, text, lang) whose language can be told; all columns stay as they were.
+
+    Rows of null or letterless texts go, and those that ``predictions`` rejects.
+    Repeated rows are judged alike; an empty table, or one without a label,
+    keeps nothing. Each text passes through the task once, and rejected rows
+    are left out there.
+    """
     model = fit(docs)
-    keyed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col("text").alias("text"))
-    kept = predictions(keyed, model).where(~F.col("rejected"))
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    if model is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(dict(vars(model)))
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(**shared.value)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
+            for lo, hi in slices(sizes, _slice_bytes(m)):
+                part = batch.slice(lo, hi - lo)
+                yield part.filter(pa.array(~_judge(m, part.column(text_at).to_pylist())[2]))
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpusmill.llm import langid
 
@@ -91,7 +92,7 @@ def test_held_out_rows_teach_nothing(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     blind = docs.where(~langid.held_out(docs["doc_id"]))
     a, b = langid.fit(docs), langid.fit(blind)
-    assert all((x[0] == y[0]).all() for x, y in zip(a.grams, b.grams, strict=True)) and (a.limit == b.limit).all()
+    assert all((x[0] == y[0]).all() for x, y in zip(a.grams, b.grams, strict=True)) and (a.slack == b.slack).all() and (a.middle == b.middle).all()
 
 
 def test_nothing_to_learn_from(spark):
@@ -100,3 +101,29 @@ def test_nothing_to_learn_from(spark):
     assert langid.accepted(empty).count() == 0
     docs = spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")
     assert [(r["lang_pred"], r["score"]) for r in langid.predictions(docs, langid.fit(docs)).collect()] == [("und", 0.0)]
+
+
+def test_left_out_languages_are_rejected_and_own_texts_stay(spark):
+    """On the documents of the tables, with each language left out of learning in turn."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
+    for left_out in ("de", "fr"):
+        found = langid.predictions(docs, langid.fit(docs.where(docs["lang"] != left_out))).where(langid.held_out(F.col("doc_id"))).collect()
+        foreign = [r["rejected"] for r in found if r["lang"] == left_out]
+        own = [r["rejected"] for r in found if r["lang"] != left_out]
+        assert np.mean(foreign) >= 0.9 and np.mean(own) <= 0.01
+
+
+def test_long_texts_teach_nothing_and_the_sample_is_bounded(spark, monkeypatch):
+    rows = corpus()
+    docs = spark.createDataFrame([*rows, (5000, "zebra " * 50_000, "xx")], "doc_id long, text string, lang string")
+    assert langid.sample(docs, ["xx", "yy", "zz"]).where("doc_id = 5000").count() == 0
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 3000)
+    chosen = langid.sample(docs, ["xx", "yy", "zz"]).selectExpr("lang", "length(text) AS n").groupBy("lang").sum("n").collect()
+    assert len(chosen) == 3 and all(r["sum(n)"] < 6000 for r in chosen)
+
+
+def test_repeated_rows_and_ties_are_judged_alike(spark):
+    rows = [(i, "same words here " * 9, lang) for i, lang in enumerate(["b", "a"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in langid.predictions(docs, langid.fit(docs)).collect()} <= {"a", "b"}
+    assert len({(r["lang_pred"], r["score"], r["rejected"]) for r in langid.predictions(docs, langid.fit(docs)).collect()}) == 1
