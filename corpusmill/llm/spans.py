@@ -20,6 +20,11 @@ RUN = 3
 LEAST_WORDS = 12
 #: The fewest words in a sentence (of a text that has so many), so that any RUN of them hold LEAST_WORDS; twice as many less one are the most.
 SENTENCE_WORDS = 4
+#: A repeated stretch of fewer words stays where it is, unless it is the whole text: stock phrases and lines are no passages.
+#: Of repeated passages of 51 words between foreign ones 30 words at least lay in common runs, in 2,400 trials.
+LEAST_CUT_WORDS = 25
+#: Bytes of texts within which a task settles repeats before it passes runs on.
+SLICE_BYTES = 4 << 20
 
 # Scripts without spaces: each character counts as a word.
 _DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -129,7 +134,7 @@ def repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) ->
         for batch in batches:
             ids, keys = (batch.column(i).to_pylist() for i in (0, 1))
             sizes = [n or 0 for n in pa.compute.binary_length(batch.column(2)).to_pylist()]
-            for lo, hi in slices(sizes):
+            for lo, hi in slices(sizes, SLICE_BYTES):
                 order = sorted(range(lo, hi), key=lambda i: (ids[i] is not None, ids[i] or 0, keys[i]))
                 found = [runs(t or "", run, least_words) for t in batch.column(2).slice(lo, hi - lo).to_pylist()]
                 found = [found[i - lo] for i in order]
@@ -169,9 +174,24 @@ def repeated(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS) ->
     return found.withColumn("place", rank).where(F.col("later") | (F.col("place") > 1)).select("doc_id", "tk", "at")
 
 
-def without_repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, spans: str | None = None) -> DataFrame:
+def long_enough(gone: np.ndarray, words: list[int], least: int) -> np.ndarray:
+    """``gone`` without the stretches of fewer than ``least`` words; all of a text is always enough."""
+    if gone.all():
+        return gone
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    counts = np.cumsum([0, *words])
+    out = gone.copy()
+    for a, b in edges.reshape(-1, 2).tolist():
+        if counts[b] - counts[a] < least:
+            out[a:b] = False
+    return out
+
+
+def without_repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, spans: str | None = None, least_cut: int = LEAST_CUT_WORDS) -> DataFrame:
     """The rows of ``docs`` (doc_id, text), each text without the sentences that a repeated run covers.
 
+    Stretches of fewer than ``least_cut`` words are left, unless nothing else is in the text. Very long texts are cut like any other.
+
     Of equal runs the one with the smallest (doc_id, text hash, place) stays,
     null ids first, also within one document. Rows that repeat both doc_id and
     text are one document and are treated alike. Null and empty texts stay as
@@ -208,6 +228,7 @@ def without_repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WO
                 gone = np.zeros(len(ends), bool)
                 for a in ats:
                     gone[a : stops[a]] = True
+                gone = long_enough(gone, words, least_cut)
                 starts, kept, out = [0, *ends[:-1]], [], []
                 for g, s, e in zip(gone.tolist(), starts, ends, strict=True):
                     if not g:

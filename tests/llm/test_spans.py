@@ -27,6 +27,15 @@ def brute(rows, run=spans.RUN, least=spans.LEAST_WORDS):
             words = [p.split() for p in parts[i : i + run]]
             if sum(map(len, words)) >= least and first[tuple(tuple(w) for w in words)] != (doc, text, i):
                 gone |= set(range(i, i + run))
+        if len(gone) < len(parts):
+            # stretches of fewer words than a passage has are left
+            for i in sorted(gone):
+                if i in gone and i - 1 not in gone:
+                    stretch = [i]
+                    while stretch[-1] + 1 in gone:
+                        stretch.append(stretch[-1] + 1)
+                    if sum(len(parts[j].split()) for j in stretch) < spans.LEAST_CUT_WORDS:
+                        gone -= set(stretch)
         out[doc, text] = "".join(p for i, p in enumerate(parts) if i not in gone)
     return out
 
@@ -91,6 +100,27 @@ def test_sentences_cover_a_text():
         assert sum(words) == len(text.split())
 
 
+def test_stock_phrases_stay_and_passages_of_51_words_go(spark):
+    rng = random.Random(31)
+
+    def plain(n):
+        return " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+
+    phrase, passage = plain(18), plain(51)
+    rows = [(i, f"{plain(40)}. {phrase if i % 2 else passage}. {plain(40)}") for i in range(20)] + [(90, phrase), (91, phrase)]
+    got = {r["doc_id"]: r for r in spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), spans="cut").collect()}
+    assert all(got[i]["text"] == t for i, t in rows if i % 2 and i < 20)
+    assert [i for i in range(0, 20, 2) if not got[i]["cut"]] == [0]
+    # a text that is nothing but a phrase said before is a repeat as a whole
+    assert got[91]["text"] == ""
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i % 70_000}" for i in range(200_000))
+    got = spans.without_repeats(spark.createDataFrame([(1, text), (2, "other " + text)], "doc_id long, text string"), spans="cut").collect()
+    assert max(len(r["text"]) for r in got) < len(text) / 2.5
+
+
 def test_an_empty_table(spark):
     assert spans.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
