@@ -72,6 +72,11 @@ CONTRACT = SimHash(3, 1, 3, exact_tables())
 #: One of the 32 bands agrees with probability 0.91 at similarity 0.8, 0.97 at 0.85, 0.998 at 0.9.
 FIVE_WORDS = SimHash(5, 8, 84, band_tables(8))
 
+#: Texts that share so many of their different shingles are near duplicates.
+SIMILARITY = 0.8
+#: Members and shingles of a cluster that one task goes through.
+CLUSTER_ROWS, CLUSTER_HASHES = 1024, 4_000_000
+
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
@@ -475,16 +480,98 @@ def classes(docs: DataFrame, how: SimHash = CONTRACT) -> DataFrame:
     return prints.join(by_print, F.col("w") == F.col("pw")).select("doc_id", "tk", "w", "component_id", "cluster")
 
 
-def keep_one(docs: DataFrame, how: SimHash = FIVE_WORDS) -> DataFrame:
-    """The rows of ``docs`` with one document of each group of near duplicates.
+def shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """(doc_id, tk, sh) with the different shingles of every text as sorted hashes."""
+
+    def work(columns: list[list]) -> dict[str, object]:
+        ids, keys, texts = columns
+        sets = [np.unique(np.fromiter((h for part in shingle_hashes(t, shingle_words) for h in part), np.uint64)).view(np.int64) for t in texts]
+        return {"doc_id": ids, "tk": keys, "sh": sets}
+
+    rows = docs.select(col("doc_id").cast("long").alias("doc_id"), text_key(col("text")).alias("tk"), col("text").alias("text"))
+    return map_texts(rows, "doc_id long, tk long, sh array<long>", work)
+
+
+def _first_of_each(members: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, tk) of the members that stay; a task goes through a cluster in order and holds the sets that stay."""
 
-    The row with the group's smallest doc_id stays (null ids last, ties by text
-    hash); of wholly repeated rows one stays. All columns are returned as they were.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            clusters, sets = batch.column(0).to_pylist(), batch.column(3)
+            stay = []
+            for i, cluster in enumerate(clusters):
+                if cluster != now:
+                    now, held = cluster, []
+                mine = sets[i].values.to_numpy()
+                for other in held:
+                    if min(len(mine), len(other)) < similarity * max(len(mine), len(other)):
+                        continue
+                    common = len(np.intersect1d(mine, other, assume_unique=True))
+                    if common >= similarity * (len(mine) + len(other) - common):
+                        break
+                else:
+                    held.append(mine)
+                    stay.append(i)
+            yield batch.select(["doc_id", "tk"]).take(pa.array(stay, pa.int64()))
+
+    order = ["cluster", F.col("doc_id").asc_nulls_last(), "tk"]
+    return members.select("cluster", "doc_id", "tk", "sh").repartition("cluster").sortWithinPartitions(*order).mapInArrow(run, "doc_id long, tk long")
+
+
+def leaders(members: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, tk) of the members (cluster, doc_id, tk, sh) that stay: each other one is as similar as that to one of these, by exact Jaccard.
+
+    The first open member of a cluster stays and those similar to it go, and so
+    on; ids in order, null last. Clusters of up to CLUSTER_ROWS members and
+    CLUSTER_HASHES shingles are gone through in one task each. In larger ones
+    all open members are compared with the first, wherever they are, turn by
+    turn, until so few are open; the result is the same.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("tk").alias("tk"))
+    now, kept = members, None
+    while True:
+        sizes = now.groupBy(F.col("cluster").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("sh")).alias("hashes"))
+        small = (F.col("n") <= CLUSTER_ROWS) & (F.col("hashes") <= CLUSTER_HASHES)
+        sized = now.join(sizes, F.col("cluster") == F.col("c"))
+        done = materialize(_first_of_each(sized.where(small), similarity), "simhash-stay")
+        kept = done if kept is None else kept.unionAll(done)
+        large = sized.where(~small).select("cluster", "doc_id", "tk", "sh")
+        lead = materialize(large.groupBy("cluster").agg(F.min_by(F.struct("doc_id", "tk", "sh"), first).alias("l")), "simhash-leaders")
+        if lead.isEmpty():
+            return kept
+        kept = kept.unionAll(lead.select("l.doc_id", "l.tk"))
+        pair = large.join(lead, "cluster")
+        common = F.size(F.array_intersect("sh", "l.sh"))
+        union = F.size("sh") + F.size("l.sh") - common
+        alike = F.when(union == 0, F.lit(True)).otherwise(common >= similarity * union)
+        own = same(F.col("doc_id"), F.col("l.doc_id")) & (F.col("tk") == F.col("l.tk"))
+        now = materialize(pair.where(~alike & ~own).select("cluster", "doc_id", "tk", "sh"), "simhash-open")
+
+
+def keep_one(docs: DataFrame, how: SimHash = FIVE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without those that nearly repeat another one that stays.
+
+    Fingerprints group the rows. In a group the row with the smallest doc_id
+    stays (null ids last, ties by text hash) and all that share at least
+    ``similarity`` of their different shingles with it, exactly counted, go;
+    what is left of the group is treated in the same way. So each removed row
+    has one that stays and is as similar. Equal texts go without counting; of
+    wholly repeated rows one stays. All columns are returned as they were.
     """
-    found = classes(docs, how)
     wide = fresh(docs, "_k_id"), fresh(docs, "_k_text"), fresh(docs, "_k_no")
-    first = found.groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("f"))
-    keep = first.select(F.col("f.doc_id").alias("kept_id_"), F.col("f.tk").alias("kept_tk_"))
+    found = materialize(classes(docs, how).groupBy("cluster", "tk").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("f")), "simhash-texts")
+    found = found.select("cluster", "tk", F.col("f.doc_id").alias("doc_id"))
+    several = found.groupBy(F.col("cluster").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    sized = found.join(several, F.col("cluster") == F.col("c"))
+    alone = sized.where("n = 1").select("doc_id", "tk")
+    open_ = sized.where("n > 1").select("cluster", F.col("doc_id").alias("mid"), F.col("tk").alias("mtk"))
+    texts = docs.withColumns({wide[0]: col("doc_id").cast("long"), wide[1]: text_key(col("text"))}).join(
+        open_, same(col(wide[0]), F.col("mid")) & (col(wide[1]) == F.col("mtk")), "left_semi"
+    )
+    sets = shingle_sets(texts, how.shingle_words).dropDuplicates(["doc_id", "tk"])
+    members = open_.join(sets, same(F.col("mid"), F.col("doc_id")) & (F.col("mtk") == F.col("tk"))).select("cluster", "doc_id", "tk", "sh")
+    keep = alone.unionAll(leaders(materialize(members, "simhash-members"), similarity)).select(F.col("doc_id").alias("kept_id_"), F.col("tk").alias("kept_tk_"))
     keyed = docs.select("*", col("doc_id").cast("long").alias(wide[0]), text_key(col("text")).alias(wide[1]))
     kept = keyed.join(keep, same(F.col(wide[0]), F.col("kept_id_")) & same(F.col(wide[1]), F.col("kept_tk_")), "left_semi")
     number = F.row_number().over(Window.partitionBy(wide[0], wide[1]).orderBy(wide[0]))

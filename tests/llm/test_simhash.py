@@ -193,3 +193,31 @@ def test_near_copies_of_five_word_shingles_are_found(spark):
         want += 1
     kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [g * 10 for g in range(want)]
+
+
+def jaccard(a, b):
+    sets = [{h for part in simhash.shingle_hashes(t, 5) for h in part} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+@pytest.mark.parametrize("rows_of_a_task", [1024, 3])
+def test_every_removed_text_is_like_one_that_stays(spark, monkeypatch, rows_of_a_task):
+    """A chain in which each text is near the next one, but far from the others."""
+    monkeypatch.setattr(simhash, "CLUSTER_ROWS", rows_of_a_task)
+    rng = random.Random(44)
+    words = [f"c{rng.randrange(10**6)}" for _ in range(400)]
+    rows, now = [], list(words)
+    for i in range(12):
+        rows.append((i, " ".join(now)))
+        now = list(now)
+        for at in rng.sample(range(400), 6):
+            now[at] = f"d{rng.randrange(10**6)}"
+    rows += [(50, rows[0][1]), (None, rows[0][1]), (60, ""), (61, None), (62, "a b"), (63, "a b"), (64, "a c")]
+    kept = {(r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (0, rows[0][1]) in kept and not {50, None} & {d for d, _ in kept} and len(kept & set(rows[:12])) < 12
+    texts = [t for _, t in kept]
+    for d, t in set(rows) - kept:
+        assert max(jaccard(t, k) for k in texts) >= 0.8, d
+    for d, t in kept & set(rows[1:12]):
+        assert all(jaccard(t, k) < 0.8 for e, k in kept if e is not None and e < d)
+    assert {d for d, _ in kept if d and d >= 60} == {60, 62, 64}
