@@ -533,7 +533,8 @@ def leaders(members: DataFrame, similarity: float) -> DataFrame:
     while True:
         sizes = now.groupBy(F.col("cluster").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("sh")).alias("hashes"))
         small = (F.col("n") <= CLUSTER_ROWS) & (F.col("hashes") <= CLUSTER_HASHES)
-        sized = now.join(sizes, F.col("cluster") == F.col("c"))
+        # Written: a repartitioning right above a join by the same key may be left out, and the join may then become one that deals rows otherwise.
+        sized = materialize(now.join(sizes, F.col("cluster") == F.col("c")), "simhash-sized")
         done = materialize(_first_of_each(sized.where(small), similarity), "simhash-stay")
         kept = done if kept is None else kept.unionAll(done)
         large = sized.where(~small).select("cluster", "doc_id", "tk", "sh")

@@ -221,3 +221,15 @@ def test_every_removed_text_is_like_one_that_stays(spark, monkeypatch, rows_of_a
     for d, t in kept & set(rows[1:12]):
         assert all(jaccard(t, k) < 0.8 for e, k in kept if e is not None and e < d)
     assert {d for d, _ in kept if d and d >= 60} == {60, 62, 64}
+
+
+def test_clusters_stay_whole_whatever_the_joins_become(spark, tmp_path):
+    rows = [(c, 10 * c + i, c, list(range(c, c + 60))) for c in range(3000) for i in range(2)]
+    spark.createDataFrame(rows, "cluster long, doc_id long, tk long, sh array<long>").repartition(12).write.parquet(f"{tmp_path}/members")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        stay = simhash.leaders(spark.read.parquet(f"{tmp_path}/members"), 0.8)
+        assert sorted(r["doc_id"] for r in stay.collect()) == [10 * c for c in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
