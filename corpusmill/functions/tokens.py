@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +17,7 @@ TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 
 def tokens(col: Column) -> Column:
     """Lower-case words: runs of letters and digits."""
-    return F.filter(F.split(F.lower(col), TOKEN_BREAK), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(col), TOKEN_BREAK), "")
 
 
 def _run_starts(sorted_items: Column, differs) -> Column:
@@ -45,40 +50,49 @@ def term_counts(toks: Column) -> Column:
     )
 
 
-def _hashed(term: Column, dims: int) -> Column:
-    """Bucket and sign of a word."""
+# Words whose places a task remembers, and numbers of vectors that it works on at a time.
+_KNOWN_WORDS = 200_000
+_CELLS_HELD = 500_000
 
-    def split(h: Column) -> Column:
-        bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dims).cast("int")
-        return F.struct(bucket.alias("b"), F.when(F.substring(h, 9, 1) < "8", F.lit(1.0)).otherwise(F.lit(-1.0)).alias("w"))
 
-    return let(F.md5(term), split)
+def _place(term: str, dims: int) -> int:
+    """Bucket and sign of a word in one number; odd ones count down."""
+    digest = hashlib.md5(term.encode()).hexdigest()
+    return int(digest[:8], 16) % dims * 2 + (digest[8] >= "8")
 
 
 def hashing_vector(toks: Column, dims: int) -> Column:
-    """Signed feature hashing to a unit vector (array<float>); all zero when words cancel out or there are none.
+    """Signed feature hashing to a unit vector (array<float>); all zero when words cancel out or there are none, null for null.
 
     md5 keeps the vector reproducible in any engine. Counts are whole numbers,
-    so the sums do not depend on their order.
+    so the sums do not depend on their order. A word is hashed once per task,
+    not once per occurrence; only the words leave the row for the Arrow worker.
     """
-    pairs = F.sort_array(F.transform(toks, lambda t: _hashed(t, dims)))
-
-    def dense(p: Column) -> Column:
-        def build(starts: Column) -> Column:
-            def block(i: Column, j: Column) -> Column:
-                before = F.when(j == 0, F.lit(-1)).otherwise(F.get(p, i - 1)["b"])
-                total = F.aggregate(
-                    F.slice(p, i + 1, _run_length(starts, j, F.size(p))), F.lit(0.0), lambda acc, x: acc + x["w"]
-                )
-                return F.concat(F.array_repeat(F.lit(0.0), F.get(p, i)["b"] - before - 1), F.array(total))
-
-            tail = F.array_repeat(F.lit(0.0), dims - 1 - F.coalesce(F.get(p, F.size(p) - 1)["b"], F.lit(-1)))
-            return F.concat(F.flatten(F.transform(starts, block)), tail)
-
-        return let(_run_starts(p, lambda a, b: a["b"] != b["b"]), build)
-
-    def unit(v: Column) -> Column:
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-        return let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)).cast("float")))
-
-    return let(let(pairs, dense), unit)
+    known: dict[str, int] = {}
+
+    def units(lists: pa.Array) -> np.ndarray:
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(known) + len(words) > _KNOWN_WORDS:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = _place(w, dims)
+        cells = np.array([known[w] for w in words], np.int64)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        at = np.repeat(np.arange(len(lists)) * (2 * dims), lengths) + cells[coded.indices.to_numpy()]
+        counts = np.bincount(at, minlength=len(lists) * 2 * dims).reshape(len(lists), dims, 2)
+        sums = (counts[:, :, 0] - counts[:, :, 1]).astype(np.float64)
+        norm = np.sqrt((sums * sums).sum(1))
+        return (sums / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)
+
+    def vectors(lists: pa.Array) -> pa.Array:
+        out, step = [], max(1, _CELLS_HELD // dims)
+        for start in range(0, len(lists), step):
+            part = lists.slice(start, step)
+            there = part.is_valid().to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], np.cumsum(there * dims)]).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(offsets, pa.array(units(part)[there].ravel()), mask=part.is_null()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.float32()))
+
+    return F.arrow_udf(vectors, "array<float>")(toks)

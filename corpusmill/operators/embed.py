@@ -20,8 +20,8 @@ Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
 def embed(df: DataFrame, col: str = "chunk_text", dims: int = DEFAULT_DIMS, out: str = "embedding") -> DataFrame:
-    """Add a unit vector of hashed words; null for blank text. Row-local, no Python worker."""
-    return with_once(df, out, F.when(F.length(strip(F.col(col))) > 0, hashing_vector(tokens(F.col(col)), dims)))
+    """Add a unit vector of hashed words; null for blank text. Row-local; only the words go to the Arrow worker and only the vectors come back."""
+    return with_once(df, out, hashing_vector(F.when(F.length(strip(F.col(col))) > 0, tokens(F.col(col))), dims))
 
 
 def embed_with(

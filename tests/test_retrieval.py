@@ -180,6 +180,28 @@ def test_only_blank_text_has_no_vector(spark):
     assert [r.embedding is None for r in embed(df, dims=4).collect()] == [True, True, False, False]
 
 
+def test_words_are_hashed_once_per_task(spark, monkeypatch):
+    import hashlib
+
+    from corpusmill.functions import tokens as words
+
+    monkeypatch.setattr(words, "_CELLS_HELD", 7)
+    texts = [None, " ", "...", "one two one", "Two! two, three", *["w%d x%d" % (i % 5, i) for i in range(40)]]
+    vectors = embed(spark.createDataFrame(list(enumerate(texts)), "i int, chunk_text string").coalesce(1), dims=3)
+    # No hash per occurrence of a word: the plan has none.
+    assert "md5" not in vectors._jdf.queryExecution().executedPlan().toString()
+    for r in vectors.collect():
+        if not (r.chunk_text or "").strip():
+            assert r.embedding is None
+            continue
+        want = [0.0] * 3
+        for w in "".join(c if c.isalnum() else " " for c in r.chunk_text.lower()).split():
+            digest = hashlib.md5(w.encode()).hexdigest()
+            want[int(digest[:8], 16) % 3] += 1 if digest[8] < "8" else -1
+        norm = sum(x * x for x in want) ** 0.5 or 1
+        assert r.embedding == pytest.approx([x / norm for x in want], abs=1e-6)
+
+
 def test_index_rows(spark):
     gold = spark.createDataFrame(
         [(1, "t", [1.0], "3"), (2, "  ", [1.0], None), (3, "t", None, None), (None, "t", [1.0], None), (4, "\n", [1.0], None)],
