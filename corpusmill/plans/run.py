@@ -27,8 +27,8 @@ LEDGER = "run_ledger"
 class RunConfig:
     """Where runs read and write.
 
-    ``buckets`` of every layer, by document: choose it so that one bucket of
-    pages fits a task. ``publish_to`` is the folder for the records of what was
+    ``buckets`` of every layer, by document: the more, the less a run with few
+    changes writes again. ``publish_to`` is the folder for the records of what was
     sent to an index service.
     """
 

@@ -142,8 +142,8 @@ def _write(df: DataFrame, name: str, layer: Layer, allow_empty: bool) -> tuple[i
     out, seen = with_metrics(df, name)
     try:
         if layer.key:
-            # By bucket, so that a bucket is written by one task and is one file.
-            placed = out.withColumn(_BUCKET, _bucket(layer.key, layer.buckets)).repartition(layer.buckets, F.col(_BUCKET)).sortWithinPartitions(_BUCKET, layer.key)
+            # By bucket, in tasks of the advised size: small buckets share a task, one that is larger is several files.
+            placed = out.withColumn(_BUCKET, _bucket(layer.key, layer.buckets)).hint("rebalance", F.col(_BUCKET)).sortWithinPartitions(_BUCKET, layer.key)
             placed.write.format(layer.fmt).partitionBy(_BUCKET).save(folder)
         else:
             out.write.format(layer.fmt).save(folder)
@@ -175,8 +175,8 @@ def write_layer(
 
     Rows are counted while they are written, so nothing is computed twice. On
     any failure, too few rows among them, the old layer stays. ``key`` lays the
-    rows out in ``buckets`` by the hash of that column, for ``upsert_layer``;
-    choose their number so that one bucket fits a task. ``layer`` adds a load
+    rows out in ``buckets`` by the hash of that column, for ``upsert_layer``; a
+    bucket may be of any size, as several tasks write a large one. ``layer`` adds a load
     time. There may be one writer of a layer at a time. The generation before is
     kept for readers that are still at it; older ones are deleted.
     """

@@ -380,3 +380,22 @@ def test_questions_and_saved_runs(spark, tmp_path):
     write_evaluation(spark.range(3), spark.range(1).withColumnRenamed("id", "total"), str(tmp_path / "run"), 5)
     assert spark.read.json(str(tmp_path / "run" / "results")).count() == 3
     assert spark.read.json(str(tmp_path / "run" / "summary")).first().top_k == 5
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    # One task per bucket, before, held as much as the bucket had, however large.
+    name, path = "wide_bucket", tmp_path / "wide"
+    rows = spark.range(0, 40_000, numPartitions=8).select(F.col("id").cast("string").alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("v"))
+    size, least = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    try:
+        spark.conf.set(size, "256k")
+        spark.conf.set(least, "64k")
+        assert write_layer(rows, name, key="k", buckets=1, path=str(path)) == 40_000
+        assert len(files_below(path)) > 4
+        upsert_layer(rows.where("k = '7'").withColumn("v", F.lit("new")), name, removed=rows.where("k = '8'"))
+    finally:
+        spark.conf.unset(size)
+        spark.conf.unset(least)
+    kept = read_layer(spark, name)
+    assert (kept.count(), kept.select("k").distinct().count()) == (39_999, 39_999)
+    assert [r.v for r in kept.where("k = '7'").collect()] == ["new"] and kept.where("k = '8'").isEmpty()
