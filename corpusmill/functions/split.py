@@ -49,6 +49,11 @@ def _atom(text: Column, long: Column, opens: Column) -> Column:
     return F.struct(text.alias("t"), long.alias("long"), opens.alias("opens"))
 
 
+def _any_long(atoms: Column) -> Column:
+    """Most texts are short enough after one or two separators; their atoms are not gone through for each further one."""
+    return F.exists(atoms, lambda a: a["long"])
+
+
 def _refine(atoms: Column, separator: str, size: int) -> Column:
     """Cut the atoms that are still too long at one separator.
 
@@ -67,12 +72,12 @@ def _refine(atoms: Column, separator: str, size: int) -> Column:
 
         return F.when(atom["long"], let(_pieces(atom["t"], separator), label)).otherwise(F.array(atom))
 
-    return F.flatten(F.transform(atoms, cut))
+    return F.when(_any_long(atoms), F.flatten(F.transform(atoms, cut))).otherwise(atoms)
 
 
 def _hard_cut(atoms: Column, size: int, overlap: int) -> Column:
     """What no separator could shorten becomes fixed windows, each a chunk of its own."""
-    return F.flatten(
+    cut = F.flatten(
         F.transform(
             atoms,
             lambda a: F.when(
@@ -80,6 +85,7 @@ def _hard_cut(atoms: Column, size: int, overlap: int) -> Column:
             ).otherwise(F.array(a)),
         )
     )
+    return F.when(_any_long(atoms), cut).otherwise(atoms)
 
 
 def _tail(pieces: Column, limit: Column) -> Column:
