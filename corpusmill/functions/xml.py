@@ -16,16 +16,16 @@ RATES_HEADING = "Euro foreign exchange reference rates:"
 
 # Any well-formed document fits; only the parser's verdict and stray text are wanted.
 _PROBE_SCHEMA = "struct<_VALUE string, _corrupt_record string>"
-_ATTR = r"""\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+_ATTR = r"""\s{name}\s*=\s*("[^"]*"|'[^']*')"""
 
 
-# A tag's inside, quoted values with a ">" in them included.
-_INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+# A tag's inside, quoted values with a ">" in them included. Nothing is given back, so a tag is gone through once.
+_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 
 
 def _has_one_root(body: Column) -> Column:
     """Whether a well-formed run of elements is a single one: its first element closes only once, and nothing follows."""
-    bare = F.regexp_replace(body, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", F.lit(""))
+    bare = F.when(body.rlike(r"<[!?]"), F.regexp_replace(body, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", F.lit(""))).otherwise(body)
 
     def check(doc: Column) -> Column:
         name = F.concat(F.lit(r"\Q"), F.regexp_extract(doc, r"\A\s*<([^\s/>]+)", 1), F.lit(r"\E"))
@@ -35,7 +35,7 @@ def _has_one_root(body: Column) -> Column:
         walked = F.aggregate(
             steps, start, lambda at, x: F.struct((at["depth"] + x).alias("depth"), (at["closed"] + F.when((at["depth"] + x == 0), 1).otherwise(0)).alias("closed"))
         )
-        ends = doc.rlike(r"\A\s*<" + _INSIDE + r"/>\s*\z") | F.call_function("regexp_like", doc, F.concat(F.lit("</"), name, F.lit(r"\s*>\s*\z")))
+        ends = doc.rlike(r"\A\s*<" + _INSIDE + r"(?<=/)>\s*\z") | F.call_function("regexp_like", doc, F.concat(F.lit("</"), name, F.lit(r"\s*>\s*\z")))
         return (walked["closed"] == 1) & ends
 
     return let(bare, check)
@@ -50,58 +50,75 @@ def is_well_formed(xml: Column) -> Column:
     """
     body = F.regexp_replace(xml, r"(?s)\A<\?xml\s.*?\?>", F.lit(""))
     body = F.regexp_replace(body, r"(?s)\A\s*<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>", F.lit(""))
-    probe = F.from_xml(F.concat(F.lit("<whole_document>"), body, F.lit("</whole_document>")), _PROBE_SCHEMA, {"mode": "PERMISSIVE"})
-    return F.coalesce(
-        let(probe, lambda p: p["_corrupt_record"].isNull() & p["_VALUE"].isNull()) & body.rlike(r"\A\s*<") & _has_one_root(body), F.lit(False)
-    )
+
+    def check(body: Column) -> Column:
+        probe = F.from_xml(F.concat(F.lit("<whole_document>"), body, F.lit("</whole_document>")), _PROBE_SCHEMA, {"mode": "PERMISSIVE"})
+        return let(probe, lambda p: p["_corrupt_record"].isNull() & p["_VALUE"].isNull()) & body.rlike(r"\A\s*<") & _has_one_root(body)
+
+    return F.coalesce(let(body, check), F.lit(False))
 
 
 def _without_comments(xml: Column) -> Column:
-    return F.regexp_replace(xml, r"(?s)<!--.*?-->", F.lit(""))
+    return F.when(xml.contains("<!--"), F.regexp_replace(xml, r"(?s)<!--.*?-->", F.lit(""))).otherwise(xml)
 
 
 def _unescape_xml(col: Column) -> Column:
     """The five predefined entities, "&amp;" last."""
+    out = col
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        col = F.replace(col, F.lit(name), F.lit(char))
-    return col
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.when(col.contains("&"), out).otherwise(col)
 
 
 def _last_text(xml: Column, name: str) -> Column:
     """Text of the last element of that local name that has any text."""
-    found = F.regexp_extract_all(xml, F.lit(rf"<(?:[\w.-]+:)?{name}(?:\s[^>]*)?>([^<]+)<"), F.lit(1))
-    return strip(_unescape_xml(F.try_element_at(found, F.lit(-1))))
+    found = F.regexp_extract_all(xml, F.lit(rf"<(?:[\w.-]++:)?+{name}(?:\s[^>]*+)?+>([^<]++)<"), F.lit(1))
+    return let(F.try_element_at(found, F.lit(-1)), lambda t: strip(_unescape_xml(t)))
 
 
 def _attr(tag: Column, name: str) -> Column:
     """Attribute value with either kind of quote; null when absent."""
-    pattern = _ATTR.format(name=name)
-    value = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
-    return F.when(tag.rlike(pattern), _unescape_xml(value))
+
+    def value(quoted: Column) -> Column:
+        return F.when(quoted != "", let(F.substr(quoted, F.lit(2), F.length(quoted) - 2), _unescape_xml))
+
+    return F.when(tag.contains(name), let(F.regexp_extract(tag, _ATTR.format(name=name), 1), value))
 
 
 def _cube_tags(xml: Column) -> Column:
-    return F.regexp_extract_all(xml, F.lit(r"""<(?:[\w.-]+:)?Cube((?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|'[^']*'))*)\s*/?>"""), F.lit(1))
+    return F.regexp_extract_all(xml, F.lit(r"""<(?:[\w.-]++:)?+Cube((?:\s++[\w.:-]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'))*+)\s*+/?>"""), F.lit(1))
 
 
-def fx_struct(xml: Column) -> Column:
-    """subject, sender, rate_date and the rates in document order; null for malformed text."""
-    doc = _without_comments(xml)
-    cubes = _cube_tags(doc)
+def _rates(cubes: Column) -> Column:
+    """rate_date and the rates in document order, of the attributes of all Cube tags."""
     dates = F.filter(F.transform(cubes, lambda c: _attr(c, "time")), lambda d: d.isNotNull())
     rates = F.filter(
         F.transform(cubes, lambda c: F.struct(_attr(c, "currency").alias("currency"), _attr(c, "rate").alias("rate"))),
         lambda r: (r["currency"] != "") & (r["rate"] != ""),
     )
-    return F.when(
-        is_well_formed(xml),
-        F.struct(
-            _last_text(doc, "subject").alias("subject"),
-            _last_text(doc, "name").alias("sender"),
-            F.try_element_at(dates, F.lit(-1)).alias("rate_date"),
-            rates.alias("rates"),
-        ),
-    )
+    return F.struct(F.try_element_at(dates, F.lit(-1)).alias("rate_date"), rates.alias("rates"))
+
+
+def fx_rates(xml: Column) -> Column:
+    """rate_date and rates alone, as in ``fx_struct``; null for malformed text."""
+    return F.when(is_well_formed(xml), let(_cube_tags(_without_comments(xml)), _rates))
+
+
+def fx_struct(xml: Column) -> Column:
+    """subject, sender, rate_date and the rates in document order; null for malformed text."""
+
+    def read(doc: Column) -> Column:
+        def fields(found: Column) -> Column:
+            return F.struct(
+                _last_text(doc, "subject").alias("subject"),
+                _last_text(doc, "name").alias("sender"),
+                found["rate_date"].alias("rate_date"),
+                found["rates"].alias("rates"),
+            )
+
+        return let(let(_cube_tags(doc), _rates), fields)
+
+    return F.when(is_well_formed(xml), let(_without_comments(xml), read))
 
 
 def fx_lines(fx: Column) -> Column:

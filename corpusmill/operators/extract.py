@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.base import let
 from corpusmill.functions.html import main_text
 from corpusmill.functions.text import byte_size, clean_text, decode_utf8, file_error, sha256_hex
-from corpusmill.functions.xml import fx_struct, rdf_expression_id, rdf_modified, rdf_title, xml_text_or_tags_removed
+from corpusmill.functions.xml import fx_rates, fx_struct, rdf_expression_id, rdf_modified, rdf_title, xml_text_or_tags_removed
 from corpusmill.operators.manifest import RAW_FOLDERS, raw_path, raw_path_error
 from corpusmill.operators.once import with_once, with_text_once
 from corpusmill.schemas import BRONZE_PAGES, LINEAGE
@@ -124,7 +124,7 @@ def extract_fx_rates(docs: DataFrame, xml_col: str = "xml") -> DataFrame:
             fx["rates"], lambda r: F.struct(day, r["currency"].alias("currency"), r["rate"].try_cast("double").alias("rate"))
         )
 
-    return docs.select(*parents, F.inline(let(F.col(xml_col), lambda x: let(fx_struct(x), rows))))
+    return docs.select(*parents, F.inline(let(F.col(xml_col), lambda x: let(fx_rates(x), rows))))
 
 
 def fx_text(docs: DataFrame, xml_col: str = "xml") -> DataFrame:

@@ -182,3 +182,16 @@ def test_term_counts_and_vector(spark):
 )
 def test_a_document_has_one_root(spark, xml, whole):
     assert spark.createDataFrame([(xml,)], "x string").select(xml_functions.is_well_formed(F.col("x"))).first()[0] is whole
+
+
+def test_cubes_are_looked_for_once(spark):
+    doc = "<a:E xmlns:a='u'><a:name>x</a:name><Cube time=\"2024-01-02\"><Cube currency='A&amp;B' rate = \"1.5\"/><Cube currency='' rate='2'/><Cube rate='3'/></Cube></a:E>"
+    docs = spark.createDataFrame([(doc,), (doc.replace("</a:E>", ""),), (None,)], "x string")
+    found = docs.select(xml_functions.fx_struct(F.col("x")).alias("v"), xml_functions.fx_rates(F.col("x")).alias("r"))
+    plan = docs.select(xml_functions.fx_struct(F.col("x")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    # One search for the tags serves the date and the rates.
+    assert plan.count("Cube((?:") == 1
+    rows = found.collect()
+    assert [(r.v.sender, r.v.rate_date, [tuple(x) for x in r.v.rates]) for r in rows[:1]] == [("x", "2024-01-02", [("A&B", "1.5")])]
+    assert (rows[0].r.rate_date, rows[0].r.rates) == (rows[0].v.rate_date, rows[0].v.rates)
+    assert [(r.v, r.r) for r in rows[1:]] == [(None, None)] * 2
