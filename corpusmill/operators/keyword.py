@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -106,6 +107,8 @@ def inverted(postings: DataFrame) -> DataFrame:
                 if count == TILE_CHUNKS:
                     yield _tile(held, tile)
                     held, count, tile = [], 0, tile + 1
+                    # Arrow keeps what it frees; a task must not grow with the number of its tiles.
+                    pa.default_memory_pool().release_unused()
         if count:
             yield _tile(held, tile)
 
@@ -204,14 +207,15 @@ def scan_tiles(index: KeywordIndex, questions: DataFrame, k: int, near: str | No
                 for rows, ids, dl, bounds in held:
                     tile = _Tile(rows, ids, dl, avgdl)
                     top = {t: tf * (K1 + 1) / (tf + K1 * (1 - B + B * low / avgdl)) for t, (tf, low) in bounds.items()}
-                    places = {v: i for i, v in enumerate(ids.to_pylist())} if near else {}
+                    listed = ids.to_pylist() if near else []
+                    places = {} if counting else {v: i for i, v in enumerate(listed)}
                     for q, mine in enumerate(terms):
                         bound = sum(t["idf"] * top.get(t["term"], 0.0) for t in mine)
                         if not bound or not near and bound + 1e-5 < floor[q]:
                             continue
                         scores = tile.scores(mine)
                         if counting:
-                            better = [int((scores > w["score"]).sum() + (scores[: _before(ids, w["chunk_id"])] == w["score"]).sum()) for w in wanted[q]]
+                            better = [int((scores > w["score"]).sum() + (scores[: bisect_left(listed, w["chunk_id"])] == w["score"]).sum()) for w in wanted[q]]
                             if any(better):
                                 yield batch_of(asked, [q] * len(better), pa.array([w["chunk_id"] for w in wanted[q]], ids.type), np.zeros(len(better)), np.array(better))
                             continue
@@ -240,6 +244,7 @@ def scan_tiles(index: KeywordIndex, questions: DataFrame, k: int, near: str | No
                     if size > HELD_POSTINGS:
                         yield from answer(held)
                         held, size = [], 0
+                        pa.default_memory_pool().release_unused()
                     now, rows, bounds, ids = tile, {}, {}, None
                 at = batch.column(2)[i].values
                 if term == _TOTALS:
@@ -256,18 +261,6 @@ def scan_tiles(index: KeywordIndex, questions: DataFrame, k: int, near: str | No
     return _asked(index, questions).mapInArrow(run, f"question_id {kinds[0]}, chunk_id {kinds[1]}, score double, above long")
 
 
-def _before(ids: pa.Array, chunk_id: object) -> int:
-    """How many of the sorted ids come before one."""
-    low, high = 0, len(ids)
-    while low < high:
-        mid = (low + high) // 2
-        if ids[mid].as_py() < chunk_id:
-            low = mid + 1
-        else:
-            high = mid
-    return low
-
-
 def search_keyword(questions: DataFrame, index: KeywordIndex, k: int = DEFAULT_TOP_K, rank: str = "rank") -> DataFrame:
     """The k best chunks per question: question_id, chunk_id, score, rank.
 
