@@ -20,7 +20,7 @@ from corpusmill.session import materialize
 
 CAPACITY = 2048
 #: Bytes that the remembered ids of words may take in a worker process; then it starts afresh.
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 16 << 20
 #: What a remembered word takes besides its characters and ids, about.
 WORD_BYTES = 200
 END_ID = 0
