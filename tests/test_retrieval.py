@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,3 +319,55 @@ def test_hybrid_ranks_equal_the_full_keyword_list(spark, corpus, questions, k, t
     index = keyword_index(build_postings(chunks))
     want = fuse([search_keyword(asked, index, 10_000), search_vector(asked, chunks, k)], k)
     assert sorted(map(tuple, search_hybrid(asked, index, chunks, k).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_only_scores_that_come_near_the_best_are_rounded(monkeypatch):
+    from corpusmill.operators import keyword, scan, vector
+
+    rounded, plain = [], scan.settled
+
+    def counting(scores):
+        rounded.append(scores.size)
+        return plain(scores)
+
+    for module in (keyword, scan, vector):
+        monkeypatch.setattr(module, "settled", counting)
+    rng = np.random.default_rng(11)
+    chunks, words, asked = 600, 40, 300
+    tf = rng.integers(0, 4, (chunks, words)) * (rng.random(words) < rng.random((chunks, words)) * 1.5)
+    tf[50:90] = tf[50]
+    dl, idf, has = tf.sum(1), rng.random(words) + 0.1, rng.random((asked, words)) < 0.3
+    places, ids, avgdl = {f"w{t}": np.flatnonzero(tf[:, t]) for t in range(words) if tf[:, t].any()}, [f"c{i:04d}" for i in range(chunks)], float(dl.mean())
+    ints = pa.list_(pa.int32())
+    rows = [("", [], [], 0, 0, ids, list(dl))] + [(w, at, tf[at, int(w[1:])], tf[at, int(w[1:])].max(), dl[at].min(), None, None) for w, at in places.items()]
+    kinds = [pa.string(), ints, ints, pa.int32(), pa.int32(), pa.list_(pa.string()), ints]
+    rows = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["term", "at", "tf", "top_tf", "low_dl", "ids", "dl"])
+    want = plain((has * idf) @ (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl[:, None] / avgdl))).T)
+    terms = [[{"term": f"w{t}", "idf": idf[t]} for t in np.flatnonzero(h)] for h in has]
+    near = [[{"chunk_id": ids[c], "score": want[q, c]} for c in (55, 400) if want[q, c] > 0] for q in range(asked)]
+    kinds = pa.schema([("question_id", pa.int64()), ("avgdl", pa.float64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("idf", pa.float64())]))), ("near", pa.list_(pa.struct([("chunk_id", pa.string()), ("score", pa.float64())])))])
+    block = pa.table([list(range(asked)), [avgdl] * asked, terms, near], schema=kinds)
+    for cost in (0, 400, 10**9):
+        # By postings, mixed, and by a matrix product.
+        monkeypatch.setattr(keyword, "ADDED_COST", cost)
+        tile = keyword._Tile([rows.slice(0, 9), rows.slice(9)], avgdl)
+        questions = keyword._Asked(block, "near")
+        run = tile.runs(questions)
+        assert (tile.bound(questions, run) + 1e-9 >= want.max(1)).all()
+        rounded.clear()
+        for some, scores in tile.scores(questions, run, np.arange(asked)):
+            q, at = scan.best_cells(scores, 5, np.full(len(some), -np.inf), scan.SLACK, keyword.TINY)
+            for i, me in enumerate(some):
+                order = sorted((c for c in range(chunks) if want[me, c] > 0), key=lambda c: (-want[me, c], c))
+                assert list(at[q == i]) == order[:5]
+                first, end = questions.near_of[me]
+                places = [order.index(ids.index(x["chunk_id"])) for x in near[me]]
+                assert tile.above(scores[i], questions.near.slice(first, end - first), questions.near_scores[first:end]) == places
+        assert 0 < sum(rounded) < want.size / 2
+    rounded.clear()
+    v = rng.normal(size=(chunks, 16))
+    floor = np.full(asked, -np.inf)
+    q, at, scores = vector._best(v[:asked] + 0.1, v, "cosine", 5, floor)
+    exact = plain(vector._scores(v[:asked] + 0.1, v, "cosine"))
+    assert [list(at[q == i]) for i in range(asked)] == [sorted(range(chunks), key=lambda c: (-exact[i, c], c))[:5] for i in range(asked)]
+    assert np.allclose(scores, exact[q, at], atol=1e-9) and sum(rounded) < asked * chunks / 2
