@@ -25,7 +25,9 @@ from corpusmill.sources.files import children, delete_path
 DEFAULT_FORMAT = "parquet"
 DEFAULT_BUCKETS = 64
 _PROPERTY = "corpusmill.layer"
-_BUCKET, _KEY = "_bucket", "_layer_key"
+_BUCKET, _KEY, _CHANGE = "_bucket", "_layer_key", "_layer_change"
+# So many changes wait beside a layer, at least, before they are written into its buckets.
+WAITING_CHANGES = 128
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,11 @@ class Layer:
     buckets: int = 0
     #: the last micro-batch of a stream that was written to the layer
     batch: int = -1
+    #: folders of changes that are merged when the layer is read, their rows, the number of the last one, and the rows of ``parts``
+    waiting: tuple[str, ...] = ()
+    waiting_rows: int = 0
+    changes: int = 0
+    rows: int = 0
 
     def paths(self, parts: Iterable[str] | None = None) -> list[str]:
         return [f"{self.root}/{p}" for p in (self.parts if parts is None else parts)]
@@ -119,12 +126,19 @@ def _publish(spark: SparkSession, name: str, layer: Layer) -> None:
     columns = ", ".join(f"`{f.name}`" for f in _schema(layer).fields)
     # In hex digits: the catalog hides values in which words like "url" occur.
     told = zlib.compress(json.dumps(vars(layer)).encode()).hex()
-    spark.sql(f"CREATE OR REPLACE VIEW {_quoted(name)} TBLPROPERTIES ('{_PROPERTY}' = '{told}') AS SELECT {columns} FROM {layer.fmt}.`{where}`")
+    rows = f"SELECT {columns} FROM {layer.fmt}.`{where}`"
+    if layer.waiting:
+        # A row counts unless a later change has its key.
+        changes = f"{layer.root}/{{{','.join(layer.waiting)}}}"
+        every = f"SELECT {columns}, 0L AS {_CHANGE} FROM {layer.fmt}.`{where}` UNION ALL SELECT {columns}, {_CHANGE} FROM {layer.fmt}.`{changes}/rows`"
+        last = f"SELECT {_KEY}, max({_CHANGE}) AS _layer_last FROM parquet.`{changes}/keys` GROUP BY {_KEY}"
+        rows = f"SELECT {columns} FROM ({every}) LEFT JOIN ({last}) ON `{layer.key}` <=> {_KEY} WHERE _layer_last IS NULL OR {_CHANGE} >= _layer_last"
+    spark.sql(f"CREATE OR REPLACE VIEW {_quoted(name)} TBLPROPERTIES ('{_PROPERTY}' = '{told}') AS {rows}")
 
 
 def _expire(spark: SparkSession, layer: Layer) -> None:
     """Delete what neither this state of the layer nor the one before refers to."""
-    kept = {*layer.parts, *layer.before}
+    kept = {*layer.parts, *layer.waiting, *layer.before}
     for generation in children(spark, layer.root):
         if generation not in kept:
             used = [p for p in kept if p.startswith(f"{generation}/")]
@@ -185,7 +199,7 @@ def write_layer(
     root = path or (old.root if old else _root(spark, name))
     new = Layer(root.rstrip("/"), fmt, json.dumps(_nullable(out.schema.jsonValue())), f"g{uuid.uuid4().hex}", (), key=key, buckets=buckets if key else 0)
     rows, parts = _write(out, name, new, allow_empty)
-    new = replace(new, parts=parts, before=old.parts if old and old.root == new.root else ())
+    new = replace(new, parts=parts, rows=rows, before=(*old.parts, *old.waiting) if old and old.root == new.root else ())
     _publish(spark, name, new)
     _expire(spark, new)
     return rows
@@ -205,6 +219,10 @@ def upsert_layer(updates: DataFrame, name: str, removed: DataFrame | None = None
         raise ValueError(f"{name} is no layer with a key")
     if batch is not None and batch <= now.batch:
         return {"updates": 0, "rows": 0, "buckets": 0}
+    before = now.parts
+    if now.waiting:
+        now = _settle(spark, name, now)
+        before = (*now.parts, *now.before)
     key, schema = now.key, _schema(now)
     stage = f"{now.root}/stage-{uuid.uuid4().hex}"
     try:
@@ -224,7 +242,7 @@ def upsert_layer(updates: DataFrame, name: str, removed: DataFrame | None = None
         old = [p for p in now.parts if _number(p) in touched]
         kept = spark.read.schema(schema).format(now.fmt).load(now.paths(old)) if old else spark.createDataFrame([], schema)
         kept = kept.join(keys, F.col(f"`{key}`").eqNullSafe(F.col(_KEY)), "left_anti")
-        new = replace(now, generation=f"g{uuid.uuid4().hex}", before=now.parts, batch=now.batch if batch is None else batch)
+        new = replace(now, generation=f"g{uuid.uuid4().hex}", before=before, batch=now.batch if batch is None else batch, rows=now.rows + count)
         rows, parts = _write(kept.unionByName(fresh), name, new, allow_empty=True)
         untouched = tuple(p for p in now.parts if _number(p) not in touched and _number(p) is not None)
         if untouched:
@@ -240,6 +258,74 @@ def upsert_layer(updates: DataFrame, name: str, removed: DataFrame | None = None
     return {"updates": count, "rows": rows, "buckets": len(touched)}
 
 
+def _replaced_meanwhile(spark: SparkSession, name: str, now: Layer) -> None:
+    if layer_of(spark, name).generation != now.generation:
+        raise RuntimeError(f"{name} was replaced meanwhile")
+
+
+def merge_layer(updates: DataFrame, name: str, removed: DataFrame | None = None, layer: str | None = None, batch: int | None = None) -> dict[str, int]:
+    """As ``upsert_layer``, but nothing that lies in the layer is read or written again. Returns the number of updates and of keys changed.
+
+    The rows and the keys they replace are put beside the buckets, and a read
+    leaves out the rows that a later change replaced. Changes are written into
+    the buckets once there are WAITING_CHANGES of them with as many rows as the
+    buckets hold: so however many changes come, what is written for them grows
+    with their rows.
+    """
+    spark, now = updates.sparkSession, layer_of(updates.sparkSession, name)
+    if now is None or not now.key:
+        raise ValueError(f"{name} is no layer with a key")
+    if batch is not None and batch <= now.batch:
+        return {"updates": 0, "keys": 0}
+    key, schema, number = now.key, _schema(now), now.changes + 1
+    folder = f"c{number}-{uuid.uuid4().hex}"
+    path = f"{now.root}/{folder}"
+    try:
+        fresh = (with_audit(updates, layer) if layer else updates).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+        fresh, seen = with_metrics(fresh.withColumn(_CHANGE, F.lit(number).cast("long")), f"{name} updates")
+        fresh.write.format(now.fmt).save(f"{path}/rows")
+        count = _rows(seen)
+        keys = spark.read.schema(schema).format(now.fmt).load(f"{path}/rows").select(F.col(f"`{key}`").alias(_KEY))
+        if removed is not None:
+            keys = keys.unionAll(removed.select(F.col(f"`{key}`").cast(schema[key].dataType).alias(_KEY)))
+        keys, seen = with_metrics(keys.distinct().withColumn(_CHANGE, F.lit(number).cast("long")), f"{name} keys")
+        keys.write.parquet(f"{path}/keys")
+        changed = _rows(seen)
+        if not changed:
+            delete_path(spark, path)
+            return {"updates": 0, "keys": 0}
+        new = replace(
+            now, generation=f"g{uuid.uuid4().hex}", before=(*now.parts, *now.waiting), batch=now.batch if batch is None else batch,
+            waiting=(*now.waiting, folder), waiting_rows=now.waiting_rows + count, changes=number,
+        )
+        _replaced_meanwhile(spark, name, now)
+        _publish(spark, name, new)
+    except BaseException:
+        held = layer_of(spark, name)
+        if held is None or folder not in held.waiting:
+            delete_path(spark, path)
+        raise
+    _expire(spark, new)
+    if len(new.waiting) >= WAITING_CHANGES and new.waiting_rows >= new.rows:
+        _settle(spark, name, new)
+    return {"updates": count, "keys": changed}
+
+
+def _settle(spark: SparkSession, name: str, now: Layer) -> Layer:
+    """Write the changes that wait into the buckets; the rows of the layer stay the same."""
+    new = replace(now, generation=f"g{uuid.uuid4().hex}", before=(*now.parts, *now.waiting), waiting=(), waiting_rows=0)
+    rows, parts = _write(read_layer(spark, name), name, new, allow_empty=True)
+    new = replace(new, parts=parts, rows=rows)
+    try:
+        _replaced_meanwhile(spark, name, now)
+    except RuntimeError:
+        delete_path(spark, f"{now.root}/{new.generation}")
+        raise
+    _publish(spark, name, new)
+    _expire(spark, new)
+    return new
+
+
 def _number(part: str) -> int | None:
     """The bucket of a part; None for the part of a layer without rows."""
     told = part.rpartition("=")[2]

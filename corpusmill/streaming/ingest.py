@@ -12,7 +12,7 @@ from corpusmill.operators.chunk import chunk_pages
 from corpusmill.operators.index import dedupe
 from corpusmill.operators.once import with_text_once
 from corpusmill.session import materialize
-from corpusmill.sources.layers import DEFAULT_BUCKETS, layer_of, upsert_layer, write_layer
+from corpusmill.sources.layers import DEFAULT_BUCKETS, layer_of, merge_layer, write_layer
 
 
 def document_stream(
@@ -48,8 +48,9 @@ def stream_ingest(docs: DataFrame, out: str, checkpoint: str, text_col: str = "t
 def stream_replace(docs: DataFrame, name: str, checkpoint: str, order: str, text_col: str = "text", buckets: int = DEFAULT_BUCKETS, path: str | None = None) -> StreamingQuery:
     """Chunks of arriving documents in a layer keyed by document_id: a document that arrives again replaces its chunks.
 
-    Each micro-batch is one generation of the layer and rewrites the buckets of
-    its documents. Of several versions in a batch the last by ``order`` counts.
+    Each micro-batch is one generation of the layer and is put beside its
+    buckets; what it replaces is left out when the layer is read
+    (``merge_layer``). Of several versions in a batch the last by ``order`` counts.
     The layer knows the last batch it holds, so a batch that is sent again
     changes nothing. A document whose text became blank loses its chunks.
     """
@@ -64,6 +65,6 @@ def stream_replace(docs: DataFrame, name: str, checkpoint: str, order: str, text
         chunks = chunk_pages(pages, text_col=text_col)
         if now is None:
             write_layer(chunks.limit(0), name, key="document_id", buckets=buckets, path=path, allow_empty=True)
-        upsert_layer(chunks, name, removed=latest.select("document_id"), batch=number)
+        merge_layer(chunks, name, removed=latest.select("document_id"), batch=number)
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -13,7 +13,7 @@ from corpusmill.operators.keyword import KeywordIndex, search_keyword
 from corpusmill.plans.run import RunConfig, run_corpus, run_state
 from corpusmill.sources.evaluation import read_questions, write_evaluation
 from corpusmill.sources.files import read_raw_files, with_fallback
-from corpusmill.sources.layers import drop_layer, layer_of, read_layer, require_rows, upsert_layer, with_metrics, write_layer
+from corpusmill.sources.layers import drop_layer, layer_of, merge_layer, read_layer, require_rows, upsert_layer, with_metrics, write_layer
 from corpusmill.sources.manifest import corpus_registry, read_manifest, write_manifest
 from corpusmill.streaming.ingest import document_stream, stream_ingest, stream_replace
 
@@ -297,6 +297,44 @@ def test_a_document_that_arrives_again_replaces_its_chunks(spark, tmp_path):
     assert run() == [("a", "short now"), ("d", "newer")]
 
 
+def test_batches_of_a_stream_leave_what_was_written_before(spark, tmp_path):
+    name, src, root, schema = "default.beside", str(tmp_path / "in"), tmp_path / "l", "document_id string, text string, version int"
+    for n in range(4):
+        rows = [(f"d{n}-{i}", f"text {i}", 1) for i in range(20)] + [("again", f"round {n}", n)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        before = {f for f in files_below(root) if f.endswith(".parquet")} if n else set()
+        arriving = document_stream(spark, src, spark.createDataFrame([], schema).schema, glob="*.parquet", files_per_trigger=1)
+        stream_replace(arriving, name, str(tmp_path / "progress"), order="version", buckets=2, path=str(root)).awaitTermination()
+        assert before <= set(files_below(root))
+        got = {r.document_id: r.chunk_text for r in read_layer(spark, name).collect()}
+        assert len(got) == 20 * (n + 1) + 1 == read_layer(spark, name).count() and got["again"] == f"round {n}"
+
+
+@pytest.mark.parametrize("waiting", [2, 128])
+def test_changes_merged_at_the_read_equal_rewritten_buckets(spark, tmp_path, monkeypatch, waiting):
+    monkeypatch.setattr("corpusmill.sources.layers.WAITING_CHANGES", waiting)
+    name, schema = f"default.merged_{waiting}", "id string, v int"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    held = lambda: sorted((str(r.id), r.v) for r in read_layer(spark, name).collect())
+    write_layer(frame([("a", 1), ("b", 2), ("b", 3), (None, 4)]), name, key="id", buckets=3, path=str(tmp_path / "m"))
+    assert merge_layer(frame([("b", 5), ("c", 6), ("c", 7)]), name, batch=0) == {"updates": 3, "keys": 2}
+    assert held() == [("None", 4), ("a", 1), ("b", 5), ("c", 6), ("c", 7)]
+    assert merge_layer(frame([("x", 0)]), name, batch=0) == {"updates": 0, "keys": 0}
+    assert merge_layer(frame([(None, 8)]), name, removed=frame([("c", 0), ("none", 0)])) == {"updates": 1, "keys": 3}
+    assert held() == [("None", 8), ("a", 1), ("b", 5)]
+    merge_layer(frame([("c", 9), ("d", 1), ("e", 1)]), name)
+    assert len(layer_of(spark, name).waiting) == {2: 1, 128: 3}[waiting]
+    reader = read_layer(spark, name)
+    upsert_layer(frame([("a", 10)]), name, removed=frame([("b", 0)]))
+    assert held() == [("None", 8), ("a", 10), ("c", 9), ("d", 1), ("e", 1)] and not layer_of(spark, name).waiting and layer_of(spark, name).batch == 0
+    assert reader.count() == 6
+    merge_layer(frame([]), name, removed=frame([("a", 0)]))
+    assert held() == [("None", 8), ("c", 9), ("d", 1), ("e", 1)]
+    write_layer(frame([("z", 1)]), name, key="id")
+    assert held() == [("z", 1)]
+    drop_layer(spark, name)
+
+
 class Down(RuntimeError):
     pass
 
