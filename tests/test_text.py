@@ -195,3 +195,14 @@ def test_cubes_are_looked_for_once(spark):
     assert [(r.v.sender, r.v.rate_date, [tuple(x) for x in r.v.rates]) for r in rows[:1]] == [("x", "2024-01-02", [("A&B", "1.5")])]
     assert (rows[0].r.rate_date, rows[0].r.rates) == (rows[0].v.rate_date, rows[0].v.rates)
     assert [(r.v, r.r) for r in rows[1:]] == [(None, None)] * 2
+
+
+def test_words_are_counted_in_batches_of_rows(spark, monkeypatch):
+    monkeypatch.setattr("corpusmill.functions.tokens._ROWS_COUNTED", 3)
+    lists = [["b", "a", "b"], [], None, ["é", "z", "Z", "é", "é"], ["𝒜", "ﬀ", "a"], ["a"], ["b"] * 5]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, w array<string>").coalesce(1)
+    counted = df.select("i", term_counts(F.col("w")).alias("c"))
+    assert counted.schema["c"].dataType.simpleString() == "array<struct<term:string,tf:int>>"
+    assert "ArrowEvalPython" in counted._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: [tuple(x) for x in r.c] for r in counted.collect()}
+    assert got == {i: sorted((w, words.count(w)) for w in set(words or [])) if words else [] for i, words in enumerate(lists)}
