@@ -1,10 +1,12 @@
-"""Near duplicates by SimHash, compared bit plane by bit plane.
-
-Fingerprints of the same table key meet in one block. A block is stored
-vertically: plane ``b`` holds bit ``b`` of 64 fingerprints in one machine word,
-so one XOR compares a bit of 64 pairs and a carry-save counter adds it to 64
-distances. Words in which all 64 distances exceed the radius are left out of
-the further planes.
+"""Near duplicates by SimHash, compared in blocks.
+
+Fingerprints of the same table key meet in one block. Small blocks are set
+against themselves, shifted by 1, 2, ... rows, all at once and word by word;
+pairs beyond the radius are left out of the further words. A large block is
+stored vertically: plane ``b`` holds bit ``b`` of 64 fingerprints in one
+machine word, so one XOR compares a bit of 64 pairs and a carry-save counter
+adds it to 64 distances. Words in which all 64 distances exceed the radius are
+left out of the further planes.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ PIECE_BYTES = 1 << 20
 TILE_ROWS = 8192
 #: Tables that are gone through before the others.
 FIRST_TABLES = 4
-#: Rows that a task holds as bit planes at a time.
+#: Rows that a task compares at a time.
 HELD_ROWS = 1 << 15
 #: Blocks of fewer rows are compared by shifts, larger ones by query.
-SMALL_BLOCK = 64
+SMALL_BLOCK = 256
+#: Links of small blocks that are held before those that join nothing new are left out.
+LINKS_HELD = 1 << 19
 #: Planes between two looks for words to abandon.
 STEP = 16
 
@@ -76,6 +80,10 @@ FIVE_WORDS = SimHash(5, 8, 84, band_tables(8))
 SIMILARITY = 0.8
 #: Members and shingles of a cluster that one task goes through.
 CLUSTER_ROWS, CLUSTER_HASHES = 1024, 4_000_000
+#: Other members of the cluster that a task compares with those that stay of the first.
+SLICE_ROWS = 4096
+#: Sets that are indexed together.
+INDEXED_SETS = 16
 
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -238,31 +246,36 @@ def _lanes(words: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little"))
 
 
-def small_blocks(prints: np.ndarray, sizes: np.ndarray, radius: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within the radius in blocks of consecutive rows; the planes are shifted by 1, 2, ... lanes against themselves."""
+def small_blocks(prints: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all rows connected within the radius in blocks of consecutive rows; the rows are shifted by 1, 2, ... against themselves.
+
+    In as many words as unrelated fingerprints need to differ in more bits than the radius, all pairs
+    are counted; in the others only those that are still within it.
+    """
     rank = np.argsort(-sizes, kind="stable")
     starts = np.cumsum(sizes) - sizes
-    rows = np.concatenate([np.arange(starts[g], starts[g] + sizes[g]) for g in rank]) if len(rank) else np.zeros(0, int)
     sizes = sizes[rank]
+    rows = np.repeat(starts[rank] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(rows)) - 1  # rows of the same block that follow
-    stored = planes(prints[rows])
+    stored = np.ascontiguousarray(prints[rows].T)
+    whole = min(len(stored), radius // 32 + 2)
+    kind = np.uint8 if whole < 4 else np.uint16
     a, b = [], []
-    for d in range(1, int(sizes[0])):
-        valid = left >= d
-        reach = np.flatnonzero(valid)
-        if not len(reach):
-            break
-        count = int(reach[-1]) // 64 + 1
-        up, down = np.uint64(d), np.uint64(64 - d)
-
-        def diff(bit: int, slots: np.ndarray, up=up, down=down) -> np.ndarray:
-            plane = stored[bit]
-            return plane[slots] ^ ((plane[slots] >> up) | (plane[slots + 1] << down))
-
-        hits = _lanes(near(diff, order, radius, count))
-        hits = hits[valid[np.minimum(hits, len(valid) - 1)] & (hits < len(valid))]
+    for d in range(1, int(sizes[0]) if len(sizes) else 0):
+        # Blocks are sorted by size, so those that have rows so far apart come first.
+        reach = int(sizes[: np.searchsorted(-sizes, -d)].sum()) - d
+        apart = np.zeros(reach, kind)
+        for word in stored[:whole]:
+            apart += np.bitwise_count(word[:reach] ^ word[d : reach + d])
+        hits = np.flatnonzero((apart <= radius) & (left[:reach] >= d))
+        apart = apart[hits].astype(np.int64)
+        for word in stored[whole:]:
+            apart += np.bitwise_count(word[hits] ^ word[hits + d])
+            hits, apart = hits[apart <= radius], apart[apart <= radius]
         a.append(rows[hits])
         b.append(rows[hits + d])
+        if sum(map(len, a)) > LINKS_HELD:
+            a, b = ([x] for x in _spanning(np.concatenate(a), np.concatenate(b)))
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
@@ -334,41 +347,52 @@ def large_block(prints: np.ndarray, radius: int, order: np.ndarray) -> list[tupl
     return out
 
 
-def _spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """The links that join something not yet joined."""
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = top(x), top(y)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
-
-
-def block_links(ids: np.ndarray, prints: np.ndarray, sizes: np.ndarray, radius: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the ids of consecutive blocks."""
+def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` numbers the least one that the links (a, b) reach."""
+    least = np.arange(n)
+    while True:
+        now = least.copy()
+        np.minimum.at(now, a, least[b])
+        np.minimum.at(now, b, least[a])
+        now = now[now]
+        if (now == least).all():
+            return now
+        least = now
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links that join something not yet joined: turn by turn each set of rows takes its first link to another one."""
+    rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, of = at[: len(a)], at[len(a) :], np.arange(len(rows))
+    open_, taken = np.arange(len(a)), [np.zeros(0, np.int64)]
+    while True:
+        open_ = open_[of[x[open_]] != of[y[open_]]]
+        if not len(open_):
+            taken = np.concatenate(taken)
+            return a[taken], b[taken]
+        first = np.full(len(rows), len(a))
+        np.minimum.at(first, of[x[open_]], open_)
+        np.minimum.at(first, of[y[open_]], open_)
+        taken.append(np.unique(first[first < len(a)]))
+        of = _least(len(rows), of[x[taken[-1]]], of[y[taken[-1]]])[of]
+
+
+def block_links(ids: np.ndarray, prints: np.ndarray, sizes: np.ndarray, radius: int, order: np.ndarray | list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the ids of consecutive blocks. ``order``: planes to compare in large blocks, of all or of each."""
     small = (sizes > 1) & (sizes < SMALL_BLOCK)
-    starts, pairs = np.cumsum(sizes) - sizes, []
+    starts, a, b = np.cumsum(sizes) - sizes, [], []
     if small.any():
         rows = np.flatnonzero(np.repeat(small, sizes))
-        a, b = small_blocks(prints[rows], sizes[small], radius, order)
-        pairs += [(rows[x], rows[y]) for x, y in _spanning(a, b)]
+        x, y = _spanning(*small_blocks(prints[rows], sizes[small], radius))
+        a.append(rows[x])
+        b.append(rows[y])
     for g in np.flatnonzero(sizes >= SMALL_BLOCK):
         s = starts[g]
-        pairs += [(s + x, s + y) for x, y in large_block(prints[s : s + sizes[g]], radius, order)]
-    at = np.array(pairs, np.int64).reshape(-1, 2)
-    a, b = ids[at[:, 0]], ids[at[:, 1]]
-    apart = a != b
-    joins = np.array(_spanning(a[apart], b[apart]), np.int64).reshape(-1, 2)
-    return joins[:, 0], joins[:, 1]
+        pairs = np.array(large_block(prints[s : s + sizes[g]], radius, order[g] if isinstance(order, list) else order), np.int64).reshape(-1, 2)
+        a.append(s + pairs[:, 0])
+        b.append(s + pairs[:, 1])
+    at = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b)]
+    return _spanning(ids[at[0]], ids[at[1]])
 
 
 def _orders(how: SimHash) -> list[np.ndarray]:
@@ -416,13 +440,9 @@ def links(nodes: DataFrame, how: SimHash, tables: range) -> DataFrame:
             edge = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             starts = np.concatenate([[0], edge])
             sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-            tables = keys[starts, 0]
-            for t in np.unique(tables):
-                mine = tables == t
-                rows = np.repeat(mine, sizes)
-                a, b = block_links(ids[rows], prints[rows], sizes[mine], radius, orders[int(t)])
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+            a, b = block_links(ids, prints, sizes, radius, [orders[t] for t in keys[starts, 0]])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
         count = 0
         for batch in batches:
@@ -492,62 +512,138 @@ def shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
     return map_texts(rows, "doc_id long, tk long, sh array<long>", work)
 
 
+class _Index:
+    """Which of some sets hold a hash."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sets, self.sizes = sets, np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        self.hashes, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+
+    def common(self, mine: np.ndarray) -> np.ndarray:
+        """How many hashes ``mine``, which are sorted and different, has in common with each set."""
+        if not len(self.hashes):
+            return np.zeros(len(self.sets), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, mine), len(self.hashes) - 1)
+        at = at[self.hashes[at] == mine]
+        sizes = self.count[at]
+        places = np.repeat(self.first[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return np.bincount(self.owner[places], minlength=len(self.sets))
+
+
+class _Staying:
+    """The sets that stay of a cluster, in indexes of INDEXED_SETS and of twice, four times, ... as many."""
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity, self.parts, self.waiting = similarity, [], []
+
+    def add(self, mine: np.ndarray) -> None:
+        self.waiting.append(mine)
+        if len(self.waiting) == INDEXED_SETS:
+            self.parts.append(_Index(self.waiting))
+            self.waiting = []
+            while len(self.parts) > 1 and len(self.parts[-1].sets) == len(self.parts[-2].sets):
+                self.parts[-2:] = [_Index(self.parts[-2].sets + self.parts[-1].sets)]
+
+    def alike(self, mine: np.ndarray) -> bool:
+        """Does ``mine`` share enough with one of the sets?"""
+        for part in self.parts:
+            common = part.common(mine)
+            if (common >= self.similarity * (len(mine) + part.sizes - common)).any():
+                return True
+        for other in self.waiting:
+            if min(len(mine), len(other)) < self.similarity * max(len(mine), len(other)):
+                continue
+            common = len(np.intersect1d(mine, other, assume_unique=True))
+            if common >= self.similarity * (len(mine) + len(other) - common):
+                return True
+        return False
+
+
+_MEMBER = "cluster long, doc_id long, tk long, sh array<long>"
+
+
 def _first_of_each(members: DataFrame, similarity: float) -> DataFrame:
-    """(doc_id, tk) of the members that stay; a task goes through a cluster in order and holds the sets that stay."""
+    """The members that stay; a task goes through a cluster in order and holds the sets that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held = None, _Staying(similarity)
         for batch in batches:
             clusters, sets = batch.column(0).to_pylist(), batch.column(3)
             stay = []
             for i, cluster in enumerate(clusters):
                 if cluster != now:
-                    now, held = cluster, []
+                    now, held = cluster, _Staying(similarity)
                 mine = sets[i].values.to_numpy()
-                for other in held:
-                    if min(len(mine), len(other)) < similarity * max(len(mine), len(other)):
-                        continue
-                    common = len(np.intersect1d(mine, other, assume_unique=True))
-                    if common >= similarity * (len(mine) + len(other) - common):
-                        break
-                else:
-                    held.append(mine)
+                if not held.alike(mine):
+                    held.add(mine)
                     stay.append(i)
-            yield batch.select(["doc_id", "tk"]).take(pa.array(stay, pa.int64()))
+            yield batch.take(pa.array(stay, pa.int64()))
 
     order = ["cluster", F.col("doc_id").asc_nulls_last(), "tk"]
-    return members.select("cluster", "doc_id", "tk", "sh").repartition("cluster").sortWithinPartitions(*order).mapInArrow(run, "doc_id long, tk long")
+    return members.select("cluster", "doc_id", "tk", "sh").repartition("cluster").sortWithinPartitions(*order).mapInArrow(run, _MEMBER)
+
+
+def _still_open(rest: DataFrame, stay: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``rest`` that are like none of the rows of ``stay`` of their cluster.
+
+    The rows of a cluster are dealt to slices of about SLICE_ROWS, and each slice meets all that stay in one task.
+    """
+    slices = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE_ROWS)).cast("int").alias("slices"))
+    slices = materialize(slices, "simhash-slices")
+    each = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+    first = stay.join(slices, "cluster").select("cluster", each, F.lit(0).alias("open"), "doc_id", "tk", "sh")
+    others = rest.join(slices, "cluster").select("cluster", F.pmod(F.xxhash64("doc_id", "tk"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("open"), "doc_id", "tk", "sh")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, [], None
+        for batch in batches:
+            groups = list(zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True))
+            sets, keep = batch.column(5), []
+            for i, (cluster, part, is_open) in enumerate(groups):
+                if (cluster, part) != now:
+                    now, held, index = (cluster, part), [], None
+                mine = sets[i].values.to_numpy()
+                if not is_open:
+                    held.append(mine)
+                    continue
+                index = index or _Index(held)
+                common = index.common(mine)
+                if not (common >= similarity * (len(mine) + index.sizes - common)).any():
+                    keep.append(i)
+            yield batch.select(["cluster", "doc_id", "tk", "sh"]).take(pa.array(keep, pa.int64()))
+
+    placed = materialize(first.unionAll(others), "simhash-slices").repartition("cluster", "slice").sortWithinPartitions("cluster", "slice", "open")
+    return placed.mapInArrow(run, _MEMBER)
 
 
 def leaders(members: DataFrame, similarity: float) -> DataFrame:
     """(doc_id, tk) of the members (cluster, doc_id, tk, sh) that stay: each other one is as similar as that to one of these, by exact Jaccard.
 
     The first open member of a cluster stays and those similar to it go, and so
-    on; ids in order, null last. Clusters of up to CLUSTER_ROWS members and
-    CLUSTER_HASHES shingles are gone through in one task each. In larger ones
-    all open members are compared with the first, wherever they are, turn by
-    turn, until so few are open; the result is the same.
+    on; ids in order, null last. One task goes through the first CLUSTER_ROWS
+    open members with CLUSTER_HASHES shingles at most. Where a cluster has more,
+    the others are then compared, wherever they are, with all of the first that
+    stay, and what is still open takes its turn.
     """
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("tk").alias("tk"))
     now, kept = members, None
+    by = Window.partitionBy("cluster").orderBy(F.col("doc_id").asc_nulls_last(), "tk")
     while True:
-        sizes = now.groupBy(F.col("cluster").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("sh")).alias("hashes"))
-        small = (F.col("n") <= CLUSTER_ROWS) & (F.col("hashes") <= CLUSTER_HASHES)
+        # Numbers alone are sorted; of a cluster each task passes on so many at most.
+        first = now.select("cluster", "doc_id", "tk", F.size("sh").alias("hashes")).withColumn("place", F.row_number().over(by)).where(F.col("place") <= CLUSTER_ROWS)
+        first = first.withColumn("held", F.sum("hashes").over(by.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("place") == 1) | (F.col("held") <= CLUSTER_HASHES))
+        first = materialize(first.select(F.col("cluster").alias("c"), F.col("doc_id").alias("d"), F.col("tk").alias("t")), "simhash-first")
+        on = (F.col("cluster") == F.col("c")) & same(F.col("doc_id"), F.col("d")) & (F.col("tk") == F.col("t"))
         # Written: a repartitioning right above a join by the same key may be left out, and the join may then become one that deals rows otherwise.
-        sized = materialize(now.join(sizes, F.col("cluster") == F.col("c")), "simhash-sized")
-        done = materialize(_first_of_each(sized.where(small), similarity), "simhash-stay")
-        kept = done if kept is None else kept.unionAll(done)
-        large = sized.where(~small).select("cluster", "doc_id", "tk", "sh")
-        lead = materialize(large.groupBy("cluster").agg(F.min_by(F.struct("doc_id", "tk", "sh"), first).alias("l")), "simhash-leaders")
-        if lead.isEmpty():
+        sized = materialize(now.join(first, on, "left").select("cluster", "doc_id", "tk", "sh", F.col("c").isNotNull().alias("first")), "simhash-sized")
+        stay = materialize(_first_of_each(sized.where("first"), similarity), "simhash-stay")
+        kept = stay.select("doc_id", "tk") if kept is None else kept.unionAll(stay.select("doc_id", "tk"))
+        rest = sized.where(~F.col("first")).select("cluster", "doc_id", "tk", "sh")
+        if rest.isEmpty():
             return kept
-        kept = kept.unionAll(lead.select("l.doc_id", "l.tk"))
-        pair = large.join(lead, "cluster")
-        common = F.size(F.array_intersect("sh", "l.sh"))
-        union = F.size("sh") + F.size("l.sh") - common
-        alike = F.when(union == 0, F.lit(True)).otherwise(common >= similarity * union)
-        own = same(F.col("doc_id"), F.col("l.doc_id")) & (F.col("tk") == F.col("l.tk"))
-        now = materialize(pair.where(~alike & ~own).select("cluster", "doc_id", "tk", "sh"), "simhash-open")
+        now = materialize(_still_open(rest, stay, similarity), "simhash-open")
 
 
 def keep_one(docs: DataFrame, how: SimHash = FIVE_WORDS, similarity: float = SIMILARITY) -> DataFrame:

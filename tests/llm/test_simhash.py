@@ -89,6 +89,25 @@ def test_blocks_join_what_all_pairs_join(n, width, radius):
         assert got == want
 
 
+def test_small_blocks_are_compared_in_few_steps(monkeypatch):
+    """600 blocks of 46 unrelated rows, some of them near: as many numpy calls as shifts and words, not as bits."""
+    rng = np.random.default_rng(46)
+    prints, sizes = rng.integers(0, 2**63, (600 * 46, 8)).astype(np.uint64), np.full(600, 46)
+    near = rng.choice(600, 40, replace=False) * 46
+    prints[near + 45] = prints[near + 3] ^ np.uint64(0b1011)
+    monkeypatch.setattr(simhash, "planes", lambda _: pytest.fail("bit planes are for large blocks"))
+    a, b = simhash.block_links(np.arange(len(prints)), prints, sizes, 84, np.arange(512))
+    assert sorted((min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)) == sorted((n + 3, n + 45) for n in near.tolist())
+
+
+def test_links_of_dense_small_blocks_are_reduced(monkeypatch):
+    monkeypatch.setattr(simhash, "LINKS_HELD", 40)
+    prints = np.zeros((300, 2), np.uint64)
+    prints[100:200] = np.uint64(2**64 - 1)
+    a, b = simhash.block_links(np.arange(300), prints, np.array([150, 150]), 20, np.arange(128))
+    assert joined(300, zip(a.tolist(), b.tolist(), strict=True)) == [0] * 100 + [100] * 50 + [150] * 50 + [200] * 100
+
+
 def joined(n, pairs):
     top = list(range(n))
     for x, y in pairs:
@@ -233,3 +252,40 @@ def test_clusters_stay_whole_whatever_the_joins_become(spark, tmp_path):
         assert sorted(r["doc_id"] for r in stay.collect()) == [10 * c for c in range(3000)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_a_large_cluster_takes_few_turns(spark, tmp_path, monkeypatch):
+    """400 members of one cluster, of which 100 stay, and 30 of another: what stays is what going through them one by one gives."""
+    rng, rows = random.Random(4), []
+    for g in range(100):
+        base = rng.sample(range(10**9), 40)
+        for c in range(4):
+            # From the first of its group each differs in less than a fifth; two that both differ may not be alike.
+            rows.append((7, g + 100 * c if rng.random() < 0.95 else None, g * 4 + c, sorted(base[4 * c : 4 * c + 40] + rng.sample(range(10**9), c))))
+    rows += [(8, i, 1000 + i, sorted(rng.sample(range(60), 50))) for i in range(29)] + [(8, None, 9999, [])]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "cluster long, doc_id long, tk long, sh array<long>").repartition(5).write.parquet(f"{tmp_path}/members")
+    want, held = set(), {7: [], 8: []}
+    for cluster, doc, tk, sh in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2])):
+        if not any(len({*sh} & o) >= 0.8 * len({*sh} | o) for o in held[cluster]):
+            held[cluster].append({*sh})
+            want.add((doc, tk))
+    turns, write = [], simhash.materialize
+
+    def counted(df, label):
+        turns.append(label)
+        assert turns.count("simhash-stay") <= 9, "a turn for each that stays"
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    monkeypatch.setattr(simhash, "CLUSTER_ROWS", 60)
+    monkeypatch.setattr(simhash, "SLICE_ROWS", 50, raising=False)
+    got = [tuple(r) for r in simhash.leaders(spark.read.parquet(f"{tmp_path}/members"), 0.8).collect()]
+    assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_shingles_of_a_cluster_bound_what_a_task_takes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(simhash, "CLUSTER_HASHES", 25)
+    rows = [(1, i, i, list(range(20 * (i // 2), 20 * (i // 2) + 20))) for i in range(12)]
+    spark.createDataFrame(rows, "cluster long, doc_id long, tk long, sh array<long>").write.parquet(f"{tmp_path}/members")
+    assert sorted(r["doc_id"] for r in simhash.leaders(spark.read.parquet(f"{tmp_path}/members"), 0.8).collect()) == [0, 2, 4, 6, 8, 10]
