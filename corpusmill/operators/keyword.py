@@ -39,11 +39,11 @@ ADDED_COST = 400
 TINY = 5e-324
 
 
-def build_postings(chunks: DataFrame, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("chunk_text",)) -> DataFrame:
-    """One row per chunk: id, length ``dl`` and ``terms`` array<struct<term, tf>>. Row-local, nothing is shuffled."""
+def build_postings(chunks: DataFrame, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("chunk_text",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per chunk: id, length ``dl``, ``terms`` array<struct<term, tf>> and the columns ``keep``. Row-local, nothing is shuffled."""
     text = F.concat_ws(" ", *[F.col(c) for c in text_cols])
-    words = with_once(chunks.select(F.col(id_col).alias("chunk_id"), text.alias("text")), "toks", tokens(F.col("text")), drop=["text"])
-    return words.select("chunk_id", F.size("toks").alias("dl"), term_counts(F.col("toks")).alias("terms"))
+    words = with_once(chunks.select(F.col(id_col).alias("chunk_id"), *keep, text.alias("text")), "toks", tokens(F.col("text")), drop=["text"])
+    return words.select("chunk_id", F.size("toks").alias("dl"), term_counts(F.col("toks")).alias("terms"), *keep)
 
 
 @dataclass(frozen=True)

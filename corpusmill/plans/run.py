@@ -15,9 +15,10 @@ from corpusmill.operators.extract import extract_landed
 from corpusmill.operators.index import INDEX_FIELDS, SEARCHABLE, dedupe, index_eligible, to_index_rows
 from corpusmill.operators.keyword import build_postings, inverted, term_statistics
 from corpusmill.operators.manifest import changes_detected, normalize_manifest, successful
+from corpusmill.session import release_shuffles
 from corpusmill.sources.files import read_raw_files
 from corpusmill.sources.index_sink import BatchWriter, publish
-from corpusmill.sources.layers import DEFAULT_BUCKETS, layer_of, read_layer, upsert_layer, write_layer
+from corpusmill.sources.layers import DEFAULT_BUCKETS, layer_of, merge_layer, read_latest, read_layer, upsert_layer, write_layer
 
 KEY = "document_id"
 LEDGER = "run_ledger"
@@ -27,8 +28,8 @@ LEDGER = "run_ledger"
 class RunConfig:
     """Where runs read and write.
 
-    ``buckets`` of every layer, by document: the more, the less a run with few
-    changes writes again. ``publish_to`` is the folder for the records of what was
+    ``buckets`` of every layer, by document: a later run puts its rows beside
+    them, see ``merge_layer``. ``publish_to`` is the folder for the records of what was
     sent to an index service.
     """
 
@@ -50,20 +51,26 @@ class _Run:
         self.spark, self.cfg, self.run_id, self.files = spark, cfg, run_id, files
         self.documents = normalize_manifest(manifest.where("changed"))
         self.ids = manifest.where("changed").select(KEY).distinct()
+        #: the generation that this run has written of each layer
+        self.wrote = _generations(spark, cfg, run_id)
 
     def read(self, name: str) -> DataFrame:
         return read_layer(self.spark, self.cfg.table(name))
 
     def changed(self, name: str) -> DataFrame:
-        """The rows of a layer that belong to changed documents."""
-        return self.read(name).join(self.ids, KEY, "left_semi")
+        """The rows of a layer that belong to changed documents: what this run has written of it, where that lies in files of its own."""
+        own = read_latest(self.spark, self.cfg.table(name), self.wrote[name]) if self.wrote.get(name) else None
+        return self.read(name).join(self.ids, KEY, "left_semi") if own is None else own.where(F.col(KEY).isNotNull())
 
     def put(self, rows: DataFrame, name: str, layer: str | None = None, may_be_empty: bool = False) -> int:
         """Replaces the changed documents' rows; the first run makes the layer, which then must have rows."""
         table = self.cfg.table(name)
         if layer_of(self.spark, table) is None:
-            return write_layer(rows, table, layer, self.cfg.fmt, KEY, self.cfg.buckets, allow_empty=may_be_empty)
-        return upsert_layer(rows, table, removed=self.ids, layer=layer)["updates"]
+            count = write_layer(rows, table, layer, self.cfg.fmt, KEY, self.cfg.buckets, allow_empty=may_be_empty)
+        else:
+            count = merge_layer(rows, table, removed=self.ids, layer=layer)["updates"]
+        self.wrote[name] = layer_of(self.spark, table).generation
+        return count
 
     def landed(self) -> tuple[DataFrame, DataFrame]:
         """Pages and quarantine."""
@@ -77,8 +84,7 @@ class _Run:
         return rows.join(gold.select("chunk_id", KEY).distinct(), "chunk_id")
 
     def postings(self) -> DataFrame:
-        rows = build_postings(self.changed("index_chunks"), text_cols=SEARCHABLE)
-        return rows.join(self.changed("index_chunks").select("chunk_id", KEY), "chunk_id")
+        return build_postings(self.changed("index_chunks"), text_cols=SEARCHABLE, keep=(KEY,))
 
     def whole(self, rows: DataFrame, name: str) -> int:
         return write_layer(rows, self.cfg.table(name), fmt=self.cfg.fmt, allow_empty=True)
@@ -112,6 +118,13 @@ def run_state(spark: SparkSession, cfg: RunConfig, run_id: str) -> dict[str, int
     return {r["stage"]: r["rows"] for r in rows}
 
 
+def _generations(spark: SparkSession, cfg: RunConfig, run_id: str) -> dict[str, str | None]:
+    """The generation that each done stage of a run has written."""
+    if layer_of(spark, cfg.table(LEDGER)) is None:
+        return {}
+    return {r["stage"]: r["generation"] for r in read_layer(spark, cfg.table(LEDGER)).where(F.col("run_id") == run_id).collect()}
+
+
 def _record(spark: SparkSession, cfg: RunConfig, run_id: str, stage: str, place: int, rows: int) -> None:
     layer = layer_of(spark, cfg.table(stage))
     entry = [(f"{run_id}:{stage}", run_id, stage, place, rows, layer.generation if layer else None)]
@@ -132,8 +145,8 @@ def run_corpus(
 ) -> dict[str, int]:
     """All layers brought up to date with a manifest that has ``changed``; nothing is done when nothing changed.
 
-    Only changed documents are extracted, cut and embedded again, and only the
-    buckets that hold them are rewritten. The ledger keeps for each run and
+    Only changed documents are extracted, cut and embedded again; what lies in
+    the layers of the others is neither read nor written for it. The ledger keeps for each run and
     stage the rows and the generation written: a run that was stopped goes on,
     with its ``run_id``, at the first stage that isn't in it. Every stage may
     run twice. Documents without usable content go to ``bronze_quarantine``
@@ -148,4 +161,5 @@ def run_corpus(
         if stage not in done:
             done[stage] = work()
             _record(spark, cfg, run_id, stage, place, done[stage])
+            release_shuffles(spark)
     return done

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Shuffle files are deleted when the driver's JVM collects the plans that made them, which it does when it is short of
+    memory, not of disk. Called between the steps of a long run, so that disk does not follow the number of steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def is_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
     """Prove that the frame is small, reading at most ``max_rows + 1`` of its rows."""
     row = (

@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -53,6 +53,8 @@ class Layer:
     waiting_rows: int = 0
     changes: int = 0
     rows: int = 0
+    #: folders that hold the rows of the last write and no others; none where these lie among older ones
+    latest: tuple[str, ...] = ()
 
     def paths(self, parts: Iterable[str] | None = None) -> list[str]:
         return [f"{self.root}/{p}" for p in (self.parts if parts is None else parts)]
@@ -150,6 +152,12 @@ def _expire(spark: SparkSession, layer: Layer) -> None:
                         delete_path(spark, f"{layer.root}/{generation}/{part}")
 
 
+def _writer(df: DataFrame, fmt: str) -> DataFrameWriter:
+    """Layers and the one before them lie on disk for long: where the format lets choose, they are packed closer than by default."""
+    writer = df.write.format(fmt)
+    return writer.option("compression", "zstd") if fmt == "parquet" else writer
+
+
 def _write(df: DataFrame, name: str, layer: Layer, allow_empty: bool) -> tuple[int, tuple[str, ...]]:
     """Write the generation of ``layer`` and return its rows and parts; whatever fails leaves no trace of it."""
     spark, folder = df.sparkSession, f"{layer.root}/{layer.generation}"
@@ -158,9 +166,9 @@ def _write(df: DataFrame, name: str, layer: Layer, allow_empty: bool) -> tuple[i
         if layer.key:
             # By bucket, in tasks of the advised size: small buckets share a task, one that is larger is several files.
             placed = out.withColumn(_BUCKET, _bucket(layer.key, layer.buckets)).hint("rebalance", F.col(_BUCKET)).sortWithinPartitions(_BUCKET, layer.key)
-            placed.write.format(layer.fmt).partitionBy(_BUCKET).save(folder)
+            _writer(placed, layer.fmt).partitionBy(_BUCKET).save(folder)
         else:
-            out.write.format(layer.fmt).save(folder)
+            _writer(out, layer.fmt).save(folder)
         rows = _rows(seen)
         if not rows and not allow_empty:
             raise ValueError(f"{name}: no rows")
@@ -199,7 +207,7 @@ def write_layer(
     root = path or (old.root if old else _root(spark, name))
     new = Layer(root.rstrip("/"), fmt, json.dumps(_nullable(out.schema.jsonValue())), f"g{uuid.uuid4().hex}", (), key=key, buckets=buckets if key else 0)
     rows, parts = _write(out, name, new, allow_empty)
-    new = replace(new, parts=parts, rows=rows, before=(*old.parts, *old.waiting) if old and old.root == new.root else ())
+    new = replace(new, parts=parts, latest=parts, rows=rows, before=(*old.parts, *old.waiting) if old and old.root == new.root else ())
     _publish(spark, name, new)
     _expire(spark, new)
     return rows
@@ -228,7 +236,7 @@ def upsert_layer(updates: DataFrame, name: str, removed: DataFrame | None = None
     try:
         fresh = (with_audit(updates, layer) if layer else updates).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
         fresh, seen = with_metrics(fresh, f"{name} updates")
-        fresh.write.parquet(f"{stage}/rows")
+        _writer(fresh, "parquet").save(f"{stage}/rows")
         count = _rows(seen)
         fresh = spark.read.schema(schema).parquet(f"{stage}/rows")
         keys = fresh.select(F.col(f"`{key}`").alias(_KEY))
@@ -242,7 +250,7 @@ def upsert_layer(updates: DataFrame, name: str, removed: DataFrame | None = None
         old = [p for p in now.parts if _number(p) in touched]
         kept = spark.read.schema(schema).format(now.fmt).load(now.paths(old)) if old else spark.createDataFrame([], schema)
         kept = kept.join(keys, F.col(f"`{key}`").eqNullSafe(F.col(_KEY)), "left_anti")
-        new = replace(now, generation=f"g{uuid.uuid4().hex}", before=before, batch=now.batch if batch is None else batch, rows=now.rows + count)
+        new = replace(now, generation=f"g{uuid.uuid4().hex}", before=before, batch=now.batch if batch is None else batch, rows=now.rows + count, latest=())
         rows, parts = _write(kept.unionByName(fresh), name, new, allow_empty=True)
         untouched = tuple(p for p in now.parts if _number(p) not in touched and _number(p) is not None)
         if untouched:
@@ -283,7 +291,7 @@ def merge_layer(updates: DataFrame, name: str, removed: DataFrame | None = None,
     try:
         fresh = (with_audit(updates, layer) if layer else updates).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
         fresh, seen = with_metrics(fresh.withColumn(_CHANGE, F.lit(number).cast("long")), f"{name} updates")
-        fresh.write.format(now.fmt).save(f"{path}/rows")
+        _writer(fresh, now.fmt).save(f"{path}/rows")
         count = _rows(seen)
         keys = spark.read.schema(schema).format(now.fmt).load(f"{path}/rows").select(F.col(f"`{key}`").alias(_KEY))
         if removed is not None:
@@ -296,7 +304,7 @@ def merge_layer(updates: DataFrame, name: str, removed: DataFrame | None = None,
             return {"updates": 0, "keys": 0}
         new = replace(
             now, generation=f"g{uuid.uuid4().hex}", before=(*now.parts, *now.waiting), batch=now.batch if batch is None else batch,
-            waiting=(*now.waiting, folder), waiting_rows=now.waiting_rows + count, changes=number,
+            waiting=(*now.waiting, folder), waiting_rows=now.waiting_rows + count, changes=number, latest=(f"{folder}/rows",),
         )
         _replaced_meanwhile(spark, name, now)
         _publish(spark, name, new)
@@ -313,7 +321,7 @@ def merge_layer(updates: DataFrame, name: str, removed: DataFrame | None = None,
 
 def _settle(spark: SparkSession, name: str, now: Layer) -> Layer:
     """Write the changes that wait into the buckets; the rows of the layer stay the same."""
-    new = replace(now, generation=f"g{uuid.uuid4().hex}", before=(*now.parts, *now.waiting), waiting=(), waiting_rows=0)
+    new = replace(now, generation=f"g{uuid.uuid4().hex}", before=(*now.parts, *now.waiting), waiting=(), waiting_rows=0, latest=())
     rows, parts = _write(read_layer(spark, name), name, new, allow_empty=True)
     new = replace(new, parts=parts, rows=rows)
     try:
@@ -336,6 +344,14 @@ def read_layer(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.table(name)
 
 
+def read_latest(spark: SparkSession, name: str, generation: str) -> DataFrame | None:
+    """The rows of the write that made ``generation``, without a join; None where the layer has another generation or they lie among older ones."""
+    now = layer_of(spark, name)
+    if now is None or now.generation != generation or not now.latest:
+        return None
+    return spark.read.schema(_schema(now)).format(now.fmt).load(now.paths(now.latest))
+
+
 def drop_layer(spark: SparkSession, name: str) -> None:
     """The layer and all its files."""
     now = layer_of(spark, name)

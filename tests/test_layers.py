@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators.extract import attach_content, extract_landed, split_quarantine
 from corpusmill.operators.manifest import changes_detected, concat_records, detect_changes, infer_compliance_domain, normalize_manifest
 from corpusmill.operators.keyword import KeywordIndex, search_keyword
-from corpusmill.plans.run import RunConfig, run_corpus, run_state
+from corpusmill.plans.run import RunConfig, _Run, run_corpus, run_state
 from corpusmill.sources.evaluation import read_questions, write_evaluation
 from corpusmill.sources.files import read_raw_files, with_fallback
-from corpusmill.sources.layers import drop_layer, layer_of, merge_layer, read_layer, require_rows, upsert_layer, with_metrics, write_layer
+from corpusmill.sources.layers import drop_layer, layer_of, merge_layer, read_latest, read_layer, require_rows, upsert_layer, with_metrics, write_layer
 from corpusmill.sources.manifest import corpus_registry, read_manifest, write_manifest
 from corpusmill.streaming.ingest import document_stream, stream_ingest, stream_replace
 
@@ -437,3 +439,40 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     kept = read_layer(spark, name)
     assert (kept.count(), kept.select("k").distinct().count()) == (39_999, 39_999)
     assert [r.v for r in kept.where("k = '7'").collect()] == ["new"] and kept.where("k = '8'").isEmpty()
+
+
+def test_a_later_run_leaves_what_was_written_before(spark, tmp_path):
+    """What lies in the layers is neither written again nor joined to find the rows of the changed documents, and files are packed closely."""
+    spark.sql(f"CREATE DATABASE lean LOCATION '{tmp_path}/lean'")
+    cfg = RunConfig(raw_root=landing(tmp_path / "raw"), database="lean", dims=16, buckets=2)
+    run_corpus(spark, manifest_rows(spark), cfg, "r1")
+    layers = ("bronze_pages", "silver_chunks", "gold_embeddings", "index_chunks", "index_terms")
+    first = {n: layer_of(spark, cfg.table(n)) for n in layers}
+    (tmp_path / "raw" / "pdf" / "d1.pdf").write_bytes(b"page one, second version")
+    run = _Run(spark, cfg, "r2", manifest_rows(spark).withColumn("changed", F.col("document_id") == "d1"), None)
+    for stage, work in run.stages(None):
+        work()
+        if stage in layers:
+            now = layer_of(spark, cfg.table(stage))
+            assert now.parts == first[stage].parts and len(now.waiting) == 1
+            changed = run.changed(stage)
+            assert "Join" not in changed._jdf.queryExecution().optimizedPlan().toString()
+            assert sorted(changed.drop("embedding").toPandas().astype(str).values.tolist()) == sorted(
+                read_layer(spark, cfg.table(stage)).where("document_id = 'd1'").drop("embedding").toPandas().astype(str).values.tolist()
+            )
+    assert {r.chunk_text for r in read_layer(spark, "lean.index_chunks").where("document_id = 'd1'").collect()} == {"page one, second version"}
+    held = [f for f in Path(f"{tmp_path}/lean").rglob("*.parquet") if "run_ledger" not in str(f) and "/keys/" not in str(f)]
+    assert held and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in held if pq.ParquetFile(f).metadata.num_row_groups} == {"ZSTD"}
+
+
+def test_rows_of_another_write_are_not_taken_for_those_of_a_run(spark, tmp_path):
+    name, frame = "default.latest", lambda rows: spark.createDataFrame(rows, "id string, v int")
+    write_layer(frame([("a", 1), ("b", 2)]), name, key="id", buckets=2, path=str(tmp_path / "m"))
+    first = layer_of(spark, name).generation
+    assert read_latest(spark, name, first).count() == 2
+    merge_layer(frame([("b", 3)]), name)
+    assert read_latest(spark, name, first) is None
+    assert [tuple(r) for r in read_latest(spark, name, layer_of(spark, name).generation).collect()] == [("b", 3)]
+    upsert_layer(frame([("c", 4)]), name)
+    assert read_latest(spark, name, layer_of(spark, name).generation) is None and read_latest(spark, "default.no_layer", first) is None
+    drop_layer(spark, name)
