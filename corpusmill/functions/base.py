@@ -20,9 +20,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def where_it_has(part: str, col: Column, change: Callable[[Column], Column]) -> Column:
+    """``change`` of the texts that contain ``part``; the others, which are only looked through, stay as they are."""
+    return let(col, lambda c: F.when(c.contains(part), change(c)).otherwise(c))
+
+
 def strip(col: Column) -> Column:
-    """Remove Unicode whitespace at both ends, in one linear pass."""
-    return F.trim(col, F.lit(WHITESPACE))
+    """Remove Unicode whitespace at both ends, in one linear pass; a text without any there is only looked at."""
+
+    def ends(c: Column) -> Column:
+        white = F.lit(WHITESPACE)
+        # An empty end is in every text, so an empty text counts as one to trim.
+        return F.when(white.contains(F.left(c, F.lit(1))) | white.contains(F.right(c, F.lit(1))), F.trim(c, white)).otherwise(c)
+
+    return let(col, ends)
 
 
 def blank_to_null(col: Column) -> Column:

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.base import let, strip
+from corpusmill.functions.base import let, strip, where_it_has
 
 
 def clean_text(col: Column) -> Column:
     """Null becomes ""; NUL, NBSP, space runs, blanks after newlines and long newline runs are normalised."""
     spaced = F.coalesce(col, F.lit(""))
     for char in ("\x00", "\xa0", "\t"):
-        spaced = F.replace(spaced, F.lit(char), F.lit(" "))
-    single = F.regexp_replace(spaced, " {2,}", " ")
-    dedented = F.replace(single, F.lit("\n "), F.lit("\n"))
-    return strip(F.regexp_replace(dedented, "\n{3,}", "\n\n"))
+        spaced = where_it_has(char, spaced, lambda c, char=char: F.replace(c, F.lit(char), F.lit(" ")))
+    single = where_it_has("  ", spaced, lambda c: F.regexp_replace(c, " {2,}", " "))
+    dedented = where_it_has("\n ", single, lambda c: F.replace(c, F.lit("\n "), F.lit("\n")))
+    return strip(where_it_has("\n\n\n", dedented, lambda c: F.regexp_replace(c, "\n{3,}", "\n\n")))
 
 
 def norm_key(col: Column) -> Column:
@@ -40,7 +40,7 @@ def decode_utf8(col: Column) -> Column:
     Invalid sequences turn into U+FFFD and are removed, which also removes a
     U+FFFD that was really in the text.
     """
-    return F.replace(F.make_valid_utf8(col.cast("string")), F.lit("\ufffd"), F.lit(""))
+    return where_it_has("\ufffd", F.make_valid_utf8(col.cast("string")), lambda c: F.replace(c, F.lit("\ufffd"), F.lit("")))
 
 
 def chunk_id(document_id: Column, page_number: Column, section_number: Column, chunk_index: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,14 +19,23 @@ RATES_HEADING = "Euro foreign exchange reference rates:"
 # Any well-formed document fits; only the parser's verdict and stray text are wanted.
 _PROBE_SCHEMA = "struct<_VALUE string, _corrupt_record string>"
 _ATTR = r"""\s{name}\s*=\s*("[^"]*"|'[^']*')"""
+# The same without the quotes.
+_ATTR_VALUE = r"""\s{name}\s*=\s*["']((?<=")[^"]*+(?=")|(?<=')[^']*+(?='))"""
 
 
 # A tag's inside, quoted values with a ">" in them included. Nothing is given back, so a tag is gone through once.
 _INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 
 
+# A first element that isn't empty and the only end tag of whose name is the last tag.
+_ENDS_ONCE = r"\A\s*<([^\s/>]+)(?=[\s>])" + _INSIDE + r"(?<!/)>[^<]*+(?:<(?!/\1[\s>])[^<]*+)*+</\1\s*>\s*\z"
+
+
 def _has_one_root(body: Column) -> Column:
-    """Whether a well-formed run of elements is a single one: its first element closes only once, and nothing follows."""
+    """Whether a well-formed run of elements is a single one: its first element closes only once, and nothing follows.
+
+    Mostly no other element has the name of the first one, which one search shows; else the tags of that name are counted.
+    """
     bare = F.when(body.rlike(r"<[!?]"), F.regexp_replace(body, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", F.lit(""))).otherwise(body)
 
     def check(doc: Column) -> Column:
@@ -36,7 +47,7 @@ def _has_one_root(body: Column) -> Column:
             steps, start, lambda at, x: F.struct((at["depth"] + x).alias("depth"), (at["closed"] + F.when((at["depth"] + x == 0), 1).otherwise(0)).alias("closed"))
         )
         ends = doc.rlike(r"\A\s*<" + _INSIDE + r"(?<=/)>\s*\z") | F.call_function("regexp_like", doc, F.concat(F.lit("</"), name, F.lit(r"\s*>\s*\z")))
-        return (walked["closed"] == 1) & ends
+        return F.when(doc.rlike(_ENDS_ONCE), F.lit(True)).otherwise((walked["closed"] == 1) & ends)
 
     return let(bare, check)
 
@@ -48,8 +59,8 @@ def is_well_formed(xml: Column) -> Column:
     makes it read everything, and text next to the root element shows up as the
     wrapper's own value. Several elements next to each other are no document.
     """
-    body = F.regexp_replace(xml, r"(?s)\A<\?xml\s.*?\?>", F.lit(""))
-    body = F.regexp_replace(body, r"(?s)\A\s*<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>", F.lit(""))
+    body = F.when(xml.startswith("<?xml"), F.regexp_replace(xml, r"(?s)\A<\?xml\s.*?\?>", F.lit(""))).otherwise(xml)
+    body = let(body, lambda b: F.when(b.contains("<!DOCTYPE"), F.regexp_replace(b, r"(?s)\A\s*<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>", F.lit(""))).otherwise(b))
 
     def check(body: Column) -> Column:
         probe = F.from_xml(F.concat(F.lit("<whole_document>"), body, F.lit("</whole_document>")), _PROBE_SCHEMA, {"mode": "PERMISSIVE"})
@@ -91,11 +102,16 @@ def _cube_tags(xml: Column) -> Column:
 
 def _rates(cubes: Column) -> Column:
     """rate_date and the rates in document order, of the attributes of all Cube tags."""
-    dates = F.filter(F.transform(cubes, lambda c: _attr(c, "time")), lambda d: d.isNotNull())
-    rates = F.filter(
-        F.transform(cubes, lambda c: F.struct(_attr(c, "currency").alias("currency"), _attr(c, "rate").alias("rate"))),
-        lambda r: (r["currency"] != "") & (r["rate"] != ""),
+    dates = F.transform(F.filter(cubes, lambda c: c.rlike(_ATTR.format(name="time"))), lambda c: _attr(c, "time"))
+
+    def both(raw: Callable[[Column, str], Column]) -> Callable[[Column], Column]:
+        return lambda c: F.struct(*[raw(c, name).alias(name) for name in ("currency", "rate")])
+
+    # An attribute that is not there reads as an empty one, and neither makes a rate.
+    found = F.filter(
+        F.transform(cubes, both(lambda c, name: F.regexp_extract(c, _ATTR_VALUE.format(name=name), 1))), lambda r: (r["currency"] != "") & (r["rate"] != "")
     )
+    rates = F.transform(found, both(lambda r, name: _unescape_xml(r[name])))
     return F.struct(F.try_element_at(dates, F.lit(-1)).alias("rate_date"), rates.alias("rates"))
 
 
@@ -127,21 +143,19 @@ def fx_lines(fx: Column) -> Column:
     def labelled(label: str, col: Column) -> Column:
         return F.concat(F.lit(label), blank_to_null(col))
 
-    lines = F.concat(
-        F.array(
-            labelled(SUBJECT_LABEL, fx["subject"]),
-            labelled(SENDER_LABEL, fx["sender"]),
-            labelled(DATE_LABEL, fx["rate_date"]),
-            F.when(F.size(fx["rates"]) > 0, F.lit(RATES_HEADING)),
-        ),
+    return F.concat_ws(
+        "\n",
+        labelled(SUBJECT_LABEL, fx["subject"]),
+        labelled(SENDER_LABEL, fx["sender"]),
+        labelled(DATE_LABEL, fx["rate_date"]),
+        F.when(F.size(fx["rates"]) > 0, F.lit(RATES_HEADING)),
         F.transform(fx["rates"], lambda r: F.concat(r["currency"], F.lit(": "), r["rate"])),
     )
-    return F.coalesce(F.array_join(F.array_compact(lines), "\n"), F.lit(""))
 
 
 def xml_text_or_tags_removed(fx: Column, xml: Column) -> Column:
     """Rate lines, or the text without tags when the document holds none."""
-    return F.coalesce(blank_to_null(fx_lines(fx)), strip_tags(xml))
+    return F.coalesce(let(fx_lines(fx), blank_to_null), strip_tags(xml))
 
 
 # Shape of the publisher's RDF metadata.

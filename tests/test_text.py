@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import html, pii, text, xml
+from corpusmill.functions.base import strip
 from corpusmill.functions import xml as xml_functions
 from corpusmill.functions.base import WHITESPACE, strip
 from corpusmill.functions.tokens import hashing_vector, term_counts, tokens
@@ -206,3 +208,39 @@ def test_words_are_counted_in_batches_of_rows(spark, monkeypatch):
     assert "ArrowEvalPython" in counted._jdf.queryExecution().executedPlan().toString()
     got = {r.i: [tuple(x) for x in r.c] for r in counted.collect()}
     assert got == {i: sorted((w, words.count(w)) for w in set(words or [])) if words else [] for i, words in enumerate(lists)}
+
+
+def test_rate_lines_are_made_once_and_ends_are_looked_at_before_they_are_trimmed(spark):
+    docs = spark.createDataFrame([("<a/>",)], "x string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(fx_text(docs, "x")).count(xml.SUBJECT_LABEL) == 1
+    assert "CASE WHEN" in plan(docs.select(strip(F.col("x")))) and "CASE WHEN" in plan(docs.select(text.decode_utf8(F.encode("x", "UTF-8"))))
+
+
+def test_texts_that_need_no_cleaning_and_those_that_do(spark):
+    cases = ["", " ", "x", " x", "x ", "　x y\x85", "a  b", "a\x00b", "a\xa0\tb", "a\n b", "a\n\n\n\nb", "\n\n\n", "é  \n\n\n ü ", None]
+    white = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+    assert values(spark, cases, strip) == [c if c is None else c.strip(white) for c in cases]
+
+    def cleaned(c):
+        for char in "\x00\xa0\t":
+            c = c.replace(char, " ")
+        return re.sub("\n{3,}", "\n\n", re.sub(" {2,}", " ", c).replace("\n ", "\n")).strip(white)
+
+    assert values(spark, cases, text.clean_text) == [cleaned(c or "") for c in cases]
+    raw = spark.createDataFrame([(b"a\xc3(\xff",), (b"ok",), ("x�y".encode(),), (None,)], "b binary")
+    assert [r[0] for r in raw.select(text.decode_utf8(F.col("b"))).collect()] == ["a(", "ok", "xy", None]
+
+
+@pytest.mark.parametrize(
+    ("doc", "whole"),
+    [("<a/><a></a>", False), ("<a x='/'></a>", True), ("<a><b></b></a >\n", True), ("<a></a><a/>", False), ("<a x='</a>'/>", False), ("<n:a xmlns:n='u'><a></a></n:a>", True), ("<a><!-- </a> --></a>", True), ("<a></a><!-- <a> --></a>", False)],
+)
+def test_the_end_of_the_first_element_is_the_end_of_the_document(spark, doc, whole):
+    assert values(spark, [doc], xml.is_well_formed) == [whole]
+
+
+def test_values_of_attributes_in_either_quote(spark):
+    doc = "<r><Cube currency='\"q\"' rate=\"'\"/><Cube x=' rate=' rate='7' currency='Z'/><Cube xrate='1' currency='N'/><Cube time=''/><Cube currency='A&lt;' rate = '2'/></r>"
+    found = values(spark, [doc], xml.fx_rates)[0]
+    assert (found.rate_date, [tuple(r) for r in found.rates]) == ("", [('"q"', "'"), ("Z", " rate="), ("A<", "2")])
